@@ -45,29 +45,30 @@ def confusion_rows(predictions: DataFrame, truth: DataFrame, evaluated: DataFram
     found = (
         predictions.filter((F.col("variant") == "source") & (F.col("line") > 0) & (F.col("file") != ""))
         .select(*case, "file", "line").distinct()
-        .join(evaluated.select(*case), case, "left_semi")
     )
-    scored = matched_truth(wanted, found, case).groupBy(*case).agg(
-        F.count_if("hit").alias("tp"), F.count_if(~F.col("hit")).alias("fn")
+    near = near_lines(wanted.withColumnRenamed("line", "_expected").withColumn("line", F.col("_expected"))).select(
+        *case, "file", "_expected", F.col("near").alias("line"))
+    met = found.join(near, [*case, "file", "line"], "left")
+    hit = F.when(F.col("_expected").isNotNull(), F.struct("file", "_expected"))
+    one = F.lit(1).cast("bigint")
+    # Each side adds its own columns; a single aggregation per case then sums them.
+    rows = (
+        met.select(*case, hit.alias("hit"), one.alias("found"), F.col("_expected").isNull().cast("bigint").alias("stray"))
+        .unionByName(wanted.select(*case, one.alias("expected")), allowMissingColumns=True)
+        .unionByName(predictions.filter(F.col("variant") == "patched").select(*case, one.alias("patched")), allowMissingColumns=True)
+        .unionByName(evaluated.select(*case, "has_patched"), allowMissingColumns=True)
     )
-    stray = found.join(
-        near_lines(wanted).select(*case, "file", F.col("near").alias("line")).distinct(), [*case, "file", "line"],
-        "left_anti",
-    )
-    found_n = found.groupBy(*case).agg(F.count(F.lit(1)).alias("n_found"))
-    stray_n = stray.groupBy(*case).agg(F.count(F.lit(1)).alias("n_stray"))
-    patched_n = predictions.filter(F.col("variant") == "patched").groupBy(*case).agg(
-        F.count(F.lit(1)).alias("n_patched"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
-    out = evaluated
-    for part in (scored, found_n, stray_n, patched_n):
-        out = out.join(part, case, "left")
-    patched = F.when(F.col("has_patched"), zero("n_patched")).otherwise(F.lit(0))
-    clean_twin = F.when(F.col("has_patched") & (zero("n_patched") == 0), F.lit(1)).otherwise(F.lit(0))
-    clean_case = F.when(F.col("tp").isNull() & (zero("n_found") == 0), F.lit(1)).otherwise(F.lit(0))
-    return out.select(
-        *case, zero("tp").alias("tp"), (zero("n_stray") + patched).cast("bigint").alias("fp"),
-        (clean_twin + clean_case).cast("bigint").alias("tn"), zero("fn").alias("fn"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
+    sums = rows.groupBy(*case).agg(
+        F.count_distinct("hit").alias("tp"), total("found"), total("stray"), total("expected"), total("patched"),
+        F.max("has_patched").alias("has_patched"),
+    ).filter(F.col("has_patched").isNotNull())
+    twin = F.col("has_patched")
+    return sums.select(
+        *case, "tp", (F.col("stray") + F.when(twin, F.col("patched")).otherwise(0)).alias("fp"),
+        (F.when(twin & (F.col("patched") == 0), one).otherwise(0)
+         + F.when((F.col("expected") == 0) & (F.col("found") == 0), one).otherwise(0)).alias("tn"),
+        (F.col("expected") - F.col("tp")).alias("fn"),
     )
 
 

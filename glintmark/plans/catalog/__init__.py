@@ -1,6 +1,6 @@
 """Every registered query, by area."""
 
-from glintmark.plans.catalog import findings  # noqa: F401
+from glintmark.plans.catalog import evals, findings, runs  # noqa: F401
 from glintmark.plans.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

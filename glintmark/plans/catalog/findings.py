@@ -252,8 +252,7 @@ def run_diff(spark, sf):
     return history.key_diff(f.filter("run_no = 0"), f.filter("run_no = 1"), ["rule_id", "file", "line"])
 
 
-@query(f"""{_FM}, deg AS (SELECT rule_id, count(*) AS c FROM findings GROUP BY rule_id)
-SELECT tool AS pass, level AS kind, count(*) AS n_events, CAST(sum(line) AS BIGINT) AS n_lost FROM findings GROUP BY tool, level""")
+@query(f"""{_F} SELECT tool AS pass, level AS kind, count(*) AS n_events, CAST(sum(line) AS BIGINT) AS n_lost FROM findings GROUP BY tool, level""")
 def degradation_rollup(spark, sf):
     losses = view(spark, sf, "findings").select(F.col("tool").alias("pass"), F.col("level").alias("kind"),
                                                 F.col("line").cast("bigint").alias("count"))

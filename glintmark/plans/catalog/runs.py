@@ -1,0 +1,195 @@
+"""Queries over runs: tracking, cost, budget, packing, votes, ledger, incremental rebuild."""
+
+from pyspark.sql import functions as F
+
+from glintmark.functions.levels import lookup
+from glintmark.functions.text import fingerprint
+from glintmark.operators import evaluation, history, matching, packing, reports
+from glintmark.plans.catalog.registry import ORD, ORDER, query
+from glintmark.plans.views import sql_with, table, view
+from glintmark.functions import constants as K
+from glintmark.sources import files as S
+from glintmark.sources import ledger
+
+_F = sql_with("findings")
+_CALLS = sql_with("llm_calls")
+# Rows of a call log are numbered, so one slice of this width holds at most that many calls.
+_SLICE = 1 << 16
+
+
+def _map_sql(pairs: dict, key: str) -> str:
+    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, float) else repr(v)}" for k, v in pairs.items()) + " END"
+
+
+_ALIAS = _map_sql(K.MODEL_ALIASES, "split_part(model, ':', 2)")
+_WIRE = _map_sql({f"{p}:{m}": w for p, m, w in K.PROVIDER_MODELS}, "split_part(model, ':', 1) || ':' || canonical")
+_PRICED = f"""named AS (SELECT *, coalesce({_ALIAS}, split_part(model, ':', 2)) AS canonical FROM llm_calls),
+keyed AS (SELECT *, split_part(model, ':', 1) || ':' || coalesce({_WIRE}, canonical) AS model_resolved FROM named),
+prices(price_key, price_in, price_out) AS (VALUES {", ".join(f"('{k}', {i:.12f}::DOUBLE, {o:.12f}::DOUBLE)" for k, i, o in K.PRICES)}),
+priced AS (SELECT k.*, tokens_in * price_in + tokens_out * price_out AS cost_usd FROM keyed k JOIN prices p ON k.model_resolved = p.price_key)"""
+
+
+def _priced(spark, sf):
+    return matching.priced(view(spark, sf, "llm_calls"))
+
+
+@query(f"""{_CALLS}, {_PRICED} SELECT seq, model_resolved, round(cost_usd, 9) AS cost_usd FROM priced""")
+def priced_calls(spark, sf):
+    return _priced(spark, sf).select("seq", "model_resolved", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query(f"""{_CALLS}, {_PRICED} SELECT run_id, agent, count(*) AS n_calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
+ round(sum(cost_usd), 6) AS cost_usd, sum(cost_usd) >= 1.0 AS exceeded FROM priced GROUP BY run_id, agent""")
+def cost_totals(spark, sf):
+    return history.cost_totals(_priced(spark, sf), ["run_id", "agent"], 1.0).withColumn("cost_usd", F.round("cost_usd", 6))
+
+
+@query(f"""{_CALLS}, {_PRICED}, listed AS (
+ SELECT provider, alias, provider || ':' || coalesce(wire, canonical) AS price_key FROM (SELECT p.provider, a.alias, a.canonical, w.wire
+  FROM (VALUES {", ".join(f"('{p}')" for p in K.PROVIDERS)}) p(provider) CROSS JOIN (VALUES {", ".join(f"('{a}', '{m}')" for a, m in K.MODEL_ALIASES.items())}) a(alias, canonical)
+  LEFT JOIN (VALUES {", ".join(f"('{p}', '{m}', '{w}')" for p, m, w in K.PROVIDER_MODELS)}) w(provider, model, wire) ON w.provider = p.provider AND w.model = a.canonical)),
+rows AS (SELECT l.provider, l.alias, l.price_key, p.price_in, p.price_out FROM listed l LEFT JOIN prices p USING (price_key)
+ UNION ALL SELECT split_part(price_key, ':', 1), NULL, price_key, price_in, price_out FROM prices WHERE price_key NOT IN (SELECT price_key FROM listed)),
+used AS (SELECT model_resolved AS price_key, count(*) AS n FROM priced GROUP BY 1)
+SELECT r.*, coalesce(n, 0) AS n_calls FROM rows r LEFT JOIN used USING (price_key)""")
+def model_listing(spark, sf):
+    used = _priced(spark, sf).groupBy(F.col("model_resolved").alias("price_key")).agg(F.count(F.lit(1)).alias("_n"))
+    return matching.price_list(spark).join(used, "price_key", "left").select(
+        "provider", "alias", "price_key", "price_in", "price_out", F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_calls"))
+
+
+@query(f"""{_CALLS}, {_PRICED} SELECT price_key, price_in, price_out FROM prices WHERE price_key NOT IN (SELECT model_resolved FROM priced)""")
+def unreachable_prices(spark, sf):
+    from glintmark.sources.dimensions import prices
+
+    used = _priced(spark, sf).select(F.col("model_resolved").alias("price_key")).distinct()
+    return F.broadcast(prices(spark)).join(used, "price_key", "left_anti")
+
+
+@query(f"""{_CALLS}, {_PRICED} SELECT run_id, seq, round(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 9) AS cumulative_usd FROM priced""")
+def running_cost(spark, sf):
+    out = history.running_cost(_priced(spark, sf), ["run_id"], ["seq"], F.floor(F.col("seq") / _SLICE))
+    return out.select("run_id", "seq", F.round("cumulative_usd", 9).alias("cumulative_usd"))
+
+
+@query(f"""{_CALLS}, {_PRICED}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS n,
+  coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM priced),
+b AS (SELECT *, CAST(n // 4 AS BIGINT) AS batch_no, first_value(c) OVER (PARTITION BY run_id, n // 4 ORDER BY seq) AS cost_before FROM n)
+SELECT run_id, seq, batch_no, round(cost_before, 9) AS cost_before, round(cost_before, 9) < 2.0 AS ran FROM b""")
+def budget_cutoff(spark, sf):
+    out = history.budget_cutoff(_priced(spark, sf), ["run_id"], ["seq"], 4, 2.0, F.floor(F.col("seq") / _SLICE))
+    return out.select("run_id", "seq", "batch_no", F.round("cost_before", 9).alias("cost_before"), "ran")
+
+
+@query(f"""{_F}, t AS (SELECT sha256(coalesce(cwe, '') || '||' || file || '|' || CAST(line AS VARCHAR))[:16] AS fingerprint, run_no, {ORD} FROM findings)
+SELECT {ORD}, fingerprint, first_value('run' || run_no) OVER w AS first_seen_run, CASE WHEN row_number() OVER w = 1 THEN 'new' ELSE 'recurring' END AS status
+FROM t WINDOW w AS (PARTITION BY fingerprint ORDER BY run_no, {ORD})""")
+def first_seen(spark, sf):
+    f = view(spark, sf, "findings").select(
+        *ORDER, "run_no", F.concat(F.lit("run"), F.col("run_no").cast("string")).alias("run_id"),
+        fingerprint(F.col("cwe"), F.lit(""), F.col("file"), F.col("line").cast("string")).alias("fingerprint"))
+    return history.first_seen(f, ["run_no", *ORDER]).select(*ORDER, "fingerprint", "first_seen_run", "status")
+
+
+@query(f"""{sql_with('votes')}, f AS (SELECT DISTINCT l_suppkey AS finding_id, CASE WHEN l_suppkey % 3 = 0 THEN 1 WHEN l_suppkey % 3 = 1 THEN 3 ELSE 200 END AS samples FROM lineitem),
+v AS (SELECT finding_id, count(*) AS n_votes, count(*) FILTER (vote = 'CONFIRMED') AS c, bool_or(vote = 'FALSE_POSITIVE') AS fp, arg_min(vote, sample_id) AS first_vote
+ FROM votes WHERE NOT failed GROUP BY finding_id)
+SELECT finding_id, coalesce(n_votes, 0) AS n_votes, CASE WHEN n_votes IS NULL THEN 'NEEDS_CONTEXT' WHEN samples = 1 THEN first_vote WHEN c * 2 > samples THEN 'CONFIRMED'
+ WHEN fp THEN 'FALSE_POSITIVE' ELSE 'NEEDS_CONTEXT' END AS verdict, n_votes IS NULL AS unresolved FROM f LEFT JOIN v USING (finding_id)""")
+def vote_verdict(spark, sf):
+    m = F.col("l_suppkey") % 3
+    f = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("finding_id"), F.when(m == 0, 1).when(m == 1, 3).otherwise(200).alias("samples")).distinct()
+    return evaluation.vote_verdicts(f, view(spark, sf, "votes"), F.col("samples")).drop("samples")
+
+
+_PACK = """p AS (SELECT source, doc_id, CASE WHEN doc_id % 40 = 7 THEN NULL ELSE length(text) // 4 END AS tokens FROM documents),
+c AS (SELECT *, row_number() OVER w AS n, coalesce(sum(coalesce(tokens, 0)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM p WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+o AS (SELECT *, min(CASE WHEN c + coalesce(tokens, 0) > 7000 THEN n END) OVER (PARTITION BY source) AS o FROM c),
+packed AS (SELECT *, CASE WHEN tokens IS NULL OR o IS NULL OR n < o THEN 'included' WHEN n = o AND c < 7000 THEN 'truncated' WHEN n > o AND tokens = 0 THEN 'included' ELSE 'omitted' END AS packed FROM o)"""
+
+
+def _packed(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "source", "doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"),
+        F.when(F.col("doc_id") % 40 != 7, F.floor(F.length("text") / K.CHARS_PER_TOKEN)).alias("tokens"))
+    return packing.pack_files(d, ["source"], ["doc_id"], 10000, 3000, slice_by=F.floor(F.col("doc_id") / _SLICE))
+
+
+@query(f"""WITH {_PACK} SELECT source, doc_id, packed, CAST(CASE WHEN packed = 'truncated' THEN (7000 - c) * 4 END AS BIGINT) AS keep_chars FROM packed""")
+def token_packing(spark, sf):
+    return _packed(spark, sf).select("source", "doc_id", "packed", "keep_chars")
+
+
+@query(f"""WITH {_PACK}, s AS (SELECT source, count(*) AS a, count(*) FILTER (packed = 'omitted') AS n,
+ list_sort(list((doc_id)) FILTER (packed = 'omitted'))[:5] AS first FROM packed GROUP BY source)
+SELECT source, 'holistic' AS pass, 'files_omitted' AS kind, n || ' of ' || a || ' selected files did not fit the token budget and were NOT reviewed: '
+ || array_to_string(list_transform(first, lambda x: 'd' || x), ', ') || CASE WHEN n > 5 THEN '…' ELSE '' END AS detail, n AS count FROM s WHERE n > 0""")
+def omitted_files(spark, sf):
+    return reports.omitted_losses(_packed(spark, sf), ["source"], "holistic", ["doc_id"])
+
+
+@query("""WITH s AS (SELECT p_brand, p_partkey, p_retailprice AS rank, CAST(length(p_name) AS BIGINT) AS tokens FROM part),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY p_brand ORDER BY rank DESC, p_partkey ROWS UNBOUNDED PRECEDING) AS c FROM s)
+SELECT p_brand, p_partkey FROM c WHERE c <= 800""")
+def trim_prefix(spark, sf):
+    s = table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_retailprice").alias("rank"),
+                                        F.length("p_name").cast("bigint").alias("tokens"))
+    return packing.trim_by_rank(s, ["p_brand"], [F.desc("rank"), "p_partkey"], 800).select("p_brand", "p_partkey")
+
+
+@query("""WITH old AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0)
+SELECT 'd' || coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.text <> n.text THEN 'modified' ELSE 'unchanged' END AS state
+FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""")
+def incremental_diff(spark, sf):
+    return history.file_changes(*_snapshots(spark, sf))
+
+
+def _snapshots(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"))
+    sha = F.sha2(F.col("text"), 256).alias("sha256")
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return d.filter("doc_id % 10 <> 0").select("path", sha), d.filter("doc_id % 9 <> 0").select(
+        "path", F.sha2(changed, 256).alias("sha256"))
+
+
+@query("""WITH s AS (SELECT doc_id, doc_id % 10 <> 0 AS o, doc_id % 9 <> 0 AS n, doc_id % 7 = 0 AS m FROM documents)
+SELECT 'd' || doc_id AS file, CASE WHEN o AND n AND NOT m THEN 'old' ELSE 'fresh' END AS snapshot FROM s WHERE n""")
+def incremental_rebuild(spark, sf):
+    old, new = _snapshots(spark, sf)
+    rows = lambda df, label: df.select(F.col("path").alias("file"), F.lit(label).alias("snapshot"))
+    return history.replace_changed(rows(old, "old"), rows(new, "fresh"), history.file_changes(old, new))
+
+
+@query("""SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS n_runs FROM events GROUP BY event_type""")
+def event_kinds(spark, sf):
+    e = table(spark, sf, "events")
+    lines = e.select(ledger.event_line(F.col("ts"), F.col("event_type"), run_id=F.col("user_id").cast("string"),
+                                       value=F.col("value")).alias("value"))
+    return ledger.parse_events(lines).groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("run_id").alias("n_runs"))
+
+
+@query(f"""{_F}, runs AS (SELECT DISTINCT 'run' || user_id AS run_id, 't' || (user_id % 4) AS target FROM events),
+tot AS (SELECT 'run' || (ordinal2 % 120) AS run_id, count(*) AS total, count(*) FILTER (rule_id IN ('R1', 'R2')) AS authz FROM findings GROUP BY 1),
+ab AS (SELECT DISTINCT 'run' || user_id AS run_id FROM events WHERE event_type = 'error' AND event_id % 9 = 0)
+SELECT r.run_id, r.run_id AS started, r.target, total, authz, CASE WHEN total IS NULL THEN 'incomplete' WHEN ab.run_id IS NOT NULL THEN 'salvaged' ELSE 'complete' END AS state
+FROM runs r LEFT JOIN tot USING (run_id) LEFT JOIN ab ON ab.run_id = r.run_id WHERE target LIKE '%t1%' OR target LIKE '%t2%' OR target LIKE '%t0%' OR target LIKE '%t3%'""")
+def run_catalogue(spark, sf):
+    e = table(spark, sf, "events")
+    rid = F.concat(F.lit("run"), F.col("user_id").cast("string")).alias("run_id")
+    runs = e.select(rid, F.concat(F.lit("t"), (F.col("user_id") % 4).cast("string")).alias("target")).distinct().withColumn(
+        "started", F.col("run_id"))
+    cwe = lookup({"R1": "CWE-862", "R2": "CWE-863"}, F.col("rule_id"))
+    found = view(spark, sf, "findings").select(
+        F.concat(F.lit("run"), (F.col("ordinal2") % 120).cast("string")).alias("run_id"), cwe.alias("cwe"))
+    losses = e.filter("event_type = 'error' AND event_id % 9 = 0").select(rid, F.lit("run_aborted").alias("kind"))
+    return ledger.run_catalogue(runs, found, losses, target="T")
+
+
+@query("""SELECT 'd' || doc_id AS path, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size_bytes, source FROM documents""")
+def evidence_hashes(spark, sf):
+    d = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"), "source")
+    return S.require_unique_paths(S.evidence(d, F.col("source")))

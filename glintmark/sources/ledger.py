@@ -38,14 +38,14 @@ def run_catalogue(
     """
     counts = findings.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("cwe").isin(K.AUTHORIZATION_CWES)).alias("authorization"),
+        F.count_if(F.col("cwe").isin(K.AUTHORIZATION_CWES)).alias("authz"),
     )
     aborted = losses.filter(F.col("kind") == "run_aborted").select("run_id").distinct().withColumn("_aborted", F.lit(True))
     out = runs.join(counts, "run_id", "left").join(aborted, "run_id", "left")
     if target:
         out = out.filter(F.lower("target").contains(target.lower()))
     out = out.select(
-        "run_id", "started", "target", "total", "authorization",
+        "run_id", "started", "target", "total", "authz",
         F.when(F.col("total").isNull(), F.lit("incomplete"))
         .when(F.col("_aborted"), F.lit("salvaged"))
         .otherwise(F.lit("complete"))
