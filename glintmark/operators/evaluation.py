@@ -270,7 +270,7 @@ def run_stability(metrics: DataFrame) -> DataFrame:
 
 def best_model(metrics: DataFrame) -> DataFrame:
     """F2 of each model with its distance to the best one (one row per model)."""
-    best = metrics.agg(F.max("f_beta")).scalar()
+    best = F.max("f_beta").over(Window.partitionBy())
     return metrics.select("model", "f_beta", (F.col("f_beta") - best).alias("delta"))
 
 

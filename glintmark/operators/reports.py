@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
@@ -52,17 +52,19 @@ def band_ranks(scored: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def top_ranked(scored: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
     """First ``k`` findings per group; Spark keeps k rows per group and task before the shuffle."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(F.desc("priority"), *order)
     return scored.withColumn("rank_no", F.row_number().over(w)).filter(F.col("rank_no") <= k)
 
 
 def actionable(scored: DataFrame, order: list[str], k: int = 20, minimum: float = K.TRIAGE_MIN_SCORE) -> DataFrame:
-    """First ``k`` findings worth acting on; if none reaches the threshold, the first with any priority."""
-    best = scored.agg(F.max("priority")).scalar()
-    keep = F.when(best >= minimum, F.col("priority") >= minimum).otherwise(F.col("priority") > 0)
-    return in_priority_order(scored.filter(keep), order).limit(k)
+    """First ``k`` findings worth acting on; if none reaches the threshold, the first with any priority.
+
+    The first k with any priority start with those that reach the threshold, so one top-k pass serves
+    both cases and the choice is made over k rows.
+    """
+    top = in_priority_order(scored.filter(F.col("priority") > 0), order).limit(k)
+    best = F.max("priority").over(Window.partitionBy())
+    return top.withColumn("_best", best).filter((F.col("priority") >= minimum) | (F.col("_best") < minimum)).drop("_best")
 
 
 def summary_rows(top: DataFrame) -> DataFrame:
@@ -155,8 +157,6 @@ def omitted_losses(packed: DataFrame, by: list[str], pass_name: str, order: list
     """One loss row per group with files left out, naming the first few of them."""
     omitted = F.col("packed") == "omitted"
     ranked = packed.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count_if(omitted).alias("count"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*by).orderBy(*order)
     names = (
         packed.filter(omitted).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= shown)
