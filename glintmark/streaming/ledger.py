@@ -99,7 +99,7 @@ class BudgetGuard:
         return self.spark.read.parquet(f"{self.path}/calls").drop("batch")
 
 
-def seen_status(findings: DataFrame, order: str, ttl_ms: int | None = None) -> DataFrame:
+def seen_status(findings: DataFrame, order: list[str], ttl_ms: int | None = None) -> DataFrame:
     """Add ``status`` (new or recurring) per fingerprint over the whole life of the stream.
 
     The state is one flag per fingerprint and grows with them; ``ttl_ms`` forgets a fingerprint that was
