@@ -159,20 +159,23 @@ def pagerank(
     if n == 0:
         return base.select("node", F.lit(0.0).alias("rank"))
     ranks = scratch.save(base.select("node", "dangling", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "round=0")
+    lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
     for k in range(1, max_rounds + 1):
-        lost = ranks.filter("dangling").agg(F.sum("rank")).first()[0] or 0.0
-        fixed = (1.0 - damping) / n + damping * lost / n
-        gain = (
-            shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
-            .groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        given = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").select(
+            F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("gain"))
+        # Old ranks and contributions meet in one aggregation per node, summed before the shuffle.
+        new = F.lit((1.0 - damping) / n + damping * lost / n) + F.lit(damping) * F.coalesce("gain", F.lit(0.0))
+        step = (
+            ranks.select("node", "dangling", F.col("rank").alias("old")).unionByName(given, allowMissingColumns=True)
+            .groupBy("node").agg(F.max("dangling").alias("dangling"), F.max("old").alias("old"), F.sum("gain").alias("gain"))
+            .select("node", "dangling", new.alias("rank"), F.abs(new - F.col("old")).alias("change"))
         )
-        new = F.lit(fixed) + F.lit(damping) * F.coalesce("gain", F.lit(0.0))
-        step = ranks.join(gain, F.col("node") == F.col("dst"), "left").select(
-            "node", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         ranks = scratch.save(step, f"round={k}")
         if k > 1:
             scratch.drop(f"round={k - 2}")
-        if ranks.agg(F.sum("change")).first()[0] < tolerance:
+        change, lost = ranks.agg(F.sum("change"), F.sum(F.when(F.col("dangling"), F.col("rank")))).first()
+        lost = lost or 0.0
+        if change < tolerance:
             break
     top = ranks.agg(F.max("rank")).scalar()
     return ranks.select("node", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")).alias("rank"))
@@ -228,10 +231,12 @@ def cyclic_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
             left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), f"r{k}_colour0")
         step, moved = 0, True
         while moved:
-            passed = left.join(colours, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("c"))
-            new = colours.join(passed, F.col("node") == F.col("dst"), "left").select(
-                "node", F.greatest("colour", F.coalesce("c", F.col("colour"))).alias("colour"),
-                (F.coalesce("c", F.col("colour")) > F.col("colour")).alias("moved"))
+            passed = left.join(colours, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
+            new = (
+                colours.select("node", "colour", F.col("colour").alias("own")).unionByName(passed, allowMissingColumns=True)
+                .groupBy("node").agg(F.max("colour").alias("colour"), F.max("own").alias("own"))
+                .select("node", "colour", (F.col("colour") > F.col("own")).alias("moved"))
+            )
             step += 1
             new = scratch.save(new, f"r{k}_colour{step}")
             moved = bool(new.agg(F.max("moved")).first()[0])

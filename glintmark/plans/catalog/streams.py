@@ -54,17 +54,19 @@ def budget_guard(spark, sf):
 
 
 @query(f"""{sql_with('findings')}, t AS (SELECT sha256(coalesce(cwe, '') || '||' || file || '|' || CAST(line AS VARCHAR))[:16] AS fingerprint, run_no, {ORD} FROM findings)
-SELECT {ORD}, fingerprint, CASE WHEN row_number() OVER (PARTITION BY fingerprint ORDER BY run_no, {ORD}) = 1 THEN 'new' ELSE 'recurring' END AS status FROM t""")
+SELECT {ORD}, fingerprint, first_value('run' || run_no) OVER w AS first_seen_run, CASE WHEN row_number() OVER w = 1 THEN 'new' ELSE 'recurring' END AS status
+FROM t WINDOW w AS (PARTITION BY fingerprint ORDER BY run_no, {ORD})""")
 def seen_state(spark, sf):
     """Findings of run 0 arrive first, those of the later runs in a second start of the stream."""
     f = view(spark, sf, "findings").select(
-        *ORDER, "run_no", fingerprint(F.col("cwe"), F.lit(""), F.col("file"), F.col("line").cast("string")).alias("fingerprint"))
-    inbox, out, checkpoint = (shared_path(spark, n) for n in ("tracked", "seen", "seen-checkpoint"))
+        *ORDER, "run_no", F.concat(F.lit("run"), F.col("run_no").cast("string")).alias("run_id"),
+        fingerprint(F.col("cwe"), F.lit(""), F.col("file"), F.col("line").cast("string")).alias("fingerprint"))
+    inbox, state, checkpoint = (shared_path(spark, n) for n in ("tracked", "seen", "seen-checkpoint"))
+    tracker = L.SeenTracker(spark, state, ["run_no", *ORDER])
     for part in (f.filter("run_no = 0"), f.filter("run_no > 0")):
         part.write.mode("append").parquet(inbox)
-        marked = L.seen_status(spark.readStream.schema(f.schema).parquet(inbox), ["run_no", *ORDER])
-        L.run_to_end(marked, L.overwrite_batches(out), "seen", checkpoint=checkpoint)
-    return spark.read.parquet(out).select(*ORDER, "fingerprint", "status")
+        L.run_to_end(spark.readStream.schema(f.schema).parquet(inbox), tracker, "seen", checkpoint=checkpoint)
+    return tracker.result().select(*ORDER, "fingerprint", "first_seen_run", "status")
 
 
 @query(f"""{sql_with('findings', 'manifest')}, {scored_sql('findings')} SELECT band, level, count(*) AS n FROM scored GROUP BY band, level""")

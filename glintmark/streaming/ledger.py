@@ -6,14 +6,13 @@ a failure leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from glintmark.operators.history import first_seen
 from glintmark.operators.prefix import running_totals
 from glintmark.session import shared_path
 from glintmark.sources.ledger import parse_events
@@ -85,6 +84,7 @@ class BudgetGuard:
     def __call__(self, df: DataFrame, batch: int) -> None:
         schema = T.StructType([df.schema[self.by], T.StructField("spent", T.DoubleType())])
         spent = self._spent(batch, schema)
+        df = df.persist()
         rows = running_totals(df, [self.by], self.order, {"_before": F.col("cost_usd")}, self.slice_by)
         rows = rows.join(spent, self.by, "left")
         before = F.coalesce("spent", F.lit(0.0)) + F.col("_before")
@@ -94,40 +94,44 @@ class BudgetGuard:
         now = df.groupBy(self.by).agg(F.sum("cost_usd").alias("spent"))
         spent.unionByName(now).groupBy(self.by).agg(F.sum("spent").alias("spent")).write.mode("overwrite").parquet(
             f"{self.path}/spent/batch={batch}")
+        df.unpersist()
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/calls").drop("batch")
 
 
-def seen_status(findings: DataFrame, order: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """Add ``status`` (new or recurring) per fingerprint over the whole life of the stream.
+class SeenTracker:
+    """Adds ``status`` (new or recurring) and ``first_seen_run`` over the whole life of a stream.
 
-    The state is one flag per fingerprint and grows with them; ``ttl_ms`` forgets a fingerprint that was
-    not seen for that long. Rows of a fingerprint pass through in chunks and only the earliest one is held
-    back, so a busy fingerprint needs no more memory than a rare one.
+    Every fingerprint ever seen is kept once, in a table per batch that is only appended to. A batch finds
+    its own first rows by aggregation, then looks the batch's fingerprints up in that table; the (smaller)
+    batch side is broadcast while it is small, so the table is read without a shuffle. The table grows
+    with the fingerprints, as tracking asks for.
     """
-    out = T.StructType([*findings.schema.fields, T.StructField("status", T.StringType())])
-
-    def mark(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen, first = state.exists, None
-        for chunk in chunks:
-            if seen:
-                yield chunk.assign(status="recurring")
-                continue
-            pool = chunk if first is None else pd.concat([first, chunk])
-            pool = pool.sort_values(order)
-            first = pool.head(1)
-            if len(pool) > 1:
-                yield pool.iloc[1:].assign(status="recurring")
-        if first is not None:
-            yield first.assign(status="new")
-        state.update((True,))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return findings.groupBy("fingerprint").applyInPandasWithState(
-        mark, out, T.StructType([T.StructField("seen", T.BooleanType())]), "append", timeout)
+
+    def __init__(self, spark: SparkSession, path: str, order: list[str]):
+        self.spark, self.path, self.order = spark, path, order
+
+    def _known(self, batch: int, df: DataFrame) -> DataFrame:
+        schema = T.StructType([df.schema["fingerprint"], T.StructField("_run", df.schema["run_id"].dataType),
+                               T.StructField("batch", T.IntegerType())])
+        if batch == 0:
+            return self.spark.createDataFrame([], schema).drop("batch")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/seen").filter(F.col("batch") < batch).drop("batch")
+
+    def __call__(self, df: DataFrame, batch: int) -> None:
+        df = df.persist()
+        hits = self._known(batch, df).join(df.select("fingerprint").distinct(), "fingerprint", "left_semi")
+        rows = first_seen(df, self.order).join(hits, "fingerprint", "left").select(
+            *df.columns,
+            F.coalesce("_run", "first_seen_run").alias("first_seen_run"),
+            F.when(F.col("_run").isNotNull(), F.lit("recurring")).otherwise(F.col("status")).alias("status"),
+        )
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        done = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/batch={batch}")
+        done.filter("status = 'new'").select("fingerprint", F.col("run_id").alias("_run")).write.mode("overwrite").parquet(
+            f"{self.path}/seen/batch={batch}")
+        df.unpersist()
+
+    def result(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows").drop("batch")
