@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
 from glintmark.functions.levels import lookup
-from glintmark.functions.text import matches_glob
+from glintmark.functions.text import fold_case, has_word, matches_glob
 
 
 def normal_uri(uri: Column, root: Column | str | None = None) -> Column:
@@ -121,19 +122,22 @@ def is_config_file(path: Column) -> Column:
     return hit | F.regexp_extract(name, r"(\.[^.]*)$", 1).isin(K.CONFIG_EXTENSIONS)
 
 
-def security_weight(path: Column, lang: Column, text: Column) -> Column:
-    """Relevance of a file, 0 to 10, from its name and its first characters."""
-    name = F.lower(base_name(path))
-    head = F.substring(F.coalesce(text, F.lit("")), 1, K.CONTENT_WEIGHT_CHARS)
-    weight = F.lit(1)
-    for words, boost in K.NAME_WEIGHTS:
-        hit = F.lit(False)
-        for word in words:
-            hit = hit | name.contains(word)
-        weight = weight + F.when(hit, F.lit(boost)).otherwise(F.lit(0))
-    for pattern, boost in K.CONTENT_WEIGHTS:
-        weight = weight + F.when(head.rlike(pattern), F.lit(boost)).otherwise(F.lit(0))
-    return F.when(lang == "other", F.lit(0)).otherwise(F.least(weight, F.lit(K.WEIGHT_MAX)))
+def with_security_weight(files: DataFrame, text: str = "text", name: str = "weight") -> DataFrame:
+    """Add the relevance of each file (path, language, text), 0 to 10, from its name and first characters.
+
+    The folded texts are columns of their own, so they are computed once and not in every test.
+    """
+    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, K.CONTENT_WEIGHT_CHARS)
+    prepared = files.withColumns({"_head": head, "_lower": fold_case(head), "_name": F.lower(base_name(F.col("path")))})
+    words, boost = K.ASSIGNED_SECRET_WEIGHT
+    lower = F.col("_lower")
+    points = [(has_word(F.col("_name"), words), boost) for words, boost in K.NAME_WEIGHTS]
+    points += [(F.col("_head").rlike(pattern), boost) for pattern, boost in K.CONTENT_WEIGHTS]
+    points += [(has_word(lower, words), boost) for words, boost in K.CONTENT_WORD_WEIGHTS]
+    points.append((has_word(lower, words) & lower.rlike(rf"(?U)({'|'.join(words)})\s*="), boost))
+    total = reduce(lambda a, b: a + b, [F.when(hit, F.lit(n)).otherwise(F.lit(0)) for hit, n in points], F.lit(1))
+    weight = F.when(F.col("language") == "other", F.lit(0)).otherwise(F.least(total, F.lit(K.WEIGHT_MAX)))
+    return prepared.select(*files.columns, weight.alias(name))
 
 
 def module_name(path: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def fingerprint(cwe: Column, symbol: Column, file: Column, text: Column) -> Colu
 
 def lines_of(text: Column) -> Column:
     """Lines of a text, without an empty last one after a final line break."""
-    parts = F.split(F.regexp_replace(text, r"\r\n|[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]", "\n"), "\n")
+    parts = F.split(text, r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -87,6 +88,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
 
 
+def fold_case(text: Column) -> Column:
+    """Lower case, with the letters that ignoring case equates to plain ones replaced by them."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def has_word(text: Column, words: list[str]) -> Column:
+    """True when the text contains any of the words."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
 def collapse_spaces(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

@@ -41,22 +41,22 @@ def confusion_rows(predictions: DataFrame, truth: DataFrame, evaluated: DataFram
     """
     case = [*_RUN, "case_id"]
     expected = truth.filter(F.col("label") == "true_positive").select("case_id", "file", "line").distinct()
-    wanted = expected.join(evaluated.select(*case), "case_id").select(*case, "file", "line")
     found = (
         predictions.filter((F.col("variant") == "source") & (F.col("line") > 0) & (F.col("file") != ""))
         .select(*case, "file", "line").distinct()
     )
-    near = near_lines(wanted.withColumnRenamed("line", "_expected").withColumn("line", F.col("_expected"))).select(
-        *case, "file", "_expected", F.col("near").alias("line"))
-    met = found.join(near, [*case, "file", "line"], "left")
+    # The truth of a case is the same for every model: it meets the found places per case, not per run.
+    near = near_lines(expected.withColumn("_expected", F.col("line"))).select(
+        "case_id", "file", "_expected", F.col("near").alias("line"))
+    met = found.join(near, ["case_id", "file", "line"], "left")
+    n_expected = expected.groupBy("case_id").agg(F.count(F.lit(1)).alias("expected"))
     hit = F.when(F.col("_expected").isNotNull(), F.struct("file", "_expected"))
     one = F.lit(1).cast("bigint")
     # Each side adds its own columns; a single aggregation per case then sums them.
     rows = (
         met.select(*case, hit.alias("hit"), one.alias("found"), F.col("_expected").isNull().cast("bigint").alias("stray"))
-        .unionByName(wanted.select(*case, one.alias("expected")), allowMissingColumns=True)
         .unionByName(predictions.filter(F.col("variant") == "patched").select(*case, one.alias("patched")), allowMissingColumns=True)
-        .unionByName(evaluated.select(*case, "has_patched"), allowMissingColumns=True)
+        .unionByName(evaluated.join(n_expected, "case_id", "left").select(*case, "has_patched", "expected"), allowMissingColumns=True)
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
     sums = rows.groupBy(*case).agg(

@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
-from glintmark.functions.text import lines_of, strip
+from glintmark.functions.text import fold_case, has_word, lines_of, strip
 
 _STRING_START = r"""(?iu)^(f|r|b|rb|br|fr|rf)?['"]"""
 
 
-def _violation(rule: tuple, path: Column, line: Column) -> Column:
+def _violation(rule: tuple, path: Column, line: Column, lower: Column) -> Column:
+    """Violation of one rule or null. Cheap tests come first: the path, a word the pattern needs."""
     code, severity, prefix, pattern, exception, skip_comment, skip_string, message = rule
-    hit = line.rlike(pattern)
-    if prefix:
-        hit = hit & path.startswith(prefix)
+    hit = path.startswith(prefix) if prefix else F.lit(True)
+    words = K.LINE_RULE_WORDS.get(code, [])
+    if words:
+        hit = hit & has_word(lower, words)
+    hit = hit & line.rlike(pattern)
     for part in K.LINE_RULE_EXEMPT_PARTS.get(code, []):
         hit = hit & ~path.contains(part)
     for ending in K.LINE_RULE_EXEMPT_ENDINGS.get(code, []):
@@ -32,7 +35,9 @@ def _violation(rule: tuple, path: Column, line: Column) -> Column:
 def line_rules(files: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """(path, line, rule, severity, message) of every line that breaks a rule; one pass over the lines."""
     lines = files.select("path", F.posexplode(lines_of(F.col("text"))).alias("pos", "text"))
-    found = F.array_compact(F.array(*[_violation(r, F.col("path"), F.col("text")) for r in rules or K.LINE_RULES]))
+    lines = lines.withColumn("lower", fold_case(F.col("text")))
+    found = F.array_compact(F.array(*[
+        _violation(r, F.col("path"), F.col("text"), F.col("lower")) for r in rules or K.LINE_RULES]))
     return lines.select("path", (F.col("pos") + 1).alias("line"), F.explode(found).alias("v")).select(
         "path", "line", "v.rule", "v.severity", "v.message"
     )

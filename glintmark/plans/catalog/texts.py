@@ -83,16 +83,18 @@ def untested_rules(spark, sf):
 
 _LANG_SQL = f"""CASE WHEN {_L} LIKE 'dockerfile%' THEN 'config' WHEN regexp_matches({_L}, '\\.(py)$') THEN 'python' WHEN regexp_matches({_L}, '\\.(cs|razor|csproj|sln)$') THEN 'csharp'
  WHEN regexp_matches({_L}, '.\\.(json|yaml|yml|toml|xml|props|editorconfig|dockerfile|env|bicep|bicepparam|tf|tfvars)$') THEN 'config' ELSE 'other' END"""
+_POINTS = [(p.replace("(?U)", ""), b) for p, b in K.CONTENT_WEIGHTS]
+_POINTS += [("(?i)" + "|".join(w.replace(".", "\\.").replace("(", "\\(") for w in ws), b) for ws, b in K.CONTENT_WORD_WEIGHTS]
+_POINTS += [("(?i)(password|secret|api_key|token)\\s*=", 2)]
 _WEIGHT_SQL = "1 " + " ".join(
     "+ CASE WHEN " + " OR ".join(f"contains({_L}, '{w}')" for w in ws) + f" THEN {b} ELSE 0 END" for ws, b in K.NAME_WEIGHTS
-) + " " + " ".join(
-    f"+ CASE WHEN regexp_matches(text[:4096], '{p.replace('(?iuU)', '(?i)').replace('(?iu)', '(?i)').replace('(?U)', '')}') THEN {b} ELSE 0 END" for p, b in K.CONTENT_WEIGHTS)
+) + " " + " ".join(f"+ CASE WHEN regexp_matches(text[:4096], '{p}') THEN {b} ELSE 0 END" for p, b in _POINTS)
 
 
 @query(f"""{_T} SELECT path, {_LANG_SQL} AS language, CAST(CASE WHEN {_LANG_SQL} = 'other' THEN 0 ELSE least(10, {_WEIGHT_SQL}) END AS INT) AS weight FROM tree""")
 def security_weight(spark, sf):
     t = _tree(spark, sf).withColumn("language", P.language(F.col("path")))
-    return t.select("path", "language", P.security_weight(F.col("path"), F.col("language"), F.col("text")).alias("weight"))
+    return P.with_security_weight(t).select("path", "language", "weight")
 
 
 def _inventory(spark, sf):

@@ -47,6 +47,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
+    """Split a table that comes in fewer pieces than there are cores; one in enough pieces is left alone.
+
+    A file with a single row group is read by one task, and everything up to the next shuffle with it.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    want = min(df.sparkSession.sparkContext.defaultParallelism, size // bytes_per_task + 1)
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 class Scratch:
     """Tables one iterative job writes, so that lineage stays short and lost executors cost a re-read."""
 

@@ -38,11 +38,8 @@ def inventory(
         & P.inventoried(path, exclude, strip_dots)
         & P.passes_filters(shown, exclude or [], include or [])
     ).withColumn("language", P.language(path))
-    return kept.select(
-        "path", "language", "size_bytes",
-        P.security_weight(path, F.col("language"), F.col(text)).alias("weight"),
-        tokens_of_bytes(F.col("size_bytes")).alias("tokens"),
-    )
+    return P.with_security_weight(kept, text).select(
+        "path", "language", "size_bytes", "weight", tokens_of_bytes(F.col("size_bytes")).alias("tokens"))
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:
