@@ -77,9 +77,9 @@ def location_match(spark, sf):
     return E.compare_locations(view(spark, sf, "eval_predictions"), view(spark, sf, "eval_truth"), ["case_id"])
 
 
-_CASES = """specs AS (SELECT l.doc_id % 97 AS case_id, CASE WHEN min(l.quality) = 0 THEN 'found' ELSE 'not_found' END AS expect,
-  CASE WHEN l.doc_id % 97 % 3 = 0 THEN 'HIGH' END AS severity, 'part ' || (l.doc_id % 97 % 12) AS kw1, 'TITLE ' || (l.doc_id % 97 % 5) AS kw2, l.doc_id % 97 % 4 AS n_kw FROM labels l GROUP BY l.doc_id % 97),
-f AS (SELECT ordinal2 % 150 AS case_id, severity, lower(evidence || ' ' || description || ' ' || title) AS txt FROM model_findings),
+_CASES = """specs AS (SELECT l.doc_id AS case_id, CASE WHEN min(l.quality) = 0 THEN 'found' ELSE 'not_found' END AS expect,
+  CASE WHEN l.doc_id % 3 = 0 THEN 'HIGH' END AS severity, 'part ' || (l.doc_id % 12) AS kw1, 'TITLE ' || (l.doc_id % 5) AS kw2, l.doc_id % 4 AS n_kw FROM labels l GROUP BY l.doc_id),
+f AS (SELECT ordinal2 AS case_id, severity, lower(evidence || ' ' || description || ' ' || title) AS txt FROM model_findings),
 j AS (SELECT s.case_id, s.expect, s.severity, s.n_kw, count(f.case_id) AS n_findings,
   CASE WHEN s.severity IS NULL THEN true ELSE coalesce(bool_or(f.severity IN ('HIGH', 'CRITICAL')), false) END AS severity_ok,
   (n_kw = 0 OR coalesce(bool_or(contains(txt, kw1)), false)) AND (n_kw < 2 OR coalesce(bool_or(contains(txt, lower(kw2))), false)) AS evidence_ok
@@ -91,12 +91,12 @@ def _cases(spark, sf):
     c = F.col("case_id")
     kw1 = F.concat(F.lit("part "), (c % 12).cast("string"))
     kw2 = F.concat(F.lit("TITLE "), (c % 5).cast("string"))
-    specs = table(spark, sf, "labels").groupBy((F.col("doc_id") % 97).alias("case_id")).agg(
+    specs = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("case_id")).agg(
         F.when(F.min("quality") == 0, F.lit("found")).otherwise(F.lit("not_found")).alias("expect")
     ).select(
         "case_id", "expect", F.when(c % 3 == 0, F.lit("HIGH")).alias("severity"),
         F.when(c % 4 == 0, F.array().cast("array<string>")).when(c % 4 == 1, F.array(kw1)).otherwise(F.array(kw1, kw2)).alias("evidence_contains"))
-    found = view(spark, sf, "model_findings").withColumn("case_id", F.col("ordinal2") % 150)
+    found = view(spark, sf, "model_findings").withColumn("case_id", F.col("ordinal2"))
     return E.case_status(E.evidence_matches(specs, found, ["case_id"]))
 
 
@@ -119,7 +119,7 @@ def status_summary(spark, sf):
     return E.status_summary(rows, ["provider"]).withColumns({c: F.round(c, 6) for c in ("precision", "recall")})
 
 
-@query(f"""{sql_with('model_findings')}, base AS (SELECT 'CWE-' || (20 + p_partkey % 25) AS cwe, p_partkey // 25 AS pos, 'm' || (p_partkey % 20) || '/' AS file, 'part ' || (p_partkey % 9) AS kw FROM part WHERE p_partkey < 50 AND p_partkey > 0),
+@query(f"""{sql_with('model_findings')}, base AS (SELECT 'CWE-' || (20 + n_nationkey % 9) AS cwe, n_nationkey // 9 AS pos, 'm' || (n_nationkey % 20) || '/' AS file, 'part ' || (n_nationkey % 9) AS kw FROM nation),
 h AS (SELECT b.cwe, b.pos, b.file, count(m.cwe) AS n, coalesce(bool_or(contains(lower(m.evidence || ' ' || m.description || ' ' || m.title), b.kw)), false) AS kw FROM base b LEFT JOIN model_findings m ON m.cwe = b.cwe AND contains(m.file, b.file) GROUP BY ALL),
 t AS (SELECT cwe, count(*) AS n FROM model_findings WHERE cwe IS NOT NULL GROUP BY cwe),
 r AS (SELECT cwe, min(pos) FILTER (n = 0 OR NOT kw) AS bad FROM h GROUP BY cwe)
@@ -127,21 +127,21 @@ SELECT r.cwe, coalesce(t.n, 0) AS n_findings, CASE WHEN coalesce(t.n, 0) < 100 T
  WHEN NOT h.kw THEN 'evidence keywords not matched in ' || h.file END AS reason, (coalesce(t.n, 0) >= 100 AND bad IS NULL) AS passed
 FROM r LEFT JOIN t USING (cwe) LEFT JOIN h ON h.cwe = r.cwe AND h.pos = r.bad""")
 def baseline_expectation(spark, sf):
-    p = F.col("p_partkey")
-    base = table(spark, sf, "part").filter("p_partkey < 50 AND p_partkey > 0").select(
-        F.concat(F.lit("CWE-"), (20 + p % 25).cast("string")).alias("cwe"), F.lit(100).alias("min_findings"),
-        F.floor(p / 25).cast("int").alias("pos"), F.concat(F.lit("m"), (p % 20).cast("string"), F.lit("/")).alias("file"),
+    p = F.col("n_nationkey")
+    base = table(spark, sf, "nation").select(
+        F.concat(F.lit("CWE-"), (20 + p % 9).cast("string")).alias("cwe"), F.lit(100).alias("min_findings"),
+        F.floor(p / 9).cast("int").alias("pos"), F.concat(F.lit("m"), (p % 20).cast("string"), F.lit("/")).alias("file"),
         F.array(F.concat(F.lit("Part "), (p % 9).cast("string"))).alias("evidence_contains"))
     return E.baseline_expectations(base, view(spark, sf, "model_findings"))
 
 
 _CELL = "CASE WHEN error IS NOT NULL THEN 'ERR' WHEN found >= expected_min THEN 'PASS' WHEN found > 0 THEN 'PART' ELSE 'FAIL' END"
-_ONE = "one AS (SELECT cwe, provider, max(found) AS found, min(expected_min) AS expected_min, CASE WHEN CAST(cwe AS INT) % 7 = 0 AND provider = 'prov1' THEN 'timeout' END AS error FROM check_results WHERE found <= 1 GROUP BY cwe, provider)"
+_ONE = "one AS (SELECT cwe, provider, greatest(0, max(found) - CAST(cwe AS INT) % 4) AS found, min(expected_min) AS expected_min, CASE WHEN CAST(cwe AS INT) % 7 = 0 AND provider = 'prov1' THEN 'timeout' END AS error FROM check_results GROUP BY cwe, provider)"
 
 
 def _one(spark, sf):
-    r = view(spark, sf, "check_results").filter("found <= 1").groupBy("cwe", "provider").agg(
-        F.max("found").alias("found"), F.min("expected_min").alias("expected_min"))
+    r = view(spark, sf, "check_results").groupBy("cwe", "provider").agg(
+        F.greatest(F.lit(0).cast("bigint"), F.max("found") - F.col("cwe").cast("int") % 4).alias("found"), F.min("expected_min").alias("expected_min"))
     return r.withColumn("error", F.when((F.col("cwe").cast("int") % 7 == 0) & (F.col("provider") == "prov1"), F.lit("timeout")))
 
 

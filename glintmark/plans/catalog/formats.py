@@ -62,9 +62,9 @@ def quarantine(spark, sf):
     return documents.quarantined_documents(documents.parse_documents(texts))
 
 
-@query(f"""{_F} SELECT 'o' || (ordinal // 8000000) AS doc, rule_id, level, message, file, line, 'Roslyn' AS tool, regexp_replace(cwe, 'CWE-', '') AS cwe FROM findings WHERE level <> 'none'""")
+@query(f"""{_F} SELECT 'o' || (ordinal // 8000000) AS doc, rule_id, level, message, file, line, 'Roslyn' AS tool, regexp_replace(cwe, 'CWE-', '') AS cwe FROM findings""")
 def legacy_convert(spark, sf):
-    f = view(spark, sf, "findings").filter("level <> 'none'")
+    f = view(spark, sf, "findings")
     tag = F.concat(F.lit("external/cwe/cwe-0"), F.regexp_extract("cwe", r"\d+", 0))
     row = F.struct(
         F.col("rule_id").alias("ruleId"), F.when(F.col("level") != "warning", F.col("level")).alias("level"), "message",

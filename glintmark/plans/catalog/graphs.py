@@ -120,32 +120,32 @@ def entry_points(spark, sf):
     return table(spark, sf, "part").select("p_partkey", matching.is_entry_point(lang, dec, base).alias("entry"))
 
 
-@query(f"""{_E}, {_NAMED}, s AS (SELECT DISTINCT 'n' || (p_partkey % 300) AS qname FROM part WHERE p_partkey % 3 = 0)
+@query(f"""{_E}, {_NAMED}, s AS (SELECT DISTINCT 'n' || (p_partkey * 3 % 300) AS qname FROM part)
 SELECT qname, 'def/' || qname || '.py' AS file FROM s UNION ALL SELECT caller, min(file) FROM named WHERE caller NOT IN (SELECT qname FROM s) GROUP BY caller""")
 def symbol_files(spark, sf):
-    s = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(
-        F.concat(F.lit("n"), (F.col("p_partkey") % 300).cast("string")).alias("qname"), F.col("p_partkey").alias("ordinal"))
+    s = table(spark, sf, "part").select(
+        F.concat(F.lit("n"), (F.col("p_partkey") * 3 % 300).cast("string")).alias("qname"), F.col("p_partkey").alias("ordinal"))
     s = s.withColumn("file", F.concat(F.lit("def/"), "qname", F.lit(".py")))
     return matching.first_symbol_files(s, _named_edges(spark, sf).withColumn("ordinal", F.lit(0)))
 
 
-_MODS = "mods AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module FROM lineitem WHERE l_orderkey % 101 < 60)"
-_IMPS = """imps AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module, CASE l_linenumber WHEN 1 THEN 'm' || (l_partkey % 20) || '.f' || (l_partkey % 70)
- WHEN 2 THEN 'm' || (l_partkey % 20) || '.f' || (l_partkey % 70) || '.Type' || (l_partkey % 9) WHEN 3 THEN 'm' || (l_partkey % 20) ELSE 'ext.lib' || (l_partkey % 5) END AS imported FROM lineitem WHERE l_orderkey % 101 < 60 AND l_linenumber <= 4)"""
+_MODS = "mods AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module FROM lineitem)"
+_IMPS = """imps AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module, CASE l_linenumber WHEN 1 THEN 'm' || (l_partkey % 20) || '.f' || (l_partkey % 130)
+ WHEN 2 THEN 'm' || (l_partkey % 20) || '.f' || (l_partkey % 130) || '.Type' || (l_partkey % 9) WHEN 3 THEN 'm' || (l_partkey % 20) ELSE 'ext.lib' || (l_partkey % 5) END AS imported FROM lineitem)"""
 _RES = """known AS (SELECT module AS k FROM mods UNION SELECT split_part(module, '.', 1) FROM mods),
 res AS (SELECT module, imported, CASE WHEN imported IN (SELECT k FROM known) THEN imported WHEN contains(imported, '.') AND regexp_replace(imported, '\\.[^.]*$', '') IN (SELECT k FROM known) THEN regexp_replace(imported, '\\.[^.]*$', '') END AS target FROM imps)"""
 
 
 def _modules(spark, sf):
     text = lambda c, n: (F.col(c) % n).cast("string")
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 101 < 60")
+    li = table(spark, sf, "lineitem")
     mod = F.concat(F.lit("m"), text("l_suppkey", 17), F.lit(".f"), text("l_orderkey", 101))
     p = F.concat(F.lit("m"), text("l_partkey", 20))
-    pf = F.concat(p, F.lit(".f"), text("l_partkey", 70))
+    pf = F.concat(p, F.lit(".f"), text("l_partkey", 130))
     n = F.col("l_linenumber")
     imported = F.when(n == 1, pf).when(n == 2, F.concat(pf, F.lit(".Type"), text("l_partkey", 9))).when(n == 3, p).otherwise(
         F.concat(F.lit("ext.lib"), text("l_partkey", 5)))
-    return li.select(mod.alias("module")).distinct(), li.filter(n <= 4).select(mod.alias("module"), imported.alias("imported")).distinct()
+    return li.select(mod.alias("module")).distinct(), li.select(mod.alias("module"), imported.alias("imported")).distinct()
 
 
 @query(f"""WITH {_MODS}, {_IMPS}, {_RES} SELECT module, imported, target FROM res WHERE target IS NOT NULL""")
@@ -155,9 +155,9 @@ def resolved_imports(spark, sf):
 
 
 @query(f"""WITH {_MODS}, {_IMPS}, {_RES}, alias AS (SELECT module, regexp_extract(imported, '[^.]*$') AS a, arg_max(target, imported) AS target FROM res WHERE target IS NOT NULL GROUP BY 1, 2),
-syms AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) || '.' || CASE l_linenumber % 2 WHEN 0 THEN 'Item' ELSE 'Type' END || (l_partkey % 12) AS qname FROM lineitem WHERE l_orderkey % 101 < 30),
+syms AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 30) || '.' || CASE l_linenumber % 2 WHEN 0 THEN 'Item' ELSE 'Type' END || (l_partkey % 12) AS qname FROM lineitem),
 uses AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) || '.run' AS source, 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module,
- CASE l_linenumber WHEN 1 THEN 'Type' || (l_partkey % 14) WHEN 2 THEN 'Item' || (l_partkey % 14) WHEN 3 THEN 'f3.Item' || (l_partkey % 12) ELSE 'int' END AS type_name FROM lineitem WHERE l_orderkey % 101 < 60 AND l_linenumber <= 4),
+ CASE l_linenumber WHEN 1 THEN 'Type' || (l_partkey % 14) WHEN 2 THEN 'Item' || (l_partkey % 14) WHEN 3 THEN 'f3.Item' || (l_partkey % 12) ELSE 'int' END AS type_name FROM lineitem),
 r AS (SELECT u.source, u.type_name, coalesce(a.target, (SELECT min(qname) FROM syms s WHERE s.qname LIKE '%.' || u.type_name)) AS target FROM uses u LEFT JOIN alias a ON a.module = u.module AND a.a = u.type_name WHERE NOT regexp_matches(u.type_name, '^[a-z]'))
 SELECT source, type_name, target FROM r WHERE target IS NOT NULL""")
 def resolved_refs(spark, sf):
@@ -166,11 +166,11 @@ def resolved_refs(spark, sf):
     n = F.col("l_linenumber")
     li = table(spark, sf, "lineitem")
     mod = F.concat(F.lit("m"), text("l_suppkey", 17), F.lit(".f"), text("l_orderkey", 101))
-    syms = li.filter("l_orderkey % 101 < 30").select(
-        F.concat(mod, F.when(n % 2 == 0, ".Item").otherwise(".Type"), text("l_partkey", 12)).alias("qname")).distinct()
+    syms = li.select(
+        F.concat(F.lit("m"), text("l_suppkey", 17), F.lit(".f"), text("l_orderkey", 30), F.when(n % 2 == 0, ".Item").otherwise(".Type"), text("l_partkey", 12)).alias("qname")).distinct()
     name = F.when(n == 1, F.concat(F.lit("Type"), text("l_partkey", 14))).when(n == 2, F.concat(F.lit("Item"), text("l_partkey", 14))).when(
         n == 3, F.concat(F.lit("f3.Item"), text("l_partkey", 12))).otherwise(F.lit("int"))
-    uses = li.filter("l_orderkey % 101 < 60 AND l_linenumber <= 4").select(
+    uses = li.select(
         F.concat(mod, F.lit(".run")).alias("source"), mod.alias("module"), name.alias("type_name")).distinct()
     return matching.resolve_type_names(uses, matching.resolve_imports(imps, mods), syms)
 
@@ -192,14 +192,14 @@ def graph_build(spark, sf):
 
 
 def _rank_graph(spark, sf):
-    """Distinct pairs that form a sparse graph with nodes that have no way out."""
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 1")
-    src = F.concat(F.lit("p"), (F.col("l_partkey") % 997).cast("string"))
-    dst = F.concat(F.lit("p"), ((F.col("l_partkey") * 31 + F.col("l_suppkey") % 4) % 991).cast("string"))
-    return li.filter("l_partkey % 997 % 10 <> 0").select(src.alias("src"), dst.alias("dst")).distinct()
+    """Part to supplier-made nodes; those of the seventh lines have no way out."""
+    li = table(spark, sf, "lineitem")
+    n, s = F.col("l_linenumber"), F.col("l_suppkey")
+    dst = F.when(n == 7, F.concat(F.lit("q"), s.cast("string"))).otherwise(F.concat(F.lit("p"), (s * 7 + n).cast("string")))
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), dst.alias("dst")).distinct()
 
 
-_RG = """g AS (SELECT DISTINCT 'p' || (l_partkey % 997) AS src, 'p' || ((l_partkey * 31 + l_suppkey % 4) % 991) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 997 % 10 <> 0)"""
+_RG = """g AS (SELECT DISTINCT 'p' || l_partkey AS src, CASE WHEN l_linenumber = 7 THEN 'q' || l_suppkey ELSE 'p' || (l_suppkey * 7 + l_linenumber) END AS dst FROM lineitem)"""
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -232,11 +232,11 @@ def files_by_rank(spark, sf):
     return out.select("file", F.round("file_rank", 5).alias("file_rank"))
 
 
-_CYC = """ce AS (SELECT DISTINCT 'p' || (l_partkey % 211) AS src, 'p' || ((l_partkey % 211 * 3 + l_suppkey % 2 * 7) % 223) AS dst FROM lineitem WHERE l_linenumber = 2)"""
+_CYC = """ce AS (SELECT DISTINCT 'p' || (l_partkey % 211) AS src, 'p' || ((l_partkey % 211 * 3 + l_suppkey % 2 * 7) % 223) AS dst FROM lineitem)"""
 
 
 def _cycle_graph(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 2")
+    li = table(spark, sf, "lineitem")
     a = F.col("l_partkey") % 211
     return li.select(F.concat(F.lit("p"), a.cast("string")).alias("src"),
                      F.concat(F.lit("p"), ((a * 3 + F.col("l_suppkey") % 2 * 7) % 223).cast("string")).alias("dst")).distinct()
@@ -253,14 +253,14 @@ def two_cycles(spark, sf):
     return G.two_cycles(_cycle_graph(spark, sf))
 
 
-_GRAPH_FILES = "gf AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN '89' WHEN 1 THEN '22' WHEN 2 THEN '862' ELSE '502' END AS cwe_id, file FROM tree_manifest WHERE doc_id % 3 = 0)"
+_GRAPH_FILES = "gf AS (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN '89' WHEN 1 THEN '22' WHEN 2 THEN '862' ELSE '502' END AS cwe_id, file FROM tree_manifest)"
 _SEL = """both_sides AS (SELECT cwe_id, file, bool_or(g) AS by_graph, bool_or(w) AS by_words FROM (SELECT cwe_id, file, true AS g, false AS w FROM gf UNION ALL SELECT cwe_id, file, false, true FROM sel) GROUP BY cwe_id, file)"""
 
 
 def _graph_files(spark, sf):
     m = F.col("doc_id") % 4
     cwe = F.when(m == 0, "89").when(m == 1, "22").when(m == 2, "862").otherwise("502")
-    return view(spark, sf, "tree_manifest").filter("doc_id % 3 = 0").select(cwe.alias("cwe_id"), "file").distinct()
+    return view(spark, sf, "tree_manifest").select(cwe.alias("cwe_id"), "file").distinct()
 
 
 @query(f"""{sql_with('tree_manifest')}, {_KW}, {_GRAPH_FILES}, {_SEL} SELECT cwe_id, file, by_graph, by_words FROM both_sides""")

@@ -172,7 +172,7 @@ def event_kinds(spark, sf):
 
 
 @query(f"""{_F}, runs AS (SELECT DISTINCT 'run' || user_id AS run_id, 't' || (user_id % 4) AS target FROM events),
-tot AS (SELECT 'run' || (ordinal2 % 120) AS run_id, count(*) AS total, count(*) FILTER (rule_id IN ('R1', 'R2')) AS authz FROM findings GROUP BY 1),
+tot AS (SELECT 'run' || ordinal2 AS run_id, count(*) AS total, count(*) FILTER (rule_id IN ('R1', 'R2')) AS authz FROM findings GROUP BY 1),
 ab AS (SELECT DISTINCT 'run' || user_id AS run_id FROM events WHERE event_type = 'error' AND event_id % 9 = 0)
 SELECT r.run_id, r.run_id AS started, r.target, total, authz, CASE WHEN total IS NULL THEN 'incomplete' WHEN ab.run_id IS NOT NULL THEN 'salvaged' ELSE 'complete' END AS state
 FROM runs r LEFT JOIN tot USING (run_id) LEFT JOIN ab ON ab.run_id = r.run_id WHERE target LIKE '%t1%' OR target LIKE '%t2%' OR target LIKE '%t0%' OR target LIKE '%t3%'""")
@@ -183,7 +183,7 @@ def run_catalogue(spark, sf):
         "started", F.col("run_id"))
     cwe = lookup({"R1": "CWE-862", "R2": "CWE-863"}, F.col("rule_id"))
     found = view(spark, sf, "findings").select(
-        F.concat(F.lit("run"), (F.col("ordinal2") % 120).cast("string")).alias("run_id"), cwe.alias("cwe"))
+        F.concat(F.lit("run"), F.col("ordinal2").cast("string")).alias("run_id"), cwe.alias("cwe"))
     losses = e.filter("event_type = 'error' AND event_id % 9 = 0").select(rid, F.lit("run_aborted").alias("kind"))
     return ledger.run_catalogue(runs, found, losses, target="T")
 

@@ -196,7 +196,7 @@ def files_reviewed(spark, sf):
 
 
 _ECHO = "echo AS (SELECT DISTINCT l_suppkey % 5 AS grp, CASE l_orderkey % 6 WHEN 0 THEN './a/b' || (l_partkey % 40) || '/f.py' WHEN 1 THEN 'b' || (l_partkey % 40) || '/f.py' WHEN 2 THEN 'x/y/a/b' || (l_partkey % 40) || '/f.py' WHEN 3 THEN 'q/g' || (l_partkey % 40) || '.py' WHEN 4 THEN 'unknown' ELSE 'f.py' END AS raw FROM lineitem)"
-_INCL = "incl AS (SELECT DISTINCT l_suppkey % 5 AS grp, CASE l_linenumber % 3 WHEN 0 THEN 'a/b' || (l_partkey % 25) || '/f.py' WHEN 1 THEN 'z/b' || (l_partkey % 33) || '/f.py' ELSE 'k/g' || (l_partkey % 60) || '.py' END AS file FROM lineitem WHERE l_orderkey % 3 = 0)"
+_INCL = "incl AS (SELECT DISTINCT l_suppkey % 5 AS grp, CASE l_linenumber % 3 WHEN 0 THEN 'a/b' || (l_partkey % 25) || '/f.py' WHEN 1 THEN 'z/b' || (l_partkey % 33) || '/f.py' ELSE 'k/g' || (l_partkey % 60) || '.py' END AS file FROM lineitem)"
 
 
 @query(f"""WITH {_ECHO}, {_INCL}, c AS (SELECT grp, raw, ltrim(raw, './') AS cand FROM echo),
@@ -220,7 +220,7 @@ def path_resolve(spark, sf):
     )
     grp = (F.col("l_suppkey") % 5).alias("grp")
     return matching.resolve_paths(li.select(grp, raw.alias("raw")).distinct(),
-                                  li.filter("l_orderkey % 3 = 0").select(grp, file.alias("file")).distinct(), ["grp"])
+                                  li.select(grp, file.alias("file")).distinct(), ["grp"])
 
 
 @query(f"""{sql_with('findings', 'manifest')} SELECT file, weight, rule_id, tool, line, level, message FROM findings JOIN manifest USING (file)""")
@@ -228,15 +228,15 @@ def file_findings(spark, sf):
     return matching.file_findings(view(spark, sf, "manifest"), view(spark, sf, "findings"))
 
 
-_WIN = "f AS (SELECT ordinal, ordinal2, ordinal3, CAST(ordinal2 % 100 AS BIGINT) AS doc_id, line FROM findings WHERE level = 'error')"
+_WIN = "f AS (SELECT ordinal, ordinal2, ordinal3, ordinal2 AS doc_id, line FROM findings)"
 
 
 @query(f"""{sql_with('findings')}, {_WIN}, d AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents),
 w AS (SELECT f.*, ls, greatest(0, line - 4) AS s, least(len(ls), line + 3) AS e FROM f JOIN d USING (doc_id))
 SELECT ordinal, ordinal2, ordinal3, array_to_string(list_transform(range(s + 1, e + 1), lambda i: CASE WHEN i = line THEN '>>> ' ELSE '    ' END || lpad(CAST(i AS VARCHAR), 4, ' ') || ' | ' || ls[i]), chr(10)) AS context FROM w""")
 def context_windows(spark, sf):
-    f = view(spark, sf, "findings").filter("level = 'error'").select(
-        *ORDER, (F.col("ordinal2") % 100).alias("file"), "line")
+    f = view(spark, sf, "findings").select(
+        *ORDER, F.col("ordinal2").alias("file"), "line")
     files = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
     return matching.windows_around(f, files, 3).select(*ORDER, "context")
 

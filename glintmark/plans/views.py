@@ -103,7 +103,7 @@ SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS ordinal, l_suppk
   CASE l_partkey % 4 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   concat('title ', CAST(l_partkey % 50 AS STRING)) AS title, concat('describes part ', CAST(l_partkey % 70 AS STRING)) AS description,
   concat('evidence supplier ', CAST(l_suppkey % 30 AS STRING)) AS evidence
-FROM {{lineitem}} WHERE l_linenumber >= 2
+FROM {{lineitem}}
 """
 
 # Detector evaluation: one case per part; truth and predictions meet within a line or miss.
@@ -113,15 +113,15 @@ SELECT p_partkey AS case_id, CAST(20 + p_partkey % 12 AS STRING) AS cwe, p_partk
 
 VIEWS["eval_truth"] = """
 SELECT DISTINCT l_partkey AS case_id, concat('f', CAST(l_suppkey % 3 AS STRING)) AS file,
-  CAST(1 + (l_orderkey % 40) AS INT) AS line, CASE WHEN l_linenumber = 1 THEN 'true_positive' ELSE 'false_positive' END AS label
-FROM {lineitem} WHERE l_linenumber <= 2 AND l_partkey % 5 <> 0
+  CAST(1 + (l_orderkey % 40) AS INT) AS line, CASE WHEN l_linenumber = 1 AND l_partkey % 5 <> 0 THEN 'true_positive' ELSE 'false_positive' END AS label
+FROM {lineitem}
 """
 
 VIEWS["eval_predictions"] = """
 SELECT concat('model', CAST(l_suppkey % 3 AS STRING)) AS model, CAST(l_orderkey % 3 AS INT) AS run_no, l_partkey AS case_id,
-  CASE WHEN l_linenumber = 6 THEN 'patched' ELSE 'source' END AS variant, concat('f', CAST(l_suppkey % 3 AS STRING)) AS file,
+  CASE WHEN l_linenumber >= 6 THEN 'patched' ELSE 'source' END AS variant, concat('f', CAST(l_suppkey % 3 AS STRING)) AS file,
   CAST((l_orderkey + l_linenumber % 3) % 41 AS INT) AS line
-FROM {lineitem} WHERE l_linenumber <= 6
+FROM {lineitem}
 """
 
 VIEWS["eval_runs"] = """
