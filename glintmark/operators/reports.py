@@ -153,6 +153,11 @@ def loss_rollup(losses: DataFrame, by: list[str]) -> DataFrame:
     return losses.groupBy(*by).agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.coalesce("count", F.lit(0))).alias("n_lost"))
 
 
+def write_facts(facts: DataFrame, path: str, run: str = "run_id") -> None:
+    """Fact table of the audit log (costs, losses, selections), a folder per run; writing a run again replaces it."""
+    facts.write.partitionBy(run).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def omitted_losses(packed: DataFrame, by: list[str], pass_name: str, order: list[str], shown: int = 5) -> DataFrame:
     """One loss row per group with files left out, naming the first few of them."""
     omitted = F.col("packed") == "omitted"

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from glintmark.operators import reports, scoring
 from glintmark.plans.catalog.findings import _FLAT, _SHOWN, _scored
-from glintmark.plans.catalog.registry import ORD, ORDER, query, scored_sql
+from glintmark.plans.catalog.registry import ORD, ORDER, RANK_SQL, query, scored_sql
+from glintmark.plans.catalog.runs import _CALLS, _PRICED, _priced
 from glintmark.plans.review import review
 from glintmark.plans.views import sql_with, table, view
 from glintmark.session import shared_path
@@ -208,12 +209,33 @@ def baseline_manifest(spark, sf):
     return rows.select("doc", "cwe", "min_findings", "file", F.col("golden")["openai:gpt"]["pass"].alias("golden_pass"))
 
 
-@query()
+@query(f"""{sql_with('findings', 'manifest', 'model_findings')}, kept AS (SELECT * FROM findings WHERE ordinal2 % 9 <> 0 AND file IN (SELECT file FROM manifest)),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(cwe, rule_id), file, line ORDER BY {RANK_SQL} DESC, {ORD}) AS rn FROM kept) WHERE rn = 1),
+mm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, file, coalesce(line, 0) ORDER BY {ORD}) AS rn FROM model_findings m
+  WHERE cwe IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dd WHERE dd.file = m.file AND dd.line = m.line)) WHERE rn = 1),
+merged AS (SELECT file, CASE level WHEN 'none' THEN 'note' ELSE level END AS level, verdict, rule_id FROM dd
+  UNION ALL SELECT file, CASE severity WHEN 'CRITICAL' THEN 'error' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'note' END, 'NEEDS_CONTEXT', rule_id FROM mm), {scored_sql('merged')}
+SELECT count(*) AS total, count(*) FILTER (band = 'URGENT') AS urgent, count(*) FILTER (band = 'ELEVATED') AS elevated, count(*) FILTER (band = 'MODERATE') AS moderate, count(*) FILTER (band = 'LOW') AS low,
+ count(*) FILTER (level = 'error') AS critical, count(*) FILTER (level = 'warning') AS medium, count(*) FILTER (level = 'note') AS low_severity, count(*) FILTER (verdict = 'CONFIRMED') AS triage_confirmed,
+ count(*) FILTER (verdict = 'FALSE_POSITIVE') AS triage_false_positive, count(*) FILTER (verdict = 'NEEDS_CONTEXT') AS triage_needs_context, true AS has_triage FROM scored""")
 def full_review(spark, sf):
     """Documents to report counts through the whole findings plan, model findings included."""
     docs = documents.good_documents(_written(spark, sf))
-    results = documents.flatten_results(docs)
-    model = view(spark, sf, "model_findings")
-    done = review(results, documents.flatten_rules(docs), view(spark, sf, "manifest"), model,
-                  order=["ordinal_parts"], verification=True)
+    part = F.col("ordinal_parts")
+    results = documents.flatten_results(docs).withColumns({
+        "ordinal": part[0].cast("bigint"), "ordinal2": part[1].cast("bigint"), "ordinal3": part[2].cast("double")})
+    done = review(results, documents.flatten_rules(docs), view(spark, sf, "manifest"), view(spark, sf, "model_findings"),
+                  order=ORDER, model_order=ORDER, verification=True)
     return done.counts
+
+
+@query(f"""{_CALLS}, {_PRICED} SELECT run_id, count(*) AS n_calls, round(sum(cost_usd), 6) AS cost_usd, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens FROM priced GROUP BY run_id""")
+def audit_log(spark, sf):
+    """Costs written as an audit fact table, one run written twice, and totalled from there."""
+    path = shared_path(spark, "audit")
+    costs = _priced(spark, sf).select("run_id", "seq", "agent", "model", "model_resolved", "tokens_in", "tokens_out", "cost_usd")
+    reports.write_facts(costs, path)
+    reports.write_facts(costs.filter("run_id = 'run1'"), path)
+    return spark.read.parquet(path).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
-from glintmark.operators import analyzers, prefix, quality
+from glintmark.operators import analyzers, prefix, quality, reports
 from glintmark.operators import graph as G
 from glintmark.plans import project
 from glintmark.plans.catalog.registry import query
@@ -119,6 +119,17 @@ def override_score(spark, sf):
     return _rounded(quality.composite_index(quality.override_security(_scores(spark, sf), counts)))
 
 
+@query(f"""WITH {_METRICS}, {_composite_sql('ds').replace('SELECT project, round(c, 6)', ', out AS (SELECT project, round(c, 6)')})
+SELECT project, round(composite, 1) AS composite, quality_band, floor_penalty, round(max(score) FILTER (dim = 'security'), 1) AS security FROM out JOIN ds USING (project) GROUP BY ALL""")
+def score_export(spark, sf):
+    """Quality results as JSON per project, read back."""
+    scores = settle(_scores(spark, sf), "scores")
+    docs = reports.score_json(scores, quality.composite_index(scores), "project")
+    kind = "struct<composite:double,quality_band:string,floor_penalty:double,dimensions:map<string,struct<score:double>>>"
+    d = docs.select("project", F.from_json("value", kind).alias("d"))
+    return d.select("project", "d.composite", "d.quality_band", "d.floor_penalty", F.col("d.dimensions")["security"]["score"].alias("security"))
+
+
 def _linter_texts(spark, sf):
     """Linter reports as JSON, one per order, made of the findings."""
     f = view(spark, sf, "findings").filter("level <> 'none'")
