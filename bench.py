@@ -23,8 +23,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
         "bench", f"local[{cpus}]", int(cpus),
-        {"spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-         "spark.sql.files.openCostInBytes": "1m", "spark.sql.files.maxPartitionBytes": "16m"},
+        {"spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["verdict_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
