@@ -122,12 +122,13 @@ def is_config_file(path: Column) -> Column:
     return hit | F.regexp_extract(name, r"(\.[^.]*)$", 1).isin(K.CONFIG_EXTENSIONS)
 
 
-def with_security_weight(files: DataFrame, text: str = "text", name: str = "weight") -> DataFrame:
-    """Add the relevance of each file (path, language, text), 0 to 10, from its name and first characters.
+def with_security_weight(files: DataFrame, text: str = "text", name: str = "weight", chars: int | None = K.CONTENT_WEIGHT_CHARS) -> DataFrame:
+    """Add the relevance of each file (path, language, text), 0 to 10, from its name and its first ``chars`` characters (None: all).
 
     The folded texts are columns of their own, so they are computed once and not in every test.
     """
-    head = F.substring(F.coalesce(F.col(text), F.lit("")), 1, K.CONTENT_WEIGHT_CHARS)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    head = whole if chars is None else F.substring(whole, 1, chars)
     prepared = files.withColumns({"_head": head, "_lower": fold_case(head), "_name": F.lower(base_name(F.col("path")))})
     words, boost = K.ASSIGNED_SECRET_WEIGHT
     lower = F.col("_lower")

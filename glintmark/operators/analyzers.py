@@ -1,22 +1,29 @@
-"""Per-file analyzers and bulk scoring by user functions: the only Python that runs per row."""
+"""Source-file metrics from syntax nodes, and bulk scoring by user functions: the only Python that runs per row.
+
+A small user function turns a file into rows, one per syntax node of interest, with names and types as written in the
+source; everything that is counted, compared or listed is then a Spark aggregation over these rows. A file that cannot
+be read in any way gives one row of kind ``Rejected`` and never ends the job.
+"""
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 # Calls that count as unsafe.
-_UNSAFE_NAMES = {
+_UNSAFE_CALLS = {
     "eval": "CWE-94: Code injection via eval()",
     "exec": "CWE-94: Code injection via exec()",
     "compile": "CWE-94: compile() with exec mode",
     "__import__": "CWE-94: Dynamic import",
-}
-_UNSAFE_MEMBERS = {
     "os.system": "CWE-78: OS command injection via os.system()",
     "os.popen": "CWE-78: OS command injection via os.popen()",
     "pickle.loads": "CWE-502: Deserialization via pickle.loads()",
@@ -28,207 +35,192 @@ _UNSAFE_MEMBERS = {
 }
 _SHELL = "CWE-78: subprocess with shell=True"
 
-_COUNTS = [
-    "lines", "functions", "classes", "methods", "documented_callables", "total_callables", "annotated_params",
-    "total_params", "annotated_returns", "total_returns", "exception_handlers", "bare_excepts", "broad_excepts",
-    "max_nesting", "naming_violations", "public_definitions", "private_definitions", "null_forgiving_count",
-    "sealed_classes",
-]
-METRICS_SCHEMA = (
-    "path string, language string, " + ", ".join(f"{c} int" for c in _COUNTS)
-    + ", function_lengths array<int>, unsafe_calls array<string>, nullable_enabled boolean, "
-    "imports array<string>, symbols array<struct<qname:string,parent_qname:string,name:string,kind:string,"
-    "line:int,end_line:int,params:array<string>,return_type:string,bases:array<string>,decorators:array<string>>>"
-)
-_COLUMNS = ["path", "language", *_COUNTS, "function_lengths", "unsafe_calls", "nullable_enabled", "imports", "symbols"]
-_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
-_BLOCK = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.AsyncFor, ast.AsyncWith)
-
-
-def _dotted(node: ast.AST) -> str:
-    """Dotted name of an expression, empty when it is not one."""
-    if isinstance(node, ast.Call):
-        return _dotted(node.func)
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        owner = _dotted(node.value) if not isinstance(node.value, ast.Call) else ""
-        return f"{owner}.{node.attr}" if owner else ""
-    return ""
-
-
-def _type_text(node: ast.AST | None) -> str:
-    match node:
-        case None:
+_NODE = pa.schema([
+    ("file", pa.int64()), ("path", pa.string()), ("language", pa.string()), ("seq", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
+    ("line", pa.int32()), ("end_line", pa.int32()), ("blocks", pa.int32()), ("owners", pa.list_(pa.string())), ("scope", pa.list_(pa.string())),
+    ("documented", pa.bool_()), ("params", pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))), ("returns", pa.string()),
+    ("bases", pa.list_(pa.string())), ("decorators", pa.list_(pa.string())), ("body", pa.list_(pa.string())), ("keywords", pa.list_(pa.string()))])
+_DEFS = ["FunctionDef", "AsyncFunctionDef"]
+_BLOCKS = ["If", "For", "While", "With", "Try", "AsyncFor", "AsyncWith"]
+_DOTTED = re.compile(r"[^\W\d]\w*(\s*\.\s*[^\W\d]\w*)*")
+
+
+class _Source:
+    """Text of a node as written."""
+
+    def __init__(self, text: str):
+        self.raw = text.encode("utf-8", "replace")
+        self.starts = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", self.raw))]
+
+    def text(self, node: ast.AST | None) -> str:
+        if node is None:
             return ""
-        case ast.Constant():
-            return repr(node.value)
-        case ast.Name() | ast.Attribute():
-            return _dotted(node)
-        case ast.Subscript():
-            return f"{_type_text(node.value)}[{_type_text(node.slice)}]"
-        case ast.Tuple():
-            return ", ".join(map(_type_text, node.elts))
-        case ast.BinOp(op=ast.BitOr()):
-            return f"{_type_text(node.left)} | {_type_text(node.right)}"
-    return ast.dump(node)
-
-
-def _unsafe(call: ast.Call) -> list[str]:
-    f, notes = call.func, []
-    if isinstance(f, ast.Name) and f.id in _UNSAFE_NAMES:
-        notes.append(_UNSAFE_NAMES[f.id])
-    if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name):
-        notes.extend(filter(None, [_UNSAFE_MEMBERS.get(f"{f.value.id}.{f.attr}")]))
-        if f.value.id == "subprocess":
-            notes.extend(_SHELL for k in call.keywords
-                         if k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True)
-    return [f"line {call.lineno}: {n}" for n in notes]
-
-
-def _badly_named(node: ast.AST) -> bool:
-    name = node.name
-    if isinstance(node, ast.ClassDef):
-        return name[0].islower()
-    return not name.startswith("__") and "_" not in name and any(ch.isupper() for ch in name[1:])
-
-
-def _depth(node: ast.AST) -> int:
-    """Deepest nesting of blocks, without recursion."""
-    deepest, stack = 0, [(node, 0)]
+        begin = self.starts[node.lineno - 1] + node.col_offset
+        end = self.starts[node.end_lineno - 1] + node.end_col_offset
+        return self.raw[begin:end].decode("utf-8", "replace")
+
+    def dotted(self, node: ast.AST) -> str:
+        """A dotted name, of a call the name that is called; empty for any other expression."""
+        written = self.text(node.func if isinstance(node, ast.Call) else node)
+        return re.sub(r"\s", "", written) if _DOTTED.fullmatch(written) else ""
+
+
+def python_nodes(text: str) -> Iterator[dict]:
+    """The module, definitions, imports, handlers, blocks and calls of a Python file, in source order, without recursion."""
+    tree, source = ast.parse(text), _Source(text)
+    yield {"kind": "Module", "end_line": text.count("\n") + (not text.endswith("\n") if text else 0)}
+    stack = [(node, 0, ["Module"], []) for node in reversed(tree.body)]
     while stack:
-        current, depth = stack.pop()
-        depth += isinstance(current, _BLOCK)
-        deepest = max(deepest, depth)
-        stack.extend((child, depth) for child in ast.iter_child_nodes(current))
-    return deepest
-
-
-def _symbol(node: ast.AST, parent: str, kind: str) -> dict:
-    params, returns = [], ""
-    if isinstance(node, _FUNCTION):
-        skip = ("self", "cls") if kind == "method" else ()
-        params = [f"{a.arg}: {_type_text(a.annotation)}" if a.annotation else a.arg
-                  for a in node.args.args if a.arg not in skip]
-        returns = _type_text(node.returns)
-    return {
-        "qname": f"{parent}.{node.name}", "parent_qname": parent, "name": node.name, "kind": kind,
-        "line": node.lineno, "end_line": node.end_lineno or node.lineno, "params": params, "return_type": returns,
-        "bases": [b for b in map(_dotted, getattr(node, "bases", [])) if b],
-        "decorators": [d for d in map(_dotted, node.decorator_list) if d],
-    }
-
-
-def _symbols(tree: ast.Module, module: str) -> list[dict]:
-    out = []
-    for node in tree.body:
-        if isinstance(node, ast.ClassDef):
-            own = _symbol(node, module, "class")
-            out.append(own)
-            out.extend(_symbol(m, own["qname"], "method") for m in node.body if isinstance(m, _FUNCTION))
-        elif isinstance(node, _FUNCTION):
-            out.append(_symbol(node, module, "function"))
-    return out
-
-
-def _imports(tree: ast.Module) -> list[str]:
-    out = []
-    for node in tree.body:
-        if isinstance(node, ast.Import):
-            out.extend(a.name for a in node.names)
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            out.append(node.module)
-    return out
-
-
-def analyze_python(path: str, text: str, module: str) -> dict | None:
-    """Metrics and symbols of one Python file, None when it cannot be parsed."""
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return None
-    m = dict.fromkeys(_COUNTS, 0)
-    lengths, unsafe = [], []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.ClassDef, *_FUNCTION)):
-            m["total_callables"] += 1
-            m["documented_callables"] += bool(ast.get_docstring(node))
-            m["naming_violations"] += _badly_named(node)
-            private = node.name.startswith("_")
-            if isinstance(node, ast.ClassDef):
-                m["classes"] += 1
+        node, blocks, owners, scope = stack.pop()
+        kind = type(node).__name__
+        row = {"kind": kind, "line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "blocks": blocks, "owners": owners, "scope": scope}
+        if kind in _DEFS or kind == "ClassDef":
+            row |= {"name": node.name, "documented": bool(ast.get_docstring(node)), "decorators": [source.dotted(d) for d in node.decorator_list]}
+            if kind == "ClassDef":
+                row["bases"] = [source.dotted(b) for b in node.bases]
             else:
-                private = private and not node.name.startswith("__")
-                m["functions"] += 1
-                lengths.append(node.end_lineno - node.lineno + 1)
-                m["total_params"] += len(node.args.args)
-                m["annotated_params"] += sum(a.annotation is not None for a in node.args.args)
-                m["total_returns"] += 1
-                m["annotated_returns"] += node.returns is not None
-            m["private_definitions" if private else "public_definitions"] += 1
-        elif isinstance(node, ast.ExceptHandler):
-            m["exception_handlers"] += 1
-            m["broad_excepts"] += isinstance(node.type, ast.Name) and node.type.id in ("Exception", "BaseException")
-            m["bare_excepts"] += node.type is None
-            m["bare_excepts"] += len(node.body) == 1 and isinstance(node.body[0], ast.Pass)
-        elif isinstance(node, ast.Call):
-            unsafe.extend(_unsafe(node))
-    m["lines"] = text.count("\n") + (1 if text and not text.endswith("\n") else 0)
-    m["max_nesting"] = _depth(tree)
-    return {"path": path, "language": "python", **m, "function_lengths": lengths, "unsafe_calls": unsafe,
-            "nullable_enabled": False, "imports": _imports(tree), "symbols": _symbols(tree, module)}
-
-
-Analyzer = Callable[[str, str, str], dict | None]
-_ANALYZERS: dict[str, Analyzer] = {".py": analyze_python}
-
-
-def register_analyzer(extension: str, analyzer: Analyzer) -> None:
-    """Add an analyzer (path, text, module) -> metrics for files with this extension."""
-    _ANALYZERS[extension] = analyzer
+                row |= {"params": [{"name": a.arg, "type": source.text(a.annotation)} for a in node.args.args], "returns": source.text(node.returns)}
+            yield row
+            scope = [*scope, node.name]
+        elif kind == "Import":
+            yield from ({**row, "name": a.name} for a in node.names)
+        elif kind == "ImportFrom":
+            yield row | {"name": node.module}
+        elif kind == "ExceptHandler":
+            yield row | {"name": source.text(node.type), "body": [type(n).__name__ for n in node.body]}
+        elif kind == "Call":
+            yield row | {"name": source.dotted(node), "keywords": [f"{k.arg}={source.text(k.value)}" for k in node.keywords if k.arg]}
+        elif kind in _BLOCKS:
+            yield row
+        if isinstance(node, ast.stmt):
+            owners = [kind, *owners[:1]]
+        blocks += kind in _BLOCKS
+        stack.extend((child, blocks, owners, scope) for child in reversed(list(ast.iter_child_nodes(node))))
+
+
+Nodes = Callable[[str], Iterator[dict]]
+_READERS: dict[str, tuple[str, Nodes]] = {".py": ("python", python_nodes)}
+
+
+def register_reader(extension: str, language: str, nodes: Nodes) -> None:
+    """Add a function text -> node rows for files with this extension; missing fields are null."""
+    _READERS[extension] = (language, nodes)
+
+
+def syntax_nodes(files: DataFrame) -> DataFrame:
+    """Node rows of every file (path, text) with a known extension: ``file`` (number of the input row), ``path``, ``language`` and the node."""
+    from glintmark.functions.paths import extension
+
+    readers = dict(_READERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                language, nodes = readers[row["ext"]]
+                try:
+                    own = list(nodes(row["text"]))
+                except Exception as exc:  # any file may be hostile; what is wrong with it is data
+                    own = [{"kind": "Rejected", "name": type(exc).__name__}]
+                rows += [{"file": row["file"], "path": row["path"], "language": language, "seq": i, **r} for i, r in enumerate(own)]
+                if len(rows) > 8192:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
 
+    known = files.select(F.monotonically_increasing_id().alias("file"), "path", "text", extension(F.col("path")).alias("ext")).filter(
+        F.col("ext").isin(list(readers)) & F.col("text").isNotNull())
+    return known.mapInArrow(run, from_arrow_schema(_NODE))
 
-def file_metrics(files: DataFrame) -> DataFrame:
-    """Metrics of every file (path, text) that an analyzer knows and can parse; others have no row."""
-    from glintmark.functions.paths import extension, module_name
 
-    analyzers = dict(_ANALYZERS)
+def rejected_files(files: DataFrame) -> DataFrame:
+    """``path`` and ``reason`` of the files that have no metrics because they cannot be read."""
+    return syntax_nodes(files).filter("kind = 'Rejected'").select("path", F.col("name").alias("reason"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = (analyzers[e](p, t, m) for p, t, m, e in zip(batch["path"], batch["text"], batch["module"], batch["ext"]))
-            yield pd.DataFrame([r for r in rows if r is not None], columns=_COLUMNS)
 
-    path = F.col("path")
-    known = files.select("path", "text", module_name(path).alias("module"), extension(path).alias("ext")).filter(
-        F.col("ext").isin(list(analyzers)) & F.col("text").isNotNull())
-    return known.mapInPandas(run, METRICS_SCHEMA)
+def _listed(when: Column, value: Column) -> Column:
+    """Values of the rows where ``when`` holds, in source order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(F.col("seq"), value.alias("v"))))), lambda s: s["v"])
 
 
-def bulk_score(items: DataFrame, scorer: Callable[[dict], object], value: str, workers: int | None = None,
+def file_metrics(files: DataFrame) -> DataFrame:
+    """Metrics and symbols of every file (path, text) that a reader knows and can read; others have no row.
+
+    All nodes of a file come out of one task, so the aggregation sends one row per file.
+    """
+    from glintmark.functions.paths import module_name
+
+    c = F.col
+    function, klass = c("kind").isin(_DEFS), c("kind") == "ClassDef"
+    named = function | klass
+    private = c("name").startswith("_") & (klass | ~c("name").startswith("__"))
+    odd_name = F.when(klass, c("name").rlike(r"^\p{Ll}")).otherwise(c("name").rlike(r"^.+\p{Lu}") & ~F.contains("name", F.lit("_")))
+    typed = F.filter("params", lambda p: p["type"] != "")
+    handler = c("kind") == "ExceptHandler"
+    known = F.create_map(*[F.lit(x) for pair in _UNSAFE_CALLS.items() for x in pair])
+    shell = c("name").rlike(r"^subprocess\.\w+$") & F.array_contains("keywords", "shell=True")
+    note = F.when(c("kind") == "Call", F.coalesce(F.try_element_at(known, c("name")), F.when(shell, F.lit(_SHELL))))
+    top = F.element_at("owners", 1) == "Module"
+    method = function & (F.element_at("owners", 1) == "ClassDef") & (F.element_at("owners", 2) == "Module")
+    kept = F.when(method, F.filter("params", lambda p: ~p["name"].isin("self", "cls"))).otherwise(c("params"))
+    module = module_name(c("path"))
+    parent = F.concat_ws(".", module, "scope")
+    symbol = F.struct(
+        F.concat_ws(".", parent, "name").alias("qname"), parent.alias("parent_qname"), c("name"),
+        F.when(klass, "class").when(method, "method").otherwise("function").alias("kind"), c("line"), c("end_line"),
+        F.coalesce(F.transform(kept, lambda p: F.when(p["type"] != "", F.concat_ws(": ", p["name"], p["type"])).otherwise(p["name"])), F.array().cast("array<string>")).alias("params"),
+        F.coalesce("returns", F.lit("")).alias("return_type"),
+        F.coalesce(F.array_remove("bases", ""), F.array().cast("array<string>")).alias("bases"), F.array_remove("decorators", "").alias("decorators"))
+
+    def count(condition: Column) -> Column:
+        return F.count_if(condition).cast("int")
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("int")
+
+    nodes = syntax_nodes(files).filter("kind <> 'Rejected'")
+    out = nodes.groupBy("file", "path", "language").agg(
+        F.max(F.when(c("kind") == "Module", c("end_line"))).alias("lines"), count(function).alias("functions"), count(klass).alias("classes"),
+        F.lit(0).alias("methods"), count(named & c("documented")).alias("documented_callables"), count(named).alias("total_callables"),
+        total(F.size(typed) * function.cast("int")).alias("annotated_params"), total(F.when(function, F.size("params"))).alias("total_params"),
+        count(function & (c("returns") != "")).alias("annotated_returns"), count(function).alias("total_returns"),
+        count(handler).alias("exception_handlers"),
+        (count(handler & (c("name") == "")) + count(handler & (c("body") == F.array(F.lit("Pass"))))).alias("bare_excepts"),
+        count(handler & c("name").isin("Exception", "BaseException")).alias("broad_excepts"),
+        F.coalesce(F.max(F.when(c("kind").isin(_BLOCKS), c("blocks") + 1)), F.lit(0)).alias("max_nesting"),
+        count(named & odd_name).alias("naming_violations"), count(named & ~private).alias("public_definitions"), count(named & private).alias("private_definitions"),
+        F.lit(0).alias("null_forgiving_count"), F.lit(0).alias("sealed_classes"),
+        _listed(function, c("end_line") - c("line") + 1).alias("function_lengths"),
+        _listed(note.isNotNull(), F.concat(F.lit("line "), c("line").cast("string"), F.lit(": "), note)).alias("unsafe_calls"),
+        F.lit(False).alias("nullable_enabled"), _listed(c("kind").isin("Import", "ImportFrom") & top & c("name").isNotNull(), c("name")).alias("imports"),
+        _listed(named & (top | method), symbol).alias("symbols"))
+    return out.drop("file")
+
+
+def bulk_score(items: DataFrame, scorer: Callable[[dict], object], value: str, workers: int = 1,
                fatal: Callable[[Exception], bool] = lambda exc: False) -> DataFrame:
-    """Call a user function per row, ``workers`` at a time; a failure fills ``error`` of its own row only.
+    """Call a user function per row, at most ``workers`` calls at a time in each task; a failure fills ``error`` of its own row only.
 
-    Adds ``value`` (text), ``error`` and ``error_type``. An exception ``fatal`` accepts ends the job.
+    Adds ``value`` (text), ``error`` and ``error_type``. An exception ``fatal`` accepts ends the job. The partitions of
+    ``items`` are left as they are.
     """
     names = items.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     schema += f", `{value}` string, error string, error_type string"
 
+    def call(row: dict) -> tuple[str | None, str | None, str | None]:
+        try:
+            got = scorer(row)
+        except Exception as exc:
+            if fatal(exc):
+                raise
+            return None, str(exc), type(exc).__name__
+        return None if got is None else str(got), None, None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                got, error, kind = None, None, None
-                try:
-                    got = scorer(row)
-                except Exception as exc:
-                    if fatal(exc):
-                        raise
-                    error, kind = str(exc), type(exc).__name__
-                out.append((None if got is None else str(got), error, kind))
-            yield batch[names].assign(**dict(zip((value, "error", "error_type"), map(list, zip(*out)))) if out else {
-                value: [], "error": [], "error_type": []})
-
-    spread = items.repartition(workers) if workers else items
-    return spread.mapInPandas(run, schema)
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                out = pd.DataFrame(list(pool.map(call, batch.to_dict("records"))), columns=[value, "error", "error_type"], index=batch.index, dtype=object)
+                yield pd.concat([batch[names], out], axis=1)
+
+    return items.mapInPandas(run, schema)

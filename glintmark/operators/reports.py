@@ -32,13 +32,14 @@ def verdict_totals(findings: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def top_cwes(findings: DataFrame, order: list[str], limit: int = 10) -> DataFrame:
-    """Most frequent CWEs; ties by first appearance."""
-    return (
-        findings.filter(F.col("cwe") != "")
-        .groupBy("cwe").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
-        .orderBy(F.desc("n"), "_first").limit(limit).select("cwe", "n")
-    )
+def top_cwes(findings: DataFrame, order: list[str], limit: int = 10, by: list[str] | None = None) -> DataFrame:
+    """Most frequent CWEs, of each group if ``by`` is given; ties by first appearance."""
+    by = by or []
+    counts = findings.filter(F.col("cwe") != "").groupBy(*by, "cwe").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("_first"))
+    if not by:
+        return counts.orderBy(F.desc("n"), "_first").limit(limit).select("cwe", "n")
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), "_first")
+    return counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).select(*by, "cwe", "n")
 
 
 def in_priority_order(scored: DataFrame, order: list[str]) -> DataFrame:
@@ -109,18 +110,22 @@ def write_csv(scored: DataFrame, order: list[str], path: str) -> None:
 
 
 def json_reports(scored: DataFrame, counts: DataFrame, cwes: DataFrame, by: str, order: list[str],
-                 max_findings: int = 5000) -> DataFrame:
-    """JSON report per run in parts of about ``max_findings`` findings, each with the summary of the run.
+                 max_findings: int = 5000, metadata: DataFrame | None = None) -> DataFrame:
+    """JSON report per run in parts of ``max_findings`` findings, cut by rank, each with the summary of the run.
 
-    ``cwes`` has (by, cwe, n) with the top CWEs of each run. Blocks without content are left out.
+    Part after part, the findings stand in priority order; each names its ``position`` in the whole report.
+    ``cwes`` has (by, cwe, n) with the top CWEs of each run; ``metadata`` may give more fields per run, such as
+    target, mode, provider, timestamp and cost. Blocks without content are left out.
     """
     top = cwes.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("cwe", "n"))).alias("cwes"))
     triage = F.when(F.col("has_triage"), F.struct(*[
         F.col(f"triage_{v.lower()}").alias(v.lower()) for v in K.VERDICTS]))
-    heads = counts.join(top, by, "left").select(
-        F.col(by).alias("_run"), F.ceil(F.col("total") / max_findings).alias("_parts"),
+    more = [c for c in metadata.columns if c != by] if metadata is not None else []
+    known = counts.join(metadata, by, "left") if more else counts
+    heads = known.join(top, by, "left").select(
+        F.col(by).alias("_run"),
         F.struct(
-            F.struct(F.col(by).cast("string").alias("run_id"), F.col("total").alias("total_findings")).alias("metadata"),
+            F.struct(F.col(by).cast("string").alias("run_id"), F.col("total").alias("total_findings"), *more).alias("metadata"),
             F.struct(
                 F.struct(*[F.col(b.lower()) for b, _ in K.BANDS]).alias("priority"),
                 F.struct("critical", "medium", F.col("low_severity").alias("low")).alias("severity"),
@@ -129,23 +134,16 @@ def json_reports(scored: DataFrame, counts: DataFrame, cwes: DataFrame, by: str,
         ).alias("_head"),
     )
     finding = F.struct(
-        (-F.col("priority")).alias("_p"), *order,
-        F.struct(
-            "priority", F.col("band").alias("priority_band"), L.display_level(F.col("level")).alias("severity"),
-            "rule_id", "file", "line", collapse_spaces(F.col("message")).alias("message"), "cwe",
-            F.col("confidence_score").alias("confidence"), "confidence_label", "exposure",
-        ).alias("f"),
-    )
+        F.col("_rank").alias("position"), "priority", F.col("band").alias("priority_band"), L.display_level(F.col("level")).alias("severity"),
+        "rule_id", "file", "line", collapse_spaces(F.col("message")).alias("message"), "cwe",
+        F.col("confidence_score").alias("confidence"), "confidence_label", "exposure")
     parts = (
-        scored.join(heads.select("_run", "_parts"), F.col(by) == F.col("_run"))
-        .withColumn("part", F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int"))
-        .groupBy(by, "part").agg(F.array_sort(F.collect_list(finding)).alias("fs"))
+        numbered(scored, [by], [F.desc("priority"), *order], "_rank")
+        .withColumn("part", F.floor((F.col("_rank") - 1) / max_findings).cast("int"))
+        .groupBy(by, "part").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     )
     return parts.join(heads, F.col(by) == F.col("_run")).select(
-        by, "part",
-        F.to_json(F.struct("_head.metadata", "_head.summary", F.transform("fs", lambda x: x["f"]).alias("findings"),
-                           "_head.triage", "_head.cwes")).alias("value"),
-    )
+        by, "part", F.to_json(F.struct("_head.metadata", "_head.summary", "findings", "_head.triage", "_head.cwes")).alias("value"))
 
 
 def loss_rollup(losses: DataFrame, by: list[str]) -> DataFrame:

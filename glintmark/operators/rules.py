@@ -58,7 +58,7 @@ def unknown_codes(files: DataFrame, registry: DataFrame) -> DataFrame:
         "path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"CWE-(\d+)"), F.lit(1)))).alias("code")
     )
     return (
-        codes.join(F.broadcast(registry.select(F.col("cwe_id").alias("code"))), "code", "left_anti")
+        codes.join(registry.select(F.col("cwe_id").alias("code")), "code", "left_anti")
         .groupBy("code").agg(F.min("path").alias("first_path"))
     )
 

@@ -64,9 +64,11 @@ def outside_manifest(findings: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def with_exposure(findings: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Add the exposure of the finding's file. Spark broadcasts the manifest only while it is small."""
+    """Add the exposure of the finding's file. A file that the manifest names more than once has its largest weight,
+    and findings are never multiplied. Spark broadcasts the manifest only while it is small."""
+    weights = manifest.groupBy("file").agg(F.max("weight").alias("_w"))
     return (
-        findings.join(manifest.select("file", F.col("weight").alias("_w")), "file", "left")
+        findings.join(weights, "file", "left")
         .withColumn("exposure", L.exposure(F.col("_w")))
         .select(*findings.columns, "exposure")
     )
@@ -108,11 +110,11 @@ def map_rules(results: DataFrame, rules: DataFrame, mapping: DataFrame, registry
               by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Add mapped CWE tags to rules and results, and rules for mapped results that have none.
 
-    ``mapping`` (tool, rule_id, mapped_cwe) is small and broadcast. A mapped CWE outside the registry
-    fails the job. Mapping twice changes nothing.
+    Spark broadcasts ``mapping`` (tool, rule_id, mapped_cwe) only while it is small. A mapped CWE outside the
+    registry fails the job. Mapping twice changes nothing.
     """
     number = T.bare_number(F.regexp_replace("mapped_cwe", "^CWE-", ""))
-    known = mapping.join(F.broadcast(registry.select("cwe_id")), number == F.col("cwe_id"), "left").select(
+    known = mapping.join(registry.select("cwe_id"), number == F.col("cwe_id"), "left").select(
         F.col("tool").alias("_tool"), F.col("rule_id").alias("_rule"),
         F.when(F.col("cwe_id").isNull(),
                F.raise_error(F.concat("rule_id", F.lit(" maps to a CWE outside the registry: "), "mapped_cwe")).cast("string"))
@@ -123,8 +125,8 @@ def map_rules(results: DataFrame, rules: DataFrame, mapping: DataFrame, registry
     tagged = F.when(F.col("_tag").isNull() | F.array_contains(old, F.col("_tag")), F.col("tags")).otherwise(
         F.array_append(old, F.col("_tag"))
     )
-    new_results = results.join(F.broadcast(known), on, "left")
-    new_rules = rules.join(F.broadcast(known), on, "left")
+    new_results = results.join(known, on, "left")
+    new_rules = rules.join(known, on, "left")
     made = (
         new_results.filter(F.col("_tag").isNotNull())
         .select(*by, "tool", "rule_id", "_tag").distinct()

@@ -80,11 +80,10 @@ def manifest_dropped(spark, sf):
 @query(f"""{sql_with('findings', 'model_findings')}
 SELECT {ORD}, rule_id, file, line, cwe, severity FROM (
   SELECT *, row_number() OVER (PARTITION BY rule_id, file, coalesce(line, 0) ORDER BY {ORD}) AS rn FROM model_findings m
-  WHERE cwe IS NOT NULL AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.line > 0 AND f.file = m.file AND f.line = m.line AND f.tool = 'tool_a'))
+  WHERE cwe IS NOT NULL AND NOT EXISTS (SELECT 1 FROM findings f WHERE f.line > 0 AND f.file = m.file AND f.line = m.line))
 WHERE rn = 1""")
 def cross_source_suppress(spark, sf):
-    scanner = view(spark, sf, "findings").filter("tool = 'tool_a'")
-    fresh = dedup.suppress_reported(view(spark, sf, "model_findings"), scanner)
+    fresh = dedup.suppress_reported(view(spark, sf, "model_findings"), view(spark, sf, "findings"))
     return dedup.dedup_model_findings(fresh, ORDER).select(*ORDER, "rule_id", "file", "line", "cwe", "severity")
 
 
@@ -219,12 +218,12 @@ def verdict_counts(spark, sf):
     return reports.verdict_totals(view(spark, sf, "findings"), ["tool"])
 
 
-@query(f"""{_FM}, {scored_sql('findings')} SELECT run_no, CASE WHEN bool_or(band IN ('URGENT')) THEN 3 WHEN run_no = 1 THEN 4 ELSE 0 END::INT AS gate FROM scored
- WHERE run_no <> 0 OR band <> 'URGENT' GROUP BY run_no""")
+@query(f"""{_FM}, {scored_sql('findings')} SELECT file, CASE WHEN bool_or(band IN ('URGENT')) THEN 3 WHEN file NOT IN (SELECT file FROM manifest) THEN 4 ELSE 0 END::INT AS gate FROM scored GROUP BY file""")
 def band_gate(spark, sf):
-    scored = _scored(spark, sf).filter("run_no <> 0 OR band <> 'URGENT'")
-    lost = scored.filter("run_no = 1").select("run_no")
-    return reports.gate(reports.report_counts(scored, ["run_no"]), ["run_no"], "urgent", True, lost)
+    """A gate per file; a file outside the manifest counts as lost."""
+    scored = _scored(spark, sf)
+    lost = scoring.outside_manifest(scored.select("file").distinct(), view(spark, sf, "manifest"))
+    return reports.gate(reports.report_counts(scored, ["file"]), ["file"], "urgent", True, lost)
 
 
 _STATUS = "CASE verdict WHEN 'CONFIRMED' THEN 'Confirmed' WHEN 'FALSE_POSITIVE' THEN 'False Pos' WHEN 'NEEDS_CONTEXT' THEN 'Needs Ctx' ELSE 'Untriaged' END"

@@ -15,9 +15,9 @@ _F = sql_with("findings")
 
 
 def _results(spark, sf):
-    f = view(spark, sf, "findings").withColumn("run_id", F.concat(F.lit("run"), F.col("run_no").cast("string")))
+    f = _scored(spark, sf).withColumn("run_id", F.concat(F.lit("run"), F.col("run_no").cast("string")))
     return f.withColumns({
-        "tags": F.when(F.col("cwe").isNotNull(), F.array(F.lit("security"))), "end_line": F.col("line") + 2,
+        "tags": F.when(F.col("cwe").isNotNull(), F.array(F.lit("security"))), "end_line": F.col("line") + 2, "snippet": F.when(F.col("line") % 5 > 0, F.concat(F.lit("text of "), "rule_id")),
         "issue_severity": F.when(F.col("line") % 2 == 0, F.lit("HIGH")),
         "file": F.when(F.col("ordinal2") % 9 == 0, F.lit(None)).otherwise(F.col("file"))})
 
@@ -36,14 +36,15 @@ def _written(spark, sf, max_results=500):
     return documents.parse_documents(documents.read_document_lines(spark, path))
 
 
-@query(f"""{_F} SELECT {ORD}, rule_id, level, message, CASE WHEN ordinal2 % 9 = 0 THEN '' ELSE file END AS file, CASE WHEN ordinal2 % 9 = 0 THEN 0 ELSE line END AS line,
- regexp_replace(cwe, 'CWE-', '') AS cwe, verdict, tool AS stamped_tool, CASE WHEN line % 2 = 0 THEN 'HIGH' END AS issue_severity, ordinal2 % 9 = 0 AS location_unresolved FROM findings""")
+@query(f"""{sql_with('findings', 'manifest')}, {scored_sql('findings')} SELECT {ORD}, priority, band, CASE WHEN cwe IS NOT NULL THEN 'security' END AS tags, CASE WHEN ordinal2 % 9 <> 0 THEN line + 2 END AS end_line,
+ CASE WHEN ordinal2 % 9 <> 0 AND line % 5 > 0 THEN 'text of ' || rule_id END AS snippet, rule_id, level, message, CASE WHEN ordinal2 % 9 = 0 THEN '' ELSE file END AS file, CASE WHEN ordinal2 % 9 = 0 THEN 0 ELSE line END AS line,
+ regexp_replace(cwe, 'CWE-', '') AS cwe, verdict, tool AS stamped_tool, CASE WHEN line % 2 = 0 THEN 'HIGH' END AS issue_severity, ordinal2 % 9 = 0 AS location_unresolved FROM scored""")
 def sarif_roundtrip(spark, sf):
     rows = documents.flatten_results(documents.good_documents(_written(spark, sf)))
     part = F.col("ordinal_parts")
     return rows.select(
         part[0].cast("bigint").alias("ordinal"), part[1].cast("bigint").alias("ordinal2"), part[2].cast("double").alias("ordinal3"),
-        "rule_id", "level", "message", "file", "line", "cwe", "verdict", "stamped_tool", "issue_severity", "location_unresolved")
+        F.col("stamped_priority").alias("priority"), F.col("stamped_band").alias("band"), F.array_join("tags", ",").alias("tags"), "end_line", "snippet", "rule_id", "level", "message", "file", "line", "cwe", "verdict", "stamped_tool", "issue_severity", "location_unresolved")
 
 
 @query(f"""{_F} SELECT DISTINCT rule_id, 'Rule ' || rule_id AS title, CASE WHEN rule_id LIKE '%1' THEN 'note' END AS default_level, 'security,external/cwe/cwe-' || format('{{:03d}}', CAST(rule_id[2:] AS INT)) AS tags FROM findings""")
@@ -159,20 +160,29 @@ def csv_export(spark, sf):
     return back.select("priority", "priority_band", "severity", "rule_id", "file", "line", "message")
 
 
-@query(f"""{sql_with('findings', 'manifest')}, {scored_sql('findings')} SELECT run_no, count(*) AS total, count(*) FILTER (band = 'URGENT') AS urgent, count(*) AS n_findings, round(sum(priority), 6) AS sum_priority,
- count(*) FILTER (verdict = 'CONFIRMED') AS confirmed FROM scored GROUP BY run_no""")
+@query(f"""{sql_with('findings', 'manifest')}, {scored_sql('findings')}, r AS (SELECT *, row_number() OVER (PARTITION BY run_no ORDER BY priority DESC, {ORD}) AS position FROM scored),
+c AS (SELECT run_no, cwe, count(*) AS n, min(({ORD})) AS first FROM scored WHERE cwe IS NOT NULL GROUP BY run_no, cwe),
+t AS (SELECT run_no, string_agg(cwe || '=' || n, ',' ORDER BY cwe) AS cwes FROM (SELECT *, row_number() OVER (PARTITION BY run_no ORDER BY n DESC, first) AS rn FROM c) WHERE rn <= 10 GROUP BY run_no),
+h AS (SELECT run_no, count(*) AS total, count(*) FILTER (band = 'URGENT') AS urgent, count(*) FILTER (verdict = 'CONFIRMED') AS confirmed, 'target' || run_no AS target, run_no * 1.5::DOUBLE AS cost_usd FROM scored GROUP BY run_no)
+SELECT run_no, CAST((position - 1) // 1000 AS INT) AS part, position, priority, band, rule_id, file, line, {_FLAT} AS message, total, urgent, confirmed, target, cost_usd, cwes FROM r JOIN h USING (run_no) LEFT JOIN t USING (run_no)""")
 def json_export(spark, sf):
+    """Reports of 1000 findings a part, in priority order, read back finding by finding with their head."""
     scored = _scored(spark, sf)
-    cwes = scored.filter("cwe IS NOT NULL").groupBy("run_no", "cwe").agg(F.count(F.lit(1)).alias("n")).filter("n > 40")
-    docs = reports.json_reports(scored, reports.report_counts(scored, ["run_no"]), cwes, "run_no", ORDER, 1000)
-    kind = ("struct<metadata:struct<total_findings:bigint>,summary:struct<priority:struct<urgent:bigint>>,findings:array<struct<priority:double>>,"
-            "triage:struct<confirmed:bigint>>")
-    d = docs.select("run_no", F.from_json("value", kind).alias("d"))
-    return d.groupBy("run_no").agg(
-        F.max("d.metadata.total_findings").alias("total"), F.max("d.summary.priority.urgent").alias("urgent"),
-        F.sum(F.size("d.findings")).alias("n_findings"),
-        F.round(F.sum(F.aggregate("d.findings", F.lit(0.0), lambda a, x: a + x["priority"])), 6).alias("sum_priority"),
-        F.max("d.triage.confirmed").alias("confirmed"))
+    run = F.col("run_no")
+    about = scored.select("run_no").distinct().select(
+        "run_no", F.concat(F.lit("target"), run.cast("string")).alias("target"), F.lit("full").alias("mode"), F.lit("a:b").alias("provider"),
+        F.lit("2026-01-01T00:00:00Z").alias("timestamp"), (run * 1.5).alias("cost_usd"))
+    docs = reports.json_reports(scored, reports.report_counts(scored, ["run_no"]), reports.top_cwes(scored, ORDER, 10, ["run_no"]), "run_no", ORDER, 1000, about)
+    kind = ("struct<metadata:struct<total_findings:bigint,target:string,cost_usd:double>,summary:struct<priority:struct<urgent:bigint>>,"
+            "findings:array<struct<position:bigint,priority:double,priority_band:string,rule_id:string,file:string,line:int,message:string>>,"
+            "triage:struct<confirmed:bigint>,cwes:map<string,bigint>>")
+    d = docs.select("run_no", "part", F.explode(F.array(F.from_json("value", kind))).alias("d"))
+    cwes = F.array_join(F.array_sort(F.transform(F.map_entries("d.cwes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    rows = d.select("run_no", "part", F.posexplode("d.findings").alias("at", "f"), "d.metadata", "d.summary", "d.triage", cwes.alias("cwes"))
+    return rows.select(
+        "run_no", "part", (F.col("part").cast("bigint") * 1000 + F.col("at") + 1).alias("position"), "f.priority", F.col("f.priority_band").alias("band"), "f.rule_id", "f.file", "f.line", "f.message",
+        F.col("metadata.total_findings").alias("total"), F.col("summary.priority.urgent").alias("urgent"), F.col("triage.confirmed").alias("confirmed"),
+        "metadata.target", "metadata.cost_usd", "cwes")
 
 
 @query("""SELECT 'd' || doc_id AS doc, CASE WHEN doc_id % 6 <> 5 THEN CAST(20 + doc_id % 12 AS VARCHAR) END AS cwe, CASE WHEN doc_id % 6 = 5 THEN NULL WHEN quality = 0 THEN 'found' ELSE 'not_found' END AS expect,

@@ -61,7 +61,7 @@ s AS (SELECT project, count(*) AS n, sum(total_callables)::DOUBLE AS tc, sum(doc
  avg(nesting) FILTER (nesting > 0) AS an, list_sort(list(lines)) AS ll, list_sort(list(nesting)) AS ln FROM sf GROUP BY project),
 ls AS (SELECT project, unnest(lens) AS len FROM sf), l AS (SELECT project, avg(len) AS alen, list_sort(list(len)) AS lens FROM ls GROUP BY project),
 g AS (SELECT project, sum((2 * i - n - 1) * lines)::DOUBLE / (max(n) * sum(lines)) AS gini FROM (SELECT project, lines, row_number() OVER (PARTITION BY project ORDER BY lines) AS i, count(*) OVER (PARTITION BY project) AS n FROM sf) GROUP BY project),
-ed AS (SELECT DISTINCT 'proj' || (l_suppkey % 7) AS project, 'm' || (l_partkey % 60) AS source, 'm' || (l_partkey % 60 + 1 + l_orderkey % 9) AS target FROM lineitem WHERE l_linenumber = 3),
+ed AS (SELECT DISTINCT 'proj' || (l_suppkey % 7) AS project, 'm' || (l_partkey % 60) AS source, 'm' || (l_partkey % 60 + 1 + l_orderkey % 9) AS target FROM lineitem),
 ends AS (SELECT project, node, sum(o) AS ce, sum(i) AS ca FROM (SELECT project, source AS node, 1 AS o, 0 AS i FROM ed UNION ALL SELECT project, target, 0, 1 FROM ed) GROUP BY project, node),
 c AS (SELECT project, avg(ce::DOUBLE / (ce + ca)) AS inst, max(ce) AS mce, avg(ce) FILTER (ce > 0) AS ace FROM ends GROUP BY project),
 a AS (SELECT *, ll[least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1) + 1] AS p90l, ln[least(CAST(floor(n * 0.9::DOUBLE) AS BIGINT), n - 1) + 1] AS p90n, lens[least(CAST(floor(len(lens) * 0.9::DOUBLE) AS BIGINT), len(lens) - 1) + 1] AS p90f
@@ -77,7 +77,7 @@ ds AS (SELECT project, unnest([
 
 
 def _project_edges(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 3")
+    li = table(spark, sf, "lineitem")
     m = F.col("l_partkey") % 60
     return li.select(
         F.concat(F.lit("proj"), (F.col("l_suppkey") % 7).cast("string")).alias("project"), F.concat(F.lit("m"), m.cast("string")).alias("source"),
@@ -132,10 +132,10 @@ def score_export(spark, sf):
 
 def _linter_texts(spark, sf):
     """Linter reports as JSON, one per order, made of the findings."""
-    f = view(spark, sf, "findings").filter("level <> 'none'")
+    f = view(spark, sf, "findings")
     noise = F.when(F.col("rule_id") == "R1", F.lit("B101")).otherwise(F.col("rule_id"))
     name = F.when(F.col("line") % 3 == 0, F.concat(F.lit("tests/"), "file")).otherwise(F.col("file"))
-    sev = F.when(F.col("level") == "error", "HIGH").when(F.col("level") == "warning", "MEDIUM").otherwise("LOW")
+    sev = F.when(F.col("level") == "error", "HIGH").when(F.col("level") == "warning", "MEDIUM").when(F.col("level") == "note", "LOW").otherwise("UNDEFINED")
     row = F.struct(noise.alias("test_id"), sev.alias("issue_severity"), F.lit("LOW").alias("issue_confidence"), F.col("message").alias("issue_text"),
                    name.alias("filename"), F.col("line").alias("line_number"))
     loc = F.map_from_arrays(F.array(F.lit("a.py"), F.lit("b.py")), F.array(F.struct(F.lit(700).alias("loc")), F.struct((F.col("_k") % 5 * 100).alias("loc"))))
@@ -143,8 +143,8 @@ def _linter_texts(spark, sf):
         F.concat(F.lit("run"), (F.col("_k") % 40).cast("string")).alias("doc"), F.to_json(F.struct("results", loc.alias("metrics"))).alias("value"))
 
 
-@query(f"""{sql_with('findings')}, r AS (SELECT ordinal // 8000000 AS k, 'run' || (ordinal // 8000000 % 40) AS doc, level FROM findings WHERE level <> 'none'),
-r2 AS (SELECT 'run' || (ordinal // 8000000 % 40) AS doc, level FROM findings WHERE level <> 'none' AND NOT (rule_id = 'R1' AND line % 3 = 0)),
+@query(f"""{sql_with('findings')}, r AS (SELECT ordinal // 8000000 AS k, 'run' || (ordinal // 8000000 % 40) AS doc, level FROM findings),
+r2 AS (SELECT 'run' || (ordinal // 8000000 % 40) AS doc, level FROM findings WHERE NOT (rule_id = 'R1' AND line % 3 = 0)),
 loc AS (SELECT doc, CAST(sum(700 + k % 5 * 100) AS BIGINT) AS total_loc FROM (SELECT DISTINCT k, doc FROM r) GROUP BY doc),
 c AS (SELECT doc, count(*) AS n, count(*) FILTER (level = 'error') AS h, count(*) FILTER (level = 'warning') AS m, count(*) FILTER (level = 'note') AS l FROM r2 GROUP BY doc)
 SELECT doc, n AS total_findings, h AS high_severity, m AS medium_severity, l AS low_severity, h * 3 + m * 2 + l AS weighted_findings, round((h * 3 + m * 2 + l) / greatest(total_loc / 1000.0::DOUBLE, 0.1), 6) AS weighted_per_kloc, total_loc

@@ -13,8 +13,9 @@ from glintmark.sources import ledger
 
 _F = sql_with("findings")
 _CALLS = sql_with("llm_calls")
-# Rows of a call log are numbered, so one slice of this width holds at most that many calls.
-_SLICE = 1 << 16
+# Rows of a call log are numbered, so one slice of this width holds at most that many calls. The width gives the
+# smallest tables several slices; a real log would take a larger one.
+_SLICE = 1 << 8
 
 
 def _map_sql(pairs: dict, key: str) -> str:
@@ -63,7 +64,7 @@ def unreachable_prices(spark, sf):
     from glintmark.sources.dimensions import prices
 
     used = _priced(spark, sf).select(F.col("model_resolved").alias("price_key")).distinct()
-    return F.broadcast(prices(spark)).join(used, "price_key", "left_anti")
+    return prices(spark).join(used, "price_key", "left_anti")
 
 
 @query(f"""{_CALLS}, {_PRICED} SELECT run_id, seq, round(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 9) AS cumulative_usd FROM priced""")

@@ -13,10 +13,14 @@ from glintmark.streaming import ledger as L
 from glintmark.streaming.stages import Stages
 
 
-def _ledger(spark, sf, files=4):
-    """Events written as ledger lines, in several files."""
+def _parts(spark):
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _ledger(spark, sf):
+    """Events written as ledger lines, dealt at random to as many files as a shuffle has parts."""
     path = shared_path(spark, "ledger")
-    table(spark, sf, "events").repartition(files).select(
+    table(spark, sf, "events").repartition(_parts(spark)).select(
         lines.event_line(F.col("ts"), F.col("event_type"), run_id=F.col("user_id").cast("string"), value=F.col("value"))
     ).write.text(path)
     return path
@@ -25,17 +29,18 @@ def _ledger(spark, sf, files=4):
 @query("""SELECT event_type AS kind, count(*) AS n FROM events GROUP BY event_type""")
 def ledger_counts(spark, sf):
     out = shared_path(spark, "kind_counts")
-    counts = L.kind_counts(L.ledger_stream(spark, _ledger(spark, sf), files_per_batch=2))
+    counts = L.kind_counts(L.ledger_stream(spark, _ledger(spark, sf), files_per_batch=-(-_parts(spark) // 4)))
     L.run_to_end(counts, L.snapshot_batches(out), "kind_counts", mode="complete")
     return L.latest_snapshot(spark, out)
 
 
-@query("""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2)
-SELECT window_start, kind, n FROM w WHERE window_start + INTERVAL 5 MINUTES <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2) SELECT window_start, kind, n FROM w""")
 def event_windows(spark, sf):
+    """Every window, open ones too, over four batches of files in no order of time; the log may be up to ten years late."""
     out = shared_path(spark, "windows")
-    L.run_to_end(L.windowed_counts(L.ledger_stream(spark, _ledger(spark, sf))), L.overwrite_batches(out), "windows")
-    return spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", "n")
+    events = L.ledger_stream(spark, _ledger(spark, sf), files_per_batch=-(-_parts(spark) // 4))
+    L.run_to_end(L.windowed_counts(events, late="3650 days"), L.overwrite_batches(out), "windows", mode="update")
+    return L.latest_rows(spark, out, ["window_start", "kind"], "n").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "kind", "n")
 
 
 @query(f"""{_CALLS}, {_PRICED}, c AS (SELECT run_id, seq, coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM priced)
@@ -74,8 +79,8 @@ def snapshot(spark, sf):
     """Band counts rewritten after every batch of findings."""
     f = view(spark, sf, "findings")
     inbox, out = shared_path(spark, "findings"), shared_path(spark, "snapshot")
-    f.repartition(4, "run_no").write.parquet(inbox)
-    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    f.repartition(_parts(spark)).write.parquet(inbox)
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", -(-_parts(spark) // 4)).parquet(inbox)
     scored = scoring.score(scoring.with_exposure(stream, view(spark, sf, "manifest")))
     L.run_to_end(scored.groupBy("band", "level").agg(F.count(F.lit(1)).alias("n")), L.snapshot_batches(out), "snapshot", mode="complete")
     return L.latest_snapshot(spark, out)

@@ -94,7 +94,7 @@ _WEIGHT_SQL = "1 " + " ".join(
 @query(f"""{_T} SELECT path, {_LANG_SQL} AS language, CAST(CASE WHEN {_LANG_SQL} = 'other' THEN 0 ELSE least(10, {_WEIGHT_SQL}) END AS INT) AS weight FROM tree""")
 def security_weight(spark, sf):
     t = _tree(spark, sf).withColumn("language", P.language(F.col("path")))
-    return P.with_security_weight(t).select("path", "language", "weight")
+    return P.with_security_weight(t, chars=4096).select("path", "language", "weight")
 
 
 def _inventory(spark, sf):
@@ -115,6 +115,19 @@ def inventory_files(spark, sf):
     return S.by_weight(_inventory(spark, sf)).select("path", "language", "size_bytes", "tokens")
 
 
+@query(f"""{_T} SELECT path, CAST(strlen(text) AS BIGINT) AS size_bytes, CASE WHEN path LIKE '%node_modules/%' OR path LIKE '%.min.js' OR path LIKE 'deploy/%' OR regexp_matches(path, '_9.\\.py$') THEN 'excluded'
+ ELSE 'too_large' END AS reason FROM tree WHERE path LIKE '%node_modules/%' OR path LIKE '%.min.js' OR path LIKE 'deploy/%' OR regexp_matches(path, '_9.\\.py$') OR strlen(text) > 4000""")
+def inventory_losses(spark, sf):
+    files = _tree(spark, sf).withColumn("size_bytes", F.octet_length("text").cast("bigint"))
+    out = S.inventory_losses(files, ["deploy/*", "*_9?.py"], max_bytes=4000)
+    return out.withColumn("reason", F.when(F.col("reason") == "filtered", "excluded").otherwise(F.col("reason")))
+
+
+@query(f"""{_T} SELECT path, 'sensitive_file_omitted' AS reason FROM tree WHERE (regexp_matches({_L}, '\\.env$') OR {_L} LIKE '.env.%') AND NOT regexp_matches({_L}, '\\.(example|sample|template|dist)$')""")
+def withheld_files(spark, sf):
+    return S.without_sensitive(_tree(spark, sf))[1]
+
+
 @query(f"""{_T} SELECT path, path NOT LIKE 'tests/%' AND NOT regexp_matches(path, '_1.\\.py$') AND (path LIKE 'src/%' OR path LIKE '%.yml') AS kept,
  regexp_matches(path, '\\.(py|cs)$') AND path NOT LIKE 'web%' AND path NOT LIKE '%program_%' AS collected, path LIKE 'src/api/%' OR path LIKE '%/auth/%' AS in_scope FROM tree""")
 def path_filters(spark, sf):

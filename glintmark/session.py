@@ -47,19 +47,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, bytes_per_task: int = 1 << 20, most_bytes: int = 1 << 30) -> DataFrame:
-    """Split a small table that comes in fewer files than there are cores; a larger one is left alone.
-
-    A file with a single row group is read by one task however many byte ranges it is cut into, and
-    everything up to the next shuffle runs in that task.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    want = min(df.sparkSession.sparkContext.defaultParallelism, size // bytes_per_task + 1)
-    if want == 1 or size > most_bytes or len(df.inputFiles()) >= want:
-        return df
-    return df.repartition(want)
-
-
 class Scratch:
     """Tables one iterative job writes, so that lineage stays short and lost executors cost a re-read."""
 

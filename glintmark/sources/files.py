@@ -10,15 +10,18 @@ from glintmark.functions import paths as P
 from glintmark.functions.text import tokens_of_bytes
 
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int = K.INVENTORY_MAX_BYTES) -> DataFrame:
-    """(path, size_bytes, content) of the files below ``root``; larger files are left out by the scan."""
+def read_tree(spark: SparkSession, root: str, max_bytes: int | None = K.INVENTORY_MAX_BYTES) -> DataFrame:
+    """(path, size_bytes, content) of the files below ``root``; content of files over ``max_bytes`` is null and not read."""
     base = root.rstrip("/") + "/"
     full = F.regexp_replace("path", "^file:/*(?=/)", "")
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .filter(F.col("length") <= max_bytes)
-        .select(F.substring_index(full, base, -1).alias("path"), F.col("length").alias("size_bytes"), "content")
-    )
+    tree = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name, size = F.substring_index(full, base, -1).alias("path"), F.col("length").alias("size_bytes")
+    if max_bytes is None:
+        return tree.select(name, size, "content")
+    # Two scans with a pushed-down size filter each: large contents are never loaded.
+    small = tree.filter(F.col("length") <= max_bytes).select(name, size, "content")
+    large = tree.filter(F.col("length") > max_bytes).select(name, size, F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
 
 
 def text_content(content: Column | str = "content") -> Column:
@@ -42,6 +45,27 @@ def inventory(
         "path", "language", "size_bytes", "weight", tokens_of_bytes(F.col("size_bytes")).alias("tokens"))
 
 
+def inventory_losses(
+    files: DataFrame, exclude: list[str] | None = None, include: list[str] | None = None,
+    max_bytes: int = K.INVENTORY_MAX_BYTES, strip_dots: bool = False,
+) -> DataFrame:
+    """(path, size_bytes, reason) of the files that ``inventory`` leaves out: excluded, filtered or too large."""
+    path = F.col("path")
+    shown = F.ltrim(path, F.lit("./")) if strip_dots else path
+    reason = (
+        F.when(~P.inventoried(path, exclude, strip_dots), "excluded")
+        .when(~P.passes_filters(shown, exclude or [], include or []), "filtered")
+        .when(F.col("size_bytes") > max_bytes, "too_large")
+    )
+    return files.select("path", "size_bytes", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def without_sensitive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files that may be sent on, withheld files as path and reason): environment files may hold live secrets."""
+    hit = P.is_sensitive_env(F.col("path"))
+    return files.filter(~hit), files.filter(hit).select("path", F.lit("sensitive_file_omitted").alias("reason"))
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     """Files and tokens per language."""
     return manifest.groupBy("language").agg(

@@ -32,7 +32,11 @@ def kind_counts(events: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Events per kind and window; a watermark bounds the state and drops what comes later."""
+    """Events per kind and window. A watermark bounds the state: what comes more than ``late`` behind the newest event is dropped.
+
+    In append mode a window is reported once it is closed; in update mode, read through ``latest_rows``, open
+    windows are reported too.
+    """
     return (
         events.withWatermark("ts", late).groupBy(F.window("ts", width), "kind").agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("window_start"), "kind", "n")
@@ -65,6 +69,12 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(F.col("batch") == df.agg(F.max("batch")).scalar()).drop("batch")
 
 
+def latest_rows(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The last value that any batch wrote for each key: the state of an update-mode stream."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 class BudgetGuard:
     """Marks each call with the spend before it and whether it may run, across micro-batches.
 

@@ -302,16 +302,29 @@ def test_composite(spark):
     assert missing.composite == pytest.approx(50.0) and missing.quality_band == "Acceptable"
 
 
-def test_python_metrics():
+def test_python_metrics(spark):
     text = ('import os\n\nclass low(Base):\n    """Doc."""\n    def getName(self, x: int) -> str:\n        try:\n            eval(x)\n'
             '        except:\n            pass\n\ndef _hidden(a, b):\n    for i in a:\n        if b:\n            subprocess.run(a, shell=True)\n')
-    m = analyzers.analyze_python("src/m.py", text, "m")
-    assert (m["lines"], m["functions"], m["classes"], m["total_callables"], m["documented_callables"]) == (14, 2, 1, 3, 1)
-    assert (m["total_params"], m["annotated_params"], m["annotated_returns"], m["bare_excepts"], m["broad_excepts"]) == (4, 1, 1, 2, 0)
-    assert (m["max_nesting"], m["naming_violations"], m["public_definitions"], m["private_definitions"]) == (2, 2, 2, 1)
-    assert m["unsafe_calls"] == ["line 7: CWE-94: Code injection via eval()", "line 14: CWE-78: subprocess with shell=True"]
-    assert [s["qname"] for s in m["symbols"]] == ["m.low", "m.low.getName", "m._hidden"]
-    assert analyzers.analyze_python("x.py", "def broken(:", "x") is None
+    wide = "def f(x: " + " | ".join(["int"] * 3000) + "): pass\n"
+    deep = "class A(" + ".".join(["a"] * 3000) + "): pass\n"
+    nested = "x = " + "(" * 5000 + "1" + ")" * 5000
+    files = [("src/m.py", text), ("src/m.py", text), ("x.py", "def broken(:"), ("w.py", wide), ("d.py", deep), ("n.py", nested), ("z.py", "\0"), ("e.py", ""),
+             ("y.py", None), ("k.txt", "def f(): pass"), ("u.py", "def größe(ä: 'Ö') -> Ü:\r\n  return ä\r\n")]
+    df = spark.createDataFrame(files, "path string, text string")
+    rows = analyzers.file_metrics(df).collect()
+    m = {r.path: r for r in rows}
+    assert sorted(r.path for r in rows if r.path == "src/m.py") == ["src/m.py"] * 2
+    own = m["src/m.py"]
+    assert (own.lines, own.functions, own.classes, own.total_callables, own.documented_callables) == (14, 2, 1, 3, 1)
+    assert (own.total_params, own.annotated_params, own.annotated_returns, own.bare_excepts, own.broad_excepts) == (4, 1, 1, 2, 0)
+    assert (own.max_nesting, own.naming_violations, own.public_definitions, own.private_definitions) == (2, 2, 2, 1)
+    assert own.unsafe_calls == ["line 7: CWE-94: Code injection via eval()", "line 14: CWE-78: subprocess with shell=True"]
+    assert [s.name for s in own.symbols] == ["low", "getName", "_hidden"] and own.symbols[1].qname == own.symbols[1].parent_qname + ".getName"
+    assert own.symbols[1].params == ["x: int"] and own.symbols[0].bases == ["Base"] and own.imports == ["os"] and own.function_lengths == [5, 4]
+    assert (m["e.py"].lines, m["e.py"].functions, m["e.py"].symbols) == (0, 0, [])
+    assert m["u.py"].symbols[0].params == ["ä: 'Ö'"] and m["u.py"].symbols[0].return_type == "Ü"
+    assert {r.path for r in analyzers.rejected_files(df).collect()} == {p for p, t in files if p.endswith(".py") and t is not None} - set(m)
+    assert {"x.py", "n.py", "z.py"} <= {r.path for r in analyzers.rejected_files(df).collect()}
 
 
 def test_bulk_score_isolates_failures_and_stops_on_fatal(spark):
