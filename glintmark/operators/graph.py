@@ -7,9 +7,10 @@ nothing else reaches the driver.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
@@ -135,8 +136,10 @@ def pagerank(
     """(node, rank) with the highest rank 1. ``edges`` has (src, dst).
 
     Self-loops and edges with an unknown end are dropped; parallel edges count. Rank without an outgoing
-    edge is spread over all nodes. Stops when the ranks change by less than ``tolerance`` in total. The
-    edges keep the share 1/outdegree and never change; a round shuffles contributions summed per target.
+    edge is spread over all nodes. Stops when the ranks change by less than ``tolerance`` in total, and fails
+    if ``max_rounds`` do not get there. The edges keep the share 1/outdegree and never change: they lie in a
+    table bucketed by source, which a round joins with the ranks where the edges are, so only ranks and
+    contributions summed per target are shuffled. Change and lost rank are observed while a round is written.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "pagerank")
@@ -148,18 +151,34 @@ def pagerank(
         .select("src", "dst")
     )
     links = scratch.save(links, "raw_links")
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
-    shares = scratch.save(
+    out = scratch.save(links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), "out")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"pagerank_{uuid.uuid4().hex}"
+    (
         links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src")
-        .select("src", "dst", (F.col("m") / F.col("n_out")).alias("share")), "links")
-    base = scratch.save(
-        known.join(out, F.col("node") == F.col("src"), "left")
-        .select("node", F.col("n_out").isNull().alias("dangling")), "nodes")
-    n = base.count()
+        .select("src", "dst", (F.col("m") / F.col("n_out")).alias("share"))
+        .repartition(buckets, "src").write.option("path", scratch.path("shares"))
+        .bucketBy(buckets, "src").sortBy("src").saveAsTable(table)
+    )
+    try:
+        ranks = _ranked(spark, scratch, spark.table(table), known.join(out, F.col("node") == F.col("src"), "left")
+                        .select("node", F.col("n_out").isNull().alias("dangling")), damping, max_rounds, tolerance)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for name in ("raw_links", "out", "nodes", "shares"):
+            scratch.drop(name)
+    top = ranks.agg(F.max("rank")).scalar()
+    return ranks.select("node", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")).alias("rank"))
+
+
+def _ranked(spark: SparkSession, scratch: Scratch, shares: DataFrame, nodes: DataFrame, damping: float, max_rounds: int,
+            tolerance: float) -> DataFrame:
+    base = scratch.save(nodes, "nodes")
+    n, dangling = base.agg(F.count(F.lit(1)), F.count_if("dangling")).first()
     if n == 0:
-        return base.select("node", F.lit(0.0).alias("rank"))
+        return spark.createDataFrame([], f"node {base.schema['node'].dataType.simpleString()}, rank double")
     ranks = scratch.save(base.select("node", "dangling", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")), "round=0")
-    lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
+    lost = dangling / n
     for k in range(1, max_rounds + 1):
         given = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").select(
             F.col("dst").alias("node"), (F.col("rank") * F.col("share")).alias("gain"))
@@ -170,15 +189,14 @@ def pagerank(
             .groupBy("node").agg(F.max("dangling").alias("dangling"), F.max("old").alias("old"), F.sum("gain").alias("gain"))
             .select("node", "dangling", new.alias("rank"), F.abs(new - F.col("old")).alias("change"))
         )
-        ranks = scratch.save(step, f"round={k}")
-        if k > 1:
-            scratch.drop(f"round={k - 2}")
-        change, lost = ranks.agg(F.sum("change"), F.sum(F.when(F.col("dangling"), F.col("rank")))).first()
-        lost = lost or 0.0
-        if change < tolerance:
-            break
-    top = ranks.agg(F.max("rank")).scalar()
-    return ranks.select("node", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")).alias("rank"))
+        seen = Observation()
+        ranks = scratch.save(step.observe(
+            seen, F.sum("change").alias("change"), F.sum(F.when(F.col("dangling"), F.col("rank"))).alias("lost")), f"round={k}")
+        scratch.drop(f"round={k - 1}")
+        lost = seen.get["lost"] or 0.0
+        if seen.get["change"] < tolerance:
+            return ranks
+    raise RuntimeError(f"ranks still change by {seen.get['change']} after {max_rounds} rounds")
 
 
 def call_graph_rank(nodes: DataFrame, call_edges: DataFrame, ref_edges: DataFrame | None = None, **options) -> DataFrame:

@@ -11,64 +11,91 @@ from glintmark.plans.views import sql_with, table, view
 from glintmark.sources import dimensions
 
 _E = sql_with("call_edges")
-# Nodes as files, entry points and sinks: the view's nodes are named n0 .. n299.
-_FILES = "nf AS (SELECT DISTINCT node AS qname, 'src/g' || (CAST(node[2:] AS INT) % 60) || '.py' AS file FROM (SELECT caller AS node FROM call_edges UNION SELECT callee FROM call_edges))"
+# Nodes as files, entry points and sinks: the view's nodes are n and a number; ten neighbours share a file.
+_FILES = "nf AS (SELECT DISTINCT node AS qname, 'src/g' || (CAST(node[2:] AS INT) // 10) || '.py' AS file FROM (SELECT caller AS node FROM call_edges UNION SELECT callee FROM call_edges))"
 
 
 def _edges(spark, sf):
     return view(spark, sf, "call_edges")
 
 
+def _number(node):
+    return F.substring(node, 2, 18).cast("bigint")
+
+
+def _file_of(node):
+    return F.concat(F.lit("src/g"), F.floor(_number(node) / 10).cast("string"), F.lit(".py"))
+
+
 def _node_files(spark, sf):
     e = _edges(spark, sf)
     nodes = e.select(F.col("caller").alias("qname")).union(e.select("callee")).distinct()
-    return nodes.withColumn("file", F.concat(F.lit("src/g"), (F.substring("qname", 2, 10).cast("int") % 60).cast("string"), F.lit(".py")))
+    return nodes.withColumn("file", _file_of("qname"))
 
 
-def _sink_seeds(spark, sf):
-    """Callers of two nodes that stand for sinks of two CWEs."""
-    e = _edges(spark, sf)
-    tag = F.when(F.col("callee") == "n7", "89").when(F.col("callee") == "n100", "78")
-    return e.select(tag.alias("tag"), F.col("caller").alias("node")).filter("tag IS NOT NULL").distinct()
+def _entries(spark, sf):
+    return _node_files(spark, sf).filter(_number("qname") % 499 == 0).select("qname")
 
 
 def _entry_seeds(spark, sf):
-    return _node_files(spark, sf).filter("qname IN ('n3', 'n50')").select(F.lit("entry").alias("tag"), F.col("qname").alias("node"))
+    return _entries(spark, sf).select(F.lit("entry").alias("tag"), F.col("qname").alias("node"))
+
+
+def _back_sql(hops: int, least: float) -> str:
+    return f"""bw(tag, node, depth) AS (SELECT DISTINCT cwe_id, caller, 0 FROM hits WHERE cwe_id IS NOT NULL
+ UNION SELECT bw.tag, e.caller, bw.depth + 1 FROM bw JOIN named e ON e.callee = bw.node AND e.confidence >= {least} WHERE bw.depth < {hops})"""
 
 
-_BACK = """bw(tag, node, depth) AS (SELECT CASE callee WHEN 'n7' THEN '89' ELSE '78' END, caller, 0 FROM call_edges WHERE callee IN ('n7', 'n100')
- UNION SELECT bw.tag, e.caller, bw.depth + 1 FROM bw JOIN call_edges e ON e.callee = bw.node AND e.confidence >= 0.3 WHERE bw.depth < 2)"""
-_FORW = """fw(node, depth) AS (SELECT qname, 0 FROM nf WHERE qname IN ('n3', 'n50')
- UNION SELECT e.callee, fw.depth + 1 FROM fw JOIN call_edges e ON e.caller = fw.node AND e.confidence >= 0.3 WHERE fw.depth < 2)"""
+def _forward_sql(hops: int, least: float) -> str:
+    return f"""fw(node, depth) AS (SELECT qname, 0 FROM nf WHERE CAST(qname[2:] AS BIGINT) % 499 = 0
+ UNION SELECT e.callee, fw.depth + 1 FROM fw JOIN call_edges e ON e.caller = fw.node AND e.confidence >= {least} WHERE fw.depth < {hops})"""
 
 
-@query(f"""{_E}, {_BACK} SELECT tag, node, CAST(min(depth) AS INT) AS depth FROM bw GROUP BY tag, node""")
+# Callees with a number of this kind stand for known sinks, local names that only look like one, and others.
+_SINK_NAMES = "CASE CAST(callee[2:] AS INT) % 2000 WHEN 0 THEN 'cursor.execute' WHEN 1 THEN 'os.system' WHEN 2 THEN 'pickle.loads' WHEN 3 THEN 'a.b.Open' WHEN 4 THEN 'execute' WHEN 5 THEN 'x.y.raw' WHEN 6 THEN 'shutil.copy' ELSE callee END"
+_NAMED = f"named AS (SELECT caller, {_SINK_NAMES} AS callee, 'src/g' || (CAST(caller[2:] AS INT) // 10) || '.py' AS file, confidence FROM call_edges)"
+_HITS = """hits AS (SELECT *, CASE WHEN callee IN ('cursor.execute', 'x.y.raw') THEN '89' WHEN callee = 'os.system' THEN '78' WHEN callee = 'pickle.loads' THEN '502' WHEN callee = 'shutil.copy' THEN '22' END AS cwe_id FROM named)"""
+
+
+def _named_edges(spark, sf):
+    n = _number("callee") % 2000
+    names = {0: "cursor.execute", 1: "os.system", 2: "pickle.loads", 3: "a.b.Open", 4: "execute", 5: "x.y.raw", 6: "shutil.copy"}
+    callee = F.col("callee")
+    for k, v in names.items():
+        callee = F.when(n == k, F.lit(v)).otherwise(callee)
+    return _edges(spark, sf).select("caller", callee.alias("callee"), _file_of("caller").alias("file"), "confidence")
+
+
+@query(f"""{_E}, {_NAMED}, {_HITS}, {_back_sql(2, 0.3)} SELECT tag, node, CAST(min(depth) AS INT) AS depth FROM bw GROUP BY tag, node""")
 def reach_backward(spark, sf):
-    return G.reach(_sink_seeds(spark, sf), _edges(spark, sf), 2, "backward")
+    """From the callers of known sinks, which patterns find, two hops back."""
+    e = _named_edges(spark, sf)
+    return G.reach(G.sink_seeds(e), e, 2, "backward")
 
 
-@query(f"""{_E}, {_FILES}, {_FORW} SELECT node, CAST(min(depth) AS INT) AS depth FROM fw GROUP BY node""")
+@query(f"""{_E}, {_FILES}, {_forward_sql(2, 0.3)} SELECT node, CAST(min(depth) AS INT) AS depth FROM fw GROUP BY node""")
 def reach_forward(spark, sf):
     return G.reach(_entry_seeds(spark, sf), _edges(spark, sf), 2, "forward").select("node", "depth")
 
 
-@query(f"""{_E}, {_FILES}, {_BACK}, {_FORW}, b AS (SELECT DISTINCT tag, file FROM bw JOIN nf ON nf.qname = bw.node), f AS (SELECT DISTINCT file FROM fw JOIN nf ON nf.qname = fw.node),
+@query(f"""{_E}, {_FILES}, {_NAMED}, {_HITS}, {_back_sql(1, 0.8)}, {_forward_sql(1, 0.8)}, b AS (SELECT DISTINCT tag, file FROM bw JOIN nf ON nf.qname = bw.node), f AS (SELECT DISTINCT file FROM fw JOIN nf ON nf.qname = fw.node),
 x AS (SELECT tag, file FROM b WHERE file IN (SELECT file FROM f)) SELECT tag, file, 'both' AS via FROM x
- UNION ALL SELECT tag, file, 'backward' FROM b WHERE tag NOT IN (SELECT tag FROM x) UNION ALL SELECT '502', file, 'forward' FROM f""")
+ UNION ALL SELECT tag, file, 'backward' FROM b WHERE tag NOT IN (SELECT tag FROM x) UNION ALL SELECT '79', file, 'forward' FROM f""")
 def reach_both(spark, sf):
     files = _node_files(spark, sf)
-    back = G.reached_files(G.reach(_sink_seeds(spark, sf), _edges(spark, sf), 2, "backward"), files)
-    ahead = G.reached_files(G.reach(_entry_seeds(spark, sf), _edges(spark, sf), 2, "forward"), files)
-    return G.both_ways(back, ahead, ["78", "89", "502"])
+    e = _named_edges(spark, sf)
+    back = G.reached_files(G.reach(G.sink_seeds(e), e, 1, "backward", 0.8), files)
+    ahead = G.reached_files(G.reach(_entry_seeds(spark, sf), _edges(spark, sf), 1, "forward", 0.8), files)
+    return G.both_ways(back, ahead, ["22", "78", "79", "89", "502"])
 
 
-_BLAST = """bl(node, depth) AS (SELECT qname, 0 FROM nf WHERE file IN ('src/g1.py', 'src/g31.py')
+_BLAST = """bl(node, depth) AS (SELECT qname, 0 FROM nf WHERE file IN ('src/g11.py', 'src/g31.py')
  UNION SELECT x.dst, bl.depth + 1 FROM bl JOIN (SELECT caller AS src, callee AS dst FROM call_edges UNION SELECT callee, caller FROM call_edges) x ON x.src = bl.node WHERE bl.depth < 1),
-blast AS (SELECT DISTINCT file FROM bl JOIN nf ON nf.qname = bl.node UNION SELECT 'src/g1.py' UNION SELECT 'src/g31.py')"""
+blast AS (SELECT DISTINCT file FROM bl JOIN nf ON nf.qname = bl.node UNION SELECT 'src/g11.py' UNION SELECT 'src/g31.py')"""
 
 
 def _changed(spark, sf):
-    return _node_files(spark, sf).filter("file IN ('src/g1.py', 'src/g31.py')").select("file").distinct()
+    return _node_files(spark, sf).filter("file IN ('src/g11.py', 'src/g31.py')").select("file").distinct()
 
 
 @query(f"""{_E}, {_FILES}, {_BLAST} SELECT file FROM blast""")
@@ -76,21 +103,6 @@ def blast_radius(spark, sf):
     return G.blast_radius(_edges(spark, sf), _node_files(spark, sf), _changed(spark, sf), 1)
 
 
-_SINK_NAMES = "CASE CAST(callee[2:] AS INT) % 40 WHEN 0 THEN 'cursor.execute' WHEN 1 THEN 'os.system' WHEN 2 THEN 'pickle.loads' WHEN 3 THEN 'a.b.Open' WHEN 4 THEN 'execute' WHEN 5 THEN 'x.y.raw' WHEN 6 THEN 'shutil.copy' ELSE callee END"
-_NAMED = f"named AS (SELECT caller, {_SINK_NAMES} AS callee, 'src/g' || (CAST(caller[2:] AS INT) % 60) || '.py' AS file, confidence FROM call_edges)"
-_HITS = """hits AS (SELECT *, CASE WHEN callee IN ('cursor.execute', 'x.y.raw') THEN '89' WHEN callee = 'os.system' THEN '78' WHEN callee = 'pickle.loads' THEN '502' WHEN callee = 'shutil.copy' THEN '22' END AS cwe_id FROM named)"""
-
-
-def _named_edges(spark, sf):
-    n = F.substring("callee", 2, 10).cast("int") % 40
-    names = {0: "cursor.execute", 1: "os.system", 2: "pickle.loads", 3: "a.b.Open", 4: "execute", 5: "x.y.raw", 6: "shutil.copy"}
-    callee = F.col("callee")
-    for k, v in names.items():
-        callee = F.when(n == k, F.lit(v)).otherwise(callee)
-    file = F.concat(F.lit("src/g"), (F.substring("caller", 2, 10).cast("int") % 60).cast("string"), F.lit(".py"))
-    return _edges(spark, sf).select("caller", callee.alias("callee"), file.alias("file"), "confidence")
-
-
 @query(f"""{_E}, {_NAMED}, {_HITS} SELECT DISTINCT caller, callee, file, confidence, cwe_id FROM hits WHERE cwe_id IS NOT NULL""")
 def pattern_hits(spark, sf):
     return matching.sink_calls(_named_edges(spark, sf))
@@ -120,11 +132,11 @@ def entry_points(spark, sf):
     return table(spark, sf, "part").select("p_partkey", matching.is_entry_point(lang, dec, base).alias("entry"))
 
 
-@query(f"""{_E}, {_NAMED}, s AS (SELECT DISTINCT 'n' || (p_partkey * 3 % 300) AS qname FROM part)
+@query(f"""{_E}, {_NAMED}, s AS (SELECT DISTINCT 'n' || (p_partkey * 6) AS qname FROM part)
 SELECT qname, 'def/' || qname || '.py' AS file FROM s UNION ALL SELECT caller, min(file) FROM named WHERE caller NOT IN (SELECT qname FROM s) GROUP BY caller""")
 def symbol_files(spark, sf):
     s = table(spark, sf, "part").select(
-        F.concat(F.lit("n"), (F.col("p_partkey") * 3 % 300).cast("string")).alias("qname"), F.col("p_partkey").alias("ordinal"))
+        F.concat(F.lit("n"), (F.col("p_partkey") * 6).cast("string")).alias("qname"), F.col("p_partkey").alias("ordinal"))
     s = s.withColumn("file", F.concat(F.lit("def/"), "qname", F.lit(".py")))
     return matching.first_symbol_files(s, _named_edges(spark, sf).withColumn("ordinal", F.lit(0)))
 
@@ -286,15 +298,14 @@ _DIRS = {c[0]: c[4] for c in K.CWE_REGISTRY if c[2] in K.MODEL_DETECTIONS}
 
 @query(f"""{_E}, {_FILES}, {_NAMED}, {_HITS}, {_BLAST}, ck(cwe_id, dir) AS (VALUES {", ".join(f"('{c}', {repr(d) if d else 'NULL'})" for c, d in _DIRS.items())}),
 kw(cwe_id, word) AS (VALUES {", ".join(f"('{c[0]}', '{w}')" for c in K.CWE_REGISTRY if c[2] in K.MODEL_DETECTIONS for w in sorted({w for t in c[3] for w in K.FILE_TYPE_WORDS[t]}))}),
-j AS (SELECT cwe_id, CASE WHEN dir = 'forward' THEN EXISTS (SELECT 1 FROM nf WHERE qname IN ('n3', 'n50') AND file IN (SELECT file FROM blast))
+j AS (SELECT cwe_id, CASE WHEN dir = 'forward' THEN EXISTS (SELECT 1 FROM nf WHERE CAST(qname[2:] AS BIGINT) % 499 = 0 AND file IN (SELECT file FROM blast))
  WHEN dir IS NOT NULL THEN EXISTS (SELECT 1 FROM hits h WHERE h.cwe_id = ck.cwe_id AND h.file IN (SELECT file FROM blast))
  ELSE EXISTS (SELECT 1 FROM blast JOIN kw ON kw.cwe_id = ck.cwe_id AND contains(file, word)) END AS hit FROM ck)
 SELECT cwe_id, hit AS narrowed FROM j WHERE hit OR NOT (SELECT bool_or(hit) FROM j)""")
 def affected_checks(spark, sf):
     files = _node_files(spark, sf)
     blast = G.blast_radius(_edges(spark, sf), files, _changed(spark, sf), 1)
-    entry = files.filter("qname IN ('n3', 'n50')").select("qname")
-    return G.affected_checks(dimensions.cwe_checks(spark), blast, _named_edges(spark, sf), files, entry)
+    return G.affected_checks(dimensions.cwe_checks(spark), blast, _named_edges(spark, sf), files, _entries(spark, sf))
 
 
 @query("""WITH m AS (SELECT source AS project, doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents),

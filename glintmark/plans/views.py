@@ -40,8 +40,8 @@ FROM {{lineitem}} WHERE (l_orderkey % 101) % 4 <> 0
 """
 
 VIEWS["call_edges"] = """
-SELECT DISTINCT concat('n', CAST(l_partkey % 300 AS STRING)) AS caller,
-  concat('n', CAST((l_partkey * 7 + l_suppkey) % 300 AS STRING)) AS callee,
+SELECT DISTINCT concat('n', CAST(l_partkey * 3 + l_linenumber % 3 AS STRING)) AS caller,
+  concat('n', CAST(l_suppkey * 61 + l_partkey AS STRING)) AS callee,
   CASE WHEN l_linenumber = 1 THEN CAST(0.9 AS DOUBLE) WHEN l_linenumber <= 4 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END AS confidence
 FROM {lineitem}
 """
