@@ -10,7 +10,7 @@ import numpy as np
 
 # Letters and signs whose place in every pattern of the vocabulary files is beyond doubt.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SIGNS = r"!#$%&()*+,./:;=?@\[\\\]^_`{|}~\"-"
+_SIGNS = "!#$%&()*+,./:;=?@[\\]^_`{|}~\"-"
 
 
 def byte_letters() -> dict[int, str]:
@@ -21,29 +21,34 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Cache of what ``make`` gives for a word; emptied when it holds ``most`` words, so memory stays bounded."""
+    """Cache of what ``make`` gives for a word; emptied when it holds ``most`` words. Long words are not kept, so memory stays bounded."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, word: str):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = self.make(word)
+        value = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 
-class Splitter:
-    """Cuts a text where its tokenizer always has a boundary, and words into pre-tokens.
+class PerWord:
+    """Values of a text's pre-tokens, found once per distinct word.
 
-    ``spaced``: white space belongs to the word after it (byte-level pattern without normalizer); a cut lies before
-    a space that follows anything but white space. ``dropped``: white space is removed; cuts lie at white space.
-    Any other tokenizer gets whole texts. Control characters that Python counts as white space and the library does
-    not also lead to whole texts.
+    A text is cut where its tokenizer always has a boundary. ``spaced``: white space belongs to the word after it
+    (byte-level pattern without normalizer); a cut lies before a space that follows anything but white space.
+    ``dropped``: white space is removed; cuts lie at white space. Any other tokenizer gets whole texts, and so do
+    texts with control characters that Python counts as white space and the library does not. Words of plain letters
+    with signs behind them are looked up in two parts; any other word is left to the library's own steps.
+
+    Subclasses give the value of a pre-token (in the letters of the vocabulary) and of any other word.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -60,75 +65,79 @@ class Splitter:
                 and cuts[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             self.kind = "dropped"
         self._odd = re.compile(r"[\x1c-\x1f]")
-        self._loose = re.compile(r"\s ")
+        self._loose = re.compile(r"\s\s|[^\S \n]")
         self._cut = re.compile(r"(?<!\s)(?= )")
-        lead = " ?" if self.kind == "spaced" else ""
-        self._easy = re.compile(f"({lead}[{_LETTERS}]+)?((?(1)|{lead})[{_SIGNS}]*)")
+        self._plain = re.compile(f"[{_LETTERS}]+")
         shown = byte_letters()
         self._shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
+        self.cores, self.tails, self.known = Words(self._core, most), Words(self._tail, most // 8), Words(self.word, most // 8)
+
+    def part(self, pretoken: str):
+        raise NotImplementedError
+
+    def word(self, word: str):
+        raise NotImplementedError
 
-    def words(self, text: str) -> list[str]:
+    def _core(self, core: str):
+        """Value of a word of plain letters, None for any other."""
+        if not self._plain.fullmatch(core):
+            return None
+        return self.part((" " + core if self.kind == "spaced" else core.lower()).translate(self._shown))
+
+    def _tail(self, tail: str):
+        return self.part(tail.translate(self._shown))
+
+    def _line(self, words: list[str], space: str, out: list) -> None:
+        cores, tails, known = self.cores, self.tails, self.known
+        for w in words:
+            core = w.rstrip(_SIGNS)
+            value = cores[core]
+            if value is None:
+                out.append(known[space + w])
+            else:
+                out.append(value)
+                if len(core) != len(w):
+                    out.append(tails[w[len(core):]])
+
+    def values(self, text: str) -> list:
+        """One value or more for each word of a whole text, in order."""
+        out: list = []
         if self.kind == "whole" or self._odd.search(text):
-            return [text]
+            return [self.word(text)]
         if self.kind == "dropped":
-            return text.split()
-        if self._loose.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def easy(self, word: str) -> list[str] | None:
-        """Pre-tokens of a word of plain letters and signs, in the letters of the vocabulary; None for any other."""
-        m = self._easy.fullmatch(word) if self.kind != "whole" else None
-        if m is None:
-            return None
-        parts = [p for p in m.groups() if p]
-        return [(p.lower() if self.kind == "dropped" else p).translate(self._shown) for p in parts]
-
-    def hard(self, word: str) -> list[str | None]:
-        """Pre-tokens by the library's own steps; None stands for a special token."""
-        out: list[str | None] = []
-        for i, part in enumerate(re.split("(" + "|".join(map(re.escape, self.specials)) + ")", word) if self.specials else [word]):
-            if i % 2:
-                out.append(None)
-            elif part:
-                part = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)] if self.library.pre_tokenizer else [part]
+            self._line(text.split(), "", out)
+        elif self._loose.search(text):
+            out += [self.known[w] for w in self._cut.split(text)]
+        else:
+            for i, line in enumerate(text.split("\n")):
+                if i:
+                    out.append(self.known["\n"])
+                first, *rest = line.split(" ")
+                if first:
+                    out.append(self.known[first])
+                self._line(rest, " ", out)
         return out
 
 
-class Encoder:
+class Encoder(PerWord):
     """``ids(text)``: little-endian unsigned 32-bit ids of a whole text, without added special tokens."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.split = Splitter(path)
-        self.library = self.split.library
-        self.parts = Words(self._part, most)
-        self.known = Words(self._word, most)
-
-    def _part(self, part: str) -> bytes:
-        return np.array([t.id for t in self.library.model.tokenize(part)], dtype="<u4").tobytes()
+    def part(self, pretoken: str) -> bytes:
+        return np.array([t.id for t in self.library.model.tokenize(pretoken)], dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        easy = self.split.easy(word)
-        if easy is None:
-            return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join([self.parts[p] for p in easy])
+    def word(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        known = self.known
-        words = self.split.words(text)
-        if len(words) == 1:  # whole texts are not worth keeping
-            return self._word(words[0])
-        return b"".join([known[w] for w in words])
+        return b"".join(self.values(text))
 
 
-_ENCODERS: dict[tuple, object] = {}
+_OBJECTS: dict[tuple, object] = {}
 
 
 def shared(kind: type, path: str, *args):
     """One object per Python worker, kept from task to task."""
     key = (kind, path, *args)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = kind(path, *args)
-    return _ENCODERS[key]
+    if key not in _OBJECTS:
+        _OBJECTS[key] = kind(path, *args)
+    return _OBJECTS[key]

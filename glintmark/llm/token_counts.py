@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.llm.common import slices, texts
-from glintmark.llm.encoding import Splitter, Words, shared
+from glintmark.llm.encoding import PerWord, shared
 
 
 def count_merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
@@ -44,37 +45,36 @@ def count_merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return n - merges
 
 
-class Counter:
+class Counter(PerWord):
     """``count(text)`` for a byte-pair vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, most: int = 300_000):
-        self.split = Splitter(path)
-        model = json.loads(self.split.library.to_str())["model"]
+    def __init__(self, path: str, most: int = 800_000):
+        super().__init__(path, most)
+        model = json.loads(self.library.to_str())["model"]
         if model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix"):
             raise ValueError("only plain byte-pair vocabularies are counted")
         self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.end = model.get("end_of_word_suffix") or ""
-        self.parts = Words(self._part, most)
-        self.known = Words(self._word, most)
 
-    def _part(self, part: str) -> int:
-        symbols = list(part)
+    def part(self, pretoken: str) -> int:
+        symbols = list(pretoken)
         if symbols and self.end:
             symbols[-1] += self.end
         return count_merged(symbols, self.ranks)
 
-    def _word(self, word: str) -> int:
-        parts = self.split.easy(word)
-        if parts is None:
-            parts = self.split.hard(word)
-        return sum([1 if p is None else self.parts[p] for p in parts])
+    def word(self, word: str) -> int:
+        """Any text: special strings count one, the rest is cut by the library's own steps."""
+        total, library = 0, self.library
+        for i, piece in enumerate(re.split("(" + "|".join(map(re.escape, self.specials)) + ")", word) if self.specials else [word]):
+            if i % 2:
+                total += 1
+            elif piece:
+                piece = library.normalizer.normalize_str(piece) if library.normalizer else piece
+                total += sum(self.part(p) for p, _ in library.pre_tokenizer.pre_tokenize_str(piece)) if library.pre_tokenizer else self.part(piece)
+        return total
 
     def count(self, text: str) -> int:
-        words = self.split.words(text)
-        if len(words) == 1:
-            return self._word(words[0])
-        known = self.known
-        return sum([known[w] for w in words])
+        return sum(self.values(text))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

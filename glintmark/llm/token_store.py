@@ -130,7 +130,7 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
     mark = hashlib.sha256(dictionary).hexdigest()
     blocks = spark.read.parquet(f"{path}/blocks")
     totals = blocks.select("part", F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row per written file
+    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # a row per written file: the broadcast below is bounded by their number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -153,7 +153,7 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
 
     if doc_id is not None:
         blocks = blocks.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
-    placed = blocks.join(before, "part").select("dictionary", "item_bytes", "doc_ids", "offsets", "sizes", "n_tokens", (F.col("rel_start") + F.col("base")).alias("start"), "blob")
+    placed = blocks.join(F.broadcast(before), "part").select("dictionary", "item_bytes", "doc_ids", "offsets", "sizes", "n_tokens", (F.col("rel_start") + F.col("base")).alias("start"), "blob")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
