@@ -42,7 +42,8 @@ def key_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def running_cost(calls: DataFrame, by: list[str], order: list[str], slice_by: Column | None = None) -> DataFrame:
     """Add ``cumulative_usd``, the spend up to and including each call."""
     out = running_totals(calls, by, order, {"_before": F.col("cost_usd")}, slice_by)
-    return out.withColumn("cumulative_usd", F.col("_before") + F.col("cost_usd")).drop("_before")
+    kind = calls.schema["cost_usd"].dataType
+    return out.withColumn("cumulative_usd", (F.col("_before") + F.col("cost_usd")).cast(kind)).drop("_before")
 
 
 def budget_cutoff(

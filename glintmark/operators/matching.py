@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from glintmark.functions.paths import base_name
 from glintmark.functions.text import context_window, glob_regex, lines_of
 from glintmark.sources.dimensions import sink_patterns
 
+# Prices of a token have nine decimals, and so have all sums of them: no order of adding changes a total.
+PRICE, MONEY = "decimal(10,9)", "decimal(28,9)"
+
 
 def _hits(pairs: list[tuple[Column, str]]) -> Column:
     """Labels whose condition holds, as an array."""
@@ -246,13 +250,12 @@ def price_key(model: Column) -> Column:
 
 
 def priced(calls: DataFrame, model: str = "model") -> DataFrame:
-    """Add the resolved model and the cost of each call; a call without a price fails the job."""
+    """Add the resolved model and the cost of each call, an exact decimal; a call without a price fails the job."""
     key = price_key(F.col(model))
-    no_price = F.raise_error(F.concat(F.lit("no price for "), F.col("model_resolved"))).cast("double")
-    rate = lambda i: F.coalesce(lookup({p[0]: p[i] for p in K.PRICES}, F.col("model_resolved")), no_price)
-    return calls.withColumn("model_resolved", key).withColumn(
-        "cost_usd", F.col("tokens_in") * rate(1) + F.col("tokens_out") * rate(2)
-    )
+    no_price = F.raise_error(F.concat(F.lit("no price for "), F.col("model_resolved"))).cast(PRICE)
+    rate = lambda i: F.coalesce(lookup({p[0]: Decimal(f"{p[i]:.9f}") for p in K.PRICES}, F.col("model_resolved")).cast(PRICE), no_price)
+    cost = lambda n, i: F.col(n).cast("decimal(18,0)") * rate(i)
+    return calls.withColumn("model_resolved", key).withColumn("cost_usd", (cost("tokens_in", 1) + cost("tokens_out", 2)).cast(MONEY))
 
 
 def price_list(spark) -> DataFrame:

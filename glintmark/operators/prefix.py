@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from glintmark.session import settle
 
@@ -36,6 +37,12 @@ def running_totals(
     """
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     values = df.select("*", *[m.alias(f"_m_{n}") for n, m in measures.items()])
+    exact = {n: values.schema[f"_m_{n}"].dataType for n in measures}
+
+    def fixed(name: str, value: Column) -> Column:
+        """Decimal sums keep the scale of their measure."""
+        return value.cast(exact[name]) if isinstance(exact[name], DecimalType) else value
+
     if slice_by is not None:
         sliced = values.withColumn(_SLICE, slice_by)
     else:
@@ -47,11 +54,11 @@ def running_totals(
     before = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(*by, _SLICE)
-        .agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in measures])
+        .agg(*[fixed(n, F.sum(f"_m_{n}")).alias(f"_t_{n}") for n in measures])
         .select(
             *[F.col(b).alias(f"_k_{b}") for b in by],
             F.col(_SLICE).alias("_k_slice"),
-            *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in measures],
+            *[fixed(n, F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0))).alias(f"_o_{n}") for n in measures],
         )
     )
     joined = sliced.join(
@@ -62,7 +69,7 @@ def running_totals(
     return joined.select(
         *df.columns,
         *[
-            (F.col(f"_o_{n}") + F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0))).alias(n)
+            fixed(n, F.col(f"_o_{n}") + fixed(n, F.coalesce(F.sum(f"_m_{n}").over(inside), F.lit(0)))).alias(n)
             for n in measures
         ],
     )

@@ -239,7 +239,7 @@ def full_review(spark, sf):
     return done.counts
 
 
-@query(f"""{_CALLS}, {_PRICED} SELECT run_id, count(*) AS n_calls, round(sum(cost_usd), 6) AS cost_usd, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens FROM priced GROUP BY run_id""")
+@query(f"""{_CALLS}, {_PRICED} SELECT run_id, count(*) AS n_calls, sum(cost_usd)::DOUBLE AS cost_usd, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens FROM priced GROUP BY run_id""")
 def audit_log(spark, sf):
     """Costs written as an audit fact table, one run written twice, and totalled from there."""
     path = shared_path(spark, "audit")
@@ -247,5 +247,5 @@ def audit_log(spark, sf):
     reports.write_facts(costs, path)
     reports.write_facts(costs.filter("run_id = 'run1'"), path)
     return spark.read.parquet(path).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
+        F.count(F.lit(1)).alias("n_calls"), F.sum("cost_usd").cast("double").alias("cost_usd"),
         F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"))

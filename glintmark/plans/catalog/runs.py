@@ -26,7 +26,7 @@ _ALIAS = _map_sql(K.MODEL_ALIASES, "split_part(model, ':', 2)")
 _WIRE = _map_sql({f"{p}:{m}": w for p, m, w in K.PROVIDER_MODELS}, "split_part(model, ':', 1) || ':' || canonical")
 _PRICED = f"""named AS (SELECT *, coalesce({_ALIAS}, split_part(model, ':', 2)) AS canonical FROM llm_calls),
 keyed AS (SELECT *, split_part(model, ':', 1) || ':' || coalesce({_WIRE}, canonical) AS model_resolved FROM named),
-prices(price_key, price_in, price_out) AS (VALUES {", ".join(f"('{k}', {i:.12f}::DOUBLE, {o:.12f}::DOUBLE)" for k, i, o in K.PRICES)}),
+prices(price_key, price_in, price_out) AS (VALUES {", ".join(f"('{k}', {i:.9f}::DECIMAL(10,9), {o:.9f}::DECIMAL(10,9))" for k, i, o in K.PRICES)}),
 priced AS (SELECT k.*, tokens_in * price_in + tokens_out * price_out AS cost_usd FROM keyed k JOIN prices p ON k.model_resolved = p.price_key)"""
 
 
@@ -34,23 +34,23 @@ def _priced(spark, sf):
     return matching.priced(view(spark, sf, "llm_calls"))
 
 
-@query(f"""{_CALLS}, {_PRICED} SELECT seq, model_resolved, round(cost_usd, 9) AS cost_usd FROM priced""")
+@query(f"""{_CALLS}, {_PRICED} SELECT seq, model_resolved, cost_usd::DOUBLE AS cost_usd FROM priced""")
 def priced_calls(spark, sf):
-    return _priced(spark, sf).select("seq", "model_resolved", F.round("cost_usd", 9).alias("cost_usd"))
+    return _priced(spark, sf).select("seq", "model_resolved", F.col("cost_usd").cast("double").alias("cost_usd"))
 
 
 @query(f"""{_CALLS}, {_PRICED} SELECT run_id, agent, count(*) AS n_calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
- round(sum(cost_usd), 6) AS cost_usd, sum(cost_usd) >= 1.0 AS exceeded FROM priced GROUP BY run_id, agent""")
+ sum(cost_usd)::DOUBLE AS cost_usd, sum(cost_usd) >= 1.0 AS exceeded FROM priced GROUP BY run_id, agent""")
 def cost_totals(spark, sf):
-    return history.cost_totals(_priced(spark, sf), ["run_id", "agent"], 1.0).withColumn("cost_usd", F.round("cost_usd", 6))
+    return history.cost_totals(_priced(spark, sf), ["run_id", "agent"], 1.0).withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 @query(f"""{_CALLS}, {_PRICED}, listed AS (
  SELECT provider, alias, provider || ':' || coalesce(wire, canonical) AS price_key FROM (SELECT p.provider, a.alias, a.canonical, w.wire
   FROM (VALUES {", ".join(f"('{p}')" for p in K.PROVIDERS)}) p(provider) CROSS JOIN (VALUES {", ".join(f"('{a}', '{m}')" for a, m in K.MODEL_ALIASES.items())}) a(alias, canonical)
   LEFT JOIN (VALUES {", ".join(f"('{p}', '{m}', '{w}')" for p, m, w in K.PROVIDER_MODELS)}) w(provider, model, wire) ON w.provider = p.provider AND w.model = a.canonical)),
-rows AS (SELECT l.provider, l.alias, l.price_key, p.price_in, p.price_out FROM listed l LEFT JOIN prices p USING (price_key)
- UNION ALL SELECT split_part(price_key, ':', 1), NULL, price_key, price_in, price_out FROM prices WHERE price_key NOT IN (SELECT price_key FROM listed)),
+rows AS (SELECT l.provider, l.alias, l.price_key, p.price_in::DOUBLE AS price_in, p.price_out::DOUBLE AS price_out FROM listed l LEFT JOIN prices p USING (price_key)
+ UNION ALL SELECT split_part(price_key, ':', 1), NULL, price_key, price_in::DOUBLE, price_out::DOUBLE FROM prices WHERE price_key NOT IN (SELECT price_key FROM listed)),
 used AS (SELECT model_resolved AS price_key, count(*) AS n FROM priced GROUP BY 1)
 SELECT r.*, coalesce(n, 0) AS n_calls FROM rows r LEFT JOIN used USING (price_key)""")
 def model_listing(spark, sf):
@@ -59,7 +59,7 @@ def model_listing(spark, sf):
         "provider", "alias", "price_key", "price_in", "price_out", F.coalesce("_n", F.lit(0).cast("bigint")).alias("n_calls"))
 
 
-@query(f"""{_CALLS}, {_PRICED} SELECT price_key, price_in, price_out FROM prices WHERE price_key NOT IN (SELECT model_resolved FROM priced)""")
+@query(f"""{_CALLS}, {_PRICED} SELECT price_key, price_in::DOUBLE AS price_in, price_out::DOUBLE AS price_out FROM prices WHERE price_key NOT IN (SELECT model_resolved FROM priced)""")
 def unreachable_prices(spark, sf):
     from glintmark.sources.dimensions import prices
 
@@ -67,19 +67,19 @@ def unreachable_prices(spark, sf):
     return prices(spark).join(used, "price_key", "left_anti")
 
 
-@query(f"""{_CALLS}, {_PRICED} SELECT run_id, seq, round(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 9) AS cumulative_usd FROM priced""")
+@query(f"""{_CALLS}, {_PRICED} SELECT run_id, seq, (sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING))::DOUBLE AS cumulative_usd FROM priced""")
 def running_cost(spark, sf):
     out = history.running_cost(_priced(spark, sf), ["run_id"], ["seq"], F.floor(F.col("seq") / _SLICE))
-    return out.select("run_id", "seq", F.round("cumulative_usd", 9).alias("cumulative_usd"))
+    return out.select("run_id", "seq", F.col("cumulative_usd").cast("double").alias("cumulative_usd"))
 
 
 @query(f"""{_CALLS}, {_PRICED}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS n,
   coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM priced),
 b AS (SELECT *, CAST(n // 4 AS BIGINT) AS batch_no, first_value(c) OVER (PARTITION BY run_id, n // 4 ORDER BY seq) AS cost_before FROM n)
-SELECT run_id, seq, batch_no, round(cost_before, 9) AS cost_before, round(cost_before, 9) < 2.0 AS ran FROM b""")
+SELECT run_id, seq, batch_no, cost_before::DOUBLE AS cost_before, cost_before < 2.0 AS ran FROM b""")
 def budget_cutoff(spark, sf):
     out = history.budget_cutoff(_priced(spark, sf), ["run_id"], ["seq"], 4, 2.0, F.floor(F.col("seq") / _SLICE))
-    return out.select("run_id", "seq", "batch_no", F.round("cost_before", 9).alias("cost_before"), "ran")
+    return out.select("run_id", "seq", "batch_no", F.col("cost_before").cast("double").alias("cost_before"), "ran")
 
 
 @query(f"""{_F}, t AS (SELECT sha256(coalesce(cwe, '') || '||' || file || '|' || CAST(line AS VARCHAR))[:16] AS fingerprint, run_no, {ORD} FROM findings)

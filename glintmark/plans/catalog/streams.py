@@ -44,7 +44,7 @@ def event_windows(spark, sf):
 
 
 @query(f"""{_CALLS}, {_PRICED}, c AS (SELECT run_id, seq, coalesce(sum(cost_usd) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM priced)
-SELECT run_id, seq, round(b, 9) AS spent_before, round(b, 9) < 1.0 AS allowed FROM c""")
+SELECT run_id, seq, b::DOUBLE AS spent_before, b < 1.0 AS allowed FROM c""")
 def budget_guard(spark, sf):
     """The log arrives in two halves; the second run resumes from the first one's checkpoint and state."""
     calls = _priced(spark, sf).select("run_id", "seq", "cost_usd")
@@ -54,8 +54,7 @@ def budget_guard(spark, sf):
     for part in (calls.filter(F.col("seq") <= half), calls.filter(F.col("seq") > half)):
         part.write.mode("append").parquet(inbox)
         L.run_to_end(spark.readStream.schema(calls.schema).parquet(inbox), guard, "guard", checkpoint=checkpoint)
-    return guard.result().select("run_id", "seq", F.round("spent_before", 9).alias("spent_before"),
-                                 (F.round("spent_before", 9) < 1.0).alias("allowed"))
+    return guard.result().select("run_id", "seq", F.col("spent_before").cast("double").alias("spent_before"), "allowed")
 
 
 @query(f"""{sql_with('findings')}, t AS (SELECT sha256(coalesce(cwe, '') || '||' || file || '|' || CAST(line AS VARCHAR))[:16] AS fingerprint, run_no, {ORD} FROM findings)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,10 +25,8 @@ BASELINE_SCHEMA = (
 
 
 def _load(text: str):
-    try:
-        import yaml
-    except ImportError:
-        return json.loads(text)
+    import yaml
+
     return yaml.safe_load(text)
 
 

@@ -92,17 +92,18 @@ class BudgetGuard:
         return self.spark.read.schema(schema).parquet(f"{self.path}/spent/batch={batch - 1}")
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        schema = T.StructType([df.schema[self.by], T.StructField("spent", T.DoubleType())])
+        money = df.schema["cost_usd"].dataType
+        schema = T.StructType([df.schema[self.by], T.StructField("spent", money)])
         spent = self._spent(batch, schema)
         df = df.persist()
         rows = running_totals(df, [self.by], self.order, {"_before": F.col("cost_usd")}, self.slice_by)
         rows = rows.join(spent, self.by, "left")
-        before = F.coalesce("spent", F.lit(0.0)) + F.col("_before")
-        allowed = (before < self.limit) | F.lit(self.limit <= 0)
+        before = (F.coalesce("spent", F.lit(0).cast(money)) + F.col("_before")).cast(money)
+        allowed = (before < F.lit(self.limit).cast(money)) | F.lit(self.limit <= 0)
         rows.select(*df.columns, before.alias("spent_before"), allowed.alias("allowed")).write.mode("overwrite").parquet(
             f"{self.path}/calls/batch={batch}")
-        now = df.groupBy(self.by).agg(F.sum("cost_usd").alias("spent"))
-        spent.unionByName(now).groupBy(self.by).agg(F.sum("spent").alias("spent")).write.mode("overwrite").parquet(
+        now = df.groupBy(self.by).agg(F.sum("cost_usd").cast(money).alias("spent"))
+        spent.unionByName(now).groupBy(self.by).agg(F.sum("spent").cast(money).alias("spent")).write.mode("overwrite").parquet(
             f"{self.path}/spent/batch={batch}")
         df.unpersist()
 
