@@ -27,13 +27,20 @@ class Template:
         ("user", "assistant"): "assistant", ("assistant", "user"): "user"})
     ends: tuple[str, ...] = ("user", "assistant")
 
+    def __post_init__(self):
+        controls = (self.before_role, self.after_text)
+        if len(self.mark) < 2 or self.mark[0] in self.mark[1:] or "&" in self.mark or not all(c.startswith(self.mark) for c in controls):
+            raise ValueError("control strings start with the mark, whose first character occurs once in it")
+        if not self.after_role or "&" in self.after_role or self.before_role in self.after_text or self.before_role in self.after_role:
+            raise ValueError("a turn must be told from its parts")
+
 
 CHATML = Template()
 _REFUSED = "refused"
 
 
 def escape(text: Column, template: Template = CHATML) -> Column:
-    """Text in which no control string can start: ``&`` becomes ``&amp;``, then the mark becomes ``&lt;|``."""
+    """Text in which no control string can start: ``&`` becomes ``&amp;``, then the first character of the mark ``&lt;``."""
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit(template.mark), F.lit("&lt;" + template.mark[1:]))
 
 
@@ -42,11 +49,11 @@ def unescape(text: Column, template: Template = CHATML) -> Column:
 
 
 def _escape_role(role: Column, template: Template) -> Column:
-    return F.replace(escape(role, template), F.lit("\n"), F.lit("&nl;"))
+    return F.replace(escape(role, template), F.lit(template.after_role), F.lit("&nl;"))
 
 
 def _unescape_role(role: Column, template: Template) -> Column:
-    return unescape(F.replace(role, F.lit("&nl;"), F.lit("\n")), template)
+    return unescape(F.replace(role, F.lit("&nl;"), F.lit(template.after_role)), template)
 
 
 def final_state(roles: Column, template: Template = CHATML) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from glintmark.llm import chat, queries
@@ -29,10 +30,16 @@ def test_odd_conversations(spark):
 
 
 def test_another_template(spark):
-    short = chat.Template(before_role="[[", after_role="]] ", after_text=" [[/]]", mark="[[", learned=("b",), start="s", moves={("s", "a"): "a", ("a", "b"): "s"}, ends=("s",))
-    df = spark.createDataFrame([(1, 0, "a", "x [[/]] y"), (1, 1, "b", "z")], "conv_id long, turn long, role string, text string")
+    short = chat.Template(before_role="[|turn ", after_role="]] ", after_text="[|end]", mark="[|", learned=("b",), start="s", moves={("s", "a"): "a", ("a", "b"): "s"}, ends=("s",))
+    df = spark.createDataFrame([(1, 0, "a", "x [|end] [[|turn a]] y"), (1, 1, "b", "z[")], "conv_id long, turn long, role string, text string")
     row = chat.format_chats(df, short).select("valid", "formatted", chat.read_turns(F.col("formatted"), short).alias("turns"), chat.learned_text(F.col("segments"), short).alias("loss")).first()
-    assert row.valid and row.loss == "z" and [tuple(t) for t in row.turns] == [("a", "x [[/]] y"), ("b", "z")]
+    assert row.valid and row.loss == "z[" and [tuple(t) for t in row.turns] == [("a", "x [|end] [[|turn a]] y"), ("b", "z[")]
+
+
+@pytest.mark.parametrize("wrong", [{"mark": "[["}, {"after_text": "end"}, {"after_text": "<|im_start|>x"}, {"after_role": ""}])
+def test_templates_that_cannot_be_read_back_are_refused(wrong):
+    with pytest.raises(ValueError):
+        chat.Template(**wrong)
 
 
 def test_query_equals_its_twin_and_runs_no_python(spark, sf):
