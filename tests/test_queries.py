@@ -9,10 +9,6 @@ from glintmark.plans.catalog import ORACLES, QUERIES
 from glintmark.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
-# Iterative and streaming queries take several seconds each; ALL_QUERIES=1 runs them too.
-SLOW = {"pagerank", "files_by_rank", "layer_ranks", "cyclic_nodes", "reach_both", "affected_checks", "source_quality", "full_review",
-        "ledger_counts", "event_windows", "snapshot", "run_stability", "best_model", "override_score", "quality_index", "rules_roundtrip"}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -30,8 +26,6 @@ def test_every_query_but_the_quality_plan_has_a_twin():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_twin(spark, db, name):
-    if name in SLOW and not os.environ.get("ALL_QUERIES"):
-        pytest.skip("slow")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     rows = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
