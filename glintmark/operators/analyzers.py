@@ -107,11 +107,12 @@ def register_reader(extension: str, language: str, nodes: Nodes) -> None:
     _READERS[extension] = (language, nodes)
 
 
-def syntax_nodes(files: DataFrame) -> DataFrame:
-    """Node rows of every file (path, text) with a known extension: ``file`` (number of the input row), ``path``, ``language`` and the node."""
+def syntax_nodes(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Node rows of every file (path, text) with a known extension: ``file`` (number of the input row), ``path``, ``language``, the node, and the text columns ``keep``."""
     from glintmark.functions.paths import extension
 
-    readers = dict(_READERS)
+    readers, keep = dict(_READERS), keep or []
+    schema = pa.schema([*_NODE, *((c, pa.string()) for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -122,15 +123,15 @@ def syntax_nodes(files: DataFrame) -> DataFrame:
                     own = list(nodes(row["text"]))
                 except Exception as exc:  # any file may be hostile; what is wrong with it is data
                     own = [{"kind": "Rejected", "name": type(exc).__name__}]
-                rows += [{"file": row["file"], "path": row["path"], "language": language, "seq": i, **r} for i, r in enumerate(own)]
+                rows += [{"file": row["file"], "path": row["path"], "language": language, "seq": i, **{c: row[c] for c in keep}, **r} for i, r in enumerate(own)]
                 if len(rows) > 8192:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
                     rows = []
-        yield pa.RecordBatch.from_pylist(rows, schema=_NODE)
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    known = files.select(F.monotonically_increasing_id().alias("file"), "path", "text", extension(F.col("path")).alias("ext")).filter(
+    known = files.select(F.monotonically_increasing_id().alias("file"), "path", "text", *keep, extension(F.col("path")).alias("ext")).filter(
         F.col("ext").isin(list(readers)) & F.col("text").isNotNull())
-    return known.mapInArrow(run, from_arrow_schema(_NODE))
+    return known.mapInArrow(run, from_arrow_schema(schema))
 
 
 def rejected_files(files: DataFrame) -> DataFrame:
@@ -143,9 +144,11 @@ def _listed(when: Column, value: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct(F.col("seq"), value.alias("v"))))), lambda s: s["v"])
 
 
-def file_metrics(files: DataFrame) -> DataFrame:
+def file_metrics(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Metrics and symbols of every file (path, text) that a reader knows and can read; others have no row.
 
+    Text columns named in ``keep``, such as the project, stay with their file.
+
     All nodes of a file come out of one task, so the aggregation sends one row per file.
     """
     from glintmark.functions.paths import module_name
@@ -178,8 +181,9 @@ def file_metrics(files: DataFrame) -> DataFrame:
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("int")
 
-    nodes = syntax_nodes(files).filter("kind <> 'Rejected'")
-    out = nodes.groupBy("file", "path", "language").agg(
+    keep = keep or []
+    nodes = syntax_nodes(files, keep).filter("kind <> 'Rejected'")
+    out = nodes.groupBy("file", *keep, "path", "language").agg(
         F.max(F.when(c("kind") == "Module", c("end_line"))).alias("lines"), count(function).alias("functions"), count(klass).alias("classes"),
         F.lit(0).alias("methods"), count(named & c("documented")).alias("documented_callables"), count(named).alias("total_callables"),
         total(F.size(typed) * function.cast("int")).alias("annotated_params"), total(F.when(function, F.size("params"))).alias("total_params"),

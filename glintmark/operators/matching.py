@@ -199,42 +199,45 @@ def first_symbol_files(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return own.unionByName(callers.join(own.select("qname"), "qname", "left_anti"))
 
 
-def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module, imported, target): the import itself or its parent, when known; parents of modules are known."""
+def resolve_imports(imports: DataFrame, modules: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, module, imported, target): the import itself or its parent, when known; parents of modules are known.
+
+    ``by`` keeps projects apart: a name resolves inside its own project only.
+    """
+    by = by or []
     names = F.split("module", r"\.")
     known = modules.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, F.lit(1), i), ".")))
-        .alias("known")
+        *by, F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, F.lit(1), i), ".")))
+        .alias("imported")
     ).distinct()
-    parent = F.when(F.contains("imported", F.lit(".")), F.regexp_replace("imported", r"\.[^.]*$", ""))
+    asked = imports.withColumn("_parent", F.when(F.contains("imported", F.lit(".")), F.regexp_replace("imported", r"\.[^.]*$", "")))
     return (
-        imports.join(known, F.col("imported") == F.col("known"), "left")
-        .join(known.select(F.col("known").alias("known_parent")), parent == F.col("known_parent"), "left")
-        .select("module", "imported", F.coalesce("known", "known_parent").alias("target"))
+        asked.join(known.withColumn("_known", F.col("imported")), [*by, "imported"], "left")
+        .join(known.select(*by, F.col("imported").alias("_parent")).withColumn("_known_parent", F.col("_parent")), [*by, "_parent"], "left")
+        .select(*by, "module", "imported", F.coalesce("_known", "_known_parent").alias("target"))
         .filter(F.col("target").isNotNull())
     )
 
 
-def resolve_type_names(uses: DataFrame, imported: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(source, type_name, target): the module's import of that name, else the first symbol that ends so.
+def resolve_type_names(uses: DataFrame, imported: DataFrame, symbols: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, source, type_name, target): the module's import of that name, else the first symbol that ends so.
 
     A name in lower case never resolves. The symbol is the first in name order, so the result does not
-    depend on the order of the files. ``uses`` has (source, module, type_name) with bare type names.
+    depend on the order of the files. ``uses`` has (by, source, module, type_name) with bare type names.
     """
-    alias = imported.groupBy("module", last_name(F.col("imported")).alias("_alias")).agg(
+    by = by or []
+    alias = imported.groupBy(*by, "module", last_name(F.col("imported")).alias("type_name")).agg(
         F.max_by("target", "imported").alias("_by_import"))
     ends = (
         symbols.filter(F.contains("qname", F.lit(".")))
-        .select("qname", F.explode(_suffixes(F.col("qname"), ".")).alias("_end"))
-        .groupBy("_end").agg(F.min("qname").alias("_by_end"))
+        .select(*by, "qname", F.explode(_suffixes(F.col("qname"), ".")).alias("type_name"))
+        .groupBy(*by, "type_name").agg(F.min("qname").alias("_by_end"))
     )
     first = F.substring("type_name", 1, 1)
     usable = uses.filter((F.col("type_name") != "") & ~((first == F.lower(first)) & (first != F.upper(first))))
     return (
-        usable.join(alias, (usable["module"] == alias["module"]) & (F.col("type_name") == F.col("_alias")), "left")
-        .select(usable["source"], usable["type_name"], "_by_import")
-        .join(ends, F.col("type_name") == F.col("_end"), "left")
-        .select("source", "type_name", F.coalesce("_by_import", "_by_end").alias("target"))
+        usable.join(alias, [*by, "module", "type_name"], "left").join(ends, [*by, "type_name"], "left")
+        .select(*by, "source", "type_name", F.coalesce("_by_import", "_by_end").alias("target"))
         .filter(F.col("target").isNotNull())
     )
 

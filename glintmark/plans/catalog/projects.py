@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
-from glintmark.operators import analyzers, prefix, quality, reports
-from glintmark.operators import graph as G
+from glintmark.operators import prefix, quality, reports
 from glintmark.plans import project
 from glintmark.plans.catalog.registry import query
 from glintmark.plans.views import sql_with, table, view
@@ -188,11 +187,6 @@ def maintainability_index(spark, sf):
 
 @query()
 def source_quality(spark, sf):
-    """Whole quality plan over Python sources: analyse, link, score, per project."""
-    src = view(spark, sf, "python_sources")
-    metrics = settle(analyzers.file_metrics(src), "metrics")
-    by_path = metrics.join(src.select("path", "project"), "path")
-    edges = settle(project.reference_edges(metrics), "references").withColumn("project", F.lit("all"))
-    components = G.cyclic_components(edges, "source", "target").withColumn("project", F.lit("all"))
-    scores = quality.dimension_scores(quality.project_rollup(by_path.withColumn("project", F.lit("all")), edges, components))
+    """Whole quality plan over Python sources: analyse, link, find cycles and score each project in one job."""
+    scores, _ = project.score_files(view(spark, sf, "python_sources").select("project", "path", "text"))
     return scores.select("project", "dim", F.round("score", 4).alias("score"))

@@ -131,3 +131,12 @@ def test_project_plan(spark):
         spark.createDataFrame(list(src.items()), "path string, text string"))).collect()}
     assert refs == {("a.x", "a"), ("a.y", "a.x"), ("a.x.f", "a.y.Item")}
     assert 0 < index.first().composite <= 100
+
+
+def test_names_resolve_inside_their_project(spark):
+    files = [("a", "src/m.py", "class Item:\n    pass\n"), ("a", "src/n.py", "import m\ndef f(x: Item) -> Thing:\n    return x\n"),
+             ("b", "src/m.py", "class Thing:\n    pass\n"), ("b", "src/n.py", "def f(x: Item):\n    return x\n")]
+    analyzers = __import__("glintmark.operators.analyzers", fromlist=["x"])
+    metrics = analyzers.file_metrics(spark.createDataFrame(files, "project string, path string, text string"), ["project"])
+    refs = {(r.project, r.source.rsplit(".", 1)[-1], r.target.rsplit(".", 1)[-1]) for r in project.reference_edges(metrics, ["project"]).collect()}
+    assert refs == {("a", "n", "m"), ("a", "f", "Item")}
