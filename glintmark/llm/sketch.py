@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.llm.common import partitions, slices, texts
@@ -113,6 +115,24 @@ def edited_text(text: str, following: str) -> str:
     return text[:len(text) - cut] + following[:cut]
 
 
+def _below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted ``cuts`` are smaller: first whole blocks of them, then inside one block, so a row compares with 2 x sqrt of their number."""
+    if not cuts:
+        return F.lit(0)
+    width = math.isqrt(len(cuts)) + 1
+    blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
+
+    def literal(x: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(x)), kind)
+
+    def smaller(x: Column) -> Column:
+        return F.size(F.filter(x, lambda c: c < value))
+
+    whole = smaller(literal([b[-1] for b in blocks], "array<bigint>"))
+    inside = F.coalesce(F.get(literal(blocks, "array<array<bigint>>"), whole), F.array().cast("array<bigint>"))
+    return F.least(whole * width, F.lit(len(cuts))) + smaller(inside)
+
+
 def _in_order(rows: DataFrame, parts: int) -> DataFrame:
     """Rows of (doc_id, text) dealt to ranges of descending id and sorted there, each range ended by a copy of the next range's first row.
 
@@ -122,8 +142,7 @@ def _in_order(rows: DataFrame, parts: int) -> DataFrame:
     spark = rows.sparkSession
     cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts or []))
-    number = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(
-        F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)).cast("int")
+    number = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - _below(cuts, F.col("doc_id"))).cast("int")
     ranged = rows.select(number.alias("range"), "doc_id", F.xxhash64("text").alias("tie"), "text")
     firsts = sorted((r["range"], r["first"]) for r in ranged.groupBy("range").agg(F.max("doc_id").alias("first")).collect())
     own = ranged.withColumn("ahead", F.lit(False))
@@ -163,5 +182,5 @@ def edited_fingerprints(docs: DataFrame, words: int = 5, scale: int = SCALE, lea
                 held = None if ahead else (doc_id, text, own)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    ordered = _in_order(rows, 4 * partitions(docs)).select("ahead", "doc_id", "text")
+    ordered = _in_order(rows, min(4 * partitions(docs), 1 << 16)).select("ahead", "doc_id", "text")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -81,8 +81,8 @@ def test_fingerprints_equal_brute_force(odd_rows):
 
 
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
-@pytest.mark.parametrize("crowd", [2, 32])
-def test_links_keep_every_connection(spark, distance, crowd):
+@pytest.mark.parametrize("crowd, most_keys", [(2, 0), (32, 10**6), (32, 0)])
+def test_links_keep_every_connection(spark, distance, crowd, most_keys):
     rng = random.Random(distance)
     fps = {0, 1, (1 << 64) - 1}
     for _ in range(12):  # clusters, chains and strangers
@@ -93,7 +93,7 @@ def test_links_keep_every_connection(spark, distance, crowd):
             fps.add(base)
     fps |= {b for f in list(fps)[:3] for b in (f ^ (1 << i) for i in range(40))}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, crowd)
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), distance, crowd, most_keys)
     pairs = [tuple(r) for r in found.collect()]
     assert all(0 < ((a ^ b) % (1 << 64)).bit_count() <= distance for a, b in pairs)
     root = {r.node % (1 << 64): r.root % (1 << 64) for r in components(found).collect()}
@@ -127,6 +127,7 @@ def test_near_duplicates_of_odd_rows(odd, none, odd_rows):
     assert {r.doc_id for r in kept if r.doc_id is not None} == set(least.values())
     assert sum(r.doc_id is None for r in kept) == 2
     assert kept[0].asDict().keys() == set(odd.columns)
+    assert sorted(map(repr, simhash.near_dedup(odd, most_ids=0).collect())) == sorted(map(repr, kept))
     assert simhash.near_duplicates(none).collect() == [] and simhash.near_dedup(none).collect() == []
 
 
@@ -179,6 +180,13 @@ def test_edited_fingerprints(spark, odd, none, odd_rows, rows):
     assert sorted(r.fingerprint for r in sketch.sketches(df).collect()) == sorted(w[3] for w in want)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 9, 100])
+def test_ranges_are_found_in_blocks(spark, n):
+    cuts = sorted(random.Random(n).sample(range(-500, 500), n))
+    rows = spark.range(-510, 510).select("id", sketch._below(cuts, F.col("id")).alias("k")).collect()
+    assert all(r.k == sum(c < r.id for c in cuts) for r in rows)
+
+
 def test_likeness_is_near_the_true_one(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = {r.doc_id: r for r in queries.op10_fingerprints(spark, sf).collect()}
