@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from glintmark.functions import constants as K
 from glintmark.operators import prefix, quality, reports
 from glintmark.plans import project
 from glintmark.plans.catalog.registry import query
@@ -93,8 +92,9 @@ def dimension_scores(spark, sf):
 
 
 def _composite_sql(source: str) -> str:
-    ln = " + ".join(f"{w} * ln(max(greatest(1, score)) FILTER (dim = '{d}'))" for d, w in zip(K.DIMENSIONS, K.WEIGHT_PROFILES["production"]))
-    pen = " * ".join(f"(CASE WHEN max(greatest(1, score)) FILTER (dim = '{d}') < 20 THEN 1 - 0.3::DOUBLE * (20 - max(greatest(1, score)) FILTER (dim = '{d}')) / 20 ELSE 1 END)" for d in K.DIMENSIONS)
+    weights = {"maintainability": 0.2, "security": 0.15, "modularity": 0.15, "testability": 0.15, "robustness": 0.13, "elegance": 0.12, "reusability": 0.1}  # fixed values of the profile, written out
+    ln = " + ".join(f"{w} * ln(max(greatest(1, score)) FILTER (dim = '{d}'))" for d, w in weights.items())
+    pen = " * ".join(f"(CASE WHEN max(greatest(1, score)) FILTER (dim = '{d}') < 20 THEN 1 - 0.3::DOUBLE * (20 - max(greatest(1, score)) FILTER (dim = '{d}')) / 20 ELSE 1 END)" for d in weights)
     return f"""q AS (SELECT project, exp({ln}) AS gm, greatest(0.3::DOUBLE, {pen}) AS pen FROM {source} GROUP BY project),
 q2 AS (SELECT project, least(100, gm * pen) AS c, pen FROM q)
 SELECT project, round(c, 6) AS composite, round(pen, 6) AS floor_penalty, CASE WHEN c >= 80 THEN 'Excellent' WHEN c >= 65 THEN 'Good' WHEN c >= 55 THEN 'Adequate' WHEN c >= 31 THEN 'Acceptable' ELSE 'Poor' END AS quality_band FROM q2"""

@@ -18,15 +18,34 @@ _CALLS = sql_with("llm_calls")
 _SLICE = 1 << 8
 
 
-def _map_sql(pairs: dict, key: str) -> str:
-    return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN {v if isinstance(v, float) else repr(v)}" for k, v in pairs.items()) + " END"
-
-
-_ALIAS = _map_sql(K.MODEL_ALIASES, "split_part(model, ':', 2)")
-_WIRE = _map_sql({f"{p}:{m}": w for p, m, w in K.PROVIDER_MODELS}, "split_part(model, ':', 1) || ':' || canonical")
-_PRICED = f"""named AS (SELECT *, coalesce({_ALIAS}, split_part(model, ':', 2)) AS canonical FROM llm_calls),
-keyed AS (SELECT *, split_part(model, ':', 1) || ':' || coalesce({_WIRE}, canonical) AS model_resolved FROM named),
-prices(price_key, price_in, price_out) AS (VALUES {", ".join(f"('{k}', {i:.9f}::DECIMAL(10,9), {o:.9f}::DECIMAL(10,9))" for k, i, o in K.PRICES)}),
+# Fixed values, written out here so that the twins do not share them with the code under test.
+_PRICED = """named AS (SELECT *, coalesce(CASE split_part(model, ':', 2) WHEN 'claude-sonnet' THEN 'claude-sonnet-4.6' WHEN 'claude-opus' THEN 'claude-opus-4.6' WHEN 'claude-haiku' THEN 'claude-haiku-4.5' WHEN 'gpt' THEN 'gpt-5.5' WHEN 'gpt-mini' THEN 'gpt-5.4-mini' WHEN 'o3' THEN 'o3' END,
+ split_part(model, ':', 2)) AS canonical FROM llm_calls),
+keyed AS (SELECT *, split_part(model, ':', 1) || ':' || coalesce(CASE split_part(model, ':', 1) || ':' || canonical WHEN 'anthropic:claude-sonnet-4.6' THEN 'claude-sonnet-4-6'
+ WHEN 'anthropic:claude-opus-4.6' THEN 'claude-opus-4-6'
+ WHEN 'anthropic:claude-haiku-4.5' THEN 'claude-haiku-4-5'
+ WHEN 'claude:claude-sonnet-4.6' THEN 'claude-sonnet-4-6'
+ WHEN 'claude:claude-opus-4.6' THEN 'claude-opus-4-6'
+ WHEN 'claude:claude-haiku-4.5' THEN 'claude-haiku-4-5'
+ WHEN 'foundry:gpt-5.5' THEN 'gpt-5.4'
+ WHEN 'foundry:gpt-5.4-mini' THEN 'gpt-5-mini' END, canonical) AS model_resolved FROM named),
+prices(price_key, price_in, price_out) AS (VALUES ('copilot:claude-opus-4.6', 0.000005000::DECIMAL(10,9), 0.000025000::DECIMAL(10,9)),
+ ('copilot:claude-sonnet-4.6', 0.000003000::DECIMAL(10,9), 0.000015000::DECIMAL(10,9)),
+ ('copilot:claude-haiku-4.5', 0.000001000::DECIMAL(10,9), 0.000005000::DECIMAL(10,9)),
+ ('copilot:gpt-5.5', 0.000002000::DECIMAL(10,9), 0.000010000::DECIMAL(10,9)),
+ ('claude:claude-opus-4-6', 0.000005000::DECIMAL(10,9), 0.000025000::DECIMAL(10,9)),
+ ('claude:claude-sonnet-4-6', 0.000003000::DECIMAL(10,9), 0.000015000::DECIMAL(10,9)),
+ ('claude:claude-haiku-4-5', 0.000001000::DECIMAL(10,9), 0.000005000::DECIMAL(10,9)),
+ ('codex:gpt-5.5', 0.000002000::DECIMAL(10,9), 0.000010000::DECIMAL(10,9)),
+ ('openai:gpt-5.5', 0.000002000::DECIMAL(10,9), 0.000010000::DECIMAL(10,9)),
+ ('openai:gpt-5.4-mini', 0.000000400::DECIMAL(10,9), 0.000001600::DECIMAL(10,9)),
+ ('openai:o3', 0.000002000::DECIMAL(10,9), 0.000008000::DECIMAL(10,9)),
+ ('anthropic:claude-opus-4-6', 0.000005000::DECIMAL(10,9), 0.000025000::DECIMAL(10,9)),
+ ('anthropic:claude-sonnet-4-6', 0.000003000::DECIMAL(10,9), 0.000015000::DECIMAL(10,9)),
+ ('anthropic:claude-haiku-4-5', 0.000001000::DECIMAL(10,9), 0.000005000::DECIMAL(10,9)),
+ ('foundry:gpt-5.4', 0.000002750::DECIMAL(10,9), 0.000016500::DECIMAL(10,9)),
+ ('foundry:gpt-5-mini', 0.000000275::DECIMAL(10,9), 0.000002200::DECIMAL(10,9)),
+ ('foundry:gpt-5-nano', 0.000000055::DECIMAL(10,9), 0.000000440::DECIMAL(10,9))),
 priced AS (SELECT k.*, tokens_in * price_in + tokens_out * price_out AS cost_usd FROM keyed k JOIN prices p ON k.model_resolved = p.price_key)"""
 
 
@@ -47,8 +66,8 @@ def cost_totals(spark, sf):
 
 @query(f"""{_CALLS}, {_PRICED}, listed AS (
  SELECT provider, alias, provider || ':' || coalesce(wire, canonical) AS price_key FROM (SELECT p.provider, a.alias, a.canonical, w.wire
-  FROM (VALUES {", ".join(f"('{p}')" for p in K.PROVIDERS)}) p(provider) CROSS JOIN (VALUES {", ".join(f"('{a}', '{m}')" for a, m in K.MODEL_ALIASES.items())}) a(alias, canonical)
-  LEFT JOIN (VALUES {", ".join(f"('{p}', '{m}', '{w}')" for p, m, w in K.PROVIDER_MODELS)}) w(provider, model, wire) ON w.provider = p.provider AND w.model = a.canonical)),
+  FROM (VALUES ('anthropic'), ('claude'), ('copilot'), ('openai'), ('codex'), ('foundry')) p(provider) CROSS JOIN (VALUES ('claude-sonnet', 'claude-sonnet-4.6'), ('claude-opus', 'claude-opus-4.6'), ('claude-haiku', 'claude-haiku-4.5'), ('gpt', 'gpt-5.5'), ('gpt-mini', 'gpt-5.4-mini'), ('o3', 'o3')) a(alias, canonical)
+  LEFT JOIN (VALUES ('anthropic', 'claude-sonnet-4.6', 'claude-sonnet-4-6'), ('anthropic', 'claude-opus-4.6', 'claude-opus-4-6'), ('anthropic', 'claude-haiku-4.5', 'claude-haiku-4-5'), ('claude', 'claude-sonnet-4.6', 'claude-sonnet-4-6'), ('claude', 'claude-opus-4.6', 'claude-opus-4-6'), ('claude', 'claude-haiku-4.5', 'claude-haiku-4-5'), ('foundry', 'gpt-5.5', 'gpt-5.4'), ('foundry', 'gpt-5.4-mini', 'gpt-5-mini')) w(provider, model, wire) ON w.provider = p.provider AND w.model = a.canonical)),
 rows AS (SELECT l.provider, l.alias, l.price_key, p.price_in::DOUBLE AS price_in, p.price_out::DOUBLE AS price_out FROM listed l LEFT JOIN prices p USING (price_key)
  UNION ALL SELECT split_part(price_key, ':', 1), NULL, price_key, price_in::DOUBLE, price_out::DOUBLE FROM prices WHERE price_key NOT IN (SELECT price_key FROM listed)),
 used AS (SELECT model_resolved AS price_key, count(*) AS n FROM priced GROUP BY 1)
