@@ -106,8 +106,11 @@ def test_tree_to_manifest(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(body)
     tree = files.read_tree(spark, str(tmp_path), 50).withColumn("text", files.text_content())
-    got = {r.path: (r.language, r.weight, r.tokens) for r in files.inventory(tree).collect()}
+    got = {r.path: (r.language, r.weight, r.tokens) for r in files.inventory(tree, max_bytes=50).collect()}
     assert got == {"src/auth.py": ("python", 6, 1), "README": ("other", 0, 1)}
+    assert {tuple(r) for r in files.inventory_losses(tree, max_bytes=50).collect()} == {("src/big.py", 100, "too_large"), ("obj/a.py", 1, "excluded")}
+    assert {r.path: r.content for r in files.read_tree(spark, str(tmp_path), 50).collect()}["src/big.py"] is None
+    assert {r.path: bytes(r.content) for r in files.read_tree(spark, str(tmp_path), None).collect()}["src/big.py"] == b"y" * 100
 
 
 def test_specs(spark):
