@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glintmark.llm.common import slices, texts
+from glintmark.llm.common import partitions, slices, texts
 from glintmark.llm.components import components
 from glintmark.session import settle
 
@@ -50,15 +50,18 @@ def _variants(fps: DataFrame, distance: int) -> DataFrame:
     """Every fingerprint under each of its 64 keys: a segment with one of its bits left out.
 
     With ``distance // 2 + 1`` segments, two fingerprints within the distance differ by at most one bit in some
-    segment, so they share the key that leaves this bit out.
+    segment, so they share the key that leaves this bit out. A key is the bit's number above the rest of the segment
+    in one long; a single segment of 64 bits is hashed, which can only add candidates.
     """
     count = distance // 2 + 1
     edges = [BITS * i // count for i in range(count + 1)]
-    shift = "CASE " + " ".join(f"WHEN bit < {hi} THEN shiftrightunsigned(fp, {lo})" for lo, hi in zip(edges, edges[1:], strict=False)) + " END"
-    width = "CASE " + " ".join(f"WHEN bit < {hi} THEN {(1 << (hi - lo)) - 1 if hi - lo < 64 else -1}L" for lo, hi in zip(edges, edges[1:], strict=False)) + " END"
-    place = "CASE " + " ".join(f"WHEN bit < {hi} THEN bit - {lo}" for lo, hi in zip(edges, edges[1:], strict=False)) + " END"
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
-        "bit", F.expr(f"({shift}) & ({width}) & ~shiftleft(1L, {place})").alias("rest"), "fp")
+    spans = list(zip(edges, edges[1:], strict=False))
+    shift = "CASE " + " ".join(f"WHEN bit < {hi} THEN shiftrightunsigned(fp, {lo})" for lo, hi in spans) + " END"
+    width = "CASE " + " ".join(f"WHEN bit < {hi} THEN {(1 << (hi - lo)) - 1 if count > 1 else -1}L" for lo, hi in spans) + " END"
+    place = "CASE " + " ".join(f"WHEN bit < {hi} THEN bit - {lo}" for lo, hi in spans) + " END"
+    rest = f"({shift}) & ({width}) & ~shiftleft(1L, {place})"
+    key = f"shiftleft(cast(bit AS bigint), 32) | ({rest})" if count > 1 else f"xxhash64(bit, {rest})"
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(F.expr(key).alias("key"), "fp")
 
 
 def _ball(radius: int) -> list[int]:
@@ -85,27 +88,30 @@ def _hub_links(fps: DataFrame, distance: int) -> DataFrame:
     return at.join(least, "hub").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, distance: int = 2, crowd: int = 32) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, crowd: int = 32, most_keys: int = 1_000_000) -> DataFrame:
     """``a`` and ``b``: links between distinct fingerprints of at most ``distance`` (0 to 3) differing bits.
 
-    Keys are counted first, with a map-side step. A key of two gives its pair at once; fingerprints of keys up to
-    ``crowd`` meet by an equality join and are verified; those of more crowded keys are linked without pairs by
-    ``_hub_links``, which keeps every connection, so no link is lost to the limit.
+    Keys are counted first, with a map-side step, so a hot key sends one row per task. A key of two gives its pair at
+    once. Keys of more fetch their members; those up to ``crowd`` meet by an equality join and are verified; the
+    fingerprints of more crowded keys are linked without pairs by ``_hub_links``, which keeps every connection, so
+    no link is lost to the limit. The keys of more than two are broadcast while there are at most ``most_keys`` (16
+    bytes each), else joined by shuffle; the result is the same.
     """
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    keys = ["bit", "rest"]
-    shared = settle(_variants(fps, distance).groupBy(*keys).agg(
+    base = fps.select("fp").repartition(partitions(fps), "fp")
+    shared = settle(_variants(base, distance).groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "keys")
     within = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     out = shared.filter("n = 2").filter(within).select("a", "b")
-    if not shared.filter("n > 2").isEmpty():
-        few = _variants(fps, distance).join(shared.filter(f"n > 2 AND n <= {crowd}").select(*keys), keys)
-        pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), keys).filter("a < b").filter(within)
-        out = out.unionByName(pairs.select("a", "b"))
-    if not shared.filter(f"n > {crowd}").isEmpty():
-        many = _variants(fps, distance).join(shared.filter(f"n > {crowd}").select(*keys), keys, "left_semi").select("fp").distinct()
-        out = out.unionByName(_hub_links(settle(many, "crowd"), distance))
+    wanted = settle(shared.filter("n > 2").select("key", "n"), "wanted")
+    count = wanted.count()
+    if count:
+        members = settle(_variants(base, distance).join(F.broadcast(wanted) if count <= most_keys else wanted, "key"), "members")
+        few = members.filter(F.col("n") <= crowd).select("key", "fp")
+        pairs = few.withColumnRenamed("fp", "a").join(few.withColumnRenamed("fp", "b"), "key").filter("a < b").filter(within)
+        many = members.filter(F.col("n") > crowd).select("fp").distinct()
+        out = out.unionByName(pairs.select("a", "b")).unionByName(_hub_links(settle(many, "crowd"), distance))
     return settle(out.distinct(), "links")
 
 
