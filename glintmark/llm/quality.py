@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintmark.llm.common import slices, texts
+from glintmark.llm.common import chosen, slices, texts
 
 # Classes of bytes: lower, upper, digit, space, line end, sentence signs, quotes and brackets, other signs, other letters.
 _KINDS = 9
@@ -113,22 +113,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not shares["ones"]:
         return Model(None, None, None, 0.5)
 
-    def least(df: DataFrame, n: int) -> DataFrame:
-        return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-
     rows = texts(docs, id_col, text_col)
-    some = least(rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out_fold)), max_unlabelled)
-    ones = least(known.filter("label = 1").select("doc_id").distinct(), max_positive)
+    some = chosen(rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out_fold)), max_unlabelled)
+    ones = chosen(known.filter("label = 1").select("doc_id").distinct(), max_positive)
     wanted = some.distinct().withColumn("role", F.lit(0)).unionByName(ones.withColumn("role", F.lit(1)))
     wanted = wanted.groupBy("doc_id").agg(F.max("role").alias("positive"), F.min("role").alias("role"))  # bounded by the two limits
-    chosen = rows.join(F.broadcast(wanted), "doc_id")
+    sampled = rows.join(F.broadcast(wanted), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             values = [features(t).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(values, pa.binary())], ["positive", "role", "x"])
 
-    got = chosen.select("text", "positive", "role").mapInArrow(run, "positive int, role int, x binary").toPandas()
+    got = sampled.select("text", "positive", "role").mapInArrow(run, "positive int, role int, x binary").toPandas()
     if not len(got):
         return Model(None, None, None, 0.5)
     x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), WIDTH).astype(float)
