@@ -136,12 +136,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, most_ids: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, columns unchanged.
 
-    Rows that share an id are one document and stay or go together; rows without an id cannot be named and stay.
+    Rows that share an id are one document, which stays if one of them names its component; rows without an id
+    cannot be named and stay. The ids that go are broadcast while there are at most ``most_ids`` (8 bytes each), so
+    the texts are not shuffled; else they are joined by shuffle, with the same result.
     """
-    found = near_duplicates(docs, id_col, text_col, words, distance)
-    stay = settle(found.filter("doc_id = component_id").select("component_id").distinct(), "stay")
-    kept = docs.join(stay, F.col(id_col).cast("long") == F.col("component_id"), "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = settle(near_duplicates(docs, id_col, text_col, words, distance).filter("doc_id IS NOT NULL"), "found")
+    stay = found.filter("doc_id = component_id").select("doc_id")
+    gone = settle(found.filter("doc_id <> component_id").select("doc_id").distinct().join(stay, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone")), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= most_ids else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
