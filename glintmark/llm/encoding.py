@@ -65,12 +65,13 @@ class PerWord:
                 and cuts[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             self.kind = "dropped"
         self._odd = re.compile(r"[\x1c-\x1f]")
-        self._loose = re.compile(r"\s\s|[^\S \n]")
+        self._other = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
         self._cut = re.compile(r"(?<!\s)(?= )")
         self._plain = re.compile(f"[{_LETTERS}]+")
         shown = byte_letters()
         self._shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(256)}
         self.cores, self.tails, self.known = Words(self._core, most), Words(self._tail, most // 8), Words(self.word, most // 8)
+        self.heads = Words(self._head, most // 8)
 
     def part(self, pretoken: str):
         raise NotImplementedError
@@ -84,11 +85,15 @@ class PerWord:
             return None
         return self.part((" " + core if self.kind == "spaced" else core.lower()).translate(self._shown))
 
+    def _head(self, core: str):
+        """As ``_core``, for the first word of a line, which has no space before it."""
+        return self.part(core.translate(self._shown)) if self._plain.fullmatch(core) else None
+
     def _tail(self, tail: str):
         return self.part(tail.translate(self._shown))
 
-    def _line(self, words: list[str], space: str, out: list) -> None:
-        cores, tails, known = self.cores, self.tails, self.known
+    def _line(self, words: list[str], cores: Words, space: str, out: list) -> None:
+        tails, known = self.tails, self.known
         for w in words:
             core = w.rstrip(_SIGNS)
             value = cores[core]
@@ -102,20 +107,23 @@ class PerWord:
     def values(self, text: str) -> list:
         """One value or more for each word of a whole text, in order."""
         out: list = []
-        if self.kind == "whole" or self._odd.search(text):
+        if self.kind == "whole":
+            return [self.word(text)]
+        other = self._other.search(text)
+        if other and self._odd.search(text):
             return [self.word(text)]
         if self.kind == "dropped":
-            self._line(text.split(), "", out)
-        elif self._loose.search(text):
+            self._line(text.split(), self.cores, "", out)
+        elif other or "  " in text or " \n" in text or "\n\n" in text or "\n " in text:
             out += [self.known[w] for w in self._cut.split(text)]
-        else:
+        else:  # every white space is a single space or line end
             for i, line in enumerate(text.split("\n")):
                 if i:
                     out.append(self.known["\n"])
                 first, *rest = line.split(" ")
                 if first:
-                    out.append(self.known[first])
-                self._line(rest, " ", out)
+                    self._line([first], self.heads, "", out)
+                self._line(rest, self.cores, " ", out)
         return out
 
 
