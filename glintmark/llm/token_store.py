@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glintmark.llm.common import partitions, slices, texts
+from glintmark.llm.common import chosen, partitions, slices, texts
 from glintmark.llm.encoding import Encoder, shared
 from glintmark.session import Scratch
 
@@ -42,7 +42,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int | None = 0, s
     At most ``samples`` x ``sample_bytes`` bytes reach the driver; only the training sees shortened arrays. Too few
     or too small samples give no dictionary: empty bytes, and frames are then compressed without one.
     """
-    chosen = texts(docs, id_col, text_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(samples)
+    some = chosen(texts(docs, id_col, text_col), samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = shared(Encoder, vocabulary), _width(vocabulary)
@@ -50,7 +50,7 @@ def train_dictionary(docs: DataFrame, vocabulary: str, end_id: int | None = 0, s
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_serialised(encoder.ids(t) + tail, width)[:sample_bytes] for t in b.column(1).to_pylist()], pa.binary())], ["ids"])
 
-    arrays = [bytes(r["ids"]) for r in chosen.mapInArrow(run, "ids binary").collect()]
+    arrays = [bytes(r["ids"]) for r in some.mapInArrow(run, "ids binary").collect()]
     if sum(map(len, arrays)) < 8 * size or len(arrays) < 16:
         size = sum(map(len, arrays)) // 8
     if len(arrays) < 16 or size < 1024:
