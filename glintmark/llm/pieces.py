@@ -42,8 +42,14 @@ class Pieces:
             elif not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)):
                 self.ids[piece] = i
                 self.ranks[piece] = -self.library.get_score(i)
-        self.of_byte = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.ids))
+        for b, i in self.bytes.items():
+            if b < 128:
+                self.texts[i] = chr(b)  # a byte that is a character by itself
+        self.of_byte = {i: b for b, i in self.bytes.items() if b >= 128}
+        self.mark = {i for i, t in enumerate(self.texts) if t.startswith(MARK)}
+        # Every end of a piece of two characters or more, and whether it is a piece itself: where no piece ends so, none longer does.
+        self.ends = {p[k:]: False for p in self.ids for k in range(len(p) - 1)}
+        self.ends |= {p: True for p in self.ids if len(p) > 1}
         self.whole = any(MARK in p.lstrip(MARK) for p in self.ids)  # pieces across words: no cutting then
         self.allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
@@ -80,12 +86,20 @@ class Pieces:
         return known
 
     def _last(self, word: str, end: int, last: list[str]) -> str:
-        """Last piece of the encoding of ``word[:end]``, given those of all shorter prefixes."""
-        for n in range(min(self.longest, end), 1, -1):
-            piece = word[end - n:end]
-            if piece in self.ranks and self._allows(last[end - n], piece):
+        """Last piece of the encoding of ``word[:end]``, given those of all shorter prefixes: the only one that its left neighbour allows."""
+        allowed, ends = self.allowed, self.ends
+        piece, start = word[end - 1], end - 1
+        while True:
+            key = (last[start], piece)
+            known = allowed.get(key)
+            if known or known is None and self._allows(*key):
                 return piece
-        return word[end - 1]
+            start -= 1
+            while not (is_piece := ends.get(word[start:end]) if start >= 0 else None):
+                if is_piece is None:
+                    return self.merged(word[:end])[-1]  # a model whose merges pairs do not settle
+                start -= 1
+            piece = word[start:end]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Pieces of every word; the words are visited in trie order and share the states of common prefixes."""
@@ -125,17 +139,21 @@ class Pieces:
     def decode(self, ids: bytes) -> str:
         """Text of ids: marks become spaces, the one set before the text goes, runs of byte pieces are read as UTF-8."""
         out, run = [], bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            if i in self.of_byte:
-                run.append(self.of_byte[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            out.append(self.texts[i])
-        out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
-        return (text[1:] if ids and self.texts[int(np.frombuffer(ids[:4], "<u4")[0])].startswith(MARK) else text).replace(MARK, " ")
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.of_byte.keys().isdisjoint(numbers):
+            text = "".join([self.texts[i] for i in numbers])
+        else:
+            for i in numbers:
+                if i in self.of_byte:
+                    run.append(self.of_byte[i])
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run.clear()
+                out.append(self.texts[i])
+            out.append(run.decode("utf-8", "replace"))
+            text = "".join(out)
+        return (text[1:] if numbers and numbers[0] in self.mark else text).replace(MARK, " ")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
@@ -158,14 +176,33 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, ids binary, ids_crc32 long")
 
 
+_BACK = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("text", pa.string()), ("text_sha256", pa.string())])
+_BACK_SQL = "doc_id long, n_pieces long, ids_crc32 long, text string, text_sha256 string"
+
+
+def _decoded(pieces: Pieces, doc_ids: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    out = [pieces.decode(i) for i in ids]
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(out, pa.string()),
+                                       pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out], pa.string())], schema=_BACK)
+
+
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """``doc_id``, ``n_pieces``, ``ids_crc32``, ``text`` and its lower-case hex ``text_sha256`` from rows of ``encode_pieces``."""
+    """``doc_id``, ``n_pieces``, ``ids_crc32``, ``text`` and its lower-case hex ``text_sha256`` from ``doc_id`` and ``ids``; null ids decode to empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared(Pieces, model)
         for b in slices(batches):
-            out = [pieces.decode(i or b"") for i in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.string()),
-                                              pa.array([hashlib.sha256(t.encode()).hexdigest() for t in out], pa.string())], ["doc_id", "n_pieces", "ids_crc32", "text", "text_sha256"])
+            yield _decoded(pieces, b.column(0), [i or b"" for i in b.column(1).to_pylist()])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, _BACK_SQL)
+
+
+def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rows: int = 1024) -> DataFrame:
+    """``decode_pieces`` of ``encode_pieces`` in one pass, so that ids need not leave the Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared(Pieces, model)
+        for b in slices(batches, rows):
+            yield _decoded(pieces, b.column(0), pieces.encode(b.column(1).to_pylist()))
 
-    return encoded.select("doc_id", "n_pieces", "ids_crc32", "ids").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text string, text_sha256 string")
+    return texts(docs, id_col, text_col).mapInArrow(run, _BACK_SQL)

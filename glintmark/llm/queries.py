@@ -96,7 +96,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every whole text, and the text read back from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = pieces.decode_pieces(pieces.encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    back = pieces.round_trip(_table(spark, sf_dir, "documents"), model)
     return back.select("doc_id", "n_pieces", "ids_crc32", F.length("text").cast("long").alias("decoded_chars"), F.col("text_sha256").alias("decoded_sha256"))
 
 

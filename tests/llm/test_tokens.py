@@ -205,7 +205,8 @@ def test_pieces_table(odd, none, odd_rows):
     rows = pieces.decode_pieces(pieces.encode_pieces(odd, PIECE, rows=4), PIECE).collect()
     want = sorted((-1 if i is None else i, zlib.crc32(u4(library.encode(t or ""))), library.decode(library.encode(t or ""))) for i, t in odd_rows)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.ids_crc32, r.text) for r in rows) == want
-    assert pieces.decode_pieces(pieces.encode_pieces(none, PIECE), PIECE).collect() == []
+    assert sorted(map(repr, pieces.round_trip(odd, PIECE, rows=3).collect())) == sorted(map(repr, rows))
+    assert pieces.decode_pieces(pieces.encode_pieces(none, PIECE), PIECE).collect() == [] and pieces.round_trip(none, PIECE).collect() == []
 
 
 def test_pieces_query_equals_the_library(spark, sf):
