@@ -143,7 +143,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cannot be named and stay. The ids that go are broadcast while there are at most ``most_ids`` (8 bytes each), so
     the texts are not shuffled; else they are joined by shuffle, with the same result.
     """
-    found = settle(near_duplicates(docs, id_col, text_col, words, distance).filter("doc_id IS NOT NULL"), "found")
+    return rows_that_stay(docs, near_duplicates(docs, id_col, text_col, words, distance).filter("doc_id IS NOT NULL"), id_col, most_ids)
+
+
+def rows_that_stay(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most_ids: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose id names a component of ``found`` (``doc_id``, ``component_id``) or is not in it."""
+    found = settle(found.select("doc_id", "component_id"), "found")
     stay = found.filter("doc_id = component_id").select("doc_id")
     gone = settle(found.filter("doc_id <> component_id").select("doc_id").distinct().join(stay, "doc_id", "left_anti").select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= most_ids else gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
