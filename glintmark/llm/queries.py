@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glintmark.llm import chat, exact, packing, pieces, quality, simhash, sketch, token_counts, token_store, warc
+from glintmark.llm import chat, embeddings, exact, infilling, packing, pieces, quality, simhash, sketch, spelling, token_counts, token_store, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,80 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of every text and its edited text, and their likeness."""
     return sketch.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+# The polynomial and start value of crc32.
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))),
+found AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+hexed AS (SELECT run, n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS hx FROM found WHERE length(run) >= 5),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hx), 2), lambda k: CAST('0x' || substr(hx, k, 2) AS BIGINT))),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS h FROM hexed, crc),
+results AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM results WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words),
+masked AS MATERIALIZED (SELECT word, substr(word, 1, k - 1) || '*' || substr(word, k + 1) AS mask FROM places),
+cut AS (SELECT DISTINCT word, substr(word, 1, k - 1) || substr(word, k + 1) AS part FROM places),
+shorter AS (SELECT cut.word AS a, words.word AS b FROM cut JOIN words ON part = words.word),
+near AS MATERIALIZED (
+  SELECT x.word AS a, y.word AS b FROM masked x JOIN masked y USING (mask) WHERE x.word <> y.word
+  UNION ALL SELECT a, b FROM shorter UNION ALL SELECT b, a FROM shorter),
+top AS (SELECT a, count(*) AS n_near, first(b ORDER BY words.n DESC, b) AS best FROM near JOIN words ON b = words.word GROUP BY a),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * w.n THEN f.word END AS form, CASE WHEN f.n >= 2 * w.n THEN f.n END AS form_n
+  FROM words w LEFT JOIN top ON a = w.word LEFT JOIN words f ON f.word = best),
+chain AS (
+  SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT word, n, n_near, form, form_n, coalesce(root, word) AS root FROM forms LEFT JOIN ends USING (word)
+"""
+
+
+@_query(OP11_SQL)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, how many are one edit away, and the form each is a variant of."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH units AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM units),
+shaped AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS lo, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS hi,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR d[3] % 100 >= 90 THEN 'plain' WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+cut AS (SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM shaped)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@_query(OP12_SQL)
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut for fill-in-middle training, and the digest of the text read back."""
+    return infilling.digests(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x, sound y WHERE x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counted ON counted.a = vec_id
+"""
+
+
+@_query(OP13_SQL)
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every embedding at a cosine of 0.95 or more, and the component they reach."""
+    return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"))
