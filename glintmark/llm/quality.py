@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glintmark.llm.common import chosen, slices, texts
+from glintmark.llm.common import slices, texts
+from glintmark.session import settle
 
 # Classes of bytes: lower, upper, digit, space, line end, sentence signs, quotes and brackets, other signs, other letters.
 _KINDS = 9
@@ -61,36 +62,102 @@ class Model:
     def score(self, rows: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(rows), self.base)
-        z = _expand((rows - self.centre) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return _sigmoid(expand((rows - self.centre) / self.scale) @ self.weights)
 
 
-def _expand(x: np.ndarray) -> np.ndarray:
+def expand(x: np.ndarray) -> np.ndarray:
     """Standardised values, bounded, with their squares and a constant."""
     x = np.clip(x, -8, 8)
     return np.concatenate([x, x * x / 8, np.ones((len(x), 1))], axis=1)
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.02, ridge: float = 1e-4) -> Model:
-    """Minimise the non-negative unbiased risk of a logistic scorer by Adam.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
-    The risk is prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]): unlabelled text stands for negatives
-    once the share that positives take in it is subtracted. Where this difference falls below zero, its gradient is
-    turned round, so that the scorer cannot win by fitting single unlabelled texts.
+
+@dataclass(frozen=True)
+class Sums:
+    """What one pass over the documents adds up for a scorer: all there is to know for a step, whatever their number.
+
+    Of the unlabelled: their number, loss as negatives, its gradient and curvature. Of the positives: their number,
+    losses as positives and as negatives, the sum of their values and the gradient of the loss as negatives.
     """
-    centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = _expand((positive - centre) / scale), _expand((unlabelled - centre) / scale)
-    w, first, second = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+
+    n_u: float
+    loss_u: float
+    grad_u: np.ndarray
+    curve_u: np.ndarray
+    n_p: float
+    loss_p: float
+    loss_p_as_negative: float
+    sum_p: np.ndarray
+    grad_p: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> Sums:
+        """Over expanded rows, all of them unlabelled text, some of them trusted positives as well."""
+        z = x @ w
+        s = _sigmoid(z)
+        p = z[positive]
+        return cls(len(x), float(np.logaddexp(0, z).sum()), x.T @ s, (x * (s * (1 - s))[:, None]).T @ x,
+                   len(p), float(np.logaddexp(0, -p).sum()), float(np.logaddexp(0, p).sum()), x[positive].sum(axis=0), x[positive].T @ s[positive])
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[self.n_u, self.loss_u, self.n_p, self.loss_p, self.loss_p_as_negative], self.grad_u, self.sum_p, self.grad_p, self.curve_u.ravel()])
+
+    @classmethod
+    def back(cls, v: np.ndarray) -> Sums:
+        d = int((np.sqrt(4 * len(v) - 11) - 3) / 2 + 0.5)  # 5 + 3d + d * d numbers
+        grad_u, sum_p, grad_p = v[5:5 + 3 * d].reshape(3, d)
+        return cls(v[0], v[1], grad_u, v[5 + 3 * d:].reshape(d, d), v[2], v[3], v[4], sum_p, grad_p)
+
+    def negative_risk(self, prior: float) -> float:
+        """Loss of the unlabelled as negatives less the share that positives take in it: the part that must not fall below zero."""
+        return self.loss_u / self.n_u - prior * self.loss_p_as_negative / self.n_p
+
+    def risk(self, prior: float, w: np.ndarray, ridge: float) -> float:
+        return prior * self.loss_p / self.n_p + max(0.0, self.negative_risk(prior)) + ridge * float(w @ w) / 2
+
+
+def fit_pu(sums: Callable[[np.ndarray], Sums], width: int, prior: float, ridge: float = 0.1, rounds: int = 20, enough: float = 1e-4) -> np.ndarray:
+    """Minimise the non-negative unbiased risk of a logistic scorer by Newton steps; ``sums`` makes one pass over the documents.
+
+    The risk is prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]): unlabelled text stands for negatives once
+    the share that positives take in it is subtracted. With the logistic loss l(z) - l(-z) = -z, so while this difference
+    is above zero the risk is convex, with gradient E_u[s x] - prior * E_p[x]. Below zero a scorer only fits single
+    unlabelled texts: a step that would lead there is turned along the border, where the difference is zero. Steps are
+    halved while they do not lower the risk plus a penalty for being below the border.
+    """
+    w = np.zeros(width)
     w[-1] = np.log(prior / (1 - prior))
-    for step in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-np.clip(p @ w, -40, 40))), 1 / (1 + np.exp(-np.clip(u @ w, -40, 40)))
-        as_positive = prior * (p.T @ (sp - 1)) / len(p)
-        as_negative = (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
-        risk = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
-        grad = (as_positive + as_negative if risk >= 0 else -as_negative) + ridge * w
-        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Model(centre, scale, w, prior)
+    now, step, penalty = sums(w), None, 1.0
+
+    def merit(s: Sums, at: np.ndarray) -> float:
+        negative = s.negative_risk(prior)
+        return prior * s.loss_p / s.n_p + negative + ridge * float(at @ at) / 2 + penalty * max(0.0, -negative)
+
+    for _ in range(rounds):
+        if step is None:
+            grad = now.grad_u / now.n_u - prior * now.sum_p / now.n_p + ridge * w
+            border = now.grad_u / now.n_u - prior * now.grad_p / now.n_p
+            curve = now.curve_u / now.n_u + ridge * np.eye(width)
+            step, turn = -np.linalg.solve(curve, grad), np.linalg.solve(curve, border)
+            below = now.negative_risk(prior) + border @ step
+            if below < 0 and border @ turn > 0:
+                force = below / (border @ turn)
+                step = step - force * turn
+                penalty = max(penalty, 2 * abs(force))
+        if np.abs(step).max() < enough:
+            break
+        then = sums(w + step)
+        gain = merit(now, w) - merit(then, w + step)
+        if gain >= 0:
+            w, now, step = w + step, then, None
+            if gain < enough:
+                break
+        else:
+            step = step / 2
+    return w
 
 
 def remainder(id_col: Column, folds: int = 5) -> Column:
@@ -98,62 +165,97 @@ def remainder(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        held_out_fold: int = 0, folds: int = 5, max_positive: int = 10_000, max_unlabelled: int = 20_000) -> Model:
-    """Learn from rows outside the held-out fold.
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``x`` (the features as floats) of every row, written to the shared folder; null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            values = [features(t).astype("<f4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.binary())], ["doc_id", "x"])
+
+    return settle(texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, x binary"), "features")
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, WIDTH).astype(float)
 
-    Trusted positives are labelled 1; the class prior is the share of 1 among labelled rows outside the fold; unlabelled
-    are documents of any kind outside the fold. At most ``max_positive`` and ``max_unlabelled`` documents, those with
-    the smallest hash of their id, are sampled, and only their features reach the driver. Null ids and null labels
-    are left out of the learning, repeated rows count each. Without positives, every score is 0.5.
+
+def _total(rows: DataFrame, size: int, one: Callable[[pa.RecordBatch], np.ndarray], groups: int = 16) -> np.ndarray:
+    """The sum over all rows of an array of ``size`` numbers: added up within tasks, then over groups of tasks, then over the groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in slices(batches, 2048):
+            total += one(b)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups]), pa.array([total.tobytes()], pa.binary())], ["part", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            for s in b.column(1):
+                total += np.frombuffer(s.as_buffer(), dtype=float)
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["part", "s"])
+
+    parts = rows.mapInArrow(run, "part long, s binary").repartition(groups, "part").mapInArrow(add, "part long, s binary")
+    return sum((np.frombuffer(r["s"], dtype=float) for r in parts.collect()), np.zeros(size))
+
+
+def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", held_out_fold: int = 0, folds: int = 5) -> Model:
+    """Learn from the rows of a ``feature_table`` outside the held-out fold.
+
+    Trusted positives are the rows whose id is labelled 1; the class prior is the share of 1 among labelled rows outside
+    the fold; unlabelled are all rows outside the fold, the positives among them. Centre and scale are those of all these
+    rows, and every step of the fit adds up over all of them; only sums reach the driver, as many numbers for any
+    number of documents. Null ids and null labels are left out of the learning, repeated rows count each. Without
+    positives, every score is 0.5.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out_fold))
     shares = known.agg(F.avg("label").alias("prior"), F.sum("label").alias("ones")).first()
     if not shares["ones"]:
         return Model(None, None, None, 0.5)
+    ones = known.filter("label = 1").select("doc_id").distinct().withColumn("positive", F.lit(True))
+    outside = table.filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out_fold))
+    rows = settle(outside.join(ones, "doc_id", "left").select("x", F.coalesce("positive", F.lit(False)).alias("positive")), "learning")
 
-    rows = texts(docs, id_col, text_col)
-    some = chosen(rows.select("doc_id").filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out_fold)), max_unlabelled)
-    ones = chosen(known.filter("label = 1").select("doc_id").distinct(), max_positive)
-    wanted = some.distinct().withColumn("role", F.lit(0)).unionByName(ones.withColumn("role", F.lit(1)))
-    wanted = wanted.groupBy("doc_id").agg(F.max("role").alias("positive"), F.min("role").alias("role"))  # bounded by the two limits
-    sampled = rows.join(F.broadcast(wanted), "doc_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            values = [features(t).astype("<f4").tobytes() for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(values, pa.binary())], ["positive", "role", "x"])
+    def moments(b: pa.RecordBatch) -> np.ndarray:
+        x = _rows(b.column(0))
+        return np.concatenate([[len(x), b.column(1).true_count], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    got = sampled.select("text", "positive", "role").mapInArrow(run, "positive int, role int, x binary").toPandas()
-    if not len(got):
+    m = _total(rows, 2 + 2 * WIDTH, moments)
+    if not m[1]:
         return Model(None, None, None, 0.5)
-    x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(len(got), WIDTH).astype(float)
-    positive, unlabelled = x[got["positive"].to_numpy() == 1], x[got["role"].to_numpy() == 0]
-    if not len(positive) or not len(unlabelled):
-        return Model(None, None, None, 0.5)
-    return fit_pu(positive, unlabelled, float(np.clip(shares["prior"], 0.01, 0.99)))
+    centre = m[2:2 + WIDTH] / m[0]
+    scale = np.sqrt(np.maximum(m[2 + WIDTH:] / m[0] - centre**2, 0)) + 1e-3
+    width = 2 * WIDTH + 1
+
+    def sums(w: np.ndarray) -> Sums:
+        def one(b: pa.RecordBatch) -> np.ndarray:
+            return Sums.of(expand((_rows(b.column(0)) - centre) / scale), b.column(1).to_numpy(zero_copy_only=False), w).flat()
 
+        return Sums.back(_total(rows, 5 + 3 * width + width**2, one))
 
-def scorer(model: Model):
-    """A vectorised column function: score of a text, 0 to 1; null text counts as empty."""
+    prior = float(np.clip(shares["prior"], 0.01, 0.99))
+    return Model(centre, scale, fit_pu(sums, width, prior), prior)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        if not len(text):
-            return pd.Series([], dtype=float)
-        return pd.Series(np.concatenate([model.score(np.stack([features(t or "") for t in text.iloc[i:i + 512]])) for i in range(0, len(text), 512)]))
 
-    return score
+def quality_scores(table: DataFrame, model: Model, threshold: float = 0.3, held_out_fold: int = 0, folds: int = 5) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row of a ``feature_table``; null and empty texts get a score too."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2048):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(_rows(b.column(1))), pa.float64())], ["doc_id", "score"])
 
-def quality_scores(docs: DataFrame, model: Model, threshold: float = 0.3, held_out_fold: int = 0, folds: int = 5,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row; null and empty texts get a score too."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), scorer(model)(F.col(text_col)).alias("score"))
+    rows = table.mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def quality_filter(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, columns unchanged."""
-    return docs.withColumn("_score", scorer(model)(F.col(text_col))).filter(F.col("_score") >= threshold).drop("_score")
+    """The rows of ``docs`` whose score reaches the threshold, columns unchanged; null text counts as empty."""
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        out = [model.score(np.stack([features(t or "") for t in text.slice(i, 512).to_pylist()]).astype("<f4")) for i in range(0, len(text), 512)]
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
+
+    return docs.withColumn("_score", score(F.col(text_col))).filter(F.col("_score") >= threshold).drop("_score")

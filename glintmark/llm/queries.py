@@ -117,8 +117,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole text."""
-    docs = _table(spark, sf_dir, "documents")
-    return quality.quality_scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    table = quality.feature_table(_table(spark, sf_dir, "documents"))
+    return quality.quality_scores(table, quality.fit(table, _table(spark, sf_dir, "labels")))
 
 
 @_query()
