@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
 from glintmark.functions.levels import lookup
+from glintmark.functions.needed import needed_words, unicode_pattern
 from glintmark.functions.text import fold_case, has_word, matches_glob
 
 
@@ -125,17 +126,15 @@ def is_config_file(path: Column) -> Column:
 def with_security_weight(files: DataFrame, text: str = "text", name: str = "weight", chars: int | None = K.CONTENT_WEIGHT_CHARS) -> DataFrame:
     """Add the relevance of each file (path, language, text), 0 to 10, from its name and its first ``chars`` characters (None: all).
 
-    The folded texts are columns of their own, so they are computed once and not in every test.
+    The folded texts are columns of their own, so they are computed once and not in every test. A pattern is tried only
+    where the folded text holds a word that it needs.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     head = whole if chars is None else F.substring(whole, 1, chars)
     prepared = files.withColumns({"_head": head, "_lower": fold_case(head), "_name": F.lower(base_name(F.col("path")))})
-    words, boost = K.ASSIGNED_SECRET_WEIGHT
-    lower = F.col("_lower")
     points = [(has_word(F.col("_name"), words), boost) for words, boost in K.NAME_WEIGHTS]
-    points += [(F.col("_head").rlike(pattern), boost) for pattern, boost in K.CONTENT_WEIGHTS]
-    points += [(has_word(lower, words), boost) for words, boost in K.CONTENT_WORD_WEIGHTS]
-    points.append((has_word(lower, words) & lower.rlike(rf"(?U)({'|'.join(words)})\s*="), boost))
+    points += [(has_word(F.col("_lower"), needed_words(pattern) or [""]) & F.col("_head").rlike(unicode_pattern(pattern)), boost)
+               for pattern, boost in K.CONTENT_WEIGHTS]
     total = reduce(lambda a, b: a + b, [F.when(hit, F.lit(n)).otherwise(F.lit(0)) for hit, n in points], F.lit(1))
     weight = F.when(F.col("language") == "other", F.lit(0)).otherwise(F.least(total, F.lit(K.WEIGHT_MAX)))
     return prepared.select(*files.columns, weight.alias(name))

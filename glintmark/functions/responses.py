@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
 from glintmark.functions import tags as T
-from glintmark.functions.text import strip
+from glintmark.functions.text import first_chars, strip
 
 _U = "(?U)"
 
@@ -39,8 +39,10 @@ def _field(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def parse_verdicts(df: DataFrame, text: str = "text", default_confidence: float = 0.5) -> DataFrame:
-    """Add ``verdict``, ``confidence``, ``rationale`` and ``parsed_as`` (json, text or null).
+def parse_verdicts(df: DataFrame, text: str = "text", default_confidence: float = 0.5, rationale_chars: int | None = K.ANSWER_CHARS) -> DataFrame:
+    """Add ``verdict``, ``confidence``, ``rationale``, ``whole_rationale`` and ``parsed_as`` (json, text or null).
+
+    ``rationale`` of a text answer has its first ``rationale_chars`` characters (None: all).
 
     A JSON answer counts only when all three fields are valid. The text fallback takes the first verdict
     word in the order confirmed, false positive, needs context, wherever it stands.
@@ -66,8 +68,12 @@ def parse_verdicts(df: DataFrame, text: str = "text", default_confidence: float
         .when(upper.contains("NEEDS_CONTEXT") | upper.contains("NEEDS CONTEXT"), F.lit("NEEDS_CONTEXT"))
     )
     stated = T.confidence_share(F.nullif(F.regexp_extract(t, r"(?U)[Cc]onfidence[*:\s]*([0-9.]+)", 1), F.lit("")))
-    reason = strip(F.substring(strip(F.coalesce(_found(t, r"(?sU)[Rr]ationale[:\s*]*\n?(.*)"), t)), 1, 500))
-    reason = F.when(F.length(reason) > 0, reason).otherwise(F.concat(F.lit("Verdict: "), word))
+    whole = strip(F.coalesce(_found(t, r"(?sU)[Rr]ationale[:\s*]*\n?(.*)"), t))
+
+    def reason(said: Column) -> Column:
+        stated_or_word = F.when(F.length(said) > 0, said).otherwise(F.concat(F.lit("Verdict: "), word))
+        return F.when(F.col("_by_json"), strip(pick("rationale"))).when(word.isNotNull(), stated_or_word)
+
     by_json = F.coalesce(json_ok, F.lit(False))
     return (
         df.withColumn("_json", _variant(json_part(t)))
@@ -78,7 +84,8 @@ def parse_verdicts(df: DataFrame, text: str = "text", default_confidence: float
             F.when(F.col("_by_json"), share)
             .when(word.isNotNull(), F.coalesce(stated, F.lit(default_confidence)))
             .alias("confidence"),
-            F.when(F.col("_by_json"), strip(pick("rationale"))).when(word.isNotNull(), reason).alias("rationale"),
+            reason(strip(first_chars(whole, rationale_chars))).alias("rationale"),
+            reason(whole).alias("whole_rationale"),
             F.when(F.col("_by_json"), F.lit("json")).when(word.isNotNull(), F.lit("text")).alias("parsed_as"),
         )
     )
@@ -116,7 +123,7 @@ def _valid(f: Column) -> Column:
     return ok
 
 
-def _normal(f: Column) -> Column:
+def _normal(f: Column, cwe_digits: int | None) -> Column:
     return F.struct(
         T.normal_rule_id(f["rule_id"]).alias("rule_id"),
         f["title"].alias("title"),
@@ -125,17 +132,19 @@ def _normal(f: Column) -> Column:
         T.normal_priority(f["priority"]).alias("priority"),
         f["file_path"].alias("file"),
         f["line_number"].alias("line"),
-        T.normal_cwe(f["cwe_id"]).alias("cwe"),
+        T.normal_cwe(f["cwe_id"], cwe_digits).alias("cwe"),
         f["remediation"].alias("remediation"),
         T.confidence_word(f["confidence"]).alias("confidence"),
         T.owasp_category(f["owasp_category"]).alias("owasp"),
         f["end_line"].alias("end_line"),
         f["evidence"].alias("evidence"),
+        f["description"].alias("whole_description"),
+        f["evidence"].alias("whole_evidence"),
     )
 
 
-def _section_finding(s: Column) -> Column:
-    """Finding of one text section, null when it names no rule."""
+def _section_finding(s: Column, cwe_digits: int | None, chars: int | None, loose_chars: int | None) -> Column:
+    """Finding of one text section, null when it names no rule; texts are cut at ``chars``, evidence outside a code block at ``loose_chars``."""
     rule = _found(s, f"({_RULE_ID})")
     raw_title = _found(s, _U + _RULE_ID + r"\s*[·:\|—\-]+\s*(.*?)(?:\n|\z)")
     title = F.regexp_replace(raw_title, r"^[ *|—]+|[ *|—]+\z", "")
@@ -147,10 +156,11 @@ def _section_finding(s: Column) -> Column:
         .otherwise(F.lit("MEDIUM"))
     )
     file = F.coalesce(*[_found(s, p) for p in _FILE_FORMS], F.lit("unknown"))
-    cwe = F.concat(F.lit("CWE-"), F.substring(_found(s, r"CWE-(\d+)"), 1, 5))
+    cwe = F.concat(F.lit("CWE-"), first_chars(_found(s, r"CWE-(\d+)"), cwe_digits))
     block = _found(s, r"(?sU)```\w*\n(.*?)```")
-    evidence = F.when(block.isNotNull(), F.substring(strip(block), 1, 500)).otherwise(strip(F.substring(s, 1, 300)))
-    description = strip(F.substring(s, 1, 500))
+    evidence = F.when(block.isNotNull(), first_chars(strip(block), chars)).otherwise(strip(first_chars(s, loose_chars)))
+    description = strip(first_chars(s, chars))
+    whole = strip(F.coalesce(block, s))
     null = lambda kind: F.lit(None).cast(kind)
     return F.when(
         rule.isNotNull(),
@@ -168,25 +178,30 @@ def _section_finding(s: Column) -> Column:
             null("string").alias("owasp"),
             null("int").alias("end_line"),
             F.when(_filled(evidence), evidence).otherwise(F.lit("See description.")).alias("evidence"),
+            F.when(_filled(strip(s)), strip(s)).otherwise(title).alias("whole_description"),
+            F.when(_filled(whole), whole).otherwise(F.lit("See description.")).alias("whole_evidence"),
         ),
     )
 
 
-def parse_responses(df: DataFrame, text: str = "text", json_only: bool = False) -> DataFrame:
+def parse_responses(df: DataFrame, text: str = "text", json_only: bool = False, cwe_digits: int | None = K.CWE_DIGITS,
+                    chars: int | None = K.ANSWER_CHARS, loose_chars: int | None = K.LOOSE_EVIDENCE_CHARS) -> DataFrame:
     """Add ``findings`` (array of structs), ``parsed_as`` and ``parse_failed`` to a table of answers.
 
     A JSON object is taken when every finding in it is valid; otherwise the text is split at its finding
     headings. ``parse_failed`` marks an answer that holds text but no finding and no statement that there
-    are none. ``json_only`` leaves out the text fallback.
+    are none. ``json_only`` leaves out the text fallback. Description and evidence of a text section have their first
+    ``chars`` (``loose_chars`` for evidence outside a code block) characters, a CWE number its first ``cwe_digits``; None
+    keeps all. ``whole_description`` and ``whole_evidence`` are never cut.
     """
     t = F.col(text)
     items = F.col("_items")
     is_object = F.col("_json").isNotNull() & F.schema_of_variant(F.col("_json")).startswith("OBJECT")
     no_list = _field(F.col("_json"), "$.findings", "variant").isNull()
     json_ok = F.coalesce(is_object & (no_list | F.forall(items, _valid)), F.lit(False))
-    from_json = F.transform(F.coalesce(items, F.array().cast(_JSON_FINDINGS)), _normal)
+    from_json = F.transform(F.coalesce(items, F.array().cast(_JSON_FINDINGS)), lambda f: _normal(f, cwe_digits))
     from_text = F.filter(
-        F.transform(F.filter(F.split(t, _SECTION), lambda s: strip(s) != ""), _section_finding),
+        F.transform(F.filter(F.split(t, _SECTION), lambda s: strip(s) != ""), lambda s: _section_finding(s, cwe_digits, chars, loose_chars)),
         lambda f: f.isNotNull(),
     )
     lower = F.lower(t)

@@ -75,11 +75,11 @@ def normal_priority(value: Column) -> Column:
     )
 
 
-def normal_cwe(value: Column) -> Column:
-    """``CWE-N`` from any text with a number; other text is kept, blank is null."""
+def normal_cwe(value: Column, digits: int | None = 5) -> Column:
+    """``CWE-N`` from any text with a number, of which at most ``digits`` count (None: all); other text is kept, blank is null."""
     text = strip(value)
-    digits = F.nullif(F.regexp_extract(text, r"(\d{1,5})", 1), F.lit(""))
-    return F.when(text != "", F.coalesce(F.concat(F.lit("CWE-"), digits), text))
+    number = F.nullif(F.regexp_extract(text, r"(\d+)" if digits is None else rf"(\d{{1,{digits}}})", 1), F.lit(""))
+    return F.when(text != "", F.coalesce(F.concat(F.lit("CWE-"), number), text))
 
 
 def normal_rule_id(value: Column) -> Column:

@@ -113,10 +113,15 @@ def tokens_of_bytes(size: Column) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.floor(size / K.CHARS_PER_TOKEN))
 
 
-def short_cwe_name(cwe: Column, name: Column) -> Column:
-    """``CWE-N name`` without the part in parentheses, cut at 50 characters."""
+def first_chars(text: Column, chars: int | None) -> Column:
+    """The first ``chars`` characters; None keeps all."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def short_cwe_name(cwe: Column, name: Column, chars: int | None = 50) -> Column:
+    """``CWE-N name`` without the part in parentheses, cut at ``chars`` characters (None keeps all)."""
     base = F.when(F.instr(name, "(") > 0, F.trim(F.substring_index(name, "(", 1))).otherwise(name)
-    cut = F.when(F.length(base) > 50, F.concat(F.substring(base, 1, 47), F.lit("..."))).otherwise(base)
+    cut = base if chars is None else F.when(F.length(base) > chars, F.concat(F.substring(base, 1, chars - 3), F.lit("..."))).otherwise(base)
     return F.concat(F.lit("CWE-"), cwe, F.lit(" "), cut)
 
 

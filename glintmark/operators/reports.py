@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glintmark.functions import constants as K
 from glintmark.functions import levels as L
 from glintmark.functions.paths import base_name
-from glintmark.functions.text import collapse_spaces
+from glintmark.functions.text import collapse_spaces, first_chars
 from glintmark.operators.matching import scanners_of_file
 from glintmark.operators.prefix import numbered
 
@@ -68,12 +68,12 @@ def actionable(scored: DataFrame, order: list[str], k: int = 20, minimum: float
     return top.withColumn("_best", best).filter((F.col("priority") >= minimum) | (F.col("_best") < minimum)).drop("_best")
 
 
-def summary_rows(top: DataFrame) -> DataFrame:
-    """Columns of the summary table."""
+def summary_rows(top: DataFrame, chars: int | None = 80) -> DataFrame:
+    """Columns of the summary table: the first ``chars`` characters of the message (None: all) as ``finding``, all of it as ``message``."""
     return top.select(
         "band", "priority", L.display_level(F.col("level")).alias("severity"),
         L.display_verdict(F.col("verdict")).alias("status"), base_name(F.col("file")).alias("file"), "line",
-        F.substring(collapse_spaces(F.col("message")), 1, 80).alias("finding"),
+        first_chars(collapse_spaces(F.col("message")), chars).alias("finding"), "message",
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
+from glintmark.functions.needed import needed_words
 from glintmark.functions.text import fold_case, has_word, lines_of, strip
 
 _STRING_START = r"""(?iu)^(f|r|b|rb|br|fr|rf)?['"]"""
@@ -15,7 +16,7 @@ def _violation(rule: tuple, path: Column, line: Column, lower: Column) -> Column
     """Violation of one rule or null. Cheap tests come first: the path, a word the pattern needs."""
     code, severity, prefix, pattern, exception, skip_comment, skip_string, message = rule
     hit = path.startswith(prefix) if prefix else F.lit(True)
-    words = K.LINE_RULE_WORDS.get(code, [])
+    words = needed_words(pattern)
     if words:
         hit = hit & has_word(lower, words)
     hit = hit & line.rlike(pattern)

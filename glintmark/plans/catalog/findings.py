@@ -231,7 +231,7 @@ _SHOWN = "CASE level WHEN 'error' THEN 'Critical' WHEN 'warning' THEN 'Medium' W
 _FLAT = "regexp_replace(replace(message, chr(10), ' '), ' +', ' ', 'g')"
 
 
-@query(f"""{_FM}, {scored_sql('findings')} SELECT band, priority, {_SHOWN} AS severity, {_STATUS} AS status, split_part(file, '/', 3) AS file, line, {_FLAT} AS finding
+@query(f"""{_FM}, {scored_sql('findings')} SELECT band, priority, {_SHOWN} AS severity, {_STATUS} AS status, split_part(file, '/', 3) AS file, line, {_FLAT}[:80] AS finding, message
 FROM (SELECT * FROM scored WHERE priority >= 0.2 ORDER BY priority DESC, {ORD} LIMIT 20)""")
 def actionable_top20(spark, sf):
     return reports.summary_rows(reports.actionable(_scored(spark, sf), ORDER))

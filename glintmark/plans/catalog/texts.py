@@ -83,11 +83,21 @@ def untested_rules(spark, sf):
 
 _LANG_SQL = f"""CASE WHEN {_L} LIKE 'dockerfile%' THEN 'config' WHEN regexp_matches({_L}, '\\.(py)$') THEN 'python' WHEN regexp_matches({_L}, '\\.(cs|razor|csproj|sln)$') THEN 'csharp'
  WHEN regexp_matches({_L}, '.\\.(json|yaml|yml|toml|xml|props|editorconfig|dockerfile|env|bicep|bicepparam|tf|tfvars)$') THEN 'config' ELSE 'other' END"""
-_POINTS = [(p.replace("(?U)", ""), b) for p, b in K.CONTENT_WEIGHTS]
-_POINTS += [("(?i)" + "|".join(w.replace(".", "\\.").replace("(", "\\(") for w in ws), b) for ws, b in K.CONTENT_WORD_WEIGHTS]
-_POINTS += [("(?i)(password|secret|api_key|token)\\s*=", 2)]
+# Stated here once more, so that the twin does not share the list it checks.
+_POINTS = [
+    ("(?i)controller", 3), ("def (post|put|patch|delete)\\b", 2), ("app\\.Map(Get|Post|Put|Delete|Patch)", 3), ("@app\\.route", 2),
+    ("@router\\.(get|post|put|delete|patch)", 2), ("Process\\.Start", 3), ("eval\\(", 3), ("pickle\\.(load|dump)", 3), ("BinaryFormatter", 4),
+    ("NetDataContractSerializer", 4), ("subprocess\\.(call|run|Popen)", 2), ("os\\.(system|popen)", 2), ("Sql(Command|Connection)", 2), ("cursor\\.execute", 2),
+    ("\\[Authorize\\]", 2), ("@login_required", 2), ("Depends\\(", 2), ("(?i)(password|secret|api_key|token)\\s*=", 2), ("(?i)middleware", 2), ("(?i)auth", 1),
+    ("(?i)crypto", 2), ("(?i)secretstr|pydantic_settings|basesettings", 3), ("(?i)getenv|environ|\\.env", 2), ("(?i)connection_string|database_url|redis_url", 2),
+    ("(?i)session_|cookie_|csrf_|cors_", 2), ("(?i)upload|multipart|form_data", 2), ("(?i)open\\(|shutil\\.(copy|move)|write_text", 1),
+]
+_NAME_POINTS = [
+    (["controller"], 3), (["auth", "login", "oauth"], 2), (["middleware"], 2), (["startup", "program"], 1), (["config", "settings"], 2), (["secret", "credential", "key"], 3),
+    ([".env"], 3), (["route", "endpoint", "view"], 2), (["upload", "file_handler"], 2), (["docker"], 1),
+]
 _WEIGHT_SQL = "1 " + " ".join(
-    "+ CASE WHEN " + " OR ".join(f"contains({_L}, '{w}')" for w in ws) + f" THEN {b} ELSE 0 END" for ws, b in K.NAME_WEIGHTS
+    "+ CASE WHEN " + " OR ".join(f"contains({_L}, '{w}')" for w in ws) + f" THEN {b} ELSE 0 END" for ws, b in _NAME_POINTS
 ) + " " + " ".join(f"+ CASE WHEN regexp_matches(text[:4096], '{p}') THEN {b} ELSE 0 END" for p, b in _POINTS)
 
 
@@ -265,24 +275,27 @@ d AS (SELECT *, coalesce(jv IN ('CONFIRMED', 'FALSE_POSITIVE', 'NEEDS_CONTEXT')
  CASE WHEN regexp_matches(text, '[Cc]onfidence[*:\\s]*[0-9.]+') THEN regexp_extract(text, '[Cc]onfidence[*:\\s]*([0-9.]+)', 1)::DOUBLE END AS stated,
  CASE WHEN regexp_matches(text, '[Rr]ationale') THEN trim(regexp_extract(text, '(?s)[Rr]ationale[:\\s*]*\\n?(.*)', 1), ' ' || chr(10)) ELSE trim(text, ' ' || chr(10)) END AS reason FROM c)
 SELECT conv_id, turn, CASE WHEN ok THEN jv ELSE word END AS verdict, round(CASE WHEN ok THEN jc WHEN word IS NOT NULL THEN coalesce(CASE WHEN stated > 1 THEN stated / 100 ELSE stated END, 0.5) END, 6) AS confidence,
- CASE WHEN ok THEN jr WHEN word IS NOT NULL THEN trim(reason[:500], ' ' || chr(10)) END AS rationale, CASE WHEN ok THEN 'json' WHEN word IS NOT NULL THEN 'text' END AS parsed_as FROM d""")
+ CASE WHEN ok THEN jr WHEN word IS NOT NULL THEN trim(reason[:500], ' ' || chr(10)) END AS rationale, CASE WHEN ok THEN jr WHEN word IS NOT NULL THEN reason END AS whole_rationale, CASE WHEN ok THEN 'json' WHEN word IS NOT NULL THEN 'text' END AS parsed_as FROM d""")
 def verdict_parse(spark, sf):
     out = R.parse_verdicts(view(spark, sf, "verdict_answers"))
-    return out.select("conv_id", "turn", "verdict", F.round("confidence", 6).alias("confidence"), "rationale", "parsed_as")
+    return out.select("conv_id", "turn", "verdict", F.round("confidence", 6).alias("confidence"), "rationale", "whole_rationale", "parsed_as")
 
 
 _ANS = """k AS (SELECT *, (conv_id * 5 + turn) % 6 AS k FROM finding_answers)"""
+# The section of each finding, from the last sign of its heading to the next one.
+_SECTIONS = """s AS (SELECT *, trim(CASE k WHEN 0 THEN CASE n WHEN 0 THEN split_part(text[8:], '### SR-CRED', 1) ELSE '### SR-CRED' || split_part(text, '### SR-CRED', 2) END ELSE text END, ' ' || chr(10)) AS section, regexp_replace(section, '^##', '') AS whole FROM k JOIN f USING (conv_id, turn))"""
 
 
 @query(f"""{sql_with('finding_answers')}, {_ANS}, f AS (
  SELECT conv_id, turn, 0 AS n, 'SR-AUTH-' || format('{{:03d}}', turn) AS rule_id, 'Missing check' AS title, 'HIGH' AS severity, 'src/a' || (conv_id % 7) || '.py' AS file, 'CWE-862' AS cwe FROM k WHERE k = 0
  UNION ALL SELECT conv_id, turn, 1, 'SR-CRED-002', 'Clear text', 'LOW', 'src/b/c.cs', 'CWE-312' FROM k WHERE k = 0
  UNION ALL SELECT conv_id, turn, 0, 'SR-XSS-' || format('{{:03d}}', conv_id % 30), 'SR-XSS-' || (conv_id % 30), 'CRITICAL', 'unknown', NULL FROM k WHERE k = 3
- UNION ALL SELECT conv_id, turn, 0, 'SR-SQL-007', 'File | app/db/q.py', 'MEDIUM', 'app/db/q.py', NULL FROM k WHERE k = 4)
-SELECT conv_id, turn, CAST(n AS INT) AS pos, rule_id, title, severity, file, cwe FROM f""")
+ UNION ALL SELECT conv_id, turn, 0, 'SR-SQL-007', 'File | app/db/q.py', 'MEDIUM', 'app/db/q.py', NULL FROM k WHERE k = 4),
+{_SECTIONS}
+SELECT conv_id, turn, CAST(n AS INT) AS pos, rule_id, title, severity, file, cwe, whole AS whole_description, CASE k WHEN 3 THEN 'x = 1' ELSE whole END AS whole_evidence FROM s""")
 def finding_text_parse(spark, sf):
     rows = R.finding_rows(R.parse_responses(view(spark, sf, "finding_answers")), ["conv_id", "turn"])
-    return rows.select("conv_id", "turn", "pos", "rule_id", "title", "severity", "file", "cwe")
+    return rows.select("conv_id", "turn", "pos", "rule_id", "title", "severity", "file", "cwe", "whole_description", "whole_evidence")
 
 
 @query(f"""{sql_with('finding_answers')}, {_ANS} SELECT conv_id, turn, CASE k WHEN 0 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END::INT AS n_findings, CASE WHEN k = 5 THEN NULL ELSE 'text' END AS parsed_as, k IN (2, 5) AS parse_failed FROM k""")

@@ -141,13 +141,13 @@ SELECT conv_id, turn,
   CASE (conv_id * 7 + turn) % 9
     WHEN 0 THEN concat('**Verdict:** CONFIRMED', {_NL}, 'Confidence: 0.9', {_NL}, 'Rationale: ', text)
     WHEN 1 THEN concat('This is a false positive. Confidence: 85', {_NL}, 'Rationale: ', text)
-    WHEN 2 THEN concat('{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'NEEDS_CONTEXT', {_Q}, ', ', {_Q}, 'confidence', {_Q}, ': ', {_Q}, '75%', {_Q}, ', ', {_Q}, 'rationale', {_Q}, ': ', {_Q}, 'turn ', CAST(turn AS STRING), {_Q}, '}}}}')
-    WHEN 3 THEN concat('```json', {_NL}, '{{{{', {_Q}, 'findings', {_Q}, ': [{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'CONFIRMED', {_Q}, ', ', {_Q}, 'confidence', {_Q}, ': 0.4, ', {_Q}, 'rationale', {_Q}, ': ', {_Q}, ' x ', {_Q}, '}}}}]}}}}', {_NL}, '```')
+    WHEN 2 THEN concat('{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'NEEDS_CONTEXT', {_Q}, ', ', {_Q}, 'confidence', {_Q}, ': ', {_Q}, '75%', {_Q}, ', ', {_Q}, 'rationale', {_Q}, ': ', {_Q}, 'turn ', CAST(turn AS STRING), {_Q}, '}}}}', {_NL}, text)
+    WHEN 3 THEN concat('```json', {_NL}, '{{{{', {_Q}, 'findings', {_Q}, ': [{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'CONFIRMED', {_Q}, ', ', {_Q}, 'confidence', {_Q}, ': 0.4, ', {_Q}, 'rationale', {_Q}, ': ', {_Q}, ' x ', {_Q}, '}}}}]}}}}', {_NL}, '```', {_NL}, text)
     WHEN 4 THEN text
     WHEN 5 THEN concat('UNCONFIRMED so far. ', text)
     WHEN 6 THEN concat('Needs context: ', text)
-    WHEN 7 THEN concat('{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'MAYBE', {_Q}, '}}}} but CONFIRMED')
-    ELSE 'confidence: 1.5 false_positive' END AS text
+    WHEN 7 THEN concat('{{{{', {_Q}, 'verdict', {_Q}, ': ', {_Q}, 'MAYBE', {_Q}, '}}}} but CONFIRMED ', text)
+    ELSE concat('confidence: 1.5 false_positive ', text) END AS text
 FROM {{conversations}} WHERE role = 'assistant'
 """
 
@@ -158,8 +158,8 @@ SELECT conv_id, turn,
     WHEN 0 THEN concat('Intro.', {_NL}, '### SR-AUTH-', CAST(turn AS STRING), ': Missing check', {_NL}, 'Severity: HIGH', {_NL}, '**File:** `src/a', CAST(conv_id % 7 AS STRING), '.py`', {_NL}, 'CWE-862', {_NL}, '### SR-CRED-002 - Clear text', {_NL}, 'a low risk, see `src/b/c.cs` CWE-312', {_NL}, text)
     WHEN 1 THEN concat('No findings in this code. ', text)
     WHEN 2 THEN text
-    WHEN 3 THEN concat('**SR-XSS-', CAST(conv_id % 30 AS STRING), '** | critical', {_NL}, '```py', {_NL}, 'x = 1', {_NL}, '```', {_NL})
-    WHEN 4 THEN concat('### Finding 1', {_NL}, '| Rule | SR-SQL-7 |', {_NL}, '| File | app/db/q.py |', {_NL})
+    WHEN 3 THEN concat('**SR-XSS-', CAST(conv_id % 30 AS STRING), '** | critical', {_NL}, '```py', {_NL}, 'x = 1', {_NL}, '```', {_NL}, text)
+    WHEN 4 THEN concat('### Finding 1', {_NL}, '| Rule | SR-SQL-7 |', {_NL}, '| File | app/db/q.py |', {_NL}, text)
     ELSE '   ' END AS text
 FROM {{conversations}} WHERE role = 'assistant'
 """

@@ -32,8 +32,12 @@ def text_content(content: Column | str = "content") -> Column:
 def inventory(
     files: DataFrame, exclude: list[str] | None = None, include: list[str] | None = None,
     max_bytes: int = K.INVENTORY_MAX_BYTES, strip_dots: bool = False, text: str = "text",
+    chars: int | None = K.CONTENT_WEIGHT_CHARS,
 ) -> DataFrame:
-    """Manifest of a table of files (path, size_bytes, text): language, weight and token estimate."""
+    """Manifest of a table of files (path, size_bytes, text): language, weight and token estimate.
+
+    The weight reads the first ``chars`` characters of a text, or all of it if None.
+    """
     path = F.col("path")
     shown = F.ltrim(path, F.lit("./")) if strip_dots else path
     kept = files.filter(
@@ -41,7 +45,7 @@ def inventory(
         & P.inventoried(path, exclude, strip_dots)
         & P.passes_filters(shown, exclude or [], include or [])
     ).withColumn("language", P.language(path))
-    return P.with_security_weight(kept, text).select(
+    return P.with_security_weight(kept, text, chars=chars).select(
         "path", "language", "size_bytes", "weight", tokens_of_bytes(F.col("size_bytes")).alias("tokens"))
 
 
