@@ -5,10 +5,11 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-from glintmark.llm import quality, simhash
+from glintmark.llm import quality
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from test_near import _stays as stays_of
 
 
 def _fold(text):
@@ -30,8 +31,8 @@ def test_stages_over_a_small_table(spark, sf, tmp_path):
         if k < 3:
             assert docs.columns == columns
         if k == 0:
-            model = quality.fit(spark.read.parquet(str(tmp_path / "in")), spark.read.parquet(f"{sf}/labels.parquet"))
-            assert {r.doc_id for r in after} == {r.doc_id for r in before if model.score(quality.features(r.text)[None])[0] >= 0.3}
+            model = quality.fit(quality.feature_table(spark.read.parquet(str(tmp_path / "in"))), spark.read.parquet(f"{sf}/labels.parquet"))
+            assert {r.doc_id for r in after} == {r.doc_id for r in before if model.score(quality.features(r.text).astype('<f4')[None])[0] >= 0.3}
             bad = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 0").collect()}
             good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
             kept = {r.doc_id for r in after}
@@ -42,21 +43,7 @@ def test_stages_over_a_small_table(spark, sf, tmp_path):
                 least[_fold(r.text)] = min(least.get(_fold(r.text), r.doc_id), r.doc_id)
             assert sorted(r.doc_id for r in after) == sorted(least.values())
         elif k == 2:
-            fps = {r.doc_id: simhash.fingerprint(r.text) for r in before}
-            stays = set()
-            groups = defaultdict(set)
-            for i, f in fps.items():
-                groups[f].add(i)
-            todo = set(groups)
-            while todo:
-                stack, seen = [todo.pop()], set()
-                while stack:
-                    f = stack.pop()
-                    seen.add(f)
-                    near = {g for g in todo if ((f ^ g) % (1 << 64)).bit_count() <= 2}
-                    todo -= near
-                    stack += near
-                stays.add(min(i for f in seen for i in groups[f]))
+            stays = stays_of([(r.doc_id, r.text) for r in before])
             assert {r.doc_id for r in after} == stays and len(after) == len(stays)
         else:
             assert {r.doc_id for r in after} == {r.doc_id for r in before}
@@ -84,7 +71,7 @@ def test_stages_take_odd_rows(spark, odd, sf):
 
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
     assert pytest.importorskip("glintmark.llm.queries").ORACLES.keys() <= __spark_entry__.oracle_sql().keys()
