@@ -1,10 +1,14 @@
-"""SentencePiece encoding and decoding of merge-ranked models over a shared trie of words.
+"""SentencePiece encoding and decoding over a shared trie of words, by forward scores kept for each prefix.
 
-The model's scores are merge ranks, so a path of the highest sum (what a forward search usually keeps) is not what the
-library returns. The forward score kept here for each prefix is therefore the last piece of the prefix's encoding: an
-encoding is the library's just when every two neighbours would stay two if they were encoded alone, so the last piece
-of a prefix is the one whose left neighbour, the last piece of the shorter prefix, allows it. Words are sorted, which
-visits the trie of all words depth-first, and the forward states of the prefix shared with the word before are kept.
+The distinct marked words of a batch are sorted, which visits the trie of all words depth-first, and the forward states
+of the prefix shared with the word before are kept. What a state is depends on the model.
+
+Unigram models: Viterbi. The state of a prefix is the score of its best segmentation and where its last piece begins.
+
+Merge-ranked models: their scores are merge ranks, so a path of the highest sum is not what the library returns. The
+state of a prefix is the last piece of its encoding: an encoding is the library's just when every two neighbours
+would stay two if they were encoded alone, so the last piece of a prefix is the one whose left neighbour, the last piece
+of the shorter prefix, allows it.
 """
 
 from __future__ import annotations
@@ -23,11 +27,61 @@ from glintmark.llm.common import slices, texts
 from glintmark.llm.encoding import shared
 
 MARK = "▁"
+# Numbers of the model and piece types in a model file, and what an unknown character costs beyond the worst piece.
+UNIGRAM, MERGES = 1, 2
+NORMAL, USER_DEFINED, UNUSED = 1, 4, 5
+UNKNOWN_COST = 10.0
+# Fixed value: what an unknown piece reads as.
+UNKNOWN_TEXT = " ⁇ "
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of every field of a serialised message: whole numbers, or the bytes of a text, message or float."""
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            shift += 7
+            at += 1
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+            yield tag >> 3, value
+            continue
+        size, at = number(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+        yield tag >> 3, raw[at:at + size]
+        at += size
+
+
+def model_type(raw: bytes) -> int:
+    """The type that a serialised model names; unigram if it names none."""
+    spec = b"".join(v for k, v in _fields(raw) if k == 2 and isinstance(v, bytes))
+    return next((v for k, v in _fields(spec) if k == 3), UNIGRAM)
+
+
+def piece_types(raw: bytes) -> list[int]:
+    return [next((v for k, v in _fields(piece) if k == 3), NORMAL) for k, piece in _fields(raw) if k == 1]
+
+
+def load(path: str) -> Pieces:
+    """The encoder of a model file; model types other than unigram and merge-ranked are refused."""
+    with open(path, "rb") as f:
+        kind = model_type(f.read())
+    made = {UNIGRAM: Unigram, MERGES: Pieces}.get(kind)
+    if made is None:
+        raise ValueError(f"{path}: model type {kind} is neither unigram ({UNIGRAM}) nor merge-ranked ({MERGES})")
+    return made(path)
+
+
 class Pieces:
-    """Vocabulary of a model file, and the encoder of marked words."""
+    """Vocabulary of a model file, and the encoder of marked words by merge ranks."""
 
     def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
@@ -37,9 +91,11 @@ class Pieces:
         for i in range(self.library.vocab_size()):
             piece = self.library.id_to_piece(i)
             self.texts.append(piece)
-            if self.library.is_byte(i):
+            if self.library.is_unknown(i):
+                self.texts[i] = UNKNOWN_TEXT
+            elif self.library.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-            elif not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_unused(i)):
+            elif not (self.library.is_control(i) or self.library.is_unused(i)):
                 self.ids[piece] = i
                 self.ranks[piece] = -self.library.get_score(i)
         for b, i in self.bytes.items():
@@ -47,6 +103,7 @@ class Pieces:
                 self.texts[i] = chr(b)  # a byte that is a character by itself
         self.of_byte = {i: b for b, i in self.bytes.items() if b >= 128}
         self.mark = {i for i, t in enumerate(self.texts) if t.startswith(MARK)}
+        self.texts = [t.replace(MARK, " ") for t in self.texts]
         # Every end of a piece of two characters or more, and whether it is a piece itself: where no piece ends so, none longer does.
         self.ends = {p[k:]: False for p in self.ids for k in range(len(p) - 1)}
         self.ends |= {p: True for p in self.ids if len(p) > 1}
@@ -123,7 +180,12 @@ class Pieces:
         out: list[int] = []
         for p in pieces:
             i = self.ids.get(p)
-            out += [i] if i is not None else [self.bytes[b] for b in p.encode()] if self.bytes else [self.library.unk_id()]
+            if i is not None:
+                out.append(i)
+            elif self.bytes:
+                out += [self.bytes[b] for b in p.encode()]
+            elif not out or out[-1] != self.library.unk_id():  # unknown neighbours are one
+                out.append(self.library.unk_id())
         return np.array(out, "<u4").tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
@@ -153,7 +215,82 @@ class Pieces:
                 out.append(self.texts[i])
             out.append(run.decode("utf-8", "replace"))
             text = "".join(out)
-        return (text[1:] if numbers and numbers[0] in self.mark else text).replace(MARK, " ")
+        return text[1:] if numbers and numbers[0] in self.mark else text
+
+
+class Unigram(Pieces):
+    """The encoder of marked words by the best sum of piece scores.
+
+    The library adds scores up over a whole text in 32-bit numbers, so where two segmentations of a word are as good
+    but for rounding, the text before the word decides. Such words are known by their margin; a text that holds one is
+    searched as a whole. What the library adds up for a user-defined piece is not known to the last bit, so after one a tie
+    may fall otherwise.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        super().__init__(path, most)
+        types = piece_types(self.library.serialized_model_proto())
+        normal = [self.library.get_score(i) for i, t in enumerate(types) if t == NORMAL]
+        worst, top = min(normal, default=0.0), max(normal, default=0.0)
+        self.unknown = float(np.float32(worst) - np.float32(UNKNOWN_COST))
+        # A user-defined piece outdoes its parts: it has nearly the best score for each of its bytes.
+        self.scores = {p: float(np.float32(len(p.encode()) * float(np.float32(top)) - 0.1)) if types[i] == USER_DEFINED else self.library.get_score(i)
+                       for p, i in self.ids.items()}
+        self.whole = self.whole or not (MARK in self.ids or self.bytes)  # unknown marks join their neighbours
+        self.figures: dict[str, tuple[float, float]] = {}
+
+    def encode_words(self, words: Iterable[str], note: bool = True) -> dict[str, list[str]]:
+        """Pieces of every word; the words are visited in trie order and share the forward scores of common prefixes.
+
+        The score of a prefix is the best over the pieces that end it, each added to the score of the prefix before it; of
+        equal ones the longest piece wins. A character that is no piece by itself may stand for itself as unknown.
+        """
+        out, before, score, back, margin = {}, "", [0.0], [0], [np.inf]
+        scores, ends, unknown, single = self.scores, self.ends, self.unknown, np.float32
+        for word in sorted(set(words)):
+            n, most = 0, min(len(word), len(before))
+            while n < most and word[n] == before[n]:
+                n += 1
+            del score[n + 1:], back[n + 1:], margin[n + 1:]
+            for end in range(n + 1, len(word) + 1):
+                start = end - 1
+                starts = [start]
+                while start and (is_piece := ends.get(word[start - 1:end])) is not None:
+                    start -= 1
+                    if is_piece:
+                        starts.append(start)
+                best, at, second = -np.inf, 0, -np.inf
+                for start in reversed(starts):  # the longest piece first
+                    total = float(single(scores.get(word[start:end], unknown) + score[start]))
+                    if total > best:
+                        best, at, second = total, start, best
+                    elif total > second:
+                        second = total
+                score.append(best)
+                back.append(at)
+                margin.append(best - second)
+            pieces, end, least = [], len(word), np.inf
+            while end:
+                least = min(least, margin[end])
+                pieces.append(word[back[end]:end])
+                end = back[end]
+            out[word] = pieces[::-1]
+            if note:
+                self.figures[word] = (least / (len(word) + 1), -score[-1])
+            before = word
+        return out
+
+    def encode(self, batch: list[str]) -> list[bytes]:
+        out = super().encode(batch)
+        if not self.whole:
+            for k, text in enumerate(batch):
+                words = _WORD.findall(normal := self.library.normalize(text))
+                rounding = 2.0**-21 * (1 + sum(abs(self.figures[w][1]) for w in words))
+                if any(self.figures[w][0] <= rounding for w in words):
+                    out[k] = self._ids(self.encode_words([normal], note=False)[normal])
+        if len(self.figures) > self.most:
+            self.known, self.figures = {}, {}
+        return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
@@ -167,7 +304,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared(Pieces, model)
+        pieces = shared(load, model)
         for b in slices(batches, rows):
             ids = pieces.encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()),
@@ -190,7 +327,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """``doc_id``, ``n_pieces``, ``ids_crc32``, ``text`` and its lower-case hex ``text_sha256`` from ``doc_id`` and ``ids``; null ids decode to empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared(Pieces, model)
+        pieces = shared(load, model)
         for b in slices(batches):
             yield _decoded(pieces, b.column(0), [i or b"" for i in b.column(1).to_pylist()])
 
@@ -201,7 +338,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
     """``decode_pieces`` of ``encode_pieces`` in one pass, so that ids need not leave the Python worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared(Pieces, model)
+        pieces = shared(load, model)
         for b in slices(batches, rows):
             yield _decoded(pieces, b.column(0), pieces.encode(b.column(1).to_pylist()))
 
