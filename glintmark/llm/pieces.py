@@ -66,6 +66,12 @@ def model_type(raw: bytes) -> int:
     return next((v for k, v in _fields(spec) if k == 3), UNIGRAM)
 
 
+def removes_spaces(raw: bytes) -> bool:
+    """Whether the model drops repeated spaces, and with them every mark before the first text when it decodes."""
+    spec = b"".join(v for k, v in _fields(raw) if k == 3 and isinstance(v, bytes))
+    return bool(next((v for k, v in _fields(spec) if k == 4), 1))
+
+
 def piece_types(raw: bytes) -> list[int]:
     return [next((v for k, v in _fields(piece) if k == 3), NORMAL) for k, piece in _fields(raw) if k == 1]
 
@@ -104,6 +110,7 @@ class Pieces:
         self.of_byte = {i: b for b, i in self.bytes.items() if b >= 128}
         self.mark = {i for i, t in enumerate(self.texts) if t.startswith(MARK)}
         self.texts = [t.replace(MARK, " ") for t in self.texts]
+        self.trims = removes_spaces(self.library.serialized_model_proto())
         # Every end of a piece of two characters or more, and whether it is a piece itself: where no piece ends so, none longer does.
         self.ends = {p[k:]: False for p in self.ids for k in range(len(p) - 1)}
         self.ends |= {p: True for p in self.ids if len(p) > 1}
@@ -215,7 +222,12 @@ class Pieces:
                 out.append(self.texts[i])
             out.append(run.decode("utf-8", "replace"))
             text = "".join(out)
-        return text[1:] if numbers and numbers[0] in self.mark else text
+        cut = 0  # marks of the first piece, or of all pieces until one holds more
+        for i in numbers:
+            cut += i in self.mark
+            if not self.trims or self.texts[i] != " ":
+                break
+        return text[cut:]
 
 
 class Unigram(Pieces):
