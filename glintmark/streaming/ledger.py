@@ -14,9 +14,12 @@ from pyspark.sql import types as T
 
 from glintmark.operators.history import first_seen
 from glintmark.operators.prefix import running_totals
-from glintmark.session import shared_path
+from glintmark.session import exists, folders, remove, shared_path
 from glintmark.sources.ledger import parse_events
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ON_DISK = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def ledger_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """New ledger lines below ``path`` as (ts, kind, run_id, fields)."""
@@ -59,14 +62,31 @@ def overwrite_batches(path: str) -> Callable[[DataFrame, int], None]:
     return lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def snapshot_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """Write the full result after each micro-batch to a folder of its own; the newest one is the snapshot."""
-    return overwrite_batches(path)
+def snapshot_batches(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """Write the full result after each micro-batch as a version of its own, name it in a pointer, and remove old versions.
+
+    The pointer is written when its version is complete, so a reader never meets a half-written one. The last ``keep``
+    versions stay, so that a reader which has just read the pointer can finish; the folder does not grow with the batches.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        spark.createDataFrame([(batch,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer={batch}")
+        for kind in ("pointer", "version"):
+            for name in folders(spark, path):
+                if name.startswith(f"{kind}=") and int(name.split("=")[1]) <= batch - keep:
+                    remove(spark, f"{path}/{name}")
+
+    return write
 
 
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.filter(F.col("batch") == df.agg(F.max("batch")).scalar()).drop("batch")
+    """The version that the newest complete pointer names."""
+    done = [int(name.split("=")[1]) for name in folders(spark, path) if name.startswith("pointer=") and exists(spark, f"{path}/{name}/_SUCCESS")]
+    if not done:
+        raise FileNotFoundError(f"no complete snapshot below {path}")
+    return spark.read.parquet(f"{path}/version={max(done)}")
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
@@ -114,35 +134,53 @@ class BudgetGuard:
 class SeenTracker:
     """Adds ``status`` (new or recurring) and ``first_seen_run`` over the whole life of a stream.
 
-    Every fingerprint ever seen is kept once, in a table per batch that is only appended to. A batch finds
-    its own first rows by aggregation, then looks the batch's fingerprints up in that table; the (smaller)
-    batch side is broadcast while it is small, so the table is read without a shuffle. The table grows
-    with the fingerprints, as tracking asks for.
+    What was seen is keyed state of a stream inside the stream: each batch puts one row per fingerprint to it, found by
+    aggregation with a map-side step, and gets one row per fingerprint back, with the batch and the run that saw it first.
+    The state lives in Spark's on-disk store, which looks up the keys of the batch alone, so what a batch reads
+    depends on the batch and not on what came before. The store grows with the fingerprints, as tracking asks for.
+
+    A batch that is repeated finds its question and its answer where the first try got that far; the inner stream
+    answers what is still open. Questions and answers of older batches are removed.
     """
 
     def __init__(self, spark: SparkSession, path: str, order: list[str]):
         self.spark, self.path, self.order = spark, path, order
 
-    def _known(self, batch: int, df: DataFrame) -> DataFrame:
-        schema = T.StructType([df.schema["fingerprint"], T.StructField("_run", df.schema["run_id"].dataType),
-                               T.StructField("batch", T.IntegerType())])
-        if batch == 0:
-            return self.spark.createDataFrame([], schema).drop("batch")
-        return self.spark.read.schema(schema).parquet(f"{self.path}/seen").filter(F.col("batch") < batch).drop("batch")
+    def _ask(self, firsts: DataFrame, batch: int) -> None:
+        folder = f"{self.path}/asked/batch={batch}"
+        if not exists(self.spark, f"{folder}/_SUCCESS"):
+            firsts.select("fingerprint", F.col("first_seen_run").alias("run")).write.mode("overwrite").parquet(folder)
+
+    def _answer(self, fingerprint: T.StructField, run: T.StructField) -> None:
+        """Let the inner stream take in what was asked and write, per fingerprint of it, who saw it first."""
+        schema = T.StructType([fingerprint, T.StructField("run", run.dataType), T.StructField("batch", T.IntegerType())])
+        asked = self.spark.readStream.schema(schema).parquet(f"{self.path}/asked")
+        seen = asked.groupBy("fingerprint").agg(F.min(F.struct("batch", "run")).alias("first"), F.max("batch").alias("batch"))
+
+        def write(df: DataFrame, turn: int) -> None:
+            df.select("fingerprint", F.col("first.batch").alias("first_batch"), F.col("first.run").alias("first_run"), "batch").write.mode(
+                "overwrite").partitionBy("batch").parquet(f"{self.path}/answered/turn={turn}")
+
+        before = self.spark.conf.get(_STORE, None)
+        self.spark.conf.set(_STORE, _ON_DISK)
+        try:
+            run_to_end(seen, write, "seen", mode="update", checkpoint=f"{self.path}/state")
+        finally:
+            self.spark.conf.unset(_STORE) if before is None else self.spark.conf.set(_STORE, before)
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        df = df.persist()
-        hits = self._known(batch, df).join(df.select("fingerprint").distinct(), "fingerprint", "left_semi")
-        rows = first_seen(df, self.order).join(hits, "fingerprint", "left").select(
-            *df.columns,
-            F.coalesce("_run", "first_seen_run").alias("first_seen_run"),
-            F.when(F.col("_run").isNotNull(), F.lit("recurring")).otherwise(F.col("status")).alias("status"),
-        )
-        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
-        done = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/batch={batch}")
-        done.filter("status = 'new'").select("fingerprint", F.col("run_id").alias("_run")).write.mode("overwrite").parquet(
-            f"{self.path}/seen/batch={batch}")
-        df.unpersist()
+        marked = first_seen(df, self.order)
+        self._ask(marked.filter("status = 'new'"), batch)
+        self._answer(df.schema["fingerprint"], df.schema["run_id"])
+        if exists(self.spark, f"{self.path}/answered"):  # a batch without rows asks nothing
+            answers = self.spark.read.parquet(f"{self.path}/answered").filter(F.col("batch") == batch).select("fingerprint", "first_batch", "first_run")
+            marked = marked.join(answers, "fingerprint").select(
+                *df.columns,
+                F.when(F.col("first_batch") < batch, F.col("first_run")).otherwise(F.col("first_seen_run")).alias("first_seen_run"),
+                F.when(F.col("first_batch") < batch, F.lit("recurring")).otherwise(F.col("status")).alias("status"))
+        marked.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        remove(self.spark, f"{self.path}/asked/batch={batch - 2}")
+        remove(self.spark, f"{self.path}/answered/turn={batch - 2}")
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rows").drop("batch")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from glintmark.session import exists
+
 
 class Stages:
     """Stage tables below one folder. Spark's commit marker tells a finished stage from a broken off one."""
@@ -17,12 +19,8 @@ class Stages:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
     def done(self, name: str) -> bool:
-        return self._exists(f"{self._path(name)}/_SUCCESS")
+        return exists(self.spark, f"{self._path(name)}/_SUCCESS")
 
     def run(self, name: str, build: Callable[[], DataFrame], schema: StructType | None = None) -> DataFrame:
         """Result of the stage; ``build`` is only called when there is no finished one."""
