@@ -34,32 +34,70 @@ def _links(edges: DataFrame, direction: str, min_confidence: float | None) -> Da
     return (ahead.unionAll(back) if links is None else links).distinct()
 
 
+_BITS = 63  # bits of a long that may be set without touching its sign
+_WORDS = 16  # longs of a node's mask; more tags than they hold are walked in several turns
+
+
 def reach(
     seeds: DataFrame, edges: DataFrame, hops: int, direction: str = "backward",
     min_confidence: float | None = 0.3, tag: str = "tag", max_hops: Column | None = None,
 ) -> DataFrame:
     """(tag, node, depth) within ``hops`` of the seeds (tag, node), breadth first.
 
-    Many starts share one traversal through ``tag``; ``max_hops`` may limit each tag by itself. A round
-    joins the frontier with the edges, drops what was seen, and writes the new frontier.
+    All starts share one traversal: a tag is a bit, a node has one mask of the tags that reached it, and a hop is one join
+    with the edges and one aggregation, however many tags there are. ``max_hops``, an expression of the tag, may limit each tag
+    by itself. A round writes every node reached so far with its old and its new tags; rounds before the last are removed.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "reach")
     links = scratch.save(_links(edges, direction, min_confidence), "links")
-    frontier = scratch.save(seeds.select(tag, "node").distinct().withColumn("depth", F.lit(0)), "hop=0")
-    rounds = [frontier]
-    for hop in range(1, hops + 1):
-        start = frontier if max_hops is None else frontier.filter(max_hops >= hop)
-        step = (
-            start.join(links, F.col("node") == F.col("src")).select(tag, F.col("dst").alias("node")).distinct()
-            .join(reduce(DataFrame.unionAll, rounds), [tag, "node"], "left_anti")
-            .withColumn("depth", F.lit(hop))
-        )
-        frontier = scratch.save(step, f"hop={hop}")
-        if frontier.isEmpty():
-            break
-        rounds.append(frontier)
-    return reduce(DataFrame.unionAll, rounds)
+    limit = F.lit(hops) if max_hops is None else F.least(F.lit(hops), max_hops)
+    tags = [(r[0], r[1]) for r in seeds.select(tag, limit.alias("limit")).distinct().orderBy(tag).collect()]  # one row per check
+    width = _BITS * _WORDS
+    parts = [_walk(spark, scratch, seeds, links, tags[at:at + width], tag, f"part{at}") for at in range(0, max(len(tags), 1), width)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _walk(spark: SparkSession, scratch: Scratch, seeds: DataFrame, links: DataFrame, tags: list[tuple], tag: str, name: str) -> DataFrame:
+    """The traversal of at most as many tags as a mask holds."""
+    kind = seeds.schema[tag].dataType.simpleString()
+    numbered = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(tags)], f"bit int, {tag} {kind}")
+    masks = [f"m{k}" for k in range(max(1, -(-len(tags) // _BITS)))]
+
+    def allowed(hop: int) -> list[int]:
+        """Per long, the bits of the tags that may take this hop."""
+        out = [0] * len(masks)
+        for i, (_, most) in enumerate(tags):
+            out[i // _BITS] |= (most is not None and most >= hop) << (i % _BITS)
+        return out
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        """One row per node: what it had, and what is new to it."""
+        both = rows.groupBy("node").agg(*[F.bit_or(f"old_{m}").alias(f"old_{m}") for m in masks], *[F.bit_or(m).alias(m) for m in masks])
+        return both.select("node", *[F.col(f"old_{m}") for m in masks], *[F.col(m).bitwiseAND(F.bitwise_not(f"old_{m}")).alias(m) for m in masks])
+
+    place = seeds.join(F.broadcast(numbered), seeds[tag].eqNullSafe(numbered[tag])).select("node", "bit")
+    none = [F.lit(0).cast("bigint").alias(f"old_{m}") for m in masks]
+    now = scratch.save(gathered(place.select("node", *none, *[
+        F.when(F.floor(F.col("bit") / _BITS) == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit") % _BITS)).otherwise(F.lit(0).cast("bigint")).alias(m)
+        for k, m in enumerate(masks)])), f"{name}_hop0")
+    fresh = reduce(lambda a, b: a | b, [F.col(m) != 0 for m in masks])
+    rounds = [scratch.save(now.filter(fresh).select("node", *masks, F.lit(0).alias("depth")), f"{name}_new0")]
+    hop = 0
+    while any(allowed(hop + 1)) and not rounds[-1].isEmpty():
+        hop += 1
+        front = now.select("node", *[F.col(m).bitwiseAND(F.lit(bits)).alias(m) for m, bits in zip(masks, allowed(hop), strict=True)]).filter(fresh)
+        step = front.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), *none, *masks)
+        had = now.select("node", *[F.col(f"old_{m}").bitwiseOR(F.col(m)).alias(f"old_{m}") for m in masks], *[F.lit(0).cast("bigint").alias(m) for m in masks])
+        now = scratch.save(gathered(had.unionByName(step)), f"{name}_hop{hop}")
+        scratch.drop(f"{name}_hop{hop - 1}")
+        rounds.append(scratch.save(now.filter(fresh).select("node", *masks, F.lit(hop).alias("depth")), f"{name}_new{hop}"))
+    found = reduce(DataFrame.unionAll, rounds)
+    each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(tags) - 1)), lambda i: reduce(
+        lambda a, b: a | b, [(F.floor(i / _BITS) == k) & (F.call_function("shiftright", F.col(m), (i % _BITS).cast("int")).bitwiseAND(F.lit(1)) == 1) for k, m in enumerate(masks)])))
+    if not tags:
+        return found.limit(0).select(F.lit(None).cast(kind).alias(tag), "node", "depth")
+    return found.select("node", "depth", each.alias("bit")).join(F.broadcast(numbered), "bit").select(tag, "node", "depth")
 
 
 def sink_seeds(edges: DataFrame, tagged: DataFrame | None = None) -> DataFrame:

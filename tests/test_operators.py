@@ -167,6 +167,29 @@ def test_reach_stops_at_hops_and_weak_edges(spark, chain):
     assert {r.node for r in graph.reach(start, chain, 3, "forward").collect()} == {"A", "B", "C", "sink"}
 
 
+def test_reach_of_many_tags_equals_one_walk_each(spark, monkeypatch):
+    """More tags than a long and than a mask hold, with limits of their own, a null tag and a tag without seeds in the graph."""
+    rng = random.Random(2)
+    pairs = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(110)})
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 0.9) for a, b in pairs], "caller string, callee string, confidence double")
+    seeds = [(t, f"n{rng.randrange(60)}") for t in range(150) for _ in range(rng.randint(1, 3))] + [(None, "n3"), (7, "elsewhere")]
+    df = spark.createDataFrame(seeds, "check int, node string")
+    want = set()
+    for t in {t for t, _ in seeds}:
+        front = {n for s, n in seeds if s == t}
+        seen, limit = dict.fromkeys(front, 0), 4 if t is None else t % 5
+        for hop in range(1, min(4, limit) + 1):
+            front = {f"n{a}" for a, b in pairs if f"n{b}" in front} - seen.keys()
+            seen |= dict.fromkeys(front, hop)
+        want |= {(t, n, d) for n, d in seen.items()}
+    limit = F.coalesce(F.col("check") % 5, F.lit(4))
+    for words in (16, 1):
+        monkeypatch.setattr(graph, "_WORDS", words)
+        got = [tuple(r) for r in graph.reach(df, edges, 4, tag="check", max_hops=limit).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert graph.reach(df.limit(0), edges, 4, tag="check").collect() == []
+
+
 def test_both_ways_falls_back_to_the_side_that_has_files(spark):
     back = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "c")], "tag string, file string")
     ahead = spark.createDataFrame([("b",), ("z",)], "file string")
