@@ -119,44 +119,24 @@ class Sums:
         return prior * self.loss_p / self.n_p + max(0.0, self.negative_risk(prior)) + ridge * float(w @ w) / 2
 
 
-def fit_pu(sums: Callable[[np.ndarray], Sums], width: int, prior: float, ridge: float = 0.1, rounds: int = 20, enough: float = 1e-4) -> np.ndarray:
-    """Minimise the non-negative unbiased risk of a logistic scorer by Newton steps; ``sums`` makes one pass over the documents.
+def fit_pu(sums: Callable[[np.ndarray], Sums], width: int, prior: float, rounds: int = 24, ridge: float = 1e-4, damping: float = 0.1, rate: float = 0.7) -> np.ndarray:
+    """Minimise the non-negative unbiased risk of a logistic scorer by damped Newton steps; ``sums`` makes one pass over the documents.
 
     The risk is prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]): unlabelled text stands for negatives once
     the share that positives take in it is subtracted. With the logistic loss l(z) - l(-z) = -z, so while this difference
-    is above zero the risk is convex, with gradient E_u[s x] - prior * E_p[x]. Below zero a scorer only fits single
-    unlabelled texts: a step that would lead there is turned along the border, where the difference is zero. Steps are
-    halved while they do not lower the risk plus a penalty for being below the border.
+    is above zero the risk is convex, with gradient E_u[s x] - prior * E_p[x]. Where the difference falls below zero,
+    its gradient is turned round, so that the scorer cannot win by fitting single unlabelled texts.
     """
     w = np.zeros(width)
     w[-1] = np.log(prior / (1 - prior))
-    now, step, penalty = sums(w), None, 1.0
-
-    def merit(s: Sums, at: np.ndarray) -> float:
-        negative = s.negative_risk(prior)
-        return prior * s.loss_p / s.n_p + negative + ridge * float(at @ at) / 2 + penalty * max(0.0, -negative)
-
     for _ in range(rounds):
-        if step is None:
+        now = sums(w)
+        if now.negative_risk(prior) >= 0:
             grad = now.grad_u / now.n_u - prior * now.sum_p / now.n_p + ridge * w
-            border = now.grad_u / now.n_u - prior * now.grad_p / now.n_p
-            curve = now.curve_u / now.n_u + ridge * np.eye(width)
-            step, turn = -np.linalg.solve(curve, grad), np.linalg.solve(curve, border)
-            below = now.negative_risk(prior) + border @ step
-            if below < 0 and border @ turn > 0:
-                force = below / (border @ turn)
-                step = step - force * turn
-                penalty = max(penalty, 2 * abs(force))
-        if np.abs(step).max() < enough:
-            break
-        then = sums(w + step)
-        gain = merit(now, w) - merit(then, w + step)
-        if gain >= 0:
-            w, now, step = w + step, then, None
-            if gain < enough:
-                break
         else:
-            step = step / 2
+            grad = prior * now.grad_p / now.n_p - now.grad_u / now.n_u
+        step = np.linalg.solve(now.curve_u / now.n_u + damping * np.eye(width), grad)
+        w = w - step * (rate * min(1.0, 0.5 / max(np.abs(step).max(), 1e-12)))
     return w
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glintmark.llm.common import partitions, slices, texts
@@ -64,12 +64,11 @@ def _variants(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(F.expr(key).alias("key"), "fp")
 
 
-def _ball(radius: int) -> list[int]:
-    """Masks of at most ``radius`` bits."""
-    masks = {0}
-    for _ in range(radius):
-        masks |= {m | (1 << b) for m in masks for b in range(BITS)}
-    return sorted(m - (1 << BITS) if m >> (BITS - 1) else m for m in masks)
+def _ball(radius: int) -> Column:
+    """Array of the masks of at most ``radius`` (0 to 2) bits, made from bit numbers so that the plan stays small."""
+    none, one = "array(0L)", "transform(sequence(0, 63), i -> shiftleft(1L, i))"
+    two = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j))))"
+    return F.expr(f"concat({', '.join([none, one, two][:radius + 1])})")
 
 
 def _hub_links(fps: DataFrame, distance: int) -> DataFrame:
@@ -80,10 +79,8 @@ def _hub_links(fps: DataFrame, distance: int) -> DataFrame:
     the smallest of the near ones: each such link is a true one, and no true one is without its path.
     """
     near, far = distance // 2, distance - distance // 2
-    masks = _ball(far)
-    inner = set(_ball(near))
-    at = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(m in inner).alias("near")) for m in masks])).alias("x"))
-    at = at.select("fp", F.col("fp").bitwiseXOR(F.col("x.mask")).alias("hub"), "x.near")
+    at = fps.select("fp", F.explode(_ball(far)).alias("mask"))
+    at = at.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("hub"), (F.bit_count("mask") <= near).alias("near"))
     least = at.groupBy("hub").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND a IS NOT NULL")
     return at.join(least, "hub").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
