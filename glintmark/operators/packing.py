@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,31 @@ def trim_by_rank(symbols: DataFrame, by: list[str], order: list[Column | str], m
     """Symbols of highest rank whose tokens together stay within the budget."""
     out = running_totals(symbols, by, order, {"_c": F.col(tokens)})
     return out.filter(F.col("_c") + F.col(tokens) <= max_tokens).select(*symbols.columns)
+
+
+# What a code map gives up, in this order: ranked symbols one by one, then whole kinds, then small modules, then modules one by one.
+_STAGES = {"symbol": 1, "private_method": 2, "constant": 3, "import": 4}
+_SMALL_MODULES, _MODULES = 5, 6
+
+
+def trim_in_stages(items: DataFrame, budgets: DataFrame, by: list[str], small_lines: int = 20) -> DataFrame:
+    """``items`` with ``stage`` (in which they would go) and ``kept``, so that each group fits its ``max_tokens``.
+
+    ``items`` has (kind, module, name, rank, tokens, module_lines, module_rank), ``budgets`` one row per group. What goes
+    at once is a unit: a symbol (lowest rank first), all private methods, all constants, all imports, what is left of
+    modules under ``small_lines`` lines, then what is left of a module (lowest rank first). A unit goes just when the units
+    before it leave too much, so one running total over the units decides every stage of every group without a loop.
+    """
+    small = F.when(F.col("module_lines") < small_lines, _SMALL_MODULES).otherwise(_MODULES)
+    stage = reduce(lambda rest, k: F.when(F.col("kind") == k, _STAGES[k]).otherwise(rest), _STAGES, small)
+    marked = items.withColumn("stage", stage).withColumns({
+        "_rank": F.when(F.col("stage") == 1, F.col("rank")).when(F.col("stage") == _MODULES, F.col("module_rank")).otherwise(F.lit(0.0)),
+        "_module": F.when(F.col("stage").isin(1, _MODULES), F.col("module")).otherwise(F.lit("")),
+        "_name": F.when(F.col("stage") == 1, F.col("name")).otherwise(F.lit(""))})
+    unit = ["stage", "_rank", "_module", "_name"]
+    units = marked.groupBy(*by, *unit).agg(F.sum("tokens").alias("_tokens"))
+    totals = units.groupBy(*by).agg(F.sum("_tokens").alias("_total"))
+    before = running_totals(units, by, unit, {"_before": F.col("_tokens")})
+    limits = totals.join(budgets.select(*by, "max_tokens"), by).select(*by, (F.col("_total") - F.col("max_tokens")).alias("_excess"))
+    decided = before.join(limits, by).select(*by, *unit, (F.col("_before") >= F.col("_excess")).alias("kept"))
+    return marked.join(decided, [*by, *unit]).select(*items.columns, "stage", "kept")

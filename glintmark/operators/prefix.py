@@ -82,16 +82,26 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], name: str
     return out.withColumn(name, (F.col("_before") + 1).cast("bigint")).drop("_before")
 
 
-def histogram(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct values of a group with their count and the count of smaller values before them."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    return counts.select(
-        "*",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
-        F.sum("n").over(whole).alias("n_all"),
-    )
+def histogram(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFrame:
+    """Distinct values of a group with their count ``n``, the count of smaller values ``n_before`` and of all, ``n_all``.
+
+    The values of a group are cut into about ``slices`` ranges at approximate quantiles of its distinct values; ranges are totalled
+    and only their totals meet per group, so no task holds more than a slice of a group's values. The cuts decide only who
+    counts what: the counts are exact. The counts per value are written once.
+    """
+    keys = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    counts = settle(rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), "histogram")
+    cuts = counts.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(
+        F.percentile_approx(value, [k / slices for k in range(1, slices)], 10 * slices).alias("_cuts"), F.sum("n").alias("n_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
+    placed = counts.join(cuts, same).select(*keys, value, "n", "n_all", F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_slice"))
+    totals = placed.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_slice").alias("_c_slice")).agg(F.sum("n").alias("_in"))
+    earlier = Window.partitionBy(*[f"_c_{k}" for k in keys]).orderBy("_c_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_offset", F.coalesce(F.sum("_in").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(offsets, [*same, F.col("_slice") == F.col("_c_slice")]).select(
+        *by, value, "n", (F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("n_before"), "n_all")
 
 
 def index_percentile(df: DataFrame, by: list[str], value: str, share: float, name: str) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from glintmark.functions.levels import lookup
 from glintmark.functions.text import fingerprint
-from glintmark.operators import evaluation, history, matching, packing, reports
+from glintmark.operators import evaluation, history, matching, packing, reports, retries
+from glintmark.operators.prefix import numbered
 from glintmark.plans.catalog.registry import ORD, ORDER, query
 from glintmark.plans.views import sql_with, table, view
 from glintmark.functions import constants as K
@@ -159,6 +160,67 @@ def trim_prefix(spark, sf):
     return packing.trim_by_rank(s, ["p_brand"], [F.desc("rank"), "p_partkey"], 800).select("p_brand", "p_partkey")
 
 
+_MAP = """items AS (SELECT l_suppkey % 24 AS project, 'm' || (l_partkey % 12) AS module, l_orderkey || '.' || l_linenumber || '.' || l_partkey AS name,
+ CASE l_linenumber WHEN 1 THEN 'symbol' WHEN 2 THEN 'symbol' WHEN 3 THEN 'private_method' WHEN 4 THEN 'constant' WHEN 5 THEN 'import' ELSE 'module' END AS kind,
+ l_extendedprice AS rank, CAST(l_quantity AS BIGINT) AS tokens, 5 + (l_partkey % 12) * 3 AS module_lines, CAST((l_partkey % 12) * 7 % 12 AS DOUBLE) AS module_rank FROM lineitem)"""
+
+
+@query(f"""WITH {_MAP}, s AS (SELECT *, CASE kind WHEN 'symbol' THEN 1 WHEN 'private_method' THEN 2 WHEN 'constant' THEN 3 WHEN 'import' THEN 4 ELSE CASE WHEN module_lines < 20 THEN 5 ELSE 6 END END AS stage FROM items),
+k AS (SELECT *, CASE stage WHEN 1 THEN rank WHEN 6 THEN module_rank ELSE 0 END AS r, CASE WHEN stage IN (1, 6) THEN module ELSE '' END AS m, CASE stage WHEN 1 THEN name ELSE '' END AS u FROM s),
+units AS (SELECT project, stage, r, m, u, sum(tokens) AS t FROM k GROUP BY ALL),
+sums AS (SELECT *, sum(t) OVER (PARTITION BY project) AS total, coalesce(sum(t) OVER (PARTITION BY project ORDER BY stage, r, m, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM units)
+SELECT project, name, kind, tokens, CAST(k.stage AS INT) AS stage, before >= total - CAST(total AS BIGINT) * (project % 8) // 8 AS kept FROM k JOIN sums USING (project, stage, r, m, u)""")
+def trim_stages(spark, sf):
+    """Code maps cut to shares of their size, so that every stage decides for some project."""
+    li = table(spark, sf, "lineitem")
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    items = li.select(
+        (F.col("l_suppkey") % 24).alias("project"), F.concat(F.lit("m"), (part % 12).cast("string")).alias("module"),
+        F.concat_ws(".", F.col("l_orderkey").cast("string"), n.cast("string"), part.cast("string")).alias("name"),
+        F.when(n <= 2, "symbol").when(n == 3, "private_method").when(n == 4, "constant").when(n == 5, "import").otherwise("module").alias("kind"),
+        F.col("l_extendedprice").alias("rank"), F.col("l_quantity").cast("bigint").alias("tokens"), (5 + (part % 12) * 3).alias("module_lines"),
+        ((part % 12) * 7 % 12).cast("double").alias("module_rank"))
+    budgets = items.groupBy("project").agg(F.floor(F.sum("tokens") * (F.col("project") % 8) / 8).alias("max_tokens"))
+    return packing.trim_in_stages(items, budgets, ["project"]).select("project", "name", "kind", "tokens", "stage", "kept")
+
+
+def _round_sql(k: int) -> str:
+    kept = "" if k == 1 else f" WHERE outcome = 'retry' OR (outcome = 'overflow' AND pos < greatest(1, n_files // 2))"
+    return f"""q{k} AS (SELECT item, pos, file, count(*) OVER (PARTITION BY item) AS n_files FROM {'w' if k == 1 else f'a{k - 1}'}{kept}),
+a{k} AS (SELECT *, {k} AS attempt, CASE WHEN item % 31 = 0 THEN 'fatal' WHEN n_files > 20 THEN 'overflow' WHEN item % 7 = 0 AND {k} = 1 THEN 'retry' WHEN item % 3 > 0 THEN 'completed' WHEN item % 5 = 0 THEN 'retry' ELSE 'completed' END AS outcome FROM q{k})"""
+
+
+_ROUNDS = "w AS (SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, 'f' || event_id AS file FROM events), " + ", ".join(map(_round_sql, (1, 2, 3)))
+_ATTEMPTS = " UNION ALL ".join(f"SELECT * FROM a{k}" for k in (1, 2, 3))
+
+
+def _attempts(spark, sf):
+    """Items of a user's events as files; large ones overflow, some time out at first, some never answer."""
+    events = table(spark, sf, "events")
+    work = numbered(events.select(F.col("user_id").alias("item"), "event_id"), ["item"], ["event_id"], "no").select(
+        "item", (F.col("no") - 1).alias("pos"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("file"))
+
+    def attempt(items, k):
+        i = F.col("item")
+        error = F.when(i % 31 == 0, "model not available").when(F.col("n_files") > 20, "maximum context length exceeded").when((i % 7 == 0) & F.lit(k == 1), "timeout")
+        return items.select("*", error.alias("error"), F.when(error.isNotNull(), "RuntimeError").alias("error_type"), (i % 3).alias("n_findings"), (i % 5 == 0).alias("parse_failed"))
+
+    return retries.attempt_rounds(work, attempt, 3)
+
+
+@query(f"""WITH {_ROUNDS} SELECT item, CAST(attempt AS INT) AS attempt, pos, file, n_files, outcome FROM ({_ATTEMPTS})""")
+def retry_rounds(spark, sf):
+    """The files of every attempt, halved after an overflow."""
+    return _attempts(spark, sf)
+
+
+@query(f"""WITH {_ROUNDS}, p AS (SELECT DISTINCT item, attempt, outcome, n_files AS n FROM ({_ATTEMPTS}))
+SELECT item, CAST(attempt AS INT) AS attempt, 'files_omitted' AS kind, n - greatest(1, n // 2) AS n FROM p WHERE outcome = 'overflow' AND attempt < 3 AND n > greatest(1, n // 2)
+UNION ALL SELECT item, CAST(attempt AS INT), 'check_failed', n FROM p WHERE outcome = 'fatal' OR (attempt = 3 AND outcome IN ('retry', 'overflow'))""")
+def retry_losses(spark, sf):
+    return retries.omitted_files(_attempts(spark, sf), 3)
+
+
 @query("""WITH old AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), new AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0)
 SELECT 'd' || coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.text <> n.text THEN 'modified' ELSE 'unchanged' END AS state
 FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
-from glintmark.operators import analyzers, dedup, evaluation, graph, history, matching, packing, prefix, quality, reports, rules, scoring
+from glintmark.operators import analyzers, dedup, evaluation, graph, history, matching, packing, prefix, quality, reports, retries, rules, scoring
 
 FINDING = "ordinal bigint, rule_id string, cwe string, file string, line int, level string"
 
@@ -360,3 +360,86 @@ def test_bulk_score_isolates_failures_and_stops_on_fatal(spark):
     assert got == {1: (None, "ZeroDivisionError"), 2: ("1", None)}
     with pytest.raises(Exception, match="ZeroDivisionError"):
         analyzers.bulk_score(df, half, "score", fatal=lambda e: isinstance(e, ZeroDivisionError)).collect()
+
+
+def _trimmed_by_hand(items, budget):
+    """Cut one code map step by step until it fits."""
+    left = list(items)
+
+    def fits():
+        return sum(i["tokens"] for i in left) <= budget
+
+    steps = [[i] for i in sorted((i for i in items if i["kind"] == "symbol"), key=lambda i: (i["rank"], i["module"], i["name"]))]
+    steps += [[i for i in items if i["kind"] == kind] for kind in ("private_method", "constant", "import")]
+    rest = [i for i in items if i["kind"] == "module"]
+    steps.append([i for i in rest if i["module_lines"] < 20])
+    for module in sorted({(i["module_rank"], i["module"]) for i in rest if i["module_lines"] >= 20}):
+        steps.append([i for i in rest if (i["module_rank"], i["module"]) == module])
+    decided = 0
+    for gone in steps:
+        if fits():
+            break
+        left = [i for i in left if i not in gone]
+        decided += 1
+    return {(i["module"], i["name"]) for i in left}
+
+
+def test_trim_in_stages_equals_cutting_step_by_step(spark):
+    rng = random.Random(4)
+    rows, budgets, want = [], [], {}
+    for project in range(14):
+        modules = {f"m{k}": (rng.choice([5, 19, 20, 80]), float(rng.randrange(4))) for k in range(5)}
+        items = [dict(project=project, kind=rng.choice(["symbol", "symbol", "private_method", "constant", "import", "module"]), module=m, name=f"x{n}", rank=float(rng.randrange(3)),
+                      tokens=rng.randint(1, 9), module_lines=modules[m][0], module_rank=modules[m][1]) for n, m in enumerate(rng.choices(list(modules), k=40))]
+        total = sum(i["tokens"] for i in items)
+        budget = [0, 3, total, total - 1, -1][project] if project < 5 else rng.randrange(total)
+        rows += items
+        budgets.append((project, budget))
+        want[project] = _trimmed_by_hand(items, budget)
+    df = spark.createDataFrame(rows, "project int, kind string, module string, name string, rank double, tokens int, module_lines int, module_rank double")
+    out = packing.trim_in_stages(df, spark.createDataFrame(budgets, "project int, max_tokens int"), ["project"]).collect()
+    assert len(out) == len(rows) and {r.stage for r in out} == {1, 2, 3, 4, 5, 6}
+    got = {p: {(r.module, r.name) for r in out if r.project == p and r.kept} for p, _ in budgets}
+    assert got == want
+
+
+def test_attempts_halve_on_overflow_and_stop(spark):
+    """An item is too large until it has three files; one fails for good, one needs a second try, one is never answered."""
+    sizes = {"big": 13, "one": 1, "fatal": 4, "slow": 5, "never": 2}
+    work = spark.createDataFrame([(i, p, f"{i}{p}") for i, n in sizes.items() for p in range(n)], "item string, pos int, file string")
+    asked = []
+
+    def attempt(items, k):
+        asked.append(sorted((r.item, r.n_files) for r in items.collect()))
+        i, n = F.col("item"), F.col("n_files")
+        error = (F.when(i == "fatal", "credit balance is too low").when((i == "big") & (n > 3), "Maximum context length exceeded")
+                 .when((i == "slow") & F.lit(k == 1) | (i == "never"), "timeout"))
+        kind = F.when(i == "fatal", K.FATAL_TYPES[0]).when(error.isNotNull(), "TimeoutError")
+        return items.select("*", error.alias("error"), kind.alias("error_type"), F.lit(1).alias("n_findings"), F.lit(False).alias("parse_failed"))
+
+    rows = retries.attempt_rounds(work, attempt, 4).collect()
+    by = {(r.item, r.attempt): r for r in rows}
+    assert {k: (r.n_files, r.outcome) for k, r in by.items()} == {
+        ("big", 1): (13, "overflow"), ("big", 2): (6, "overflow"), ("big", 3): (3, "completed"), ("one", 1): (1, "completed"), ("fatal", 1): (4, "fatal"),
+        ("slow", 1): (5, "retry"), ("slow", 2): (5, "completed"), ("never", 1): (2, "retry"), ("never", 2): (2, "retry"), ("never", 3): (2, "retry"), ("never", 4): (2, "retry")}
+    assert sorted(r.file for r in rows if (r.item, r.attempt) == ("big", 3)) == ["big0", "big1", "big2"]
+    assert asked[1:] == [[("big", 6), ("never", 2), ("slow", 5)], [("big", 3), ("never", 2)], [("never", 2)]]
+    lost = retries.omitted_files(spark.createDataFrame(rows), 4).collect()
+    assert {(r.item, r.attempt, r.kind, r.n) for r in lost} == {("big", 1, "files_omitted", 7), ("big", 2, "files_omitted", 3), ("fatal", 1, "check_failed", 4), ("never", 4, "check_failed", 2)}
+    assert retries.attempt_rounds(work.limit(0), attempt, 2).collect() == []
+
+
+def test_histogram_of_one_hot_group_of_doubles(spark):
+    rng = random.Random(9)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(3000)] + [("hot", 0.5)] * 400 + [("few", float(rng.randrange(3))) for _ in range(50)] + [(None, 1.5), (None, 2.5), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    want = {}
+    for g in ("hot", "few", None):
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        want |= {(g, v): (values.count(v), values.index(v), len(values)) for v in set(values)}
+    got = {(r.g, r.v): (r.n, r.n_before, r.n_all) for r in prefix.histogram(df, ["g"], "v").collect()}
+    assert got == want
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert {r.g: r.p for r in prefix.index_percentile(df, ["g"], "v", 0.9, "p").collect()}["hot"] == hot[int(len(hot) * 0.9)]
+    every = sorted(v for _, v in rows if v is not None)
+    assert prefix.index_percentile(df, [], "v", 0.9, "p").collect()[0].p == every[int(len(every) * 0.9)]
