@@ -91,6 +91,82 @@ def dimension_scores(spark, sf):
     return _scores(spark, sf).select("project", "dim", F.round("score", 6).alias("score"))
 
 
+# Every branch of the scores in some project: linter counts for even projects, complexity for every third, cycles for odd ones, one project in C#.
+_BRANCHES = """x AS (SELECT 'proj' || (l_suppkey % 7) AS project, l_suppkey % 7 AS k, l_orderkey AS o, l_partkey AS p FROM lineitem),
+lint AS (SELECT project, count(*) FILTER (o % 211 = 0) / 8.0::DOUBLE AS wk, count(*) FILTER (o % 1999 = 0) AS hi, count(*) FILTER (o % 997 = 0) AS med FROM x WHERE k % 2 = 0 GROUP BY project),
+cc AS (SELECT project, avg(30 + p % 90) AS mi, avg(o % 20)::DOUBLE AS ac, max(o % 17) AS p90c, avg(CASE WHEN o % 3 = 0 THEN 1 ELSE 0 END) AS simple FROM x WHERE k % 3 = 0 GROUP BY project),
+cyc AS (SELECT project, count(DISTINCT p % 3) AS cycles FROM x WHERE k % 2 = 1 GROUP BY project),
+extra AS (SELECT 'proj' || (l_suppkey % 7) AS project, sum(l_partkey % 2)::DOUBLE AS forgiving, count(*) FILTER (l_orderkey % 2 = 0) AS nullable, sum(10 + l_orderkey % 400) AS slines FROM lineitem WHERE l_linenumber % 7 <> 1 GROUP BY 1),
+v AS (SELECT *, ac IS NOT NULL AS has_cc, wk IS NOT NULL AS has_lint, project = 'proj3' AS cs FROM a LEFT JOIN lint USING (project) LEFT JOIN cc USING (project) LEFT JOIN cyc USING (project) JOIN extra USING (project)),
+w AS (SELECT *, least(100, dc / tc * 100)::DOUBLE AS doc, greatest(0, least(100, 100.0 * (100 - p90f) / 70))::DOUBLE AS flen, pub / (pub + priv) AS api, abs(test_lines / source_lines - 1) AS off FROM v),
+parts AS (SELECT project, unnest([
+ {'dim': 'maintainability', 'part': 'doc_coverage', 'weight': CASE WHEN has_cc THEN 0.25 ELSE 0.30 END, 'value': doc},
+ {'dim': 'maintainability', 'part': 'file_size_p90', 'weight': CASE WHEN has_cc THEN 0.20 ELSE 0.25 END, 'value': greatest(0, least(100, 100.0 * (800 - p90l) / 600))::DOUBLE},
+ {'dim': 'maintainability', 'part': 'function_length_p90', 'weight': 0.25, 'value': flen},
+ {'dim': 'maintainability', 'part': 'radon_mi', 'weight': 0.30, 'value': least(100, greatest(0, mi))::DOUBLE},
+ {'dim': 'maintainability', 'part': 'cohesion', 'weight': 0.20, 'value': CASE WHEN NOT has_cc THEN 100 / (1 + exp(0.2::DOUBLE * (af - 15))) END},
+ {'dim': 'security', 'part': 'ast_unsafe_patterns', 'weight': CASE WHEN has_lint THEN 0.15 ELSE 0.60 END, 'value': 100 * exp(-un / greatest(source_lines / 1000, 0.1))},
+ {'dim': 'security', 'part': 'ast_clean_file_ratio', 'weight': CASE WHEN has_lint THEN 0.15 ELSE 0.40 END, 'value': (n - fu)::DOUBLE / n * 100},
+ {'dim': 'security', 'part': 'bandit_severity_density', 'weight': 0.30, 'value': 100 * exp(-0.3::DOUBLE * wk)},
+ {'dim': 'security', 'part': 'bandit_high_severity', 'weight': 0.25, 'value': 100 * exp(-1.5::DOUBLE * hi)},
+ {'dim': 'security', 'part': 'bandit_medium_severity', 'weight': 0.15, 'value': 100 * exp(-0.5::DOUBLE * med)},
+ {'dim': 'modularity', 'part': 'instability_balance', 'weight': 0.25, 'value': 100 * (1 - abs(inst - 0.5) * 2)},
+ {'dim': 'modularity', 'part': 'coupling_max_ce', 'weight': 0.30, 'value': 100 / (1 + exp(0.3::DOUBLE * (mce - 15)))},
+ {'dim': 'modularity', 'part': 'circular_deps', 'weight': 0.25, 'value': 100 * exp(-coalesce(cycles, 0)::DOUBLE)},
+ {'dim': 'modularity', 'part': 'size_gini', 'weight': 0.20, 'value': (1 - gini) * 100},
+ {'dim': 'testability', 'part': 'test_code_ratio', 'weight': CASE WHEN has_cc THEN 0.30 ELSE 0.35 END, 'value': 100 / (1 + exp(3::DOUBLE * (off - 0.8)))},
+ {'dim': 'testability', 'part': 'test_file_ratio', 'weight': CASE WHEN has_cc THEN 0.15 ELSE 0.20 END, 'value': least(100, test_files::DOUBLE / source_files * 100)::DOUBLE},
+ {'dim': 'testability', 'part': 'avg_nesting_depth', 'weight': CASE WHEN has_cc THEN 0.15 ELSE 0.20 END, 'value': 100 / (1 + exp(1::DOUBLE * (an - 4)))},
+ {'dim': 'testability', 'part': 'radon_avg_complexity', 'weight': 0.25, 'value': 100 / (1 + exp(0.3::DOUBLE * (ac - 10)))},
+ {'dim': 'testability', 'part': 'simple_function_ratio', 'weight': 0.15, 'value': simple * 100},
+ {'dim': 'testability', 'part': 'avg_function_length', 'weight': 0.25, 'value': CASE WHEN NOT has_cc THEN 100 / (1 + exp(0.15::DOUBLE * (alen - 25))) END},
+ {'dim': 'robustness', 'part': 'type_safety', 'weight': 0.65, 'value': CASE WHEN cs THEN nullable::DOUBLE / n * 100 * 0.60 + 100 * exp(-0.5::DOUBLE * forgiving / greatest(slines / 1000.0::DOUBLE, 0.1)) * 0.40 ELSE ap / tp * 100 * 0.55 + ar / tr * 100 * 0.45 END},
+ {'dim': 'robustness', 'part': 'exception_handling_quality', 'weight': 0.35, 'value': (1 - b / h) * 100},
+ {'dim': 'elegance', 'part': 'nesting_depth_p90', 'weight': CASE WHEN has_cc THEN 0.25 ELSE 0.35 END, 'value': 100 / (1 + exp(1.5::DOUBLE * (p90n - 4)))},
+ {'dim': 'elegance', 'part': 'function_length_p90', 'weight': CASE WHEN has_cc THEN 0.25 ELSE 0.35 END, 'value': flen},
+ {'dim': 'elegance', 'part': 'naming_conventions', 'weight': CASE WHEN has_cc THEN 0.25 ELSE 0.30 END, 'value': (1 - nv / defs) * 100},
+ {'dim': 'elegance', 'part': 'radon_complexity_p90', 'weight': 0.25, 'value': 100 / (1 + exp(0.4::DOUBLE * (p90c - 10)))},
+ {'dim': 'reusability', 'part': 'api_surface_ratio', 'weight': 0.35, 'value': CASE WHEN api BETWEEN 0.3 AND 0.6 THEN 100 WHEN api < 0.3 THEN api / 0.3 * 100 ELSE greatest(0, 100 - (api - 0.6) / 0.4 * 100) END::DOUBLE},
+ {'dim': 'reusability', 'part': 'coupling', 'weight': 0.35, 'value': 100 / (1 + exp(0.4::DOUBLE * (ace - 8)))},
+ {'dim': 'reusability', 'part': 'module_size', 'weight': 0.30, 'value': 100 / (1 + exp(0.02::DOUBLE * (al - 200)))}], recursive := true) FROM w)"""
+
+
+def _branch_scores(spark, sf):
+    li = table(spark, sf, "lineitem")
+    k, o, p = F.col("l_suppkey") % 7, F.col("l_orderkey"), F.col("l_partkey")
+    project = F.concat(F.lit("proj"), k.cast("string")).alias("project")
+    files = _metrics(spark, sf).withColumn("language", F.when(F.col("project") == "proj3", "csharp").otherwise(F.lit("python")))
+    linter = li.filter(k % 2 == 0).groupBy(project).agg(
+        (F.count_if(o % 211 == 0) / 8.0).alias("weighted_per_kloc"), F.count_if(o % 1999 == 0).alias("high_severity"), F.count_if(o % 997 == 0).alias("medium_severity"))
+    complexity = li.filter(k % 3 == 0).groupBy(project).agg(
+        F.avg(30 + p % 90).alias("avg_mi"), F.avg(o % 20).alias("avg_complexity"), F.max(o % 17).alias("p90_complexity"), F.avg(F.when(o % 3 == 0, 1).otherwise(0)).alias("simple_ratio"))
+    components = li.filter(k % 2 == 1).select(project, (p % 3).cast("string").alias("component")).distinct()
+    return quality.dimension_scores(quality.project_rollup(files, _project_edges(spark, sf), components), linter, complexity)
+
+
+@query(f"""WITH {_METRICS}, {_BRANCHES}, d AS (SELECT project, dim, sum(weight * value) AS score FROM parts WHERE value IS NOT NULL GROUP BY project, dim)
+SELECT project, dim, part, round(value, 6) AS value, round(score, 6) AS score, CAST(CASE WHEN dim <> 'security' THEN 1 WHEN project IN (SELECT project FROM lint) THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence
+FROM parts JOIN d USING (project, dim) WHERE value IS NOT NULL""")
+def score_parts(spark, sf):
+    """Every part of every score with linter, complexity, C# and cycle branches."""
+    s = _branch_scores(spark, sf).select("project", "dim", "score", "confidence", F.explode("sub_scores").alias("part", "value"))
+    return s.select("project", "dim", "part", F.round("value", 6).alias("value"), F.round("score", 6).alias("score"), "confidence")
+
+
+@query(f"""WITH {_METRICS}, {_BRANCHES}, said AS (SELECT project, unnest([
+ {{'dim': 'maintainability', 'n': CASE WHEN has_cc AND mi < 40 THEN 1 ELSE 0 END + CASE WHEN doc < 50 THEN 1 ELSE 0 END + CASE WHEN p90l > 500 THEN 1 ELSE 0 END + CASE WHEN p90f > 50 THEN 1 ELSE 0 END}},
+ {{'dim': 'security', 'n': CASE WHEN hi > 0 THEN 1 ELSE 0 END + CASE WHEN med > 0 THEN 1 ELSE 0 END + CASE WHEN has_lint THEN 0 ELSE 1 END}},
+ {{'dim': 'modularity', 'n': CASE WHEN mce > 15 THEN 1 ELSE 0 END + CASE WHEN cycles > 0 THEN 1 ELSE 0 END}},
+ {{'dim': 'testability', 'n': CASE WHEN test_lines / source_lines < 0.5 THEN 1 ELSE 0 END + CASE WHEN test_files = 0 THEN 1 ELSE 0 END}},
+ {{'dim': 'robustness', 'n': CASE WHEN (SELECT value FROM parts q WHERE q.project = w.project AND q.part = 'type_safety') < 70 THEN 1 ELSE 0 END + CASE WHEN b > 0 THEN 1 ELSE 0 END}},
+ {{'dim': 'elegance', 'n': CASE WHEN p90n > 4 THEN 1 ELSE 0 END + CASE WHEN p90f > 50 THEN 1 ELSE 0 END}},
+ {{'dim': 'reusability', 'n': CASE WHEN api > 0.7 THEN 1 ELSE 0 END}}], recursive := true) FROM w)
+SELECT project, dim, CAST(n AS INT) AS n_recommendations FROM said""")
+def score_advice(spark, sf):
+    """How many recommendations each dimension gives, in the same branches."""
+    return _branch_scores(spark, sf).select("project", "dim", F.size("recommendations").alias("n_recommendations"))
+
+
 def _composite_sql(source: str) -> str:
     weights = {"maintainability": 0.2, "security": 0.15, "modularity": 0.15, "testability": 0.15, "robustness": 0.13, "elegance": 0.12, "reusability": 0.1}  # fixed values of the profile, written out
     ln = " + ".join(f"{w} * ln(max(greatest(1, score)) FILTER (dim = '{d}'))" for d, w in weights.items())
