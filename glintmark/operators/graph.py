@@ -383,6 +383,14 @@ def layer_ranks(modules: DataFrame, ranks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_files"), F.sum(F.coalesce("rank", F.lit(0.0))).alias("layer_rank"))
 
 
+def top_modules(modules: DataFrame, ranks: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` modules (file, lines, classes, functions) of highest rank; a module without a rank has 0."""
+    from glintmark.functions.paths import module_name
+
+    ranked = modules.withColumn("node", module_name(F.col("file"))).join(ranks, "node", "left")
+    return ranked.select("file", "lines", "classes", "functions", F.coalesce("rank", F.lit(0.0)).alias("rank")).orderBy(F.desc("rank"), "file").limit(k)
+
+
 def import_pairs(imports: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, imported) inside the project: the import or its parent is a module of it."""
     prefixes = F.array_distinct(F.array("imported", F.regexp_replace("imported", r"\.[^.]*$", "")))

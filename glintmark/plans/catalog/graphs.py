@@ -332,6 +332,21 @@ def layer_ranks(spark, sf):
     return G.layer_ranks(tree.select(F.col("path").alias("file")), by_name).select("layer", "n_files", F.round("layer_rank", 5).alias("layer_rank"))
 
 
+@query(f"""{sql_with('tree')}, {_pagerank_sql(30)[5:]}, r AS (SELECT node, rank / (SELECT max(rank) FROM it30) AS rank FROM it30),
+t AS (SELECT 'p' || doc_id AS node, path AS file, CAST(len(string_split(text, chr(10))) AS INT) AS lines, CAST(doc_id % 4 AS INT) AS classes, CAST(doc_id % 9 AS INT) AS functions FROM tree)
+SELECT file, lines, classes, functions, round(rank, 5) AS rank FROM (SELECT t.*, coalesce(rank, 0) AS rank FROM t LEFT JOIN r USING (node)) ORDER BY rank DESC, file LIMIT 10""")
+def top_modules(spark, sf):
+    """The ten modules of highest page rank."""
+    from glintmark.functions.paths import module_name
+
+    e = _rank_graph(spark, sf)
+    ranks = G.pagerank(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+    tree = view(spark, sf, "tree")
+    names = tree.select(module_name(F.col("path")).alias("name"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("node"))
+    modules = tree.select(F.col("path").alias("file"), F.size(F.split("text", "\n")).alias("lines"), (F.col("doc_id") % 4).cast("int").alias("classes"), (F.col("doc_id") % 9).cast("int").alias("functions"))
+    return G.top_modules(modules, ranks.join(names, "node").select(F.col("name").alias("node"), "rank")).withColumn("rank", F.round("rank", 5))
+
+
 @query(f"""WITH {_MODS}, {_IMPS} SELECT DISTINCT module, imported FROM imps WHERE imported IN (SELECT module FROM mods) OR regexp_replace(imported, '\\.[^.]*$', '') IN (SELECT module FROM mods)""")
 def import_pairs(spark, sf):
     mods, imps = _modules(spark, sf)

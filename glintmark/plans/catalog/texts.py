@@ -40,6 +40,10 @@ def redact_text(spark, sf):
 _EDGE = "(^|[^\\p{L}\\p{N}_])"
 _LINES = "ln AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM tree)"
 _RULE_SQL = [
+    ("001.2", "error", "Direct logging import", "path LIKE 'src/%' AND path NOT LIKE '%logging.py' AND regexp_matches(line, '^import logging\\s*$')"),
+    ("001.4", "error", "Subprocess outside the runner", "path LIKE 'src/%' AND NOT contains(path, '/cli/') AND path NOT LIKE '%tools/runner.py' AND trim(line) NOT LIKE '#%' AND regexp_matches(line, 'create_subprocess_(exec|shell)|subprocess\\.(run|call|Popen|check_output)')"),
+    ("003.7", "error", "Hardcoded model", "path LIKE 'src/%' AND trim(line) NOT LIKE '#%' AND NOT contains(line, 'help=') AND NOT contains(line, 'examples.add(') AND regexp_matches(line, 'gpt-[0-9]|claude-|o[0-9]-mini')"),
+    ("004.4", "error", "Separator of the system in a path", "path LIKE 'src/%' AND NOT contains(line, 'replace(') AND regexp_matches(line, 'os\\.(path\\.)?sep')"),
     ("001.1", "error", "Relative import", "path LIKE 'src/%' AND regexp_matches(line, '^\\s*from\\s+\\.')"),
     ("001.5", "error", "Shell call", "path LIKE 'src/%' AND regexp_matches(line, 'shell\\s*=\\s*True') AND trim(line) NOT LIKE '#%'"),
     ("002.2", "warning", "Bare except", "regexp_matches(line, '^\\s*except\\s*:')"),
@@ -222,12 +226,15 @@ _ECHO = "echo AS (SELECT DISTINCT l_suppkey % 5 AS grp, CASE l_orderkey % 6 WHEN
 _INCL = "incl AS (SELECT DISTINCT l_suppkey % 5 AS grp, CASE l_linenumber % 3 WHEN 0 THEN 'a/b' || (l_partkey % 25) || '/f.py' WHEN 1 THEN 'z/b' || (l_partkey % 33) || '/f.py' ELSE 'k/g' || (l_partkey % 60) || '.py' END AS file FROM lineitem)"
 
 
-@query(f"""WITH {_ECHO}, {_INCL}, c AS (SELECT grp, raw, ltrim(raw, './') AS cand FROM echo),
+_RESOLVED = f"""WITH {_ECHO}, {_INCL}, c AS (SELECT grp, raw, ltrim(raw, './') AS cand FROM echo),
 ex AS (SELECT c.grp, c.raw, min(i.file) AS hit FROM c JOIN incl i ON i.grp = c.grp AND i.file = cand GROUP BY ALL),
 su AS (SELECT c.grp, c.raw, min(i.file) AS hit, count(*) AS n FROM c JOIN incl i ON i.grp = c.grp AND (i.file LIKE '%/' || cand OR cand LIKE '%/' || i.file) GROUP BY ALL),
 ba AS (SELECT c.grp, c.raw, min(i.file) AS hit, count(*) AS n FROM c JOIN incl i ON i.grp = c.grp AND split_part(i.file, '/', -1) = split_part(cand, '/', -1) GROUP BY ALL)
 SELECT c.grp, c.raw, CASE WHEN c.raw = 'unknown' THEN 'unknown' WHEN ex.hit IS NOT NULL THEN ex.hit WHEN su.n = 1 THEN su.hit WHEN ba.n = 1 THEN ba.hit ELSE 'unknown' END AS file
-FROM c LEFT JOIN ex USING (grp, raw) LEFT JOIN su USING (grp, raw) LEFT JOIN ba USING (grp, raw)""")
+FROM c LEFT JOIN ex USING (grp, raw) LEFT JOIN su USING (grp, raw) LEFT JOIN ba USING (grp, raw)"""
+
+
+@query(_RESOLVED)
 def path_resolve(spark, sf):
     li = table(spark, sf, "lineitem")
     part = lambda n: (F.col("l_partkey") % n).cast("string")
@@ -246,6 +253,28 @@ def path_resolve(spark, sf):
                                   li.select(grp, file.alias("file")).distinct(), ["grp"])
 
 
+@query(f"""WITH r AS ({_RESOLVED}) SELECT grp, count(*) FILTER (file = 'unknown') AS n_unresolved FROM r GROUP BY grp""")
+def unresolved_paths(spark, sf):
+    """Echoed paths of each group that no file answers to."""
+    return reports.unresolved_places(path_resolve(spark, sf), ["grp"])
+
+
+@query(f"""{_T} SELECT path FROM tree WHERE (path LIKE 'src/%' OR regexp_matches(path, '^tests/.*_1')) AND regexp_matches(path, '\\.(py|cs)$') AND path NOT LIKE 'src/models/%' AND NOT regexp_matches(path, 'auth_[^/]*$')""")
+def collected_sources(spark, sf):
+    """Files that code analysis reads: two scopes, a folder and a name left out."""
+    return S.collect_sources(_tree(spark, sf), ["src", "tests/*_1*"], ["src/models/", "auth_*"]).select("path")
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' in a long name of a weakness that goes on (and on)' WHEN p_partkey % 3 = 1 THEN ' (short)' ELSE '' END AS name FROM part),
+b AS (SELECT *, CASE WHEN contains(name, '(') THEN trim(split_part(name, '(', 1)) ELSE name END AS base FROM n)
+SELECT p_partkey, 'CWE-' || p_partkey || ' ' || CASE WHEN length(base) > 50 THEN base[:47] || '...' ELSE base END AS short_name, 'CWE-' || p_partkey || ' ' || base AS whole_name FROM b""")
+def short_names(spark, sf):
+    m = F.col("p_partkey") % 3
+    name = F.concat("p_name", F.when(m == 0, " in a long name of a weakness that goes on (and on)").when(m == 1, " (short)").otherwise(""))
+    key = F.col("p_partkey").cast("string")
+    return table(spark, sf, "part").select("p_partkey", X.short_cwe_name(key, name).alias("short_name"), X.short_cwe_name(key, name, None).alias("whole_name"))
+
+
 @query(f"""{sql_with('findings', 'manifest')} SELECT file, weight, rule_id, tool, line, level, message FROM findings JOIN manifest USING (file)""")
 def file_findings(spark, sf):
     return matching.file_findings(view(spark, sf, "manifest"), view(spark, sf, "findings"))
