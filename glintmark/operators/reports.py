@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,37 @@ def write_facts(facts: DataFrame, path: str, run: str = "run_id") -> None:
     facts.write.partitionBy(run).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+_FACT = "run_id string, fact string, subject string, detail string, n bigint, amount decimal(28, 9)"
+
+
+def audit_facts(costs: DataFrame | None = None, losses: DataFrame | None = None, failures: DataFrame | None = None,
+                selection: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """The audit record of every run as rows (run_id, fact, subject, detail, n, amount), so that no run has to fit one document.
+
+    ``costs`` (run_id, agent, model, cost_usd) become calls and money per agent and model, ``losses`` (run_id, pass, kind,
+    subject, count) keep their counts, ``failures`` (run_id, pass, error_type, fatal) are counted, fatal ones apart,
+    ``selection`` (run_id, check, via) gives files per check and way of selection, ``verdicts`` (run_id, verdict) their totals.
+    """
+    none, money = F.lit(None).cast("string"), F.lit(None).cast("decimal(28,9)")
+    count = F.count(F.lit(1)).alias("n")
+    parts = []
+    if costs is not None:
+        parts.append(costs.groupBy("run_id", "agent", "model").agg(count, F.sum("cost_usd").cast("decimal(28,9)").alias("amount")).select(
+            "run_id", F.lit("cost").alias("fact"), F.col("agent").alias("subject"), F.col("model").alias("detail"), "n", "amount"))
+    if losses is not None:
+        parts.append(losses.groupBy("run_id", "pass", "kind", "subject").agg(F.sum("count").cast("bigint").alias("n")).select(
+            "run_id", F.concat(F.lit("loss:"), "kind").alias("fact"), F.col("pass").alias("subject"), F.col("subject").alias("detail"), "n", money.alias("amount")))
+    if failures is not None:
+        parts.append(failures.groupBy("run_id", "pass", "error_type", "fatal").agg(count).select(
+            "run_id", F.when(F.col("fatal"), F.lit("fatal")).otherwise(F.lit("failure")).alias("fact"), F.col("pass").alias("subject"), F.col("error_type").alias("detail"), "n", money.alias("amount")))
+    if selection is not None:
+        parts.append(selection.groupBy("run_id", "check", "via").agg(count).select("run_id", F.lit("selection").alias("fact"), F.col("check").alias("subject"), F.col("via").alias("detail"), "n", money.alias("amount")))
+    if verdicts is not None:
+        parts.append(verdicts.groupBy("run_id", "verdict").agg(count).select("run_id", F.lit("triage").alias("fact"), F.col("verdict").alias("subject"), none.alias("detail"), "n", money.alias("amount")))
+    empty = (costs if costs is not None else next(p for p in (losses, failures, selection, verdicts) if p is not None)).sparkSession.createDataFrame([], _FACT)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
 def omitted_losses(packed: DataFrame, by: list[str], pass_name: str, order: list[str], shown: int = 5) -> DataFrame:
     """One loss row per group with files left out, naming the first few of them."""
     omitted = F.col("packed") == "omitted"

@@ -239,6 +239,29 @@ def full_review(spark, sf):
     return done.counts
 
 
+@query(f"""{sql_with('llm_calls', 'findings', 'manifest')}, {_PRICED}, fr AS (SELECT *, 'run' || run_no AS run_id FROM findings)
+SELECT run_id, 'cost' AS fact, agent AS subject, model AS detail, count(*) AS n, sum(cost_usd)::DOUBLE AS amount FROM priced GROUP BY run_id, agent, model
+UNION ALL SELECT run_id, 'loss:outside_manifest', 'scan', tool, count(*), NULL FROM fr WHERE file NOT IN (SELECT file FROM manifest) GROUP BY run_id, tool
+UNION ALL SELECT 'run' || (user_id % 5), CASE WHEN user_id % 10 = 0 THEN 'fatal' ELSE 'failure' END, 'verify', CASE WHEN user_id % 2 = 0 THEN 'TimeoutError' ELSE 'ValueError' END, count(*), NULL FROM events WHERE event_type = 'error' GROUP BY ALL
+UNION ALL SELECT run_id, 'selection', coalesce(cwe, 'none'), CASE WHEN weight >= 5 THEN 'keyword' ELSE 'graph' END, count(DISTINCT file), NULL FROM fr JOIN manifest USING (file) GROUP BY ALL
+UNION ALL SELECT run_id, 'triage', verdict, NULL, count(*), NULL FROM fr WHERE verdict IS NOT NULL GROUP BY run_id, verdict""")
+def audit_facts(spark, sf):
+    """Costs, losses, failures, selection and triage of every run, written a folder per run and read back."""
+    f = view(spark, sf, "findings").withColumn("run_id", F.concat(F.lit("run"), F.col("run_no").cast("string")))
+    manifest = view(spark, sf, "manifest")
+    lost = f.join(manifest, "file", "left_anti").select("run_id", F.lit("scan").alias("pass"), F.lit("outside_manifest").alias("kind"), F.col("tool").alias("subject"), F.lit(1).alias("count"))
+    user = F.col("user_id")
+    failed = table(spark, sf, "events").filter("event_type = 'error'").select(
+        F.concat(F.lit("run"), (user % 5).cast("string")).alias("run_id"), F.lit("verify").alias("pass"),
+        F.when(user % 2 == 0, "TimeoutError").otherwise("ValueError").alias("error_type"), (user % 10 == 0).alias("fatal"))
+    chosen = f.join(manifest, "file").select("run_id", F.coalesce("cwe", F.lit("none")).alias("check"), "file", F.when(F.col("weight") >= 5, "keyword").otherwise("graph").alias("via")).distinct()
+    facts = reports.audit_facts(_priced(spark, sf), lost, failed, chosen, f.filter("verdict IS NOT NULL"))
+    path = shared_path(spark, "facts")
+    reports.write_facts(facts, path)
+    back = spark.read.schema(facts.schema).parquet(path)
+    return back.select("run_id", "fact", "subject", "detail", "n", F.col("amount").cast("double").alias("amount"))
+
+
 @query(f"""{_CALLS}, {_PRICED} SELECT run_id, count(*) AS n_calls, sum(cost_usd)::DOUBLE AS cost_usd, CAST(sum(tokens_in + tokens_out) AS BIGINT) AS tokens FROM priced GROUP BY run_id""")
 def audit_log(spark, sf):
     """Costs written as an audit fact table, one run written twice, and totalled from there."""
