@@ -170,10 +170,12 @@ def _total(rows: DataFrame, size: int, one: Callable[[pa.RecordBatch], np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % groups]), pa.array([total.tobytes()], pa.binary())], ["part", "s"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = None  # a task without rows has nothing to send
         for b in batches:
             for s in b.column(1):
-                total += np.frombuffer(s.as_buffer(), dtype=float)
+                total = np.frombuffer(s.as_buffer(), dtype=float) + (0 if total is None else total)
+        if total is None:
+            return
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], ["part", "s"])
 
     parts = rows.mapInArrow(run, "part long, s binary").repartition(groups, "part").mapInArrow(add, "part long, s binary")
