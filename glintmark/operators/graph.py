@@ -254,78 +254,133 @@ def coupling(edges: DataFrame, by: list[str] | None = None, src: str = "source",
     return ends.groupBy(*by, "node").agg(F.sum("o").alias("ce"), F.sum("i").alias("ca"))
 
 
-def _trim(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Drop edges that cannot lie on a cycle until every node left has edges in and out."""
-    current, size, k = edges, edges.count(), 0
-    while size:
-        kept = current.join(current.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            current.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        kept = scratch.save(kept, f"{name}_trim{k}")
-        left = kept.count()
-        if left == size:
-            return kept
-        current, size, k = kept, left, k + 1
-    return current
+def _rake(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have edges in and out: no other lies on a cycle."""
+    ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+    return edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+
+
+def _compress(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contract chains of nodes with one edge in and one out: (edges left, chain members, closed loops).
+
+    A chain is found by pointer jumping, so its length costs its logarithm in rounds. ``members`` has (v, head, tail): the node
+    lies on a cycle just when the two ends of its chain lie on one together. A ring of such nodes has no end; after enough
+    jumps to go round it, the largest node met names it (``loops``: node, component).
+    """
+    ends = edges.select(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select("dst", F.lit(0), F.lit(1)))
+    single = ends.groupBy("v").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).filter("o = 1 AND i = 1").select("v")
+    single = scratch.save(single, f"{name}_single")
+    n = single.count()
+    if not n:
+        empty = edges.limit(0)
+        return edges, empty.select(F.col("src").alias("v"), F.col("src").alias("head"), F.col("dst").alias("tail")), empty.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    inner = single.select(F.col("v").alias("dst"), F.lit(True).alias("in_chain"))
+    onward = edges.join(single.withColumnRenamed("v", "src"), "src", "left_semi").join(inner, "dst", "left")
+    last = onward.filter("in_chain IS NULL").select(F.col("src").alias("to"))
+    jump = scratch.save(onward.select(F.col("src").alias("v"), F.when(F.col("in_chain"), F.col("dst")).otherwise(F.col("src")).alias("to"), F.col("src").alias("most")), f"{name}_jump0")
+    k, span = 0, 1
+    while span < n:
+        ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("next"), F.col("most").alias("more"))
+        moved = Observation()
+        step = jump.join(ahead, "to").select("v", F.col("next").alias("to"), F.greatest("most", "more").alias("most"), (F.col("next") != F.col("to")).alias("moved"))
+        k, span = k + 1, span * 2
+        jump = scratch.save(step.observe(moved, F.max("moved").alias("any")), f"{name}_jump{k}").drop("moved")
+        scratch.drop(f"{name}_jump{k - 1}")
+        if not moved.get["any"]:
+            break
+    chains = scratch.save(
+        jump.join(last, "to", "left_semi").select("v", "to").join(edges.select(F.col("src").alias("to"), F.col("dst").alias("tail")), "to"), f"{name}_chains")
+    loops = jump.join(last, "to", "left_anti").select(F.col("v").alias("node"), F.col("most").alias("component"))
+    heads = edges.join(single.withColumnRenamed("v", "src"), "src", "left_anti").join(chains.select(F.col("v").alias("dst"), "to", "tail"), "dst").select("to", F.col("src").alias("head"), "tail")
+    heads = scratch.save(heads, f"{name}_heads")
+    free = edges.join(single.withColumnRenamed("v", "src"), "src", "left_anti").join(single.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst")
+    left = scratch.save(free.unionAll(heads.select("head", "tail")).distinct(), f"{name}_left")
+    return left, chains.select("v", "to").join(heads, "to").select("v", "head", "tail"), loops
+
+
+def _colour(edges: DataFrame, nodes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, colour): the largest node from which each can be reached along ``edges``.
+
+    What reaches the colour of a node reaches the node, so a round takes the best colour of the neighbours and then the
+    colour of that colour: with node numbers in no order, colours travel in strides that double.
+    """
+    now = scratch.save(nodes.select("node", F.col("node").alias("colour")), f"{name}0")
+    k = 0
+    while True:
+        passed = edges.join(now.select(F.col("node").alias("src"), "colour"), "src").select(F.col("dst").alias("node"), "colour")
+        own = now.select("node", "colour", F.col("colour").alias("had"))
+        best = own.unionByName(passed, allowMissingColumns=True).groupBy("node").agg(F.max("colour").alias("colour"), F.max("had").alias("had"))
+        k += 1
+        best = scratch.save(best, f"{name}_best{k}")
+        further = best.select(F.col("node").alias("colour"), F.col("colour").alias("next"))
+        moved = Observation()
+        step = best.join(further, "colour").select("node", F.greatest("colour", "next").alias("colour"), (F.greatest("colour", "next") > F.col("had")).alias("moved"))
+        now = scratch.save(step.observe(moved, F.max("moved").alias("any")), f"{name}{k}").drop("moved")
+        scratch.drop(f"{name}_best{k}")
+        scratch.drop(f"{name}{k - 1}")
+        if not moved.get["any"]:
+            return now
 
 
 def cyclic_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) of every node on a cycle; a component is named by its largest node.
 
-    Does not depend on a visiting order. Each round passes the largest reaching node forward as a colour,
-    then walks back from every node that kept its own name inside its colour: what it meets is one
-    strongly connected component. Components leave and the rest is trimmed and coloured again, so work
-    grows with edges and never with pairs of nodes.
+    Does not depend on a visiting order. Nodes get numbers in no order. A turn rakes nodes without edges in or out,
+    contracts chains by pointer jumping, then colours every node with the largest node that reaches it: inside a colour, what
+    reaches the colour's own node is one strongly connected component. Components leave, edges between colours go, and
+    the rest takes another turn. Long paths cost the logarithm of their length, and work grows with edges, never with pairs
+    of nodes. Tables of rounds that are over are removed.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "cycles")
-    all_links = scratch.save(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct(), "links")
-    left = _trim(all_links, scratch, "r0")
-    found: list[DataFrame] = []
-    k = 0
-    while not left.isEmpty():
-        colours = scratch.save(
-            left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node")), f"r{k}_colour0")
-        step, moved = 0, True
-        while moved:
-            passed = left.join(colours, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "colour")
-            new = (
-                colours.select("node", "colour", F.col("colour").alias("own")).unionByName(passed, allowMissingColumns=True)
-                .groupBy("node").agg(F.max("colour").alias("colour"), F.max("own").alias("own"))
-                .select("node", "colour", (F.col("colour") > F.col("own")).alias("moved"))
-            )
-            step += 1
-            new = scratch.save(new, f"r{k}_colour{step}")
-            moved = bool(new.agg(F.max("moved")).first()[0])
-            colours = new.select("node", "colour")
-        same = scratch.save(
-            left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src")
-            .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
-            .filter("cs = cd").select(F.col("dst").alias("from"), F.col("src").alias("to"), F.col("cs").alias("colour")),
-            f"r{k}_same")
-        front = scratch.save(colours.filter("node = colour").select("node", F.col("colour").alias("component")), f"r{k}_back0")
-        rounds, step = [front], 0
-        while not front.isEmpty():
-            step += 1
-            nxt = (
-                front.join(same, (F.col("node") == F.col("from")) & (F.col("component") == F.col("colour")))
-                .select(F.col("to").alias("node"), "component").distinct()
-                .join(reduce(DataFrame.unionAll, rounds), ["node", "component"], "left_anti")
-            )
-            front = scratch.save(nxt, f"r{k}_back{step}")
-            rounds.append(front)
-        members = scratch.save(reduce(DataFrame.unionAll, rounds), f"r{k}_members")
-        found.append(members)
-        rest = left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(
-            members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-        left = _trim(scratch.save(rest, f"r{k}_rest"), scratch, f"r{k + 1}")
+    raw = scratch.save(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct(), "raw")
+    # An odd factor below 2^50 permutes the numbers below 2^63.
+    number = F.expr("cast(pmod(cast(monotonically_increasing_id() as decimal(20,0)) * 1111111111111111, 9223372036854775808) as bigint)")
+    names = scratch.save(raw.select(F.col("a").alias("name")).union(raw.select("b")).distinct().withColumn("node", number), "names")
+    coded = raw.join(names.select(F.col("name").alias("a"), F.col("node").alias("src")), "a").join(names.select(F.col("name").alias("b"), F.col("node").alias("dst")), "b").select("src", "dst")
+    coded = scratch.save(coded, "coded")
+    alone = [coded.filter("src = dst").select(F.col("src").alias("node"))]  # nodes on a cycle of their own, if on no larger one
+    left, k = coded.filter("src <> dst"), 0
+    found, chains = [], []
+    while True:
+        left = scratch.save(_rake(scratch.save(_rake(left), f"t{k}_rake")), f"t{k}_raked")
+        if left.isEmpty():
+            break
+        left, members, loops = _compress(left, scratch, f"t{k}")
+        found.append(loops)
+        chains.append(members)
+        alone.append(left.filter("src = dst").select(F.col("src").alias("node")))
+        left = left.filter("src <> dst")
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colours = _colour(left, nodes, scratch, f"t{k}_to")
+        inside = scratch.save(
+            left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst")
+            .filter("cs = cd").select("src", "dst"), f"t{k}_inside")
+        back = _colour(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colours, scratch, f"t{k}_from")
+        whole = scratch.save(colours.join(back.withColumnRenamed("colour", "reaches"), "node").select("node", "colour", "reaches"), f"t{k}_colours")
+        done = whole.filter("colour = reaches").select("node", F.col("colour").alias("component"))
+        found.append(done)
+        rest = whole.filter("colour <> reaches").select("node", "colour", "reaches")
+        kept = inside.join(rest.select(F.col("node").alias("src"), F.col("reaches").alias("rs")), "src").join(rest.select(F.col("node").alias("dst"), F.col("reaches").alias("rd")), "dst").filter("rs = rd")
+        left = kept.select("src", "dst")
         k += 1
-    loops = all_links.filter("src = dst").select(F.col("src").alias("node")).distinct()
-    if not found:
-        return all_links.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()
-    members = reduce(DataFrame.unionAll, found)
-    big = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
-    return members.join(big, "component", "left_semi").select("node", "component").unionByName(
-        members.join(loops, "node", "left_semi").join(big, "component", "left_anti").select("node", "component"))
+    # A component of one node is a cycle only if the node leads to itself, in the graph or through a chain.
+    empty = coded.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    members = scratch.save(reduce(DataFrame.unionAll, found, empty), "members")
+    big = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    rings = reduce(DataFrame.unionAll, found[0::2], empty).select("component").distinct()
+    known = scratch.save(members.join(big.union(rings).distinct(), "component", "left_semi").select("node", "component"), "known")
+
+    def with_singles(known: DataFrame, nodes: DataFrame) -> DataFrame:
+        return known.unionByName(nodes.distinct().join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+
+    for i, chain in reversed(list(enumerate(chains))):
+        known = scratch.save(with_singles(known, alone[i + 1]), f"singles{i}")
+        at = known.select(F.col("node").alias("head"), F.col("component").alias("ch")), known.select(F.col("node").alias("tail"), F.col("component").alias("ct"))
+        closed = chain.join(at[0], "head").join(at[1], "tail").filter("ch = ct").select(F.col("v").alias("node"), F.col("ch").alias("component"))
+        known = scratch.save(known.unionByName(closed), f"known{i}")
+    named = with_singles(known, alone[0]).join(names, "node").select("component", "name")
+    return named.join(named.groupBy("component").agg(F.max("name").alias("largest")), "component").select(F.col("name").alias("node"), F.col("largest").alias("component"))
 
 
 def two_cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

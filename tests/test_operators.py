@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
 from glintmark.operators import analyzers, dedup, evaluation, graph, history, matching, packing, prefix, quality, reports, retries, rules, scoring
+from glintmark.session import Scratch
 
 FINDING = "ordinal bigint, rule_id string, cwe string, file string, line int, level string"
 
@@ -197,6 +198,42 @@ def test_both_ways_falls_back_to_the_side_that_has_files(spark):
     assert got == {("1", "b"), ("2", "c"), ("3", "b"), ("3", "z")}
 
 
+def _cyclic_by_hand(edges):
+    """Strongly connected components by reachability of every node."""
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    reach = {}
+    for a in out:
+        todo, seen = [a], set()
+        while todo:
+            for n in out.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        reach[a] = seen
+    return {(a, max(b for b in reach[a] if a in reach.get(b, ()))) for a in reach if a in reach[a]}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_cycles_equal_mutual_reachability(spark, seed):
+    rng = random.Random(seed)
+    edges = {(f"n{rng.randrange(70)}", f"n{rng.randrange(70)}") for _ in range([60, 75, 90, 110, 160][seed])}
+    edges |= {(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)} | {("x", "x"), ("n1", "c0"), ("c5", "n2"), ("l0", "l1"), ("l1", "l0")}
+    edges |= {(f"c{i}", f"c{i + 1}") for i in range(5)} | {("h", "k0"), ("k0", "k1"), ("k1", "h")} | {(f"d{i}", f"d{i + 1}") for i in range(12)} | {("d3", "h")}
+    got = [tuple(r) for r in graph.cyclic_components(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()]
+    assert set(got) == _cyclic_by_hand(edges) and len(got) == len(set(got))
+
+
+def test_a_long_chain_costs_few_rounds(spark, monkeypatch):
+    saves = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: saves.append(name) or save(self, df, name))
+    edges = [(f"v{i:05}", f"v{i + 1:05}") for i in range(10_000)] + [("v10000", "v09998")]
+    got = {tuple(r) for r in graph.cyclic_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == {(f"v{i:05}", "v10000") for i in (9998, 9999, 10000)} and len(saves) < 40
+
+
 def loop_pagerank(nodes, edges):
     out = {n: [b for a, b in edges if a == n and b != n and b in nodes] for n in nodes}
     rank = {n: 1 / len(nodes) for n in nodes}
