@@ -125,7 +125,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the component that its links reach."""
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2)
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 @_query()
