@@ -82,6 +82,21 @@ def test_documents_split_a_run_and_keep_every_row(spark, tmp_path):
     assert [t["id"] for t in taxa] == ["22", "79"]
 
 
+def test_written_documents_take_less_disk_than_their_json(spark, tmp_path):
+    results = spark.range(3000).selectExpr("'r0' AS run_id", "id AS ordinal", "concat('R', id % 7) AS rule_id", "'error' AS level", "concat('m', id) AS message", "'a.py' AS file", "CAST(id AS INT) AS line", "CAST(NULL AS INT) AS end_line",
+                                           "'CWE-22' AS cwe", "CAST(NULL AS ARRAY<STRING>) AS tags", "'bandit' AS tool", "CAST(NULL AS STRING) AS issue_severity", "CAST(NULL AS STRING) AS verdict")
+    rules = spark.createDataFrame([("r0", "R1", "t", None, ["CWE-79"]), ("r1", "R9", "t", None, None)], "run_id string, rule_id string, title string, default_level string, tags array<string>")
+    docs, path = documents.documents(results, rules, ["ordinal"], max_results=500), tmp_path / "docs"
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan  # nested results are not sent a second time to meet their rules
+    documents.write_documents(docs, str(path))
+    lines = documents.read_document_lines(spark, str(path))
+    assert sum(f.stat().st_size for f in path.rglob("part-*")) * 4 < lines.agg(F.sum(F.octet_length("value"))).first()[0]
+    good = documents.good_documents(documents.parse_documents(lines))
+    assert documents.flatten_results(good).count() == 3000
+    assert {r.rule_id for r in documents.flatten_rules(good).select("rule_id").distinct().collect()} == {"R1", "R9"}
+
+
 def test_scanner_outputs(spark):
     audit = {"dependencies": [{"name": "a", "version": "1", "vulns": [{"id": "X", "fix_versions": ["2", "3"]}]}, {"name": "b"}]}
     row = scanners.dependency_audit(texts(spark, **{"in/audit.json": json.dumps(audit)})).collect()
