@@ -177,3 +177,11 @@ def test_outcomes(spark):
     df = spark.createDataFrame(rows, "e string, t string, n int, p boolean")
     got = [r.o for r in df.select(R.outcome(F.col("e"), F.col("t"), F.col("n"), F.col("p")).alias("o")).collect()]
     assert got == ["overflow", "fatal", "fatal", "retry", "retry", "completed", "completed"]
+
+
+def test_a_value_named_in_several_branches_is_evaluated_once(spark):
+    one = spark.createDataFrame([(" sr-x-7 ", "a3 x", "90%", "0.8")], "a string, b string, c string, d string").repartition(1)
+    out = one.select(T.normal_rule_id(F.col("a")).alias("a"), T.owasp_category(F.upper("b")).alias("b"), T.confidence_share(F.col("c")).alias("c"), T.confidence_word(F.col("d")).alias("d"))
+    assert [tuple(r) for r in out.collect()] == [("SR-X-007", "A03:2021", 0.9, "high")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\\z") == 4  # each column is stripped once
