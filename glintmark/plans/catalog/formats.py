@@ -178,11 +178,14 @@ def json_export(spark, sf):
             "triage:struct<confirmed:bigint>,cwes:map<string,bigint>>")
     d = docs.select("run_no", "part", F.explode(F.array(F.from_json("value", kind))).alias("d"))
     cwes = F.array_join(F.array_sort(F.transform(F.map_entries("d.cwes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
-    rows = d.select("run_no", "part", F.posexplode("d.findings").alias("at", "f"), "d.metadata", "d.summary", "d.triage", cwes.alias("cwes"))
+    # The head of a part is read once, before its findings become rows.
+    heads = d.select(
+        "run_no", "part", F.col("d.findings").alias("findings"), F.col("d.metadata.total_findings").alias("total"), F.col("d.summary.priority.urgent").alias("urgent"),
+        F.col("d.triage.confirmed").alias("confirmed"), "d.metadata.target", "d.metadata.cost_usd", cwes.alias("cwes"))
+    rows = heads.select("*", F.posexplode("findings").alias("at", "f"))
     return rows.select(
         "run_no", "part", (F.col("part").cast("bigint") * 1000 + F.col("at") + 1).alias("position"), "f.priority", F.col("f.priority_band").alias("band"), "f.rule_id", "f.file", "f.line", "f.message",
-        F.col("metadata.total_findings").alias("total"), F.col("summary.priority.urgent").alias("urgent"), F.col("triage.confirmed").alias("confirmed"),
-        "metadata.target", "metadata.cost_usd", "cwes")
+        "total", "urgent", "confirmed", "target", "cost_usd", "cwes")
 
 
 @query("""SELECT 'd' || doc_id AS doc, CASE WHEN doc_id % 6 <> 5 THEN CAST(20 + doc_id % 12 AS VARCHAR) END AS cwe, CASE WHEN doc_id % 6 = 5 THEN NULL WHEN quality = 0 THEN 'found' ELSE 'not_found' END AS expect,

@@ -36,3 +36,9 @@ def test_query_equals_its_twin(spark, db, name):
     names = [d[0] for d in rel.description]
     assert sorted(names) == cols
     assert sorted(repr(tuple(dict(zip(names, r))[c] for c in cols)) for r in rel.fetchall()) == rows
+
+
+def test_json_export_reads_the_head_of_a_part_once(spark):
+    lines = QUERIES["json_export"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "posexplode" in line)
+    assert not any("array_sort" in line for line in lines[:at]) and any("array_sort" in line and "map_entries" in line for line in lines[at:])
