@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
@@ -175,38 +175,37 @@ def pagerank(
 
     Self-loops and edges with an unknown end are dropped; parallel edges count. Rank without an outgoing
     edge is spread over all nodes. Stops when the ranks change by less than ``tolerance`` in total, and fails
-    if ``max_rounds`` do not get there. The edges keep the share 1/outdegree and never change: they lie in a
-    table bucketed by source, which a round joins with the ranks where the edges are, so only ranks and
-    contributions summed per target are shuffled. Change and lost rank are observed while a round is written.
+    if ``max_rounds`` do not get there. Nodes get numbers, by which the rounds join and add up. The edges keep the
+    share 1/outdegree and never change: they lie in a table bucketed by source, which a round joins with the ranks where
+    the edges are, so only ranks and contributions summed per target are shuffled. Change and lost rank are observed
+    while a round is written.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "pagerank")
-    known = nodes.select("node").distinct()
-    links = (
-        edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
-        .join(known.withColumnRenamed("node", "src"), "src", "left_semi")
-        .join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        .select("src", "dst")
-    )
-    links = scratch.save(links, "raw_links")
-    out = scratch.save(links.groupBy("src").agg(F.count(F.lit(1)).alias("n_out")), "out")
+    known = scratch.save(nodes.select("node").distinct().withColumn("id", F.monotonically_increasing_id()), "known")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"pagerank_{uuid.uuid4().hex}"
     (
-        links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src")
-        .select("src", "dst", (F.col("m") / F.col("n_out")).alias("share"))
-        .repartition(buckets, "src").write.option("path", scratch.path("shares"))
-        .bucketBy(buckets, "src").sortBy("src").saveAsTable(table)
+        edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+        .join(known.select(F.col("node").alias("src"), F.col("id").alias("_from")), "src")
+        .join(known.select(F.col("node").alias("dst"), F.col("id").alias("_to")), "dst")
+        .select(F.col("_from").alias("src"), F.col("_to").alias("dst")).repartition(buckets, "src")
+        .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+        .select("src", "dst", (F.col("m") / F.sum("m").over(Window.partitionBy("src"))).alias("share"))
+        .write.option("path", scratch.path("shares")).bucketBy(buckets, "src").sortBy("src").saveAsTable(table)
     )
     try:
-        ranks = _ranked(spark, scratch, spark.table(table), known.join(out, F.col("node") == F.col("src"), "left")
-                        .select("node", F.col("n_out").isNull().alias("dangling")), damping, max_rounds, tolerance)
+        shares = spark.table(table)
+        out = shares.select(F.col("src").alias("id"), F.lit(True).alias("out")).distinct()
+        ranks = _ranked(spark, scratch, shares, known.select("id").join(out, "id", "left")
+                        .select(F.col("id").alias("node"), F.col("out").isNull().alias("dangling")), damping, max_rounds, tolerance)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        for name in ("raw_links", "out", "nodes", "shares"):
+        for name in ("nodes", "shares"):
             scratch.drop(name)
     top = ranks.agg(F.max("rank")).scalar()
-    return ranks.select("node", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")).alias("rank"))
+    named = ranks.select(F.col("node").alias("id"), "rank").join(known, "id")
+    return named.select("node", F.when(top > 0, F.col("rank") / top).otherwise(F.col("rank")).alias("rank"))
 
 
 def _ranked(spark: SparkSession, scratch: Scratch, shares: DataFrame, nodes: DataFrame, damping: float, max_rounds: int,

@@ -8,6 +8,7 @@ from glintmark.operators import history, matching
 from glintmark.plans.catalog.registry import query
 from glintmark.plans.catalog.texts import _KW
 from glintmark.plans.views import sql_with, table, view
+from glintmark.session import settle
 from glintmark.sources import dimensions
 
 _E = sql_with("call_edges")
@@ -204,11 +205,12 @@ def graph_build(spark, sf):
 
 
 def _rank_graph(spark, sf):
-    """Part to supplier-made nodes; those of the seventh lines have no way out."""
+    """Nodes and edges, each written once: part to supplier-made nodes; those of the seventh lines have no way out."""
     li = table(spark, sf, "lineitem")
     n, s = F.col("l_linenumber"), F.col("l_suppkey")
     dst = F.when(n == 7, F.concat(F.lit("q"), s.cast("string"))).otherwise(F.concat(F.lit("p"), (s * 7 + n).cast("string")))
-    return li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), dst.alias("dst")).distinct()
+    e = settle(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), dst.alias("dst")).distinct(), "rank_edges")
+    return settle(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "rank_nodes"), e
 
 
 _RG = """g AS (SELECT DISTINCT 'p' || l_partkey AS src, CASE WHEN l_linenumber = 7 THEN 'q' || l_suppkey ELSE 'p' || (l_suppkey * 7 + l_linenumber) END AS dst FROM lineitem)"""
@@ -229,15 +231,13 @@ def _pagerank_sql(rounds: int) -> str:
 
 @query(f"""{_pagerank_sql(30)} SELECT node, round(rank / (SELECT max(rank) FROM it30), 6) AS rank FROM it30""")
 def pagerank(spark, sf):
-    e = _rank_graph(spark, sf)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst"))
+    nodes, e = _rank_graph(spark, sf)
     return G.pagerank(nodes, e).select("node", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""{_pagerank_sql(30)}, r AS (SELECT node, rank / (SELECT max(rank) FROM it30) AS rank FROM it30) SELECT 'src/g' || (CAST(node[2:] AS INT) % 50) || '.py' AS file, round(sum(rank), 5) AS file_rank FROM r GROUP BY 1""")
 def files_by_rank(spark, sf):
-    e = _rank_graph(spark, sf)
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    nodes, e = _rank_graph(spark, sf)
     ranks = G.call_graph_rank(nodes, e.select(F.col("src").alias("caller"), F.col("dst").alias("callee")))
     files = nodes.select(F.col("node").alias("qname"), F.concat(F.lit("src/g"), (F.substring("node", 2, 10).cast("int") % 50).cast("string"), F.lit(".py")).alias("file"))
     out = G.files_by_rank(files.select("file").distinct(), files, ranks, [])
@@ -324,8 +324,8 @@ SELECT layer, count(*) AS n_files, round(sum(coalesce(rank, 0)), 5) AS layer_ran
 def layer_ranks(spark, sf):
     from glintmark.functions.paths import module_name
 
-    e = _rank_graph(spark, sf)
-    ranks = G.pagerank(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+    nodes, e = _rank_graph(spark, sf)
+    ranks = G.pagerank(nodes, e)
     tree = view(spark, sf, "tree")
     names = tree.select(module_name(F.col("path")).alias("name"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("node"))
     by_name = ranks.join(names, "node").select(F.col("name").alias("node"), "rank")
@@ -339,8 +339,8 @@ def top_modules(spark, sf):
     """The ten modules of highest page rank."""
     from glintmark.functions.paths import module_name
 
-    e = _rank_graph(spark, sf)
-    ranks = G.pagerank(e.select(F.col("src").alias("node")).union(e.select("dst")), e)
+    nodes, e = _rank_graph(spark, sf)
+    ranks = G.pagerank(nodes, e)
     tree = view(spark, sf, "tree")
     names = tree.select(module_name(F.col("path")).alias("name"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("node"))
     modules = tree.select(F.col("path").alias("file"), F.size(F.split("text", "\n")).alias("lines"), (F.col("doc_id") % 4).cast("int").alias("classes"), (F.col("doc_id") % 9).cast("int").alias("functions"))

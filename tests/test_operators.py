@@ -1,11 +1,13 @@
 """Operators against literal cases, brute force and shuffled input."""
 
 import random
+import re
 from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
 
+from glintmark import session
 from glintmark.functions import constants as K
 from glintmark.operators import analyzers, dedup, evaluation, graph, history, matching, packing, prefix, quality, reports, retries, rules, scoring
 from glintmark.session import Scratch
@@ -86,6 +88,21 @@ def test_percentile_and_gini_from_histograms(spark):
     assert got == pytest.approx({g: gini(vs) for g, vs in groups.items()})
 
 
+def test_page_rank_rounds_join_by_numbers(spark, monkeypatch):
+    kinds, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: kinds.update({name: dict(df.dtypes)}) or save(self, df, name))
+    edges = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "c"), ("b", "e"), ("x", "a"), (None, "a")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.node: r.rank for r in graph.pagerank(spark.createDataFrame([(n,) for n in "abcde"], "node string"), df).collect()}
+    kept = [(s, d) for s, d in edges if s in list("abcde") and s != d]
+    rank = dict.fromkeys("abcde", 0.2)
+    for _ in range(200):
+        lost = sum(rank[n] for n in rank if not any(s == n for s, _ in kept))
+        rank = {n: 0.03 + 0.85 * lost / 5 + 0.85 * sum(rank[s] / sum(s == t for t, _ in kept) for s, d in kept if d == n) for n in rank}
+    assert got == pytest.approx({n: r / max(rank.values()) for n, r in rank.items()}, abs=1e-5)
+    assert {k["node"] for name, k in kinds.items() if name.startswith("round=")} == {"bigint"}
+
+
 def loop_pack(sizes, available):
     used, out = 0, []
     for size in sizes:
