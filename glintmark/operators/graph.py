@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from glintmark.functions import constants as K
 from glintmark.operators.matching import checks_of_path, files_by_words, sink_calls
-from glintmark.session import Scratch
+from glintmark.session import Scratch, settle
 
 
 def build_graph(symbols: DataFrame, edge_sets: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +51,7 @@ def reach(
     spark = edges.sparkSession
     scratch = Scratch(spark, "reach")
     links = scratch.save(_links(edges, direction, min_confidence), "links")
+    seeds = scratch.save(seeds.select(tag, "node"), "seeds")
     limit = F.lit(hops) if max_hops is None else F.least(F.lit(hops), max_hops)
     tags = [(r[0], r[1]) for r in seeds.select(tag, limit.alias("limit")).distinct().orderBy(tag).collect()]  # one row per check
     width = _BITS * _WORDS
@@ -152,6 +153,7 @@ def affected_checks(
 
     ``checks`` has (cwe_id, direction, sinks), ``edges`` the file of the call, ``entry_points`` qname.
     """
+    blast = settle(blast.select("file"), "blast")  # four steps read it
     entry = symbol_files.join(entry_points.select("qname"), "qname", "left_semi").join(blast, "file", "left_semi")
     any_entry = entry.agg(F.count(F.lit(1)) > 0).scalar()
     sinks = sink_calls(edges.join(blast, "file", "left_semi")).agg(F.collect_set("cwe_id")).scalar()

@@ -28,18 +28,19 @@ def _file_of(node):
     return F.concat(F.lit("src/g"), F.floor(_number(node) / 10).cast("string"), F.lit(".py"))
 
 
-def _node_files(spark, sf):
-    e = _edges(spark, sf)
+def _graph(spark, sf):
+    """Edges and the files of their nodes, each written once and read by every step that follows."""
+    e = settle(_edges(spark, sf), "edges")
     nodes = e.select(F.col("caller").alias("qname")).union(e.select("callee")).distinct()
-    return nodes.withColumn("file", _file_of("qname"))
+    return e, settle(nodes.withColumn("file", _file_of("qname")), "node_files")
 
 
-def _entries(spark, sf):
-    return _node_files(spark, sf).filter(_number("qname") % 499 == 0).select("qname")
+def _entries(files):
+    return files.filter(_number("qname") % 499 == 0).select("qname")
 
 
-def _entry_seeds(spark, sf):
-    return _entries(spark, sf).select(F.lit("entry").alias("tag"), F.col("qname").alias("node"))
+def _entry_seeds(files):
+    return _entries(files).select(F.lit("entry").alias("tag"), F.col("qname").alias("node"))
 
 
 def _back_sql(hops: int, least: float) -> str:
@@ -58,35 +59,36 @@ _NAMED = f"named AS (SELECT caller, {_SINK_NAMES} AS callee, 'src/g' || (CAST(ca
 _HITS = """hits AS (SELECT *, CASE WHEN callee IN ('cursor.execute', 'x.y.raw') THEN '89' WHEN callee = 'os.system' THEN '78' WHEN callee = 'pickle.loads' THEN '502' WHEN callee = 'shutil.copy' THEN '22' END AS cwe_id FROM named)"""
 
 
-def _named_edges(spark, sf):
+def _named(edges):
     n = _number("callee") % 2000
     names = {0: "cursor.execute", 1: "os.system", 2: "pickle.loads", 3: "a.b.Open", 4: "execute", 5: "x.y.raw", 6: "shutil.copy"}
     callee = F.col("callee")
     for k, v in names.items():
         callee = F.when(n == k, F.lit(v)).otherwise(callee)
-    return _edges(spark, sf).select("caller", callee.alias("callee"), _file_of("caller").alias("file"), "confidence")
+    return edges.select("caller", callee.alias("callee"), _file_of("caller").alias("file"), "confidence")
 
 
 @query(f"""{_E}, {_NAMED}, {_HITS}, {_back_sql(2, 0.3)} SELECT tag, node, CAST(min(depth) AS INT) AS depth FROM bw GROUP BY tag, node""")
 def reach_backward(spark, sf):
     """From the callers of known sinks, which patterns find, two hops back."""
-    e = _named_edges(spark, sf)
+    e = _named(settle(_edges(spark, sf), "edges"))
     return G.reach(G.sink_seeds(e), e, 2, "backward")
 
 
 @query(f"""{_E}, {_FILES}, {_forward_sql(2, 0.3)} SELECT node, CAST(min(depth) AS INT) AS depth FROM fw GROUP BY node""")
 def reach_forward(spark, sf):
-    return G.reach(_entry_seeds(spark, sf), _edges(spark, sf), 2, "forward").select("node", "depth")
+    edges, files = _graph(spark, sf)
+    return G.reach(_entry_seeds(files), edges, 2, "forward").select("node", "depth")
 
 
 @query(f"""{_E}, {_FILES}, {_NAMED}, {_HITS}, {_back_sql(1, 0.8)}, {_forward_sql(1, 0.8)}, b AS (SELECT DISTINCT tag, file FROM bw JOIN nf ON nf.qname = bw.node), f AS (SELECT DISTINCT file FROM fw JOIN nf ON nf.qname = fw.node),
 x AS (SELECT tag, file FROM b WHERE file IN (SELECT file FROM f)) SELECT tag, file, 'both' AS via FROM x
  UNION ALL SELECT tag, file, 'backward' FROM b WHERE tag NOT IN (SELECT tag FROM x) UNION ALL SELECT '79', file, 'forward' FROM f""")
 def reach_both(spark, sf):
-    files = _node_files(spark, sf)
-    e = _named_edges(spark, sf)
+    edges, files = _graph(spark, sf)
+    e = _named(edges)
     back = G.reached_files(G.reach(G.sink_seeds(e), e, 1, "backward", 0.8), files)
-    ahead = G.reached_files(G.reach(_entry_seeds(spark, sf), _edges(spark, sf), 1, "forward", 0.8), files)
+    ahead = G.reached_files(G.reach(_entry_seeds(files), edges, 1, "forward", 0.8), files)
     return G.both_ways(back, ahead, ["22", "78", "79", "89", "502"])
 
 
@@ -95,18 +97,19 @@ _BLAST = """bl(node, depth) AS (SELECT qname, 0 FROM nf WHERE file IN ('src/g11.
 blast AS (SELECT DISTINCT file FROM bl JOIN nf ON nf.qname = bl.node UNION SELECT 'src/g11.py' UNION SELECT 'src/g31.py')"""
 
 
-def _changed(spark, sf):
-    return _node_files(spark, sf).filter("file IN ('src/g11.py', 'src/g31.py')").select("file").distinct()
+def _changed(files):
+    return files.filter("file IN ('src/g11.py', 'src/g31.py')").select("file").distinct()
 
 
 @query(f"""{_E}, {_FILES}, {_BLAST} SELECT file FROM blast""")
 def blast_radius(spark, sf):
-    return G.blast_radius(_edges(spark, sf), _node_files(spark, sf), _changed(spark, sf), 1)
+    edges, files = _graph(spark, sf)
+    return G.blast_radius(edges, files, _changed(files), 1)
 
 
 @query(f"""{_E}, {_NAMED}, {_HITS} SELECT DISTINCT caller, callee, file, confidence, cwe_id FROM hits WHERE cwe_id IS NOT NULL""")
 def pattern_hits(spark, sf):
-    return matching.sink_calls(_named_edges(spark, sf))
+    return matching.sink_calls(_named(_edges(spark, sf)))
 
 
 _SYM = "sym AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'app.db.Repo.execute' WHEN 1 THEN 'app.shell.os.system' WHEN 2 THEN 'os.system' WHEN 3 THEN 'app.views.index' WHEN 4 THEN 'Process.Start' ELSE 'app.io.copy' END || '' AS q, p_brand FROM part)"
@@ -139,7 +142,7 @@ def symbol_files(spark, sf):
     s = table(spark, sf, "part").select(
         F.concat(F.lit("n"), (F.col("p_partkey") * 6).cast("string")).alias("qname"), F.col("p_partkey").alias("ordinal"))
     s = s.withColumn("file", F.concat(F.lit("def/"), "qname", F.lit(".py")))
-    return matching.first_symbol_files(s, _named_edges(spark, sf).withColumn("ordinal", F.lit(0)))
+    return matching.first_symbol_files(s, _named(_edges(spark, sf)).withColumn("ordinal", F.lit(0)))
 
 
 _MODS = "mods AS (SELECT DISTINCT 'm' || (l_suppkey % 17) || '.f' || (l_orderkey % 101) AS module FROM lineitem)"
@@ -303,9 +306,9 @@ j AS (SELECT cwe_id, CASE WHEN dir = 'forward' THEN EXISTS (SELECT 1 FROM nf WHE
  ELSE EXISTS (SELECT 1 FROM blast JOIN kw ON kw.cwe_id = ck.cwe_id AND contains(file, word)) END AS hit FROM ck)
 SELECT cwe_id, hit AS narrowed FROM j WHERE hit OR NOT (SELECT bool_or(hit) FROM j)""")
 def affected_checks(spark, sf):
-    files = _node_files(spark, sf)
-    blast = G.blast_radius(_edges(spark, sf), files, _changed(spark, sf), 1)
-    return G.affected_checks(dimensions.cwe_checks(spark), blast, _named_edges(spark, sf), files, _entries(spark, sf))
+    edges, files = _graph(spark, sf)
+    blast = G.blast_radius(edges, files, _changed(files), 1)
+    return G.affected_checks(dimensions.cwe_checks(spark), blast, _named(edges), files, _entries(files))
 
 
 @query("""WITH m AS (SELECT source AS project, doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines FROM documents),

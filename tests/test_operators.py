@@ -103,6 +103,35 @@ def test_page_rank_rounds_join_by_numbers(spark, monkeypatch):
     assert {k["node"] for name, k in kinds.items() if name.startswith("round=")} == {"bigint"}
 
 
+def counted(df, seen):
+    """``df``, whose rows are added up in ``seen`` as often as they are made."""
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema)
+
+
+def test_reach_makes_its_seeds_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "caller string, callee string, confidence double")
+    seeds = counted(spark.createDataFrame([("t", "c"), ("u", "b")], "tag string, node string"), seen)
+    got = sorted(map(tuple, graph.reach(seeds, edges, 2).collect()))
+    assert got == [("t", "a", 2), ("t", "b", 1), ("t", "c", 0), ("u", "a", 1), ("u", "b", 0)] and seen.value == 2
+
+
+def test_affected_checks_make_the_blast_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    checks = spark.createDataFrame([("89", "backward", "89"), ("79", "forward", "79")], "cwe_id string, direction string, sinks string")
+    edges = spark.createDataFrame([("a", "cursor.execute", "f.py")], "caller string, callee string, file string")
+    files = spark.createDataFrame([("a", "f.py")], "qname string, file string")
+    blast = counted(spark.createDataFrame([("f.py",), ("g.py",)], "file string"), seen)
+    got = graph.affected_checks(checks, blast, edges, files, spark.createDataFrame([("b",)], "qname string")).collect()
+    assert [tuple(r) for r in got] == [("89", True)] and seen.value == 2
+
+
 def loop_pack(sizes, available):
     used, out = 0, []
     for size in sizes:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from glintmark.plans.catalog import ORACLES, QUERIES
+from glintmark.plans.catalog import ORACLES, QUERIES, graphs
 from glintmark.plans.views import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +38,12 @@ def test_query_equals_its_twin(spark, db, name):
     assert sorted(repr(tuple(dict(zip(names, r))[c] for c in cols)) for r in rel.fetchall()) == rows
 
 
+@pytest.mark.parametrize("graph, names", [("_graph", ["edges", "node_files"]), ("_rank_graph", ["rank_nodes", "rank_edges"])])
+def test_graphs_are_written_once(spark, graph, names):
+    frames = getattr(graphs, graph)(spark, SF)
+    assert all(f"/{name}-" in path for name, df in zip(names, frames, strict=True) for path in df.inputFiles())
+
+
 def test_json_export_reads_the_head_of_a_part_once(spark):
     lines = QUERIES["json_export"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(lines) if "posexplode" in line)
