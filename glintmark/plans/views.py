@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glintmark.session import dealt
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
@@ -186,6 +188,10 @@ FROM {{documents}}
 """
 
 
+# Views of distinct rows that grow with their table, and the key by which the steps after them group.
+_DEALT = {"call_edges": "caller", "eval_truth": "case_id", "eval_runs": "case_id"}
+
+
 def _needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"(?<!\{)\{(\w+)\}(?!\})", text)))
 
@@ -198,7 +204,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
     if name in TABLES:
         return table(spark, sf_dir, name)
-    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in _needs(VIEWS[name])})
+    sources = {n: view(spark, sf_dir, n) for n in _needs(VIEWS[name])}
+    if name not in _DEALT:
+        return spark.sql(VIEWS[name], **sources)
+    rows = spark.sql(VIEWS[name].replace("SELECT DISTINCT", "SELECT", 1), **sources)
+    return dealt(rows, rows.count(), _DEALT[name]).distinct()
 
 
 def sql_with(*names: str) -> str:

@@ -88,3 +88,19 @@ class Scratch:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
     return Scratch(df.sparkSession, name).save(df, "t")
+
+
+ROWS_A_TASK = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to a task for every ``ROWS_A_TASK`` of ``rows``, so that a task's memory does not grow with the table.
+
+    Shuffles have a fixed number of partitions and adaptive execution merges them, so their tasks grow. What is grouped or joined
+    by these keys afterwards stays in its task. Tables too small for more tasks than there are cores are left to the shuffles.
+    """
+    spark = df.sparkSession
+    tasks = -(-rows // ROWS_A_TASK)
+    if tasks <= min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        return df
+    return df.repartition(tasks, *keys)

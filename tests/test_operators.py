@@ -132,6 +132,14 @@ def test_affected_checks_make_the_blast_once(spark):
     assert [tuple(r) for r in got] == [("89", True)] and seen.value == 2
 
 
+def test_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 2).alias("v"))
+    assert session.dealt(df, 1000, "k") is df
+    monkeypatch.setattr(session, "ROWS_A_TASK", 50)
+    sizes = [r["count"] for r in session.dealt(df, 1000, "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 100
+
+
 def loop_pack(sizes, available):
     used, out = 0, []
     for size in sizes:

@@ -5,8 +5,11 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from glintmark import session
 from glintmark.plans.catalog import ORACLES, QUERIES, graphs
-from glintmark.plans.views import TABLES
+from glintmark.plans.views import TABLES, view
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -38,6 +41,16 @@ def test_query_equals_its_twin(spark, db, name):
     assert sorted(repr(tuple(dict(zip(names, r))[c] for c in cols)) for r in rel.fetchall()) == rows
 
 
+@pytest.mark.parametrize("name", ["call_edges", "eval_truth", "eval_runs"])
+def test_large_views_of_distinct_rows_are_dealt_to_more_tasks(spark, monkeypatch, name):
+    few = view(spark, SF, name)
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    many = view(spark, SF, name)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    sizes = [r["count"] for r in many.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 400
+
+
 @pytest.mark.parametrize("graph, names", [("_graph", ["edges", "node_files"]), ("_rank_graph", ["rank_nodes", "rank_edges"])])
 def test_graphs_are_written_once(spark, graph, names):
     frames = getattr(graphs, graph)(spark, SF)
