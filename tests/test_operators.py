@@ -140,6 +140,22 @@ def test_large_tables_are_dealt_to_more_tasks(spark, monkeypatch):
     assert len(sizes) == 20 and max(sizes) < 100
 
 
+def test_confusion_rows_are_dealt_by_the_number_of_predictions(spark, monkeypatch):
+    rnd = random.Random(8)
+    place = lambda: (f"f{rnd.randint(0, 1)}", rnd.randint(0, 6))
+    predictions = spark.createDataFrame(
+        [(rnd.choice("mn"), rnd.randint(0, 1), rnd.randint(0, 9), rnd.choice(["source", "patched"]), *place()) for _ in range(400)],
+        "model string, run_no int, case_id bigint, variant string, file string, line int")
+    truth = spark.createDataFrame([(rnd.randint(0, 9), *place(), "true_positive") for _ in range(40)], "case_id bigint, file string, line int, label string")
+    runs = spark.createDataFrame([(m, r, c, c % 2 == 0) for m in "mn" for r in (0, 1) for c in range(10)], "model string, run_no int, case_id bigint, has_patched boolean")
+    few = evaluation.confusion_rows(predictions, truth, runs)
+    monkeypatch.setattr(session, "ROWS_A_TASK", 20)
+    many = evaluation.confusion_rows(predictions, truth, runs)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert all(f"hashpartitioning({by}, 20), REPARTITION_BY_NUM" in re.sub(r"#\d+L?", "", plan) for by in ("case_id", "case_id, file, line"))
+
+
 def loop_pack(sizes, available):
     used, out = 0, []
     for size in sizes:
