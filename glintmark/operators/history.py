@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from glintmark.operators.prefix import running_totals
 
 
-def first_seen(tracked: DataFrame, order: list[str]) -> DataFrame:
+def first_places(tracked: DataFrame, order: list[str]) -> DataFrame:
+    """Per fingerprint ``_fp`` the place and the run of its first row, found by an aggregation with a map-side step."""
+    return tracked.groupBy(F.col("fingerprint").alias("_fp")).agg(
+        F.min(F.struct(F.struct(*order).alias("o"), F.col("run_id").alias("r"))).alias("_first"))
+
+
+def first_seen(tracked: DataFrame, order: list[str], first: DataFrame | None = None) -> DataFrame:
     """Add ``first_seen_run`` and ``status``: new for the first row of a fingerprint, else recurring.
 
-    The first row is found by an aggregation with a map-side step and joined back, so a fingerprint that
-    holds a third of all rows is split like any skewed join side.
+    The first rows, ``first`` if they are known already, are joined back, so a fingerprint that holds a third of all rows
+    is split like any skewed join side.
     """
     place = F.struct(*order)
-    first = tracked.groupBy(F.col("fingerprint").alias("_fp")).agg(
-        F.min(F.struct(place.alias("o"), F.col("run_id").alias("r"))).alias("_first")
-    )
+    first = first_places(tracked, order) if first is None else first
     return tracked.join(first, F.col("fingerprint") == F.col("_fp")).select(
         *tracked.columns,
         F.col("_first.r").alias("first_seen_run"),

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glintmark.operators.history import first_seen
+from glintmark.operators.history import first_places, first_seen
 from glintmark.operators.prefix import running_totals
-from glintmark.session import exists, folders, remove, shared_path
+from glintmark.session import Scratch, exists, folders, remove, shared_path
 from glintmark.sources.ledger import parse_events
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -136,6 +136,7 @@ class SeenTracker:
 
     What was seen is keyed state of a stream inside the stream: each batch puts one row per fingerprint to it, found by
     aggregation with a map-side step, and gets one row per fingerprint back, with the batch and the run that saw it first.
+    A batch's first rows are found and written once, to ask for them and to mark the others.
     The state lives in Spark's on-disk store, which looks up the keys of the batch alone, so what a batch reads
     depends on the batch and not on what came before. The store grows with the fingerprints, as tracking asks for.
 
@@ -169,8 +170,10 @@ class SeenTracker:
             self.spark.conf.unset(_STORE) if before is None else self.spark.conf.set(_STORE, before)
 
     def __call__(self, df: DataFrame, batch: int) -> None:
-        marked = first_seen(df, self.order)
-        self._ask(marked.filter("status = 'new'"), batch)
+        scratch = Scratch(self.spark, "firsts")
+        first = scratch.save(first_places(df, self.order), "t")
+        marked = first_seen(df, self.order, first)
+        self._ask(first.select(F.col("_fp").alias("fingerprint"), F.col("_first.r").alias("first_seen_run")), batch)
         self._answer(df.schema["fingerprint"], df.schema["run_id"])
         if exists(self.spark, f"{self.path}/answered"):  # a batch without rows asks nothing
             answers = self.spark.read.parquet(f"{self.path}/answered").filter(F.col("batch") == batch).select("fingerprint", "first_batch", "first_run")
@@ -179,6 +182,7 @@ class SeenTracker:
                 F.when(F.col("first_batch") < batch, F.col("first_run")).otherwise(F.col("first_seen_run")).alias("first_seen_run"),
                 F.when(F.col("first_batch") < batch, F.lit("recurring")).otherwise(F.col("status")).alias("status"))
         marked.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        scratch.drop("t")
         remove(self.spark, f"{self.path}/asked/batch={batch - 2}")
         remove(self.spark, f"{self.path}/answered/turn={batch - 2}")
 

@@ -49,6 +49,18 @@ def test_seen_state_spans_batches_and_replays(spark):
     assert got == {1: ("new", "r1"), 2: ("recurring", "r1"), 3: ("new", "r1"), 4: ("recurring", "r1"), 5: ("new", "r2"), 6: ("recurring", "r2")}
 
 
+def test_seen_state_finds_the_first_rows_of_a_batch_once(spark, monkeypatch):
+    made, found = [], []
+    monkeypatch.setattr(L, "first_places", lambda df, order, f=L.first_places: made.append(1) or f(df, order))
+    monkeypatch.setattr(L, "first_seen", lambda df, order, first, f=L.first_seen: found.extend(first.inputFiles()) or f(df, order, first))
+    rows = spark.createDataFrame([("f", "r1", 2), ("f", "r1", 1), ("g", "r1", 3)], "fingerprint string, run_id string, ordinal int")
+    tracker = L.SeenTracker(spark, shared_path(spark, "seen"), ["ordinal"])
+    tracker(rows, 0)
+    got = {r.ordinal: (r.status, r.first_seen_run) for r in tracker.result().collect()}
+    assert got == {1: ("new", "r1"), 2: ("recurring", "r1"), 3: ("new", "r1")}
+    assert made == [1] and found and all("/firsts-" in f for f in found)
+
+
 def test_stages_resume_and_report_damage(spark):
     stages = Stages(spark, shared_path(spark, "stages"))
     calls = []
