@@ -107,6 +107,17 @@ def register_reader(extension: str, language: str, nodes: Nodes) -> None:
     _READERS[extension] = (language, nodes)
 
 
+# Files whose text, and nodes whose rows, exist as Python objects at once.
+_FILES, _ROWS = 32, 2048
+
+
+def _few_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches, which may hold thousands of files, as Python objects of a few files at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _FILES):
+            yield from batch.slice(at, _FILES).to_pylist()
+
+
 def syntax_nodes(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Node rows of every file (path, text) with a known extension: ``file`` (number of the input row), ``path``, ``language``, the node, and the text columns ``keep``."""
     from glintmark.functions.paths import extension
@@ -116,17 +127,16 @@ def syntax_nodes(files: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                language, nodes = readers[row["ext"]]
-                try:
-                    own = list(nodes(row["text"]))
-                except Exception as exc:  # any file may be hostile; what is wrong with it is data
-                    own = [{"kind": "Rejected", "name": type(exc).__name__}]
-                rows += [{"file": row["file"], "path": row["path"], "language": language, "seq": i, **{c: row[c] for c in keep}, **r} for i, r in enumerate(own)]
-                if len(rows) > 8192:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+        for row in _few_at_once(batches):
+            language, nodes = readers[row["ext"]]
+            try:
+                own = list(nodes(row["text"]))
+            except Exception as exc:  # any file may be hostile; what is wrong with it is data
+                own = [{"kind": "Rejected", "name": type(exc).__name__}]
+            rows += [{"file": row["file"], "path": row["path"], "language": language, "seq": i, **{c: row[c] for c in keep}, **r} for i, r in enumerate(own)]
+            if len(rows) > _ROWS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     known = files.select(F.monotonically_increasing_id().alias("file"), "path", "text", *keep, extension(F.col("path")).alias("ext")).filter(

@@ -103,6 +103,23 @@ def test_page_rank_rounds_join_by_numbers(spark, monkeypatch):
     assert {k["node"] for name, k in kinds.items() if name.startswith("round=")} == {"bigint"}
 
 
+def test_few_files_exist_as_python_objects_at_once():
+    class Batch:
+        def __init__(self, rows):
+            self.num_rows, self.rows = len(rows), rows
+
+        def slice(self, at, n):
+            return Batch(self.rows[at:at + n])
+
+        def to_pylist(self):
+            made.append(self.num_rows)
+            return self.rows
+
+    made = []
+    assert list(analyzers._few_at_once([Batch(list(range(1000))), Batch([]), Batch([1000])])) == list(range(1001))
+    assert max(made) <= 32
+
+
 def counted(df, seen):
     """``df``, whose rows are added up in ``seen`` as often as they are made."""
 
