@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
@@ -21,16 +22,22 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Cache of what ``make`` gives for a word; emptied when it holds ``most`` words. Long words are not kept, so memory stays bounded."""
+    """Cache of what ``make`` gives for a word, of ``most`` words at most. Long words are not kept, so memory stays bounded.
+
+    When half of ``most`` is reached, these words become the older half and the half before them goes; a word found
+    among the older ones is taken over. So words in use stay, and only those that did not come again are made again.
+    """
 
     def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.half, self.longest, self.older = make, max(1, most // 2), longest, {}
 
     def __missing__(self, word: str):
-        value = self.make(word)
+        older = self.older
+        value = older[word] if word in older else self.make(word)
         if len(word) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.half:
+                self.older = dict(self)
                 self.clear()
             self[word] = value
         return value
@@ -81,6 +88,8 @@ class PerWord:
 
     def _core(self, core: str):
         """Value of a word of plain letters, None for any other."""
+        if core.isascii() and core.isalpha():  # letters that stand for themselves
+            return self.part(self._shown[32] + core if self.kind == "spaced" else core.lower())
         if not self._plain.fullmatch(core):
             return None
         return self.part((" " + core if self.kind == "spaced" else core.lower()).translate(self._shown))
@@ -131,7 +140,8 @@ class Encoder(PerWord):
     """``ids(text)``: little-endian unsigned 32-bit ids of a whole text, without added special tokens."""
 
     def part(self, pretoken: str) -> bytes:
-        return np.array([t.id for t in self.library.model.tokenize(pretoken)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.library.model.tokenize(pretoken)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()

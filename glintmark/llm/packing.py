@@ -17,6 +17,7 @@ from glintmark.llm.encoding import Encoder, shared
 from glintmark.session import settle
 
 SHARD_ROWS = 1 << 15
+WORDS = 300_000  # words that a worker keeps with their ids, from task to task
 
 
 class _Stock:
@@ -92,7 +93,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared(Encoder, vocabulary)
+        encoder = shared(Encoder, vocabulary, WORDS)
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in slices(batches):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -12,8 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glintmark.llm import packing, pieces, queries, token_counts, token_store
-from glintmark.llm.encoding import Encoder
+from glintmark.llm import encoding, packing, pieces, queries, token_counts, token_store
+from glintmark.llm.encoding import Encoder, Words
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
 ANY_TEXT = st.lists(st.sampled_from(["the", "Word", " ", "  ", "\n", "\t", "'s", "!", "***", "é", "ß", "\x1c", " ", "<|endoftext|>", "12", "日", "é", "▁", "İ", "Σ", "x" * 40]) | st.text(max_size=5), max_size=12).map("".join)
@@ -217,3 +218,30 @@ def test_pieces_query_equals_the_library(spark, sf):
     for r in rows:
         ids = library.encode(docs[r.doc_id])
         assert (r.n_pieces, r.ids_crc32, r.decoded_chars) == (len(ids), zlib.crc32(u4(ids)), len(library.decode(ids)))
+
+
+def test_word_cache_keeps_what_is_in_use_and_is_bounded():
+    made = []
+    cache = Words(lambda w: made.append(w) or len(w), 100)
+    for i in range(1000):
+        assert cache["often"] == 5 and cache[f"once{i}"] == len(f"once{i}")
+        assert len(cache) + len(cache.older) <= 100
+    assert made.count("often") == 1 and len(made) == 1001
+    assert cache["x" * 65] == 65 and "x" * 65 not in cache
+
+
+def test_packing_keeps_few_words_in_a_worker(monkeypatch):
+    monkeypatch.setattr(encoding, "_OBJECTS", {})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(letters[i // 26**k % 26] for k in range(5)) for i in range(360_000)]
+    seen = []
+    monkeypatch.setattr(packing, "shared", lambda *args: seen.append(encoding.shared(*args)) or seen[-1])
+
+    class Rows:
+        def mapInArrow(self, run, kind):
+            batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)])], ["doc_id", "text"])
+            return sum(b.num_rows for b in run([batch]))
+
+    monkeypatch.setattr(packing, "texts", lambda *args: Rows())
+    assert packing.token_pieces(None, WORD) > 100
+    assert sum(len(c) + len(c.older) for c in (seen[0].cores, seen[0].tails, seen[0].known, seen[0].heads)) <= 300_000
