@@ -16,6 +16,7 @@ from glintmark.session import settle
 
 SEED = 42
 BITS = 64
+MOST_IDS, MOST_KEYS = 250_000, 100_000  # rows that are broadcast; the driver builds their table, of up to 17 and 8 MB
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -85,14 +86,14 @@ def _hub_links(fps: DataFrame, distance: int) -> DataFrame:
     return at.join(least, "hub").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def links(fps: DataFrame, distance: int = 2, crowd: int = 32, most_keys: int = 1_000_000) -> DataFrame:
+def links(fps: DataFrame, distance: int = 2, crowd: int = 32, most_keys: int = MOST_KEYS) -> DataFrame:
     """``a`` and ``b``: links between distinct fingerprints of at most ``distance`` (0 to 3) differing bits.
 
     Keys are counted first, with a map-side step, so a hot key sends one row per task. A key of two gives its pair at
     once. Keys of more fetch their members; those up to ``crowd`` meet by an equality join and are verified; the
     fingerprints of more crowded keys are linked without pairs by ``_hub_links``, which keeps every connection, so
-    no link is lost to the limit. The keys of more than two are broadcast while there are at most ``most_keys`` (16
-    bytes each), else joined by shuffle; the result is the same.
+    no link is lost to the limit. The keys of more than two are broadcast while there are at most ``most_keys`` (84
+    bytes or more each on the driver), else joined by shuffle; the result is the same.
     """
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
@@ -133,17 +134,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(table, "fp").select("doc_id", "fp", "component_id", "n_links")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, most_ids: int = 1_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2, most_ids: int = MOST_IDS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id, columns unchanged.
 
     Rows that share an id are one document, which stays if one of them names its component; rows without an id
-    cannot be named and stay. The ids that go are broadcast while there are at most ``most_ids`` (8 bytes each), so
-    the texts are not shuffled; else they are joined by shuffle, with the same result.
+    cannot be named and stay. The ids that go are broadcast while there are at most ``most_ids`` (67 bytes or more
+    each on the driver), so the texts are not shuffled; else they are joined by shuffle, with the same result.
     """
     return rows_that_stay(docs, near_duplicates(docs, id_col, text_col, words, distance).filter("doc_id IS NOT NULL"), id_col, most_ids)
 
 
-def rows_that_stay(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most_ids: int = 1_000_000) -> DataFrame:
+def rows_that_stay(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", most_ids: int = MOST_IDS) -> DataFrame:
     """The rows of ``docs`` whose id names a component of ``found`` (``doc_id``, ``component_id``) or is not in it."""
     found = settle(found.select("doc_id", "component_id"), "found")
     stay = found.filter("doc_id = component_id").select("doc_id")
