@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintmark import session
-from glintmark.plans.catalog import ORACLES, QUERIES, graphs
+from glintmark.plans.catalog import ORACLES, QUERIES, formats, graphs
 from glintmark.plans.views import TABLES, view
+from glintmark.sources import documents
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -61,3 +62,16 @@ def test_json_export_reads_the_head_of_a_part_once(spark):
     lines = QUERIES["json_export"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(i for i, line in enumerate(lines) if "posexplode" in line)
     assert not any("array_sort" in line for line in lines[:at]) and any("array_sort" in line and "map_entries" in line for line in lines[at:])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["sarif_roundtrip", "rules_roundtrip"])
+def test_results_are_neither_shuffled_to_the_manifest_nor_written_before_their_documents(spark, monkeypatch, name):
+    assert "SortMergeJoin" not in _plan(formats._results(spark, SF))
+    written = []
+    monkeypatch.setattr(documents, "settle", lambda df, name: written.append((name, df.columns)) or session.settle(df, name))
+    QUERIES[name](spark, SF)
+    assert written == [("sizes", ["_run", "_parts"]), ("wanted", ["run_id", "part", "rule_id"])]
