@@ -77,9 +77,24 @@ def running_totals(
 
 def numbered(df: DataFrame, by: list[str], order: list[Column | str], name: str = "rank_no",
              slice_by: Column | None = None) -> DataFrame:
-    """1-based position of each row in its group."""
-    out = running_totals(df, by, order, {"_before": F.lit(1).cast("bigint")}, slice_by)
-    return out.withColumn(name, (F.col("_before") + 1).cast("bigint")).drop("_before")
+    """1-based position of each row in its group.
+
+    Without ``slice_by`` rows are shuffled once: ranges are sorted and written with the number each row has in its range, and a
+    row's position follows from the number of its group's first row there and the totals of the ranges before.
+    """
+    if slice_by is not None:
+        out = running_totals(df, by, order, {"_before": F.lit(1).cast("bigint")}, slice_by)
+        return out.withColumn(name, (F.col("_before") + 1).cast("bigint")).drop("_before")
+    keys = [*[F.col(b) for b in by], *[F.col(o) if isinstance(o, str) else o for o in order]]
+    ranges = df.repartitionByRange(_slices(df), *keys).sortWithinPartitions(*keys)
+    rows = settle(ranges.withColumn("_at", F.monotonically_increasing_id()), "slices").withColumn(_SLICE, F.shiftright("_at", 33))
+    totals = settle(rows.groupBy(*by, _SLICE).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")), "totals")
+    before = Window.partitionBy(*by).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(b).alias(f"_k_{b}") for b in by], F.col(_SLICE).alias("_k_slice"),
+        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    same = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by] + [F.col(_SLICE) == F.col("_k_slice")]
+    return rows.join(offsets, same).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(name))
 
 
 def histogram(df: DataFrame, by: list[str], value: str, slices: int = 64) -> DataFrame:

@@ -13,6 +13,7 @@ from glintmark.functions.paths import base_name
 from glintmark.functions.text import collapse_spaces, first_chars
 from glintmark.operators.matching import scanners_of_file
 from glintmark.operators.prefix import numbered
+from glintmark.session import settle
 
 
 def report_counts(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -135,12 +136,14 @@ def json_reports(scored: DataFrame, counts: DataFrame, cwes: DataFrame, by: str,
             triage.alias("triage"), F.col("cwes"),
         ).alias("_head"),
     )
+    heads = settle(heads, "heads")  # Spark then knows how small they are, and shuffles no report to meet them
     finding = F.struct(
         F.col("_rank").alias("position"), "priority", F.col("band").alias("priority_band"), L.display_level(F.col("level")).alias("severity"),
         "rule_id", "file", "line", collapse_spaces(F.col("message")).alias("message"), "cwe",
         F.col("confidence_score").alias("confidence"), "confidence_label", "exposure")
+    columns = dict.fromkeys([by, *order, "priority", "band", "level", "rule_id", "file", "line", "message", "cwe", "confidence_score", "confidence_label", "exposure"])
     parts = (
-        numbered(scored, [by], [F.desc("priority"), *order], "_rank")
+        numbered(scored.select(*columns), [by], [F.desc("priority"), *order], "_rank")
         .withColumn("part", F.floor((F.col("_rank") - 1) / max_findings).cast("int"))
         .groupBy(by, "part").agg(F.array_sort(F.collect_list(finding)).alias("findings"))
     )

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glintmark import session
+from glintmark.operators import prefix
 from glintmark.plans.catalog import ORACLES, QUERIES, formats, graphs
 from glintmark.plans.views import TABLES, view
 from glintmark.sources import documents
@@ -75,3 +76,15 @@ def test_results_are_neither_shuffled_to_the_manifest_nor_written_before_their_d
     monkeypatch.setattr(documents, "settle", lambda df, name: written.append((name, df.columns)) or session.settle(df, name))
     QUERIES[name](spark, SF)
     assert written == [("sizes", ["_run", "_parts"]), ("wanted", ["run_id", "part", "rule_id"])]
+
+
+def test_ranks_and_heads_of_reports_shuffle_findings_once(spark):
+    rows = spark.range(1000).select(F.expr("id % 3").alias("g"), F.expr("id * 7919 % 1000").alias("v"), F.lit("text").alias("message"))
+    ranked = prefix.numbered(rows, ["g"], [F.desc("v")], "no")
+    assert _plan(ranked).count("- Window ") == 1  # over the totals of the ranges
+    own = {}
+    for r in sorted(rows.collect(), key=lambda r: -r.v):
+        own.setdefault(r.g, []).append(r.v)
+    assert sorted((r.g, r.no, r.v) for r in ranked.collect()) == sorted((g, i, v) for g, vs in own.items() for i, v in enumerate(vs, 1))
+    plan = _plan(QUERIES["json_export"](spark, SF))
+    assert plan.count("- Window ") == 1 and plan.count("Exchange hashpartitioning") == 2  # ranges' totals by run, findings by run and part
