@@ -88,3 +88,9 @@ def test_ranks_and_heads_of_reports_shuffle_findings_once(spark):
     assert sorted((r.g, r.no, r.v) for r in ranked.collect()) == sorted((g, i, v) for g, vs in own.items() for i, v in enumerate(vs, 1))
     plan = _plan(QUERIES["json_export"](spark, SF))
     assert plan.count("- Window ") == 1 and plan.count("Exchange hashpartitioning") == 2  # ranges' totals by run, findings by run and part
+
+
+def test_full_review_dedup_carries_no_place_in_the_document(spark):
+    plan = QUERIES["full_review"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    best = [line for line in plan.splitlines() if "Aggregate" in line and "AS best" in line]
+    assert best and not any("ordinal_parts" in line or "run_pos" in line for line in best)
