@@ -81,14 +81,15 @@ def reach_forward(spark, sf):
     return G.reach(_entry_seeds(files), edges, 2, "forward").select("node", "depth")
 
 
-@query(f"""{_E}, {_FILES}, {_NAMED}, {_HITS}, {_back_sql(1, 0.8)}, {_forward_sql(1, 0.8)}, b AS (SELECT DISTINCT tag, file FROM bw JOIN nf ON nf.qname = bw.node), f AS (SELECT DISTINCT file FROM fw JOIN nf ON nf.qname = fw.node),
+@query(f"""{_E}, {_FILES}, {_NAMED}, {_HITS}, {_back_sql(4, 0.3)}, {_forward_sql(4, 0.3)}, b AS (SELECT DISTINCT tag, file FROM bw JOIN nf ON nf.qname = bw.node), f AS (SELECT DISTINCT file FROM fw JOIN nf ON nf.qname = fw.node),
 x AS (SELECT tag, file FROM b WHERE file IN (SELECT file FROM f)) SELECT tag, file, 'both' AS via FROM x
  UNION ALL SELECT tag, file, 'backward' FROM b WHERE tag NOT IN (SELECT tag FROM x) UNION ALL SELECT '79', file, 'forward' FROM f""")
 def reach_both(spark, sf):
+    """Files between entry points and sinks: four hops either way over calls of a confidence of 0.3 or more."""
     edges, files = _graph(spark, sf)
     e = _named(edges)
-    back = G.reached_files(G.reach(G.sink_seeds(e), e, 1, "backward", 0.8), files)
-    ahead = G.reached_files(G.reach(_entry_seeds(files), edges, 1, "forward", 0.8), files)
+    back = G.reached_files(G.reach(G.sink_seeds(e), e, 4, "backward"), files)
+    ahead = G.reached_files(G.reach(_entry_seeds(files), edges, 4, "forward"), files)
     return G.both_ways(back, ahead, ["22", "78", "79", "89", "502"])
 
 

@@ -94,3 +94,15 @@ def test_full_review_dedup_carries_no_place_in_the_document(spark):
     plan = QUERIES["full_review"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     best = [line for line in plan.splitlines() if "Aggregate" in line and "AS best" in line]
     assert best and not any("ordinal_parts" in line or "run_pos" in line for line in best)
+
+
+def test_reach_both_walks_as_far_as_the_source_system(spark, monkeypatch):
+    walks, reach = [], graphs.G.reach
+
+    def watched(seeds, edges, hops, direction="backward", min_confidence=0.3):
+        walks.append((direction, hops, min_confidence))
+        return reach(seeds, edges, hops, direction, min_confidence)
+
+    monkeypatch.setattr(graphs.G, "reach", watched)
+    QUERIES["reach_both"](spark, SF)
+    assert sorted(walks) == [("backward", 4, 0.3), ("forward", 4, 0.3)]
